@@ -1,28 +1,31 @@
 """Token ids by tokenizer library, with one library call per distinct piece of text instead of one per occurrence.
 
 Both vocabularies split a text into pieces first and encode each piece alone, so the ids of a text are those of its
-pieces in order. A worker keeps what it has encoded; the store is emptied when it reaches ``limit`` entries, which
-changes the speed only.
+pieces in order. A worker keeps what it encoded last, up to twice ``limit`` entries a store, which changes the
+speed only. A tokenizer of another kind gets whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
-import regex
 
-#: Between a character that is no white space and a space a new piece begins in either vocabulary.
+#: Between a character that is no white space and a space, a new piece begins in either vocabulary.
 BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
+#: White space other than one space or newline between words: there the place where a piece begins depends on what follows.
+WIDE_SPACE = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
 #: Fixed value: the splitting pattern inside word_bpe_49k.json.
-WORD_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-PLAIN = re.compile(r"[a-z]+\Z")
-LIMIT = 1_000_000
+WORD_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A word of letters that are alike in all Unicode versions, and one mark behind it: two pieces in either vocabulary.
+WORD_AND_MARK = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+LIMIT = 600_000
 
 
 class Pieces:
-    """``ids(text)`` gives the ids as little-endian bytes of ``dtype``; ``count(text)`` only their number."""
+    """``many(texts)``: of each text the number of its ids (``counts``), or the ids as bytes of ``dtype``."""
 
     def __init__(self, path: str, dtype: str = "<u2", counts: bool = False, limit: int = LIMIT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -32,43 +35,102 @@ class Pieces:
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype, self.counts, self.limit = np.dtype(dtype), counts, limit
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, object] = {}
-        self.separable = self._separable()
-
-    def _separable(self) -> bool:
-        """Whether the text's ids are those of its chunks: true for pre-tokenizers that begin a piece at each such space."""
-        import json
-
+        added = self.library.get_added_tokens_decoder()
+        self.mark_id, self.mark = next(((i, t.content) for i, t in added.items()), (None, None))
         pre = json.loads(self.library.to_str()).get("pre_tokenizer") or {}
         steps = pre.get("pretokenizers", [pre])
-        gpt = len(steps) == 1 and steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex") and not steps[0].get("add_prefix_space")
-        words = steps[0].get("type") == "Split" and steps[0].get("pattern", {}).get("Regex") == WORD_PIECE.pattern
-        added = self.library.get_added_tokens_decoder().values()
-        return bool(gpt or words) and not any(t.lstrip or t.rstrip or " " in t.content for t in added)
-
-    def _encode(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > self.limit:
-            self.known.clear()
-        for at in range(0, len(chunks), 2000):
-            part = chunks[at : at + 2000]
-            for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[c] = len(e.ids) if self.counts else np.array(e.ids, self.dtype).tobytes()
+        spaced = len(steps) == 1 and steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex") and not steps[0].get("add_prefix_space")
+        #: White space is dropped and case is folded, so a word has the same ids wherever it stands.
+        self.folds = steps[0].get("type") == "Split" and steps[0].get("pattern", {}).get("Regex") == WORD_PIECE
+        plain = self.mark is not None and not any(t.lstrip or t.rstrip or " " in t.content for t in added.values())
+        self.separable = bool((spaced or self.folds) and plain)
+        self.lead = "" if self.folds else " "  # of each chunk but a text's first
+        self.words = Store(limit)  # chunks behind a space, as they stand there
+        self.others = Store(limit)  # the same without marks, in one case where case is folded
+        self.begins = Store(limit // 4, self._library)  # chunks at the begin of a line
+        if self.separable:
+            self.newline = self._library(["\n"])[0]
+
+    def _library(self, texts: list[str]) -> list:
+        """Each text by itself. They go to the library as one text, between added tokens, which part texts exactly."""
+        out: list = [None] * len(texts)
+        joined = [k for k, t in enumerate(texts) if self.mark not in t]
+        for at in range(0, len(joined), 200):
+            part = joined[at : at + 200]
+            ids = np.array(self.library.encode_batch_fast([self.mark.join(texts[k] for k in part)], add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            begin, end = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
+            assert len(begin) == len(part), "an added token was lost"
+            data = None if self.counts else ids.astype(self.dtype)
+            for k, b, e in zip(part, begin, end, strict=True):
+                out[k] = e - b if self.counts else data[b:e].tobytes()
+        for k, t in enumerate(texts):
+            if out[k] is None:
+                out[k] = self._one(self.library.encode_batch_fast([t], add_special_tokens=False)[0])
+        return out
+
+    def _one(self, e):
+        return len(e.ids) if self.counts else np.array(e.ids, self.dtype).tobytes()
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Put chunks that stand behind a space into ``words``; a mark behind a word is a piece of its own."""
+        split = {c: (m[1].lower() if self.folds else m[1], m[2]) if (m := WORD_AND_MARK.fullmatch(c)) else (c, "") for c in chunks}
+        self.others.need({x for x, _ in split.values()}, lambda new: self._library([self.lead + c for c in new]))
+        others = self.others.now
+        ends = {m: others_of for m, others_of in zip(".,", self._library([".", ","]), strict=True)} | {"": 0 if self.counts else b""}
+        self.words.now.update((c, others[x] + ends[m]) for c, (x, m) in split.items())
+
+    def _get(self, store: "Store", chunks: list[str], learn) -> list:
+        try:
+            now = store.now
+            return [now[c] for c in chunks]
+        except KeyError:
+            store.need(set(chunks), learn)
+            now = store.now
+            return [now[c] for c in chunks]
 
     def many(self, texts: list[str]) -> list:
-        """Of each text its number of ids, or its ids as bytes."""
         if not self.separable:
-            found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-            return [len(e.ids) if self.counts else np.array(e.ids, self.dtype).tobytes() for e in found]
+            return [self._one(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        join = sum if self.counts else b"".join
         out = []
         for t in texts:
-            parts = BEFORE_SPACE.split(t)
-            try:
-                got = [self.known[c] for c in parts]
-            except KeyError:
-                self._encode([c for c in set(parts) if c not in self.known])
-                if len(parts) > self.limit // 2 or any(c not in self.known for c in parts):
-                    self._encode(list(set(parts)))
-                got = [self.known[c] for c in parts]
-            out.append(sum(got) if self.counts else b"".join(got))
+            if self.folds:
+                out.append(join(self._get(self.words, t.replace("\n", " ").split(" "), self._learn)))
+            elif WIDE_SPACE.search(t):
+                out.append(join(self._library(BEFORE_SPACE.split(t))))
+            else:
+                lines = [line.split(" ") for line in t.split("\n")]
+                begin = self._get(self.begins, [line[0] for line in lines], None)
+                if self.counts:
+                    rest = self._get(self.words, [w for line in lines for w in line[1:]], self._learn)
+                    out.append(sum(begin) + sum(rest) + (len(lines) - 1) * self.newline)
+                else:
+                    out.append(self.newline.join(b + b"".join(self._get(self.words, line[1:], self._learn)) for b, line in zip(begin, lines, strict=True)))
         return out
+
+
+class Store:
+    """What is known of chunks, in two generations: when the younger is full, it takes the place of the older."""
+
+    def __init__(self, limit: int, encode=None):
+        self.now: dict = {}
+        self.old: dict = {}
+        self.limit, self.encode = limit, encode
+
+    def need(self, chunks: set[str], encode=None) -> None:
+        """Afterwards ``now`` has all ``chunks``. ``encode`` gives values, or puts them into ``now`` and returns None."""
+        if len(self.now) + len(chunks) > self.limit:
+            self.now, self.old = {}, self.now
+        missing = []
+        for c in chunks:
+            if c not in self.now:
+                v = self.old.get(c)
+                if v is None:
+                    missing.append(c)
+                else:
+                    self.now[c] = v
+        if missing:
+            values = (encode or self.encode)(missing)
+            if values is not None:
+                self.now.update(zip(missing, values, strict=True))

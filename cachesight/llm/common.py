@@ -145,6 +145,17 @@ def chunks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield at, held
 
 
+def strings(**columns: list) -> pd.DataFrame:
+    return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
+
+
+def rows_frame(rows: list[tuple], columns: list[str], nullable: list[str] = ()) -> pd.DataFrame:
+    """Rows as a frame; ``nullable`` are integers that may be null, text stays as Python strings."""
+    values = zip(*rows, strict=True) if rows else ([] for _ in columns)
+    held = {c: list(v) for c, v in zip(columns, values, strict=True)}
+    return pd.DataFrame({c: pd.array(v, "Int64") if c in nullable else pd.Series(v, dtype=object if not v or isinstance(v[0], (str, bytes)) else None) for c, v in held.items()})
+
+
 # --- grouped streams --------------------------------------------------------------------------------------------------
 
 

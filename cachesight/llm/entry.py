@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cachesight.llm import token_counts, token_files
+from cachesight.llm import archives, decontaminate, main_text, neighbours, packing, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    own = [token_counts.op1_token_counts, token_files.op10_token_files]
+    own = [
+        token_counts.op1_token_counts, archives.op2_arc_to_warc, main_text.op4_main_text, decontaminate.op5_decontaminate,
+        neighbours.op7_nearest, packing.op8_packing, token_files.op10_token_files,
+    ]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontaminate": decontaminate.OP5_SQL, "op7_nearest": neighbours.OP7_SQL}

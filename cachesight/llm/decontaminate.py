@@ -41,17 +41,17 @@ def _bit(key_words: Column) -> Column:
 def bit_set(windows: DataFrame) -> dict[int, Column]:
     """By window length, a literal of BITS bits. The driver gets at most BITS / 64 integers for each length."""
     bit = windows.select("length", _bit(F.split("key", " ")).alias("bit"))
-    longs = bit.groupBy("length", F.floor(F.col("bit") / 64).cast("int").alias("at")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("bits"))
+    longs = bit.groupBy("length", F.floor(F.col("bit") / 64).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("bits"))
     held: dict[int, list[int]] = {}
     for r in longs.collect():
         held.setdefault(r.length, [0] * (BITS // 64))[r.at] = r.bits
-    return {n: F.array(*[F.lit(x).cast("long") for x in bits]) for n, bits in sorted(held.items())}
+    return {n: F.split(F.lit(",".join(map(str, bits))), ",").cast("array<long>") for n, bits in sorted(held.items())}
 
 
 def _places(w: Column, length: int, bits: Column) -> Column:
     """Places of the windows of a text whose bit is set, with their words."""
     own = lambda i: F.slice(w, i, length)
-    is_set = lambda h: F.shiftright(F.element_at(bits, (F.floor(h / 64) + 1).cast("int")), F.pmod(h, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    is_set = lambda h: F.getbit(F.element_at(bits, (F.floor(h / 64) + 1).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
     at = F.filter(F.sequence(F.lit(1), F.size(w) - length + 1), lambda i: is_set(_bit(own(i))))
     found = F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(length).alias("length"), F.array_join(own(i), " ").alias("key")))
     return F.when(F.size(w) >= length, found).otherwise(F.array().cast("array<struct<at:int,length:int,key:string>>"))
@@ -108,7 +108,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-_SQL_WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '')"
+_SQL_WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),

@@ -89,19 +89,26 @@ class WordHashes:
     words come from one cumulative sum without a Python step per word.
     """
 
-    def __init__(self, texts: list[bytes]):
-        buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        space = _IS_SPACE[buf]
+    def __init__(self, texts: list[bytes], separators: np.ndarray = _IS_SPACE):
+        """``separators``: of each byte value whether it parts words; the newline has to."""
+        buf = self.bytes = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        space = separators[buf]
         edge = np.flatnonzero(np.diff(space, prepend=True))
         self.start, self.end = edge[0::2], edge[1::2]
         p, inv = _power_tables(len(buf) + 1)
         total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(_VALUE[buf] * p[: len(buf)], out=total[1:])
+        self._total, self._inv = total, inv
         self.words = mix((total[self.end] - total[self.start]) * inv[self.start])
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.offset = np.concatenate([[0], np.cumsum(sizes)])  # bytes before each text
         self.first = np.searchsorted(self.start, self.offset)
 
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hashes of the words' first ``size`` bytes; apart from those of words and of other sizes."""
+        end = np.minimum(self.start + size, self.end)
+        return mix((self._total[end] - self._total[self.start]) * self._inv[self.start] + np.uint64(size * int(_Q) % (1 << 64)))
+
     def shingles(self, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of ``size`` words and where each text's begin; a shorter text is one run, if it has words."""
         w, first = self.words, self.first

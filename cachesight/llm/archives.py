@@ -180,7 +180,7 @@ def plan_revisits(index: DataFrame, min_bytes: int = 0) -> DataFrame:
     joined back by a join that Spark may split.
     """
     first = index.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("row").alias("first"))
-    joined = index.join(first, "digest", "left")
+    joined = index.hint("merge").join(first, "digest", "left")  # Spark knows the size of the list of files only
     return joined.withColumn("first", F.when(F.col("first") != F.col("row"), F.col("first")))
 
 

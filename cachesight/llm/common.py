@@ -115,7 +115,7 @@ class WordHashes:
         n = np.diff(first)
         m = len(w)
         rolled = np.zeros(max(m - size + 1, 0), np.uint64)
-        for k in range(size):
+        for k in range(size if len(rolled) else 0):
             rolled = rolled * _Q + w[k : m - size + 1 + k]
         counts = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
         begin = np.concatenate([[0], np.cumsum(counts)])

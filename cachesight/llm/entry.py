@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cachesight.llm import archives, decontaminate, main_text, neighbours, packing, quality, signature_trees, token_counts, token_files
+from cachesight.llm import archives, compact_windows, decontaminate, main_text, neighbours, packing, quality, signature_trees, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     own = [
-        token_counts.op1_token_counts, archives.op2_arc_to_warc, main_text.op4_main_text, decontaminate.op5_decontaminate,
+        token_counts.op1_token_counts, archives.op2_arc_to_warc, compact_windows.op3_substring_dedup, main_text.op4_main_text, decontaminate.op5_decontaminate,
         quality.op6_quality, neighbours.op7_nearest, packing.op8_packing, signature_trees.op9_jaccard_join, token_files.op10_token_files,
     ]
     return {f.__name__: f for f in own}

@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("a"), F.greatest("block", x).alias("b")))
     units = placed.select("node", "block", "root", F.explode(pairs).alias("p")).select("node", F.xxhash64("root", "p.a", "p.b").alias("unit"), (F.col("block") != F.col("p.a")).cast("int").alias("side"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("doc_id IS NOT NULL")
-    dealt = units.join(texts, "node").select("unit", "side", F.col("node").alias("id"), "text").repartition(partitions(spark), "unit").sortWithinPartitions("unit", "side", "id")
+    dealt = units.hint("merge").join(texts, "node").select("unit", "side", F.col("node").alias("id"), "text").repartition(partitions(spark), "unit").sortWithinPartitions("unit", "side", "id")
     found = connected_components(dealt.mapInPandas(_verify, "u long, v long"), "links")
     named = classes.select("digest", "id").join(found, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("component_id"))
     joined = members.where("n_shingles > 0").join(named, "digest").select("doc_id", "n_shingles", "component_id")

@@ -46,6 +46,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in the only column of ``ids``; null is an id like others."""
+    out = ids.toDF("cachesight_out_id").distinct()
+    return docs.join(out, docs["doc_id"].eqNullSafe(out["cachesight_out_id"]), "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

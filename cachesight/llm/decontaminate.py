@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cachesight.llm.common import table
+from cachesight.llm.common import table, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what parts words, after A-Z became a-z.
@@ -87,20 +87,19 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, size: int = WIND
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; rows of one id stay or go together."""
-    bad = contamination(docs, benchmark, size).where(F.size("hit") > 0).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return without(docs, contamination(docs, benchmark, size).where(F.size("hit") > 0).select("doc_id"))
 
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """``docs`` with the hit words cut out of their texts, each with what parts it from the next; other texts are as they were."""
-    hits = contamination(docs, benchmark, size).where(F.size("hit") > 0).groupBy(F.col("doc_id").alias("bad_id")).agg(F.first("hit").alias("hit"))
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left")
+    hits = contamination(docs, benchmark, size).where(F.size("hit") > 0).groupBy(F.col("doc_id").alias("cachesight_hit_id")).agg(F.first("hit").alias("cachesight_hit"))
+    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["cachesight_hit_id"]), "left")
     any_word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     any_gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     parts = F.regexp_extract_all("text", F.lit(f"{any_word}{any_gap}"), F.lit(0))
     lead = F.regexp_extract("text", f"^{any_gap}", 0)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("hit", (i + 1).cast("int"))), "")
-    text = F.when(F.col("hit").isNull(), F.col("text")).otherwise(F.concat(lead, kept))
+    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("cachesight_hit", (i + 1).cast("int"))), "")
+    text = F.when(F.col("cachesight_hit").isNull(), F.col("text")).otherwise(F.concat(lead, kept))
     return joined.withColumn("text", text).select(*docs.columns)
 
 

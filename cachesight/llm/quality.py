@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cachesight.llm.common import WordHashes, chunks, materialize, table
+from cachesight.llm.common import WordHashes, chunks, materialize, table, without
 
 SAMPLE = 20_000
 #: Entries of the lexicon for each model; least z-score, log-odds, documents and share of the bad documents of an entry.
@@ -240,8 +240,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without rejected documents; rows of one id go together if one is rejected."""
-    out = classify(docs, labels, sample).where(~F.col("keep")).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return without(docs, classify(docs, labels, sample).where(~F.col("keep")).select("doc_id"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

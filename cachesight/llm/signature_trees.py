@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cachesight.llm.common import WordHashes, chunks, connected_components, materialize, mix, partitions, runs, table
+from cachesight.llm.common import WordHashes, chunks, connected_components, materialize, mix, partitions, runs, table, without
 
 BANDS, ROWS = 50, 3
 #: Similarity as a fraction, so that limits are exact.
@@ -348,8 +348,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id. Rows with a null id stay."""
-    out = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("out_id")).distinct()
-    return docs.join(out, F.col("doc_id") == F.col("out_id"), "left_anti")
+    return without(docs, near_duplicates(docs).where("doc_id <> component_id").select("doc_id"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("candidate_page_id"),
         F.floor(F.col("l_quantity") / 12).cast("double").alias("y_loss"), "l_discount", "l_tax",
     )
+    rows = rows.repartition("decision_t")  # a part of each key below, so nothing is dealt out again
     once = rows.groupBy(*DECISION_KEY, "candidate_page_id").agg(F.min("y_loss").alias("y_loss"), F.min("l_discount").alias("recent_candidate_request_rate"), F.min("l_tax").alias("recent_candidate_hit_rate"))
     own = Window.partitionBy(*DECISION_KEY)
     rank = (F.row_number().over(own.orderBy("candidate_page_id")) - 1).cast("double")

@@ -301,6 +301,24 @@ def test_op3_exact_runs_are_found(spark, sf):
     assert want and want <= {r.doc_id for r in compact_windows.op3_substring_dedup(spark, sf).collect()}
 
 
+def test_op3_near_copies_of_one_run(spark):
+    """Recall at similarities of 0.77, 0.8 and 0.9, against the comparison of each planted pair itself."""
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"v{k}" for k in rng.integers(0, 100_000, n)]
+    docs, want = {}, {}
+    for k in range(600):
+        length, changed = ((50, 2), (50, 1), (100, 1))[k % 3]
+        passage = words(length)
+        near = passage[: length // 2] + words(changed) + passage[length // 2 + changed :]
+        docs[k], docs[1000 + k] = words(30) + passage + words(40), words(60) + near + words(20)
+        x, y = ((WordHashes([" ".join(docs[i]).encode()]).shingles()[0] >> np.uint64(32)).astype("<u4") for i in (1000 + k, k))
+        want[1000 + k, k] = compact_windows.verify(x, 0, compact_windows.Places(y), -30)
+    assert all(len(v) == 1 and 0.75 <= v[0][4] < 0.91 for v in want.values())
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.other_id) for r in compact_windows.repeated_passages(df).collect()}
+    assert got == set(want)
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1060)]

@@ -3,8 +3,9 @@
 1. A text is a row of word shingles. For each of HASHES hash functions, the Cartesian tree over the shingles' hashes gives
    compact windows (l, c, r): c holds the smallest hash of every run from [l, c] to [c, r]. Only windows of at least SPAN
    shingles are kept, about 2 n / SPAN for n shingles; a run of SPAN or more always lies in one of them.
-2. Windows of equal smallest hash meet. Each is tied to the first among those of equal context on either side, or else to
-   the first of all, so a hash that many documents share ties each of them twice at most.
+2. Windows of equal smallest hash meet. Each is tied to the first of all and to the first among those of equal context on
+   either side, so a hash that many documents share ties each of them three times at most. Windows of equal hash and
+   context are groups of their own, so a frequent hash is dealt over tasks.
 3. The ties of two documents are intervals in both; where windows of enough hash functions overlap on one alignment, the
    passage is a candidate.
 4. Candidates are verified on the shingles themselves: runs that both documents hold, joined over small gaps as long as
@@ -35,7 +36,8 @@ DRIFT, GAP = 16, 12
 FOLLOWERS = 4096
 _SALTS = mix(np.arange(77, 77 + HASHES, dtype=np.uint64))
 #: The key is a window's smallest hash with the number of its function in the last four bits.
-WINDOWS = "key long, doc_id long, middle_left long, right_context long"
+#: A context is the 64-bit hash of a shingle aside, made odd; 0 without one.
+WINDOWS = "key long, doc_id long, middle_left long, right int, left_context long, right_context long"
 
 
 def _sliding(x: np.ndarray, width: int, step) -> np.ndarray:
@@ -103,43 +105,71 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for aside in (-ASIDE, ASIDE):
                     there = middle + aside
                     inside = (there >= first) & (there < end)
-                    context.append(np.where(inside, (s[np.where(inside, there, 0)] & np.uint64(0xFFFF)).astype(np.int64) | 1, 0))
-                yield pd.DataFrame({"key": h[middle].view(np.int64) & -16 | number, "doc_id": ids[at + text], "middle_left": (middle - first) << 32 | (left - first), "right_context": (right - first) << 32 | context[0] << 16 | context[1]})
+                    context.append(np.where(inside, (s[np.where(inside, there, 0)] | np.uint64(1)).view(np.int64), 0))
+                yield pd.DataFrame({"key": h[middle].view(np.int64) & -16 | number, "doc_id": ids[at + text], "middle_left": (middle - first) << 32 | (left - first), "right": (right - first).astype(np.int32), "left_context": context[0], "right_context": context[1]})
 
 
 TIES = "doc_id long, other long, function int, own_middle_left long, own_right int, other_middle_left long, other_right int"
 
 
-def _ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From windows sorted by (key, doc_id, middle_left): ties to the first window of the same context on either side, or
-    to the first of all where no context was met before.
+SIDES = "side_group long, side int, doc_id long, function int, middle_left long, right int, first_doc long, first_middle_left long, first_right int"
 
-    Held are the firsts of one key only: one, and one for each distinct context.
-    """
-    key, first = None, None
-    sides: tuple[dict, dict] = ({}, {})
+
+class Firsts:
+    """From batches sorted by a key: of each row the first row of its key. Held is one row."""
+
+    def __init__(self):
+        self.held: tuple[int, ...] | None = None
+
+    def __call__(self, key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Whether each row goes on with the key of the row before, and the columns of the first rows."""
+        goes_on = np.zeros(len(key), bool)
+        goes_on[1:] = key[1:] == key[:-1]
+        goes_on[0] = self.held is not None and self.held[0] == key[0]
+        at = np.maximum.accumulate(np.where(goes_on, -1, np.arange(len(key))))
+        own = [np.where(at >= 0, c[at], self.held[k] if self.held else 0) for k, c in enumerate(columns, 1)]
+        self.held = (key[-1], *(c[-1] for c in own))
+        return goes_on, own
+
+
+def _sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From windows sorted by (key, doc_id, middle_left): those whose key another window has, too, with the first of the key,
+    a row for each side. The left side's row stands for the window where there is no context."""
+    firsts = Firsts()
     for b in batches:
-        k = b["key"].to_numpy()
-        part = np.zeros(len(k), bool)
-        part[1:] = k[1:] == k[:-1]
-        part[:-1] |= part[1:].copy()
-        part[0] |= key is not None and k[0] == key
-        part[-1] = True  # it may go on in the next batch
-        rows = np.flatnonzero(part)
-        out = []
-        columns = [b[c].to_numpy()[rows].tolist() for c in ("key", "doc_id", "middle_left", "right_context")]
-        for kk, doc, ml, rc in zip(*columns, strict=True):
-            if kk != key:
-                key, first, sides = kk, (doc, ml, rc >> 32), ({}, {})
-            own = (doc, ml, rc >> 32)
-            tied = {side.setdefault(c, own) for side, c in zip(sides, (rc >> 16 & 0xFFFF, rc & 0xFFFF), strict=True) if c}
-            tied.discard(own)
-            tied = tied or {first}
-            for other, other_ml, other_r in tied:
-                if other != doc:
-                    out.append((doc, other, kk & 15, ml, rc >> 32, other_ml, other_r))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in TIES.split(", ")])
+        if not len(b):
+            continue
+        key, doc, ml, right = (b[c].to_numpy() for c in ("key", "doc_id", "middle_left", "right"))
+        goes_on, (first_doc, first_ml, first_right) = firsts(key, doc, ml, right)
+        shared = goes_on.copy()
+        shared[:-1] |= goes_on[1:]
+        shared[-1] = True  # it may go on in the next batch
+        for side, name in enumerate(("left_context", "right_context")):
+            context = b[name].to_numpy()
+            rows = np.flatnonzero(shared & (context != 0)) if side else np.flatnonzero(shared)
+            there = context[rows] != 0
+            aside = np.where(there, context[rows], mix((doc[rows] ^ ml[rows] << 1).view(np.uint64)).view(np.int64) & -2).view(np.uint64)
+            group = mix(mix(aside + np.uint64(side)) ^ key[rows].view(np.uint64)).view(np.int64)
+            yield pd.DataFrame({"side_group": group, "side": np.full(len(rows), side, np.int32), "doc_id": doc[rows], "function": (key[rows] & 15).astype(np.int32), "middle_left": ml[rows], "right": right[rows], "first_doc": first_doc[rows], "first_middle_left": first_ml[rows], "first_right": first_right[rows].astype(np.int32)})
+
+
+TIES = "doc_id long, other long, function int, own_middle_left long, own_right int, other_middle_left long, other_right int"
+
+
+def _ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From rows of sides sorted by (side_group, doc_id, middle_left): ties to the first of the group, if it is not the first
+    of the key, and by the left side's row to the first of the key."""
+    firsts = Firsts()
+    for b in batches:
+        if not len(b):
+            continue
+        group, side, doc, function, ml, right, first_doc, first_ml, first_right = (b[c.split()[0]].to_numpy() for c in SIDES.split(", "))
+        _, (other, other_ml, other_right) = firsts(group, doc, ml, right)
+        of_group = (other != doc) & ((other != first_doc) | (other_ml != first_ml))
+        of_key = (side == 0) & (first_doc != doc)
+        for tied, o, oml, r in ((of_group, other, other_ml, other_right), (of_key, first_doc, first_ml, first_right)):
+            if tied.any():
+                yield pd.DataFrame({"doc_id": doc[tied], "other": o[tied], "function": function[tied], "own_middle_left": ml[tied], "own_right": right[tied], "other_middle_left": oml[tied], "other_right": r[tied].astype(np.int32)})
 
 
 def candidates(ties: list[tuple[int, int, int, int, int, int, int]]) -> list[tuple[int, int, int]]:
@@ -302,7 +332,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     n = partitions(spark)
     long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     windows = long.mapInPandas(_windows, WINDOWS)
-    tied = windows.repartition(n, "key").sortWithinPartitions("key", "doc_id", "middle_left").mapInPandas(_ties, TIES)
+    sides = windows.repartition(n, "key").sortWithinPartitions("key", "doc_id", "middle_left").mapInPandas(_sides, SIDES)
+    tied = sides.repartition(n, "side_group").sortWithinPartitions("side_group", "doc_id", "middle_left").mapInPandas(_ties, TIES)
     tied = materialize(tied, "ties")
     first = materialize(tied.groupBy("other").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("parts")), "firsts")
     own = F.collect_list(F.struct(*FIELDS)).alias("ties")  # as many as a document's windows allow

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,6 +320,24 @@ def test_op3_near_copies_of_one_run(spark):
     assert got == set(want)
 
 
+def test_op3_hot_key_keeps_first_holders():
+    """Windows of one frequent hash in 60,000 surroundings: a later one is tied to the first holder of its own surroundings."""
+    rng = np.random.default_rng(4)
+    n = 60_000
+    contexts = rng.integers(1, 1 << 62, n) | 1
+    doc = np.concatenate([np.arange(n), n + np.arange(100)])
+    context = np.concatenate([contexts, contexts[-100:]])
+    same = np.zeros(len(doc), np.int64)
+    windows = pd.DataFrame({"key": same, "doc_id": doc, "middle_left": same + (30 << 32), "right": (same + 90).astype(np.int32), "left_context": context, "right_context": context ^ 2})
+    cut = lambda df, step: (df.iloc[k : k + step] for k in range(0, len(df), step))
+    sides = pd.concat(compact_windows._sides(cut(windows, 7001))).sort_values(["side_group", "doc_id", "middle_left"])
+    assert sides["side_group"].nunique() == 2 * n  # a frequent hash is dealt over tasks
+    ties = pd.concat(compact_windows._ties(cut(sides, 7001)))
+    pairs = set(zip(ties["doc_id"], ties["other"], strict=True))
+    assert {(n + k, n - 100 + k) for k in range(100)} <= pairs and {(k, 0) for k in range(1, n + 100)} <= pairs
+    assert len(ties) == n + 99 + 200
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1060)]

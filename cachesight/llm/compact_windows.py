@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,9 @@ SIMILARITY = 0.75
 ASIDE = SPAN // 2
 #: How far alignments of one passage may differ; shingles between runs that may be joined.
 DRIFT, GAP = 16, 12
+#: How far alignments within one candidate may differ (a match may lie 4 DRIFT off). Longer chains are cut into stretches of
+#: this width that overlap by DRIFT, so ties that may join always share one.
+STRETCH = 3 * DRIFT
 #: Ties of a document with many followers that one task verifies.
 FOLLOWERS = 4096
 _SALTS = mix(np.arange(77, 77 + HASHES, dtype=np.uint64))
@@ -176,7 +180,8 @@ def candidates(ties: list[tuple[int, int, int, int, int, int, int]]) -> list[tup
     """(low, high, shift) in the own document of what the ties to one other document make likely: an interval join.
 
     A tie is (function, middle, left, right, other middle, other left, other right). Ties of about one alignment whose
-    windows overlap by SPAN in both documents join; a candidate needs ENOUGH different hash functions.
+    windows overlap by SPAN in both documents join; a candidate needs ENOUGH different hash functions. A chain of alignments
+    that drifts (many small insertions) gives a candidate for each stretch of it, so its passages may overlap.
     """
     out = []
     ties = sorted(ties, key=lambda t: (t[4] - t[1], t[1]))
@@ -184,8 +189,20 @@ def candidates(ties: list[tuple[int, int, int, int, int, int, int]]) -> list[tup
     for k in range(1, len(ties) + 1):
         if k < len(ties) and (ties[k][4] - ties[k][1]) - (ties[k - 1][4] - ties[k - 1][1]) <= DRIFT:
             continue
-        band = sorted(ties[begin:k], key=lambda t: t[2])
-        begin = k
+        chain, begin = ties[begin:k], k
+        out += _joined(chain)
+    return out
+
+
+def _joined(chain: list[tuple[int, int, int, int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """The candidates of ties sorted by alignment."""
+    out = []
+    shifts = [t[4] - t[1] for t in chain]
+    starts = [shifts[0]]
+    while starts[-1] + STRETCH < shifts[-1]:
+        starts.append(starts[-1] + STRETCH - DRIFT)
+    for start in starts:
+        band = sorted(chain[bisect_left(shifts, start) : bisect_right(shifts, start + STRETCH)], key=lambda t: t[2])
         low = high = 0
         functions: set[int] = set()
         shift = 0

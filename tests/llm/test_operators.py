@@ -338,6 +338,20 @@ def test_op3_hot_key_keeps_first_holders():
     assert len(ties) == n + 99 + 200
 
 
+def test_op3_drifting_copy(spark):
+    """A text of 10,000 words with a word inserted after every 40, and one with every 40th left out: all of it is found."""
+    rng = np.random.default_rng(6)
+    own = [f"v{k}" for k in rng.integers(0, 100_000, 10_000)]
+    more = [w for k, w in enumerate(own) for w in ([w, f"new{k}"] if k % 40 == 39 else [w])]
+    less = [w for k, w in enumerate(own) if k % 40 != 39]
+    df = spark.createDataFrame([(1, " ".join(own)), (2, " ".join(more)), (3, " ".join(less))], "doc_id long, text string")
+    found = {2: set(), 3: set()}
+    for r in compact_windows.repeated_passages(df).collect():
+        assert r.other_id < r.doc_id and r.similarity >= 0.75
+        found[r.doc_id] |= set(range(r.first_word, r.last_word + 1))
+    assert len(found[2]) > 0.99 * len(more) and len(found[3]) > 0.99 * len(less)
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1060)]

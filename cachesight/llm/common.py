@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space: the only separators of the words of shingles.
@@ -46,10 +46,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in the only column of ``ids``; null is an id like others."""
-    out = ids.toDF("cachesight_out_id").distinct()
-    return docs.join(out, docs["doc_id"].eqNullSafe(out["cachesight_out_id"]), "left_anti")
+def stand_in(*columns: str) -> Column:
+    """What stands for a null doc_id: a digest of the columns that a decision on the row depends on. Null where there is an id."""
+    return F.when(F.col("doc_id").isNull(), F.sha2(F.to_json(F.struct(*columns)), 256))
+
+
+def without(docs: DataFrame, ids: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in the first column of ``ids``. Rows of a null id are told apart by
+    ``stand_in(*columns)``, the second column of ``ids``; without columns they all stay."""
+    if not columns:
+        out = ids.toDF("cachesight_out_id").distinct()
+        return docs.join(out, docs["doc_id"] == out["cachesight_out_id"], "left_anti")
+    out = ids.toDF("cachesight_out_id", "cachesight_out_digest").distinct()
+    marked = docs.withColumn("cachesight_digest", stand_in(*columns))
+    same = marked["doc_id"].eqNullSafe(out["cachesight_out_id"]) & marked["cachesight_digest"].eqNullSafe(out["cachesight_out_digest"])
+    return marked.join(out, same, "left_anti").select(*docs.columns)
 
 
 def partitions(spark: SparkSession) -> int:

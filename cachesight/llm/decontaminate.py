@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cachesight.llm.common import table, without
+from cachesight.llm.common import stand_in, table, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what parts words, after A-Z became a-z.
@@ -58,7 +58,8 @@ def _places(w: Column, length: int, bits: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): doc_id, n_words, hit (its hit words' numbers from 1, sorted) and items.
+    """For each row of ``docs`` (doc_id, text): doc_id, n_words, hit (its hit words' numbers from 1, sorted), items and
+    digest, which stands for a null id.
 
     Null texts have no words; null ids and repeated rows are kept, each row by itself; repeated item rows count once. An
     empty benchmark hits nothing. A row's number among the scanned rows carries it through, so it is the same when a lost
@@ -66,15 +67,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     """
     windows = benchmark_windows(benchmark, size)
     bits = bit_set(windows)
-    base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", stand_in("text").alias("digest"), words(F.col("text")).alias("w"))
     none = F.array().cast("array<struct<at:int,length:int,key:string>>")
     places = F.concat(*[_places(F.col("w"), n, b) for n, b in bits.items()]) if bits else none
-    scanned = base.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.explode_outer(places).alias("p"))
-    keyed = scanned.select("row", "doc_id", "n_words", F.col("p.at").alias("at"), F.col("p.length").alias("length"), F.col("p.key").alias("key"))
+    scanned = base.select("row", "doc_id", "digest", F.size("w").cast("long").alias("n_words"), F.explode_outer(places).alias("p"))
+    keyed = scanned.select("row", "doc_id", "digest", "n_words", F.col("p.at").alias("at"), F.col("p.length").alias("length"), F.col("p.key").alias("key"))
     small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    joined = keyed.join(F.broadcast(windows) if small else windows, ["length", "key"], "left")
-    hit = F.when(F.col("item_id").isNotNull(), F.sequence(F.col("at"), F.col("at") + F.col("length") - 1))
-    found = joined.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(hit)))).alias("hit"), F.collect_set("item_id").alias("items"))
+    known = windows.withColumn("known", F.lit(True))  # also where the item's id is null
+    joined = keyed.join(F.broadcast(known) if small else known, ["length", "key"], "left")
+    hit = F.when(F.col("known"), F.sequence(F.col("at"), F.col("at") + F.col("length") - 1))
+    found = joined.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(hit)))).alias("hit"), F.collect_set("item_id").alias("items"))
     return found.drop("row")
 
 
@@ -86,14 +88,17 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, size: int = WIND
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; rows of one id stay or go together."""
-    return without(docs, contamination(docs, benchmark, size).where(F.size("hit") > 0).select("doc_id"))
+    """``docs`` without the documents that hold a benchmark window; rows of one id stay or go together, those
+    of a null id each by itself."""
+    return without(docs, contamination(docs, benchmark, size).where(F.size("hit") > 0).select("doc_id", "digest"), ["text"])
 
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """``docs`` with the hit words cut out of their texts, each with what parts it from the next; other texts are as they were."""
-    hits = contamination(docs, benchmark, size).where(F.size("hit") > 0).groupBy(F.col("doc_id").alias("cachesight_hit_id")).agg(F.first("hit").alias("cachesight_hit"))
-    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["cachesight_hit_id"]), "left")
+    hits = contamination(docs, benchmark, size).where(F.size("hit") > 0).groupBy(F.col("doc_id").alias("cachesight_hit_id"), F.col("digest").alias("cachesight_hit_digest")).agg(F.first("hit").alias("cachesight_hit"))
+    marked = docs.withColumn("cachesight_digest", stand_in("text"))
+    same = marked["doc_id"].eqNullSafe(hits["cachesight_hit_id"]) & marked["cachesight_digest"].eqNullSafe(hits["cachesight_hit_digest"])
+    joined = marked.join(hits, same, "left")
     any_word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     any_gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     parts = F.regexp_extract_all("text", F.lit(f"{any_word}{any_gap}"), F.lit(0))

@@ -19,13 +19,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cachesight.llm.common import WordHashes, chunks, materialize, table, without
+from cachesight.llm.common import WordHashes, chunks, materialize, stand_in, table, without
 
 SAMPLE = 20_000
 #: Entries of the lexicon for each model; least z-score, log-odds, documents and share of the bad documents of an entry.
 LEXICON, LEAST_Z, LEAST_ODDS, LEAST_DOCS, LEAST_SHARE = 192, 5.0, 1.5, 4, 0.02
 PREFIXES = (4, 5, 6)
 HEADS = ("junk", "toxic")
+#: What the decision on a document depends on.
+DECIDING = ["text", "source", "lang"]
 FORM = ("upper", "punctuation", "digits", "marks", "bars", "signs", "distinct", "repeats", "top", "length", "words", "empty")
 
 _b = np.arange(256)
@@ -190,8 +192,10 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, source, lang, junk and toxic (log-odds from the document alone) and bad (the probability of either)."""
+def score(docs: DataFrame, model: Model, digest: bool = False) -> DataFrame:
+    """doc_id, source, lang, junk and toxic (log-odds from the document alone) and bad (the probability of either); with
+    ``digest`` also what stands for a null id."""
+    own_columns = ["doc_id", "source", "lang", *(["digest"] if digest else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -199,11 +203,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 own = b.iloc[at : at + len(part)]
                 o = np.clip(model.log_odds(part), -30, 30)
                 good = 1 / (1 + np.exp(o))
-                yield pd.DataFrame({c: own[c].to_numpy() for c in ("doc_id", "source", "lang")} | {"junk": o[:, 0], "toxic": o[:, 1], "bad": 1 - good.prod(axis=1)})
+                yield pd.DataFrame({c: own[c].to_numpy() for c in own_columns} | {"junk": o[:, 0], "toxic": o[:, 1], "bad": 1 - good.prod(axis=1)})
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    wide = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
-    return wide.mapInPandas(run, f"doc_id {id_type}, source string, lang string, junk double, toxic double, bad double")
+    wide = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text", *([stand_in(*DECIDING).alias("digest")] if digest else []))
+    return wide.mapInPandas(run, f"doc_id {id_type}, source string, lang string, {'digest string, ' if digest else ''}junk double, toxic double, bad double")
 
 
 def posteriors(scored: DataFrame) -> DataFrame:
@@ -225,22 +229,24 @@ def posteriors(scored: DataFrame) -> DataFrame:
     return both.select("source", "lang", "host", ((F.col("s") + weight * F.col("host")) / (F.col("n") + weight)).alias("path"), F.lit(m).alias("whole"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """For each row: doc_id, junk, toxic, host, path, bad (the posterior probability) and keep (bad < ``threshold``).
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5, digest: bool = False) -> DataFrame:
+    """For each row: doc_id, junk, toxic, host, path, bad (the posterior probability) and keep (bad < ``threshold``); with
+    ``digest`` also what stands for a null id.
 
     Null texts and texts without words are scored by their form; null hosts and languages are groups of their own; repeated
     rows are each scored. Without labels all evidence is neutral and all are kept at a threshold over one half.
     """
-    scored = materialize(score(docs, train(docs, labels, sample)), "scored")
+    scored = materialize(score(docs, train(docs, labels, sample), digest), "scored")
     joined = scored.join(posteriors(scored), ["source", "lang"])
     odds = _logit(F.col("bad")) + _logit(F.col("path")) - _logit(F.col("whole"))
     bad = 1 / (1 + F.exp(-odds))
-    return joined.select("doc_id", "junk", "toxic", "host", "path", bad.alias("bad"), (bad < threshold).alias("keep"))
+    return joined.select("doc_id", "junk", "toxic", "host", "path", bad.alias("bad"), (bad < threshold).alias("keep"), *(["digest"] if digest else []))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without rejected documents; rows of one id go together if one is rejected."""
-    return without(docs, classify(docs, labels, sample).where(~F.col("keep")).select("doc_id"))
+    """``docs`` without rejected documents; rows of one id go together if one is rejected, those of a null id each by
+    itself."""
+    return without(docs, classify(docs, labels, sample, digest=True).where(~F.col("keep")).select("doc_id", "digest"), DECIDING)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

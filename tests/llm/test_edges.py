@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cachesight.llm import entry
+from cachesight.llm import decontaminate, entry, quality
 from cachesight.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -77,5 +77,35 @@ def test_stages_keep_columns(spark, folder):
             assert out.columns == before.columns
 
 
+def test_null_ids_are_decided_row_by_row(spark, folder):
+    path, empty = folder
+    own, benchmark = docs(spark, empty), table(spark, path, "benchmark")
+    more = spark.createDataFrame([] if empty else [(None, "a clean text", "en", "a", 1)], DOCS)
+    stay = decontaminate.drop_contaminated(own.select(*more.columns).unionByName(more), benchmark).collect()
+    # the item "x" hits document 9, the item SAME the documents 1 to 3 and the first row without an id
+    assert sorted((r.doc_id or -1, r.text is None) for r in stay) == ([] if empty else [(-1, False), (-1, True), (4, True), (5, False), (6, False), (7, False), (8, False), (10, False)])
+    cut = decontaminate.remove_hits(own.select(*more.columns).unionByName(more), benchmark).where("doc_id IS NULL").collect()
+    assert sorted(str(r.text) for r in cut) == ([] if empty else ["", "None", "a clean text"])
+
+
+def test_items_without_an_id_hit(spark):
+    items = spark.createDataFrame([(None, "seven eight"), (1, "other words")], "item_id long, text string")
+    own = spark.createDataFrame([(1, "six seven eight nine"), (2, "none")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination_report(own, items).collect()}
+    assert got == {1: (2, 0, True), 2: (0, 0, False)}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(own, items).collect()] == [2]
+
+
+def test_null_ids_and_the_classifier(spark):
+    path = "/root/testdata/sf0.01"
+    labels = table(spark, path, "labels")
+    own = table(spark, path, "documents")
+    own = own.join(labels.select("doc_id").distinct().withColumn("known", F.lit(True)), "doc_id", "left").withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known")
+    want = quality.classify(own, labels).where("doc_id IS NULL").groupBy("keep").count().collect()
+    assert {r.keep for r in want} == {True, False}
+    kept = quality.keep_good(own, labels)
+    assert kept.columns == own.columns and kept.where("doc_id IS NULL").count() == next(r["count"] for r in want if r.keep)
+
+
 def test_table_reads(spark, sf):
     assert table(spark, sf, "documents").count() == 200

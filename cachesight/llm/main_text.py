@@ -20,7 +20,8 @@ from cachesight.llm.common import table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 HINT = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|\bhidden(?:\s|$|=\")|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 WORD = re.compile(r"\S+")
 
 #: Fixed values, from the HTML standard: elements whose content is no text of the page; elements that part text blocks.
@@ -105,10 +106,19 @@ def decide(tree, row: tuple) -> bool:
     return tree
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an element is hidden by its attributes: ``hidden`` itself, a declaration of its style, or for assistive technology."""
+    for name, value in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower().startswith("true") or name == "style" and HIDING.search(value):
+            return True
+    return False
+
+
 def _container(tag: str, attributes: str, outer: int) -> int:
     """What a container says about the text in it; what surrounds it holds where it says nothing."""
     if attributes:
-        if HIDDEN.search(attributes):
+        if _hidden(attributes):
             return OUTSIDE
         words = {w for m in HINT.findall(attributes) for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m).lower())}
         if words & BOILER_WORDS and tag not in ("html", "body") and not (words & ARTICLE_WORDS and tag in ("article", "main")):

@@ -108,6 +108,22 @@ def test_op4_containers():
     assert len(main_text.main_text(plain, tree).split("\n")) == 2
 
 
+@pytest.mark.parametrize("attributes", ['class="overflow-hidden p-4"', 'class="x overflow-x-hidden post"', 'aria-label="a hidden valley"', "data-x='display:none'", 'title="visibility: hidden" lang=en', 'data-hidden="false"', 'style="overflow: hidden"'])
+def test_op4_hidden_is_no_word_of_a_value(attributes):
+    tree = main_text.train(main_text.LABELLED)
+    text = "A paragraph of the article with enough words to be one, and then some more of them."
+    page = f"<body><div {attributes}><article><h1>Head</h1><p>{text}</p></article></div></body>"
+    assert main_text.main_text(page, tree).split("\n") == ["Head", text]
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'class="a" hidden', 'HIDDEN=""', "hidden=hidden class=b", 'hidden="until-found"', 'style="color: red; display : none"', "style='visibility:hidden'", "style=display:none", 'aria-hidden="true"', "aria-hidden=true"])
+def test_op4_hidden_elements(attributes):
+    tree = main_text.train(main_text.LABELLED)
+    text = "A paragraph of the article with enough words to be one, and then some more of them."
+    page = f"<body><div {attributes}><article><p>{text}</p></article></div></body>"
+    assert main_text.main_text(page, tree) == ""
+
+
 def test_op5_brute_force(spark, sf):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = str.maketrans(decontaminate.UPPER, decontaminate.LOWER)

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import random
 from collections import OrderedDict, deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cachesight.operators.trace import lru_candidates, lru_replay
+
 DETERMINISTIC = ["lru", "mru", "fifo", "lfu", "sieve", "arc", "s3fifo"]
 
 
@@ -273,33 +276,35 @@ def run_gates(runs: DataFrame, plan: DataFrame) -> DataFrame:
     return out
 
 
-def _continue(key, b: pd.DataFrame, name: str, horizon: int, seeds: int) -> pd.DataFrame:
-    """Forced replacement of each resident page at each decision, then another policy for the next requests."""
-    trace, capacity = key
-    items = b.sort_values("t")["item"].tolist()
-    cache: OrderedDict[str, int] = OrderedDict()
-    rows = []
-    for t, x in enumerate(items):
-        if x in cache:
-            cache.move_to_end(x)
-            continue
-        if len(cache) >= capacity:
-            for e in cache:
+LOSSES = "trace string, capacity long, t long, page string, y_loss double"
+
+
+def _losses(batches: Iterator[pd.DataFrame], name: str, seeds: int) -> Iterator[pd.DataFrame]:
+    """From a row for each decision with its pages, least recent first, and its requests, its own first: forced replacement of
+    each page, then the policy ``name`` for the later requests."""
+    for b in batches:
+        rows = []
+        for trace, capacity, t, pages, requests in b[["trace", "capacity", "t", "pages", "requests"]].itertuples(index=False):
+            pages, (x, *later) = list(pages), list(requests)
+            for e in pages:
                 losses = []
                 for s in range(seeds if name == "random" else 1):
                     own = policy(name, int(capacity), s)
-                    for r in [*(k for k in cache if k != e), x]:
+                    for r in [*(k for k in pages if k != e), x]:
                         own.request(r)
-                    losses.append(sum(not own.request(r)[0] for r in items[t + 1 : t + 1 + horizon]))
+                    losses.append(sum(not own.request(r)[0] for r in later))
                 rows.append((trace, capacity, t, e, sum(losses) / len(losses)))
-            cache.popitem(last=False)
-        cache[x] = t
-    out = pd.DataFrame(rows, columns=["trace", "capacity", "t", "page", "y_loss"])
-    return out.astype({"trace": object, "page": object})
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in LOSSES.split(", ")])
+        yield out.astype({"trace": object, "page": object, "capacity": "int64", "t": "int64", "y_loss": float})
 
 
 def continuation_losses(traces: DataFrame, capacities: list[int], name: str, horizon: int, seeds: int = 10) -> DataFrame:
     """Losses as of the rollout labels, but with ``name`` (mru, random, lru ...) as the continuation; the random policy uses
-    the same seeds for each page and gives their mean."""
-    each = traces.select("trace", "t", "item", F.explode(F.array(*[F.lit(c).cast("long") for c in capacities])).alias("capacity"))
-    return each.groupBy("trace", "capacity").applyInPandas(lambda key, b: _continue(key, b, name, horizon, seeds), "trace string, capacity long, t long, page string, y_loss double")
+    the same seeds for each page and gives their mean. Each decision is a row with all that its rollouts need."""
+    key = ["trace", "capacity", "t"]
+    found = lru_candidates(lru_replay(traces, capacities))
+    pages = found.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("last", "page"))), lambda p: p["page"]).alias("pages"))
+    steps = pages.select(*key, F.explode(F.sequence(F.lit(0), F.lit(horizon))).alias("step")).withColumn("i", F.col("t") + F.col("step"))
+    seen = steps.join(traces.select("trace", F.col("t").alias("i"), "item"), ["trace", "i"])
+    requests = seen.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "item"))), lambda r: r["item"]).alias("requests"))
+    return pages.join(requests, key).mapInPandas(lambda batches: _losses(batches, name, seeds), LOSSES)

@@ -222,7 +222,7 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     q["concordance"] = lambda s, d: M.concordance(_two_losses(s, d).withColumns({"x": F.col("x") - 2, "y": F.col("y") - 2}), "x", "y", ["capacity"]), f"WITH {_X} SELECT capacity, CASE WHEN x = 2 AND y = 2 THEN 'both_tied' WHEN x = 2 THEN 'offline_tie_only' WHEN y = 2 THEN 'closed_loop_tie_only' WHEN sign(x - 2) = sign(y - 2) THEN 'concordant' ELSE 'discordant' END AS kind, count(*) AS n FROM x GROUP BY ALL"
     q["leave_one_out"] = lambda s, d: M.leave_one_out(_two_losses(s, d), "trace_family", "x", "y"), f"WITH {_X} SELECT f.trace_family AS left_out, count(*) AS n, round(corr(x, y), 9) AS pearson FROM x JOIN (SELECT DISTINCT trace_family FROM x) f ON f.trace_family <> x.trace_family GROUP BY f.trace_family"
     q["permutation_p"] = lambda s, d: M.permutation_p(_cells(s, d), "trace_family", "capacity", "x", "y"), None
-    q["bootstrap"] = lambda s, d: M.bootstrap(_view(s, d).select(*DECISION_KEY, "regret_mean"), "regret_mean", 200), None
+    q["bootstrap"] = lambda s, d: M.bootstrap(_view(s, d).select(*DECISION_KEY, "regret_mean"), "regret_mean"), None
     q["dup_candidates"] = lambda s, d: V.duplicate_candidates(candidates(s, d).withColumn("candidate_page_id", F.substring_index("candidate_page_id", "-", 1))), f"WITH {_C} SELECT {K}, split_part(candidate_page_id, '-', 1) AS candidate_page_id, count(*) AS copies FROM c GROUP BY ALL HAVING count(*) > 1"
     q["inconsistent_metadata"] = lambda s, d: V.inconsistent_metadata(candidates(s, d), ["trace_family", "capacity"], ["split", "horizon"]), f"WITH {_C} SELECT trace_family, capacity, count(DISTINCT split) AS split, count(DISTINCT horizon) AS horizon FROM c GROUP BY ALL HAVING count(DISTINCT split) > 1 OR count(DISTINCT horizon) > 1"
     q["cross_split_ids"] = lambda s, d: V.cross_split_ids(candidates(s, d).withColumn("decision_id", F.expr("cast(decision_t div 8 as string)"))), f"WITH {_C} SELECT (decision_t // 8)::VARCHAR AS decision_id, string_agg(DISTINCT split, '|' ORDER BY split) AS splits FROM c GROUP BY ALL HAVING count(DISTINCT split) > 1"
@@ -255,14 +255,14 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     q["quarters"] = lambda s, d: T.quarters(traces(s, d)), f"WITH {_T}, n AS (SELECT *, count(*) OVER (PARTITION BY trace) AS n FROM t) SELECT trace, least(t // greatest(n // 4, 1), 3)::INT AS quarter, count(*) AS requests, count(DISTINCT item) AS items FROM n GROUP BY ALL"
     q["scored_windows"] = lambda s, d: T.scored_events(_replay(s, d), s.createDataFrame([("click", 100, 149), ("click", 160, 199), ("view", 0, 99), ("purchase", 50, 150)], "trace string, lo long, hi long")), f"WITH {_L} SELECT trace, capacity, count(*) AS requests, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (NOT hit) / count(*), 9) AS miss_ratio, count(*) FILTER (decision) AS evictions FROM rep WHERE (trace = 'click' AND (t BETWEEN 100 AND 149 OR t BETWEEN 160 AND 199)) OR (trace = 'view' AND t BETWEEN 0 AND 99) OR (trace = 'purchase' AND t BETWEEN 50 AND 150) GROUP BY ALL"
     q["policy_lru"] = lambda s, d: _runs(s, d).drop("error"), f"WITH {_L} SELECT trace, capacity, 'lru' AS policy, 0 AS seed, 'complete' AS status, count(*) AS requests, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, count(*) FILTER (decision) AS evictions FROM rep GROUP BY ALL"
-    every = lambda s, d: (t := traces(s, d), p := P.execution_plan(t, CAPACITIES, [*P.DETERMINISTIC, "random"], 3), P.simulate(t, p))[1:]
+    every = lambda s, d: (t := traces(s, d), p := P.execution_plan(t, CAPACITIES, [*P.DETERMINISTIC, "random"], 20), P.simulate(t, p))[1:]
     q["policy_runs"] = lambda s, d: every(s, d)[1], None
     q["policy_summary"] = lambda s, d: P.policy_summary(every(s, d)[1]), None
     q["policy_best"] = lambda s, d: P.best_policy(P.policy_summary(every(s, d)[1])), None
     q["run_gates"] = lambda s, d: P.run_gates(every(s, d)[1], every(s, d)[0]), "SELECT unnest(['all_runs_present', 'no_unplanned_runs', 'no_double_runs', 'all_complete', 'hits_and_misses_sum', 'evictions_within_misses']) AS gate, true AS passed, 0::BIGINT AS faults"
-    q["continuation_lru"] = lambda s, d: P.continuation_losses(traces(s, d).where("t < 200"), CAPACITIES, "lru", 8), None
-    q["continuation_mru"] = lambda s, d: P.continuation_losses(traces(s, d).where("t < 200"), CAPACITIES, "mru", 8), None
-    q["continuation_random"] = lambda s, d: P.continuation_losses(traces(s, d).where("t < 200"), CAPACITIES, "random", 8, 3), None
+    q["continuation_lru"] = lambda s, d: P.continuation_losses(traces(s, d), CAPACITIES, "lru", 8), None
+    q["continuation_mru"] = lambda s, d: P.continuation_losses(traces(s, d), CAPACITIES, "mru", 8), None
+    q["continuation_random"] = lambda s, d: P.continuation_losses(traces(s, d), CAPACITIES, "random", 8), None
     q["top_cells"] = lambda s, d: _rounded(_cells(s, d), "x", "y").orderBy(F.desc("x"), "trace_family", "capacity").limit(5), f"WITH {_CELLS} SELECT trace_family, capacity, round(x, 9) AS x, round(y, 9) AS y FROM cells ORDER BY round(x, 9) DESC, trace_family, capacity LIMIT 5"
     q["size_categories"] = lambda s, d: candidates(s, d).groupBy("trace_family").agg(F.count("*").alias("n")).select("trace_family", S.size_category(F.col("n")).alias("category")), f"WITH {_C} SELECT trace_family, CASE WHEN count(*) < 1000 THEN 'n<1K' WHEN count(*) < 10000 THEN '1K<n<10K' WHEN count(*) < 100000 THEN '10K<n<100K' WHEN count(*) < 1000000 THEN '100K<n<1M' ELSE '1M<n<10M' END AS category FROM c GROUP BY trace_family"
     q["horizon_capacity"] = lambda s, d: _view(s, d).groupBy("capacity", "horizon").agg(F.round(F.avg(F.col("regret_mean") / F.col("horizon")), 9).alias("regret_per_request"), F.round(F.first(F.col("horizon") / F.col("capacity")), 9).alias("ratio")), f"WITH {_D} SELECT capacity, horizon, round(avg(regret_mean / horizon), 9) AS regret_per_request, round(horizon / capacity, 9) AS ratio FROM d GROUP BY ALL"

@@ -86,6 +86,49 @@ def test_replay_and_labels_equal_simulation(spark):
         assert {(r.t, r.page, 8): r.y_loss for r in run} == {k: v for k, v in want.items() if k[2] == 8}
 
 
+@pytest.mark.parametrize("name", ["lru", "mru", "random"])
+def test_continuations_equal_simulation(spark, name):
+    rng = random.Random(11)
+    items, c, h, seeds = [str(rng.randrange(9)) for _ in range(260)], 4, 8, 3
+    df = spark.createDataFrame([("a", t, x) for t, x in enumerate(items)], "trace string, t long, item string")
+    got = {(r.t, r.page): r.y_loss for r in policies.continuation_losses(df, [c], name, h, seeds).collect()}
+    want, cache = {}, []
+    for t, x in enumerate(items):
+        if x in cache:
+            cache.remove(x)
+        elif len(cache) == c:
+            for e in cache:
+                losses = []
+                for s in range(seeds if name == "random" else 1):
+                    own, misses, draw = [k for k in cache if k != e] + [x], 0, random.Random(s)
+                    for y in items[t + 1 : t + 1 + h]:
+                        if y not in own:
+                            misses += 1
+                            if name == "random":
+                                own[draw.randrange(c)] = y
+                            else:
+                                own.pop(0 if name == "lru" else -1)
+                                own.append(y)
+                        elif name != "random":
+                            own.remove(y)
+                            own.append(y)
+                    losses.append(misses)
+                want[t, e] = sum(losses) / len(losses)
+            cache.pop(0)
+        cache.append(x)
+    assert got == want and max(t for t, _ in got) > 200
+
+
+def test_catalog_covers_whole_traces(spark, sf):
+    decisions = catalog.queries()["lru_decisions"](spark, sf).where("decision").select("trace", "capacity", "t")
+    rows = catalog.queries()["continuation_mru"](spark, sf).groupBy("trace", "capacity", "t").count()
+    assert decisions.where("t >= 200").count() and decisions.exceptAll(rows.select("trace", "capacity", "t")).count() == 0
+    assert rows.where("count <> capacity").count() == 0
+    runs = catalog.queries()["policy_runs"](spark, sf).where("policy = 'random'").groupBy("trace", "capacity").count()
+    assert {r["count"] for r in runs.collect()} == {20}
+    assert catalog.queries()["bootstrap"](spark, sf).first().replicates == 2000
+
+
 def requests(name, capacity, text):
     p = policies.policy(name, capacity)
     return "".join("h" if p.request(x)[0] else "m" for x in text)

@@ -155,11 +155,11 @@ class WordHashes:
         return mix(out), begin
 
 
-def chunks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: Iterable[str | bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
     """Lists of UTF-8 texts of about ``CHUNK_BYTES`` with the index of the first; null counts as empty."""
     at, held, size = 0, [], 0
     for t in texts:
-        b = t.encode() if isinstance(t, str) else b""
+        b = t.encode() if isinstance(t, str) else t if isinstance(t, bytes) else b""
         if held and size + len(b) > CHUNK_BYTES:
             yield at, held
             at, held, size = at + len(held), [], 0

@@ -3,18 +3,18 @@
 1. A text is a row of word shingles. For each of HASHES hash functions, the Cartesian tree over the shingles' hashes gives
    compact windows (l, c, r): c holds the smallest hash of every run from [l, c] to [c, r]. Only windows of at least SPAN
    shingles are kept, about 2 n / SPAN for n shingles; a run of SPAN or more always lies in one of them.
-2. Windows of equal smallest hash meet. Each is tied to the first of all and to the first among those of equal context on
-   either side, so a hash that many documents share ties each of them three times at most. Windows of equal hash and
-   context are groups of their own, so a frequent hash is dealt over tasks.
-3. The ties of two documents are intervals in both; where windows of enough hash functions overlap on one alignment, the
-   passage is a candidate.
-4. Candidates are verified on the shingles themselves: runs that both documents hold, joined over small gaps as long as
+2. Windows of equal smallest hash meet. Each is tied to the first of all and to the first among those of equal context (the
+   shingle ASIDE places before or behind the middle), so a hash that many documents share ties each of them three times at
+   most. A hash with a large part of all windows is dealt over tasks: each takes a share of its documents, and windows of
+   equal hash and context meet by context, one from each task's batch.
+3. The ties of two documents are intervals in both; where enough equal hashes overlap on one alignment, the passage is a
+   candidate. Hashes are minima of different functions and the contexts beside them.
+4. Candidates are verified on the words themselves: runs that both documents hold, joined over small gaps as long as
    the sets of shingles are similar enough, of SPAN shingles or more.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,26 +22,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cachesight.llm.common import SHINGLE, WordHashes, chunks, materialize, mix, partitions, table
+from cachesight.llm.common import SHINGLE, WordHashes, chunks, materialize, mix, partitions, runs, table
 
-#: Of 10 functions at least 2 agree on a passage of one run at a similarity of 0.75 but for 3e-5 (0.75) or 4e-6 (0.8) of all.
-HASHES, ENOUGH = 10, 2
+#: Equal hashes that make a candidate: minima of two functions, or one and a context beside it. A passage of one run with one
+#: word changed (similarity 0.8) has fewer with a probability of 1e-3.
+HASHES, ENOUGH = 5, 2
 #: Shingles of the shortest passage: 50 words.
 SPAN = 46
 SIMILARITY = 0.75
 #: Shingles between the contexts that tell windows of one hash apart and the window's middle.
 ASIDE = SPAN // 2
-#: How far alignments of one passage may differ; shingles between runs that may be joined.
-DRIFT, GAP = 16, 12
+#: How far a window is told on either side of its middle. Runs of SPAN that hold the middle end within, so none is lost.
+REACH = 255
+#: How far alignments of one passage may differ; shingles between runs that may be joined, and between intervals that are
+#: verified as one candidate.
+DRIFT, GAP, ASUNDER = 16, 12, 2 * SPAN
 #: How far alignments within one candidate may differ (a match may lie 4 DRIFT off). Longer chains are cut into stretches of
 #: this width that overlap by DRIFT, so ties that may join always share one.
 STRETCH = 3 * DRIFT
 #: Ties of a document with many followers that one task verifies.
 FOLLOWERS = 4096
+#: A hash is dealt over SHARES tasks if it has one of HOT windows or more, by one of SAMPLE documents. There are HOT such
+#: hashes at most. This changes which earlier document a window is tied to, not whether it is tied.
+SAMPLE, HOT, SHARES = 64, 1000, 255
 _SALTS = mix(np.arange(77, 77 + HASHES, dtype=np.uint64))
-#: The key is a window's smallest hash with the number of its function in the last four bits.
-#: A context is the 64-bit hash of a shingle aside, made odd; 0 without one.
-WINDOWS = "key long, doc_id long, middle_left long, right int, left_context long, right_context long"
+#: key: 48 bits of the smallest hash, the function's number in a byte, and a share in a byte (0 unless the hash is dealt out).
+#: contexts: 24 bits of the shingle on either side (0 without one), then the window's reach to the left and to the right.
+WINDOWS = "key long, contexts long, doc_id long, middle int"
 
 
 def _sliding(x: np.ndarray, width: int, step) -> np.ndarray:
@@ -95,28 +102,42 @@ def compact_windows(h: np.ndarray, begin: np.ndarray, span: int = SPAN) -> tuple
     return left[wide], middle[wide], right[wide]
 
 
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        ids = b["doc_id"].to_numpy(np.int64)
-        for at, part in chunks(b["text"]):
-            s, begin = WordHashes(part).shingles()
-            for number, salt in enumerate(_SALTS):
-                h = mix(s ^ salt)
-                left, middle, right = compact_windows(h, begin)
-                text = np.searchsorted(begin, middle, "right") - 1
-                first, end = begin[text], begin[text + 1]
-                context = []
-                for aside in (-ASIDE, ASIDE):
-                    there = middle + aside
-                    inside = (there >= first) & (there < end)
-                    context.append(np.where(inside, (s[np.where(inside, there, 0)] | np.uint64(1)).view(np.int64), 0))
-                yield pd.DataFrame({"key": h[middle].view(np.int64) & -16 | number, "doc_id": ids[at + text], "middle_left": (middle - first) << 32 | (left - first), "right": (right - first).astype(np.int32), "left_context": context[0], "right_context": context[1]})
-
-
-TIES = "doc_id long, other long, function int, own_middle_left long, own_right int, other_middle_left long, other_right int"
-
-
-SIDES = "side_group long, side int, doc_id long, function int, middle_left long, right int, first_doc long, first_middle_left long, first_right int"
+def _windows(hot: np.ndarray):
+    """Of documents their windows; ``hot`` are the sorted keys that are dealt out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids = b["doc_id"].to_numpy(np.int64)
+            for at, part in chunks(b["text"]):
+                s, begin = WordHashes(part).shingles()
+                for number, salt in enumerate(_SALTS):
+                    h = mix(s ^ salt)
+                    left, middle, right = compact_windows(h, begin)
+                    text = np.searchsorted(begin, middle, "right") - 1
+                    first, end = begin[text], begin[text + 1]
+                    doc = ids[at + text]
+                    packed = np.minimum(middle - left, REACH).astype(np.uint64) << np.uint64(8) | np.minimum(right - middle, REACH).astype(np.uint64)
+                    for aside, shift in ((-ASIDE, 40), (ASIDE, 16)):
+                        there = middle + aside
+                        inside = (there >= first) & (there < end)
+                        context = np.maximum(s[np.where(inside, there, 0)] >> np.uint64(40), np.uint64(1))
+                        packed |= np.where(inside, context, np.uint64(0)) << np.uint64(shift)
+                    key = (h[middle] & np.uint64(0xFFFFFFFFFFFF0000) | np.uint64(number << 8)).view(np.int64)
+                    if len(hot):
+                        share = mix(doc.view(np.uint64)) % np.uint64(SHARES) + np.uint64(1)
+                        key = np.where(np.isin(key, hot), key | share.view(np.int64), key)
+                    yield pd.DataFrame({"key": key, "contexts": packed.view(np.int64), "doc_id": doc, "middle": (middle - first).astype(np.int32)})
+
+    return run
+
+
+def hot_keys(long: DataFrame) -> np.ndarray:
+    """Keys with one of HOT windows or more in a sample of the documents; sorted. They are HOT at most."""
+    sample = long.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInPandas(_windows(np.empty(0, np.int64)), WINDOWS)
+    counted = sample.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    counted = materialize(counted, "hot")
+    enough = (counted.agg(F.sum("n")).first()[0] or 0) / HOT
+    return np.array(sorted(r.key for r in counted.where((F.col("n") >= enough) & (F.col("n") >= 16)).collect()), np.int64)
 
 
 class Firsts:
@@ -136,149 +157,210 @@ class Firsts:
         return goes_on, own
 
 
+#: ``low`` to ``high`` are the shingles of the own document that lie in both windows on their alignment; ``hashes`` has a bit for
+#: the function and one for a context that is equal, too.
+TIES = "doc_id long, other long, shift int, low int, high int, hashes int"
+CONTEXT = 1 << 15
+
+
+def _tie(doc, middle, contexts, other, other_middle, other_contexts, function) -> pd.DataFrame:
+    """Ties of windows to windows of other documents, where enough of the two windows is in common."""
+    left = np.minimum(contexts >> 8 & 255, other_contexts >> 8 & 255)
+    right = np.minimum(contexts & 255, other_contexts & 255)
+    same = np.zeros(len(doc), bool)
+    for shift in (40, 16):
+        own = contexts >> shift & 0xFFFFFF
+        same |= (own != 0) & (own == (other_contexts >> shift & 0xFFFFFF))
+    keep = (doc != other) & (left + right + 1 >= SPAN - DRIFT)
+    middle = middle.astype(np.int64)
+    made = {"doc_id": doc, "other": other, "shift": (other_middle - middle).astype(np.int32), "low": (middle - left).astype(np.int32), "high": (middle + right).astype(np.int32), "hashes": (1 << function | np.where(same, CONTEXT, 0)).astype(np.int32)}
+    return pd.DataFrame({k: v[keep] for k, v in made.items()})
+
+
+def _key_ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From windows sorted by (key, doc_id, middle): ties to the first of the key, and of keys that are dealt out also those to
+    the first of equal context in the batch."""
+    firsts = Firsts()
+    for b in batches:
+        if not len(b):
+            continue
+        key, doc, middle, contexts = (b[c].to_numpy() for c in ("key", "doc_id", "middle", "contexts"))
+        goes_on, (other, other_middle, other_contexts) = firsts(key, doc, middle, contexts)
+        function = key >> 8 & 255
+        rows = np.flatnonzero(goes_on)
+        yield _tie(doc[rows], middle[rows], contexts[rows], other[rows], other_middle[rows], other_contexts[rows], function[rows])
+        for side in (0, 1):
+            rows, _, first = _side_rows(side, key, contexts, key & 255 != 0)
+            rows, first = rows[rows != first], first[rows != first]
+            if len(rows):
+                yield _tie(doc[rows], middle[rows], contexts[rows], doc[first], middle[first], contexts[first], function[rows])
+
+
+def _side_rows(side: int, key, contexts, wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The wanted rows of a batch with a context on this side, the hash of their key, side and context, and the first row of it."""
+    own = contexts >> (40, 16)[side] & 0xFFFFFF
+    rows = np.flatnonzero(wanted & (own != 0))
+    group = mix((key[rows] & -256 | side).view(np.uint64) ^ mix(own[rows].view(np.uint64))).view(np.int64)
+    _, at, number = np.unique(group, return_index=True, return_inverse=True)
+    return rows, group, rows[at[number]]
+
+
+SIDES = "side_group long, function int, doc_id long, middle int, contexts long"
+
+
 def _sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From windows sorted by (key, doc_id, middle_left): those whose key another window has, too, with the first of the key,
-    a row for each side. The left side's row stands for the window where there is no context."""
+    """From the same windows in the same batches: those with a context that the first of their key does not have, under the
+    hash of key, side and context. Of a key that is dealt out, whose first differs from task to task, one window of each context
+    leaves a batch; the others are tied to it by ``_key_ties``."""
     firsts = Firsts()
     for b in batches:
         if not len(b):
             continue
-        key, doc, ml, right = (b[c].to_numpy() for c in ("key", "doc_id", "middle_left", "right"))
-        goes_on, (first_doc, first_ml, first_right) = firsts(key, doc, ml, right)
-        shared = goes_on.copy()
-        shared[:-1] |= goes_on[1:]
-        shared[-1] = True  # it may go on in the next batch
-        for side, name in enumerate(("left_context", "right_context")):
-            context = b[name].to_numpy()
-            rows = np.flatnonzero(shared & (context != 0)) if side else np.flatnonzero(shared)
-            there = context[rows] != 0
-            aside = np.where(there, context[rows], mix((doc[rows] ^ ml[rows] << 1).view(np.uint64)).view(np.int64) & -2).view(np.uint64)
-            group = mix(mix(aside + np.uint64(side)) ^ key[rows].view(np.uint64)).view(np.int64)
-            yield pd.DataFrame({"side_group": group, "side": np.full(len(rows), side, np.int32), "doc_id": doc[rows], "function": (key[rows] & 15).astype(np.int32), "middle_left": ml[rows], "right": right[rows], "first_doc": first_doc[rows], "first_middle_left": first_ml[rows], "first_right": first_right[rows].astype(np.int32)})
-
-
-TIES = "doc_id long, other long, function int, own_middle_left long, own_right int, other_middle_left long, other_right int"
-
-
-def _ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From rows of sides sorted by (side_group, doc_id, middle_left): ties to the first of the group, if it is not the first
-    of the key, and by the left side's row to the first of the key."""
+        key, doc, middle, contexts = (b[c].to_numpy() for c in ("key", "doc_id", "middle", "contexts"))
+        goes_on, (first_contexts,) = firsts(key, contexts)
+        dealt = key & 255 != 0
+        for side, shift in enumerate((40, 16)):
+            rows, group, first = _side_rows(side, key, contexts, dealt | goes_on & ((contexts ^ first_contexts) >> shift & 0xFFFFFF != 0))
+            keep = ~dealt[rows] | (rows == first)
+            rows = rows[keep]
+            yield pd.DataFrame({"side_group": group[keep], "function": (key[rows] >> 8 & 255).astype(np.int32), "doc_id": doc[rows], "middle": middle[rows], "contexts": contexts[rows]})
+
+
+def _side_ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From rows of sides sorted by (side_group, doc_id, middle): ties to the first of the group."""
     firsts = Firsts()
     for b in batches:
         if not len(b):
             continue
-        group, side, doc, function, ml, right, first_doc, first_ml, first_right = (b[c.split()[0]].to_numpy() for c in SIDES.split(", "))
-        _, (other, other_ml, other_right) = firsts(group, doc, ml, right)
-        of_group = (other != doc) & ((other != first_doc) | (other_ml != first_ml))
-        of_key = (side == 0) & (first_doc != doc)
-        for tied, o, oml, r in ((of_group, other, other_ml, other_right), (of_key, first_doc, first_ml, first_right)):
-            if tied.any():
-                yield pd.DataFrame({"doc_id": doc[tied], "other": o[tied], "function": function[tied], "own_middle_left": ml[tied], "own_right": right[tied], "other_middle_left": oml[tied], "other_right": r[tied].astype(np.int32)})
+        group, doc, middle, contexts, function = (b[c].to_numpy() for c in ("side_group", "doc_id", "middle", "contexts", "function"))
+        goes_on, (other, other_middle, other_contexts) = firsts(group, doc, middle, contexts)
+        rows = np.flatnonzero(goes_on)
+        yield _tie(doc[rows], middle[rows], contexts[rows], other[rows], other_middle[rows], other_contexts[rows], function[rows].astype(np.int64))
 
 
-def candidates(ties: list[tuple[int, int, int, int, int, int, int]]) -> list[tuple[int, int, int]]:
-    """(low, high, shift) in the own document of what the ties to one other document make likely: an interval join.
+#: A stretch of a document, and within it the alignments of parts of it with the other document.
+CANDIDATES = "doc_id long, other long, low int, high int, shifts array<int>, lows array<int>, highs array<int>"
 
-    A tie is (function, middle, left, right, other middle, other left, other right). Ties of about one alignment whose
-    windows overlap by SPAN in both documents join; a candidate needs ENOUGH different hash functions. A chain of alignments
-    that drifts (many small insertions) gives a candidate for each stretch of it, so its passages may overlap.
-    """
-    out = []
-    ties = sorted(ties, key=lambda t: (t[4] - t[1], t[1]))
-    begin = 0
-    for k in range(1, len(ties) + 1):
-        if k < len(ties) and (ties[k][4] - ties[k][1]) - (ties[k - 1][4] - ties[k - 1][1]) <= DRIFT:
-            continue
-        chain, begin = ties[begin:k], k
-        out += _joined(chain)
-    return out
 
+def candidates(doc, other, shift, low, high, hashes) -> tuple[np.ndarray, ...]:
+    """(doc_id, other, shift, low, high) from the columns of ties: an interval join.
 
-def _joined(chain: list[tuple[int, int, int, int, int, int, int]]) -> list[tuple[int, int, int]]:
-    """The candidates of ties sorted by alignment."""
-    out = []
-    shifts = [t[4] - t[1] for t in chain]
-    starts = [shifts[0]]
-    while starts[-1] + STRETCH < shifts[-1]:
-        starts.append(starts[-1] + STRETCH - DRIFT)
-    for start in starts:
-        band = sorted(chain[bisect_left(shifts, start) : bisect_right(shifts, start + STRETCH)], key=lambda t: t[2])
-        low = high = 0
-        functions: set[int] = set()
-        shift = 0
-        for t in [*band, None]:
-            # an interval that begins SPAN before the end of what is joined overlaps it by SPAN
-            if t is None or functions and t[2] + SPAN - 1 > high:
-                if len(functions) >= ENOUGH:
-                    out.append((low, high, shift))
-                functions = set()
-                if t is None:
-                    break
-            if not functions:
-                low, high, shift = t[2], t[3], t[4] - t[1]
-            functions.add(t[0])
-            high = max(high, t[3])
-    return out
-
-
-MESSAGES = "other long, part int, kind int, doc_id long, shift long, low long, shingles binary"
+    Ties of two documents on about one alignment whose intervals are ASUNDER apart at most join; a candidate needs ENOUGH equal
+    hashes. A chain of alignments that drifts (many small insertions) gives a candidate for each stretch of it, so its
+    passages may overlap.
+    """
+    order = np.lexsort((low, shift, other, doc))
+    doc, other, shift, low, high, hashes = (x[order].astype(np.int64) for x in (doc, other, shift, low, high, hashes))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (other[1:] != other[:-1]) | (shift[1:] - shift[:-1] > DRIFT)
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(doc))
+    drifts = shift[end - 1] - shift[begin] > STRETCH
+    chain = np.cumsum(new) - 1
+    plain = np.flatnonzero(~drifts[chain])
+    pieces = [_joined(chain[plain], shift[plain], low[plain], high[plain], hashes[plain], plain)]
+    for a, b in zip(begin[drifts].tolist(), end[drifts].tolist(), strict=True):
+        start, last = int(shift[a]), int(shift[b - 1])
+        while True:
+            own = np.arange(a + np.searchsorted(shift[a:b], start), a + np.searchsorted(shift[a:b], start + STRETCH, "right"))
+            pieces.append(_joined(np.zeros(len(own), np.int64), shift[own], low[own], high[own], hashes[own], own))
+            if start + STRETCH >= last:
+                break
+            start += STRETCH - DRIFT
+    row, first, last = (np.concatenate(x) for x in zip(*pieces))
+    return doc[row], other[row], shift[row].astype(np.int32), first.astype(np.int32), last.astype(np.int32)
+
+
+def _apart(chain, low, high) -> np.ndarray:
+    """Whether each interval, sorted by chain and low, is more than ASUNDER behind all before it in its chain, or the first."""
+    chain, far = chain.astype(np.int64), np.int64(1) << 33
+    reach = np.maximum.accumulate(chain * far + high) - chain * far
+    new = np.ones(len(chain), bool)
+    new[1:] = (chain[1:] != chain[:-1]) | (low[1:] > reach[:-1] + ASUNDER)
+    return new
+
+
+def _joined(chain, shift, low, high, hashes, row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the leftmost tie, low, high) of each candidate; ties of a chain are within one stretch of alignments."""
+    none = np.empty(0, np.int64)
+    if not len(chain):
+        return none, none, none
+    order = np.lexsort((low, chain))
+    chain, low, high, hashes, row = chain[order], low[order], high[order], hashes[order], row[order]
+    at = np.flatnonzero(_apart(chain, low, high))
+    enough = np.bitwise_count(np.bitwise_or.reduceat(hashes, at)) >= ENOUGH
+    return row[at][enough], low[at][enough], np.maximum.reduceat(high, at)[enough]
+
+
+def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From ties sorted by doc_id. A document's ties are held together: three at most for each of its windows."""
+    for b in runs(batches, "doc_id"):
+        doc, other, shift, low, high = candidates(*(b[c.split()[0]].to_numpy() for c in TIES.split(", ")))
+        if not len(doc):
+            continue
+        order = np.lexsort((low, other, doc))
+        doc, other, shift, low, high = (x[order] for x in (doc, other, shift, low, high))
+        pair = np.cumsum(np.append(True, (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])))
+        at = np.flatnonzero(_apart(pair, low, high))
+        lists = [pd.Series(np.split(x, at[1:]), dtype=object) for x in (shift, low, high)]
+        yield pd.DataFrame({"doc_id": doc[at], "other": other[at], "low": low[at], "high": np.maximum.reduceat(high, at), "shifts": lists[0], "lows": lists[1], "highs": lists[2]})
 
 
-FIELDS = ("other", "function", "own_middle_left", "own_right", "other_middle_left", "other_right")
+MESSAGES = "other long, part int, kind int, doc_id long, content long, low long, words binary, shifts array<int>, lows array<int>, highs array<int>"
 
 
 def _messages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From documents with their ties: as a follower the shingles of its candidates, as a first document all its shingles."""
+    """From documents with their candidates: as a follower the words of each, as an earlier document those that any asks for."""
+    names = [c.split()[0] for c in MESSAGES.split(", ")]
     for b in batches:
-        ids, parts = b["doc_id"].tolist(), b["own_parts"].tolist()
-        ties = [b[f"t_{f}"].tolist() for f in FIELDS]
+        ids, contents = b["doc_id"].tolist(), b["content"].tolist()
+        asked = list(zip(b["own_parts"].tolist(), b["from_shingle"].tolist(), b["to_shingle"].tolist(), strict=True))
+        own = list(zip(*(b[c].tolist() for c in ("others", "from_low", "to_high", "shifts", "lows", "highs", "shares")), strict=True))
         for at, part in chunks(b["text"]):
             h = WordHashes(part)
-            shingles, begin = h.shingles()
-            x = (shingles >> np.uint64(32)).astype("<u4")
             rows = []
             for d in range(len(part)):
-                own, doc = x[begin[d] : begin[d + 1]], ids[at + d]
-                if parts[at + d] > 0:
-                    data = own.tobytes()
-                    rows += [(doc, p, 0, doc, 0, 0, data) for p in range(parts[at + d])]
-                if ties[0][at + d] is None:
+                doc, content, base, n = ids[at + d], contents[at + d], int(h.offset[d]), int(h.first[d + 1] - h.first[d])
+                start, end = h.start[h.first[d] : h.first[d + 1]] - base, h.end[h.first[d] : h.first[d + 1]] - base
+                parts, low, high = asked[at + d]
+                low, high = max(low, 0), min(high + SHINGLE, n)
+                if parts and low < high:
+                    words = part[d][start[low] : end[high - 1]]
+                    rows += [(doc, p, 0, doc, content, low, words, [], [], []) for p in range(parts)]
+                if own[at + d][0] is None:
                     continue
-                share = dict(zip(b["shared"].iloc[at + d], b["shares"].iloc[at + d], strict=True))
-                other, function, oml, r, iml, ir = (np.asarray(f[at + d], np.int64) for f in ties)
-                order = np.argsort(other, kind="stable")
-                cuts = [0, *(np.flatnonzero(np.diff(other[order])) + 1).tolist(), len(order)]
                 place = int(mix(np.array([doc], np.int64).view(np.uint64))[0] >> np.uint64(8))
-                low = 0xFFFFFFFF
-                columns = np.column_stack([function, oml >> 32, oml & low, r, iml >> 32, iml & low, ir])[order]
-                for k, end in zip(cuts, cuts[1:]):
-                    for first, last, shift in candidates(columns[k:end].tolist()):
-                        rows.append((int(other[order[k]]), place % int(share[other[order[k]]]), 1, doc, shift, first, own[first : last + 1].tobytes()))
+                for other, low, high, shifts, lows, highs, share in zip(*(x.tolist() for x in own[at + d]), strict=True):
+                    high = min(high + SHINGLE, n)
+                    if low < high:  # else a window of another text with this id
+                        rows.append((other, place % share, 1, doc, content, low, part[d][start[low] : end[high - 1]], shifts, lows, highs))
             if rows:
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in MESSAGES.split(", ")])
+                yield pd.DataFrame(rows, columns=names)
 
 
 PASSAGES = "doc_id long, first_word long, last_word long, other_id long, other_first_word long, other_last_word long, similarity double"
 
 
 class Places:
-    """Where a document has each of its shingles: sorted pairs of shingle and place in one integer."""
+    """Where a document has each of its shingles from ``low`` on: numbers of the distinct shingles with their places."""
 
-    def __init__(self, shingles: np.ndarray):
-        self.shingles = shingles
-        self.sorted = np.sort(shingles.astype(np.uint64) << np.uint64(32) | np.arange(len(shingles), dtype=np.uint64))
+    def __init__(self, shingles: np.ndarray, low: int = 0):
+        self.shingles, self.low = shingles, low
+        self.values, number = np.unique(shingles, return_inverse=True)
+        self.sorted = np.sort(number.astype(np.int64) << 32 | np.arange(len(shingles)))
 
     def nearest(self, own: np.ndarray, want: np.ndarray) -> np.ndarray:
         """For each shingle the place of an equal one that is nearest to the wanted place, -1 without one."""
-        value = own.astype(np.uint64) << np.uint64(32)
-        up = np.searchsorted(self.sorted, value | np.maximum(want, 0).astype(np.uint64))
+        number = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
+        known = self.values[number] == own
+        up = np.searchsorted(self.sorted, number << 32 | np.clip(want, 0, len(self.shingles)))
         best, away = np.full(len(own), -1), np.full(len(own), np.iinfo(np.int64).max)
         for at in (up - 1, up):
             inside = (at >= 0) & (at < len(self.sorted))
             found = self.sorted[np.where(inside, at, 0)]
-            place = (found & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            place = found & 0xFFFFFFFF
             distance = np.abs(place - want)
-            better = inside & (found >> np.uint64(32) == own) & (distance < away)
+            better = known & inside & (found >> 32 == number) & (distance < away)
             best[better], away[better] = place[better], distance[better]
         return best
 
@@ -298,7 +380,7 @@ def verify(own: np.ndarray, low: int, other: Places, shift: int) -> list[tuple[i
     """
     if not len(other.shingles) or not len(own):
         return []
-    want = np.arange(len(own)) + low + shift
+    want = np.arange(len(own)) + low + shift - other.low
     match = other.nearest(own, want)
     hit = np.flatnonzero((match >= 0) & (np.abs(match - want) <= 4 * DRIFT))
     if not len(hit):
@@ -317,61 +399,105 @@ def verify(own: np.ndarray, low: int, other: Places, shift: int) -> list[tuple[i
         if held and held[1] - held[0] + 1 >= SPAN:
             s = 1.0 if exact else similarity(own[held[0] : held[1] + 1], other.shingles[held[2] : held[3] + 1])
             if s >= SIMILARITY:
-                out.append((held[0] + low, held[1] + low, held[2], held[3], s))
+                out.append((held[0] + low, held[1] + low, held[2] + other.low, held[3] + other.low, s))
         held, matched, exact = (a, b, x, y), n, True
     return out
 
 
+def cover(rows: list[tuple]) -> list[tuple]:
+    """Of intervals (first, last, ...) those that cover all places which any covers, each time the one that reaches furthest."""
+    out, best, reach = [], None, -1
+    for row in sorted(rows, key=lambda r: (r[0], -r[1], r[2:])):
+        if best and row[0] > reach + 1:  # the best is needed for the place behind ``reach``
+            out.append(best)
+            best, reach = None, best[1]
+        if row[1] > max(reach, best[1] if best else -1):
+            best = row
+    return [*out, best] if best else out
+
+
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From messages sorted by (other, part, kind): a first document's shingles come before its followers'."""
-    held, other = None, Places(np.empty(0, np.uint32))
+    """From messages sorted by (other, part, kind): an earlier document's words come before its followers'. Texts that share an
+    id are held together."""
+    held, others = None, []
+    names = ["content", *(c.split()[0] for c in PASSAGES.split(", "))]
     for b in batches:
         out = []
-        for o, p, kind, doc, shift, low, data in b.itertuples(index=False):
-            if kind == 0:
-                held, other = (o, p), Places(np.frombuffer(data, "<u4"))
-            elif held == (o, p):
-                for x, y, u, v, s in verify(np.frombuffer(data, "<u4"), low, other, shift):
-                    out.append((doc, x, y + SHINGLE - 1, o, u, v + SHINGLE - 1, s))
+        fields = [b[c].tolist() for c in ("other", "part", "kind", "doc_id", "content", "low", "shifts", "lows", "highs")]
+        for at, texts in chunks(b["words"]):
+            shingles, begin = WordHashes(texts).shingles()
+            for d in range(len(texts)):
+                o, p, kind, doc, content, low, shifts, lows, highs = (f[at + d] for f in fields)
+                own = shingles[begin[d] : begin[d + 1]]
+                if held != (o, p):
+                    held, others = (o, p), []
+                if kind == 0:
+                    others.append(Places(own.copy(), low))
+                    continue
+                found = [x for a, z, shift in zip(lows.tolist(), highs.tolist(), shifts.tolist(), strict=True) for other in others for x in verify(own[a - low : z - low + 1], a, other, shift)]
+                out += [(content, doc, x, y + SHINGLE - 1, o, u, v + SHINGLE - 1, s) for x, y, u, v, s in cover(found)]
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PASSAGES.split(", ")])
+            yield pd.DataFrame(out, columns=names)
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Passages of 50 words or more of ``docs`` (doc_id, text) that an earlier document (a smaller id) has, too.
+def _cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From passages sorted by doc_id: of those of each text a cover. A document's passages are held together."""
+    names = [c.split()[0] for c in PASSAGES.split(", ")]
+    for b in runs(batches, "doc_id"):
+        texts: dict[tuple, list[tuple]] = {}
+        for content, doc, *row in b[["content", *names]].itertuples(index=False, name=None):
+            texts.setdefault((content, doc), []).append(tuple(row))
+        yield pd.DataFrame([(*text, *row) for text, rows in texts.items() for row in cover(rows)], columns=["content", *names])
 
-    Columns: doc_id, first_word, last_word (numbers from 0 of the words that ASCII white space parts), the same of the
-    other document, and the similarity of the two sets of shingles. A passage in many documents gives each a row against
-    its first holder, so there are no pairs within groups. Rows with a null id and texts below 50 words, empty or null have
-    no passages; equal rows of one id are one document.
-    """
+
+def _passages(docs: DataFrame) -> DataFrame:
+    """PASSAGES, and ``content``: the hash of the text that has the passage, for rows that share an id."""
     spark = docs.sparkSession
     n = partitions(spark)
     long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    windows = long.mapInPandas(_windows, WINDOWS)
-    sides = windows.repartition(n, "key").sortWithinPartitions("key", "doc_id", "middle_left").mapInPandas(_sides, SIDES)
-    tied = sides.repartition(n, "side_group").sortWithinPartitions("side_group", "doc_id", "middle_left").mapInPandas(_ties, TIES)
-    tied = materialize(tied, "ties")
-    first = materialize(tied.groupBy("other").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("parts")), "firsts")
-    own = F.collect_list(F.struct(*FIELDS)).alias("ties")  # as many as a document's windows allow
-    # pairs of documents, not ties, look up how many tasks share the first document
-    pairs = tied.select("doc_id", "other").distinct()
-    shares = pairs.hint("merge").join(first, "other").groupBy("doc_id").agg(F.collect_list("other").alias("shared"), F.collect_list("parts").alias("shares"))
-    asked = tied.groupBy("doc_id").agg(own).hint("merge").join(shares, "doc_id")
-    asked = asked.join(first.select(F.col("other").alias("doc_id"), F.col("parts").alias("own_parts")), "doc_id", "full_outer")
-    asked = asked.select("doc_id", F.coalesce("own_parts", F.lit(0)).alias("own_parts"), "shared", "shares", *[F.col(f"ties.{f}").alias(f"t_{f}") for f in FIELDS])
-    messages = asked.hint("merge").join(long, "doc_id").mapInPandas(_messages, MESSAGES)
+    windows = long.mapInPandas(_windows(hot_keys(long)), WINDOWS).repartition(n, "key").sortWithinPartitions("key", "doc_id", "middle")
+    sides = windows.mapInPandas(_sides, SIDES).repartition(n, "side_group").sortWithinPartitions("side_group", "doc_id", "middle")
+    ties = windows.mapInPandas(_key_ties, TIES).unionByName(sides.mapInPandas(_side_ties, TIES))
+    found = ties.repartition(n, "doc_id").sortWithinPartitions("doc_id").mapInPandas(_candidates, CANDIDATES)
+    found = materialize(found, "candidates")
+    pad = 4 * DRIFT
+    first = found.groupBy("other").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("parts"), (F.min(F.col("low") + F.array_min("shifts")) - pad).alias("from_shingle"), (F.max(F.col("high") + F.array_max("shifts")) + pad).alias("to_shingle"))
+    first = materialize(first, "firsts")
+    shared = found.hint("merge").join(first.select("other", "parts"), "other")
+    own = shared.groupBy("doc_id").agg(F.collect_list(F.struct("other", "low", "high", "shifts", "lows", "highs", "parts")).alias("c"))  # as many as a document's windows allow
+    served = first.select(F.col("other").alias("doc_id"), F.col("parts").alias("own_parts"), "from_shingle", "to_shingle")
+    asked = own.hint("merge").join(served, "doc_id", "full_outer")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    asked = asked.select("doc_id", zero("own_parts"), zero("from_shingle"), zero("to_shingle"), *[F.col(f"c.{x}").alias(y) for x, y in (("other", "others"), ("low", "from_low"), ("high", "to_high"), ("shifts", "shifts"), ("lows", "lows"), ("highs", "highs"), ("parts", "shares"))])
+    messages = asked.hint("merge").join(long.withColumn("content", F.xxhash64("text")), "doc_id").mapInPandas(_messages, MESSAGES)
     dealt = messages.repartition(n, "other", "part").sortWithinPartitions("other", "part", "kind", "doc_id")
-    return dealt.mapInPandas(_verified, PASSAGES).distinct()
+    verified = dealt.mapInPandas(_verified, f"content long, {PASSAGES}").repartition(n, "doc_id")
+    return verified.sortWithinPartitions("doc_id").mapInPandas(_cover, f"content long, {PASSAGES}")
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """Passages of 50 words or more of ``docs`` (doc_id, text) that an earlier document (a smaller id) has, too.
+
+    Columns: doc_id, first_word, last_word (numbers from 0 of the words that ASCII white space parts), the same of the
+    other document, and the similarity of the two sets of shingles (of 64-bit hashes). Of overlapping passages only those are
+    returned that are needed to cover all words which any earlier document has, so there are no pairs within groups. Rows with a null id and texts below
+    50 words, empty or null have no passages. Equal rows of one id are one document; of different texts that share an id
+    each has its own passages, but none against the other. A text is held in one task with about 100 bytes for each of its
+    own.
+    """
+    return _passages(docs).drop("content")
 
 
 SPANS = "cachesight_spans"
 
 
 def cut_passages(docs: DataFrame) -> DataFrame:
-    """``docs`` without the passages that an earlier document has; n_chars follows. A document of which no word is left goes."""
-    spans = repeated_passages(docs).groupBy(F.col("doc_id").alias("cachesight_id")).agg(F.collect_set(F.struct("first_word", "last_word")).alias(SPANS))
-    joined = docs.hint("merge").join(spans, docs["doc_id"] == spans["cachesight_id"], "left")
+    """``docs`` without the passages that an earlier document has; n_chars follows. A document of which no word is left goes.
+    Rows that share an id are cut each by the passages of its own text."""
+    found = _passages(docs).groupBy(F.col("doc_id").alias("cachesight_id"), F.col("content").alias("cachesight_content"))
+    spans = found.agg(F.collect_set(F.struct("first_word", "last_word")).alias(SPANS))
+    same = (docs["doc_id"] == spans["cachesight_id"]) & (F.xxhash64(docs["text"]) == spans["cachesight_content"])
+    joined = docs.hint("merge").join(spans, same, "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, own: pd.Series) -> pd.Series:

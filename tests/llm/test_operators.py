@@ -328,7 +328,7 @@ def test_op3_near_copies_of_one_run(spark):
         passage = words(length)
         near = passage[: length // 2] + words(changed) + passage[length // 2 + changed :]
         docs[k], docs[1000 + k] = words(30) + passage + words(40), words(60) + near + words(20)
-        x, y = ((WordHashes([" ".join(docs[i]).encode()]).shingles()[0] >> np.uint64(32)).astype("<u4") for i in (1000 + k, k))
+        x, y = (WordHashes([" ".join(docs[i]).encode()]).shingles()[0] for i in (1000 + k, k))
         want[1000 + k, k] = compact_windows.verify(x, 0, compact_windows.Places(y), -30)
     assert all(len(v) == 1 and 0.75 <= v[0][4] < 0.91 for v in want.values())
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
@@ -337,21 +337,57 @@ def test_op3_near_copies_of_one_run(spark):
 
 
 def test_op3_hot_key_keeps_first_holders():
-    """Windows of one frequent hash in 60,000 surroundings: a later one is tied to the first holder of its own surroundings."""
+    """Windows of one frequent hash in 60,000 surroundings: a later one is tied to the first holder of its own surroundings,
+    whether the hash is dealt over tasks or not."""
     rng = np.random.default_rng(4)
     n = 60_000
-    contexts = rng.integers(1, 1 << 62, n) | 1
-    doc = np.concatenate([np.arange(n), n + np.arange(100)])
-    context = np.concatenate([contexts, contexts[-100:]])
-    same = np.zeros(len(doc), np.int64)
-    windows = pd.DataFrame({"key": same, "doc_id": doc, "middle_left": same + (30 << 32), "right": (same + 90).astype(np.int32), "left_context": context, "right_context": context ^ 2})
+    left, right = (np.append(x, x[-100:]) for x in (rng.permutation(1 << 24)[:n], rng.permutation(1 << 24)[:n]))
+    doc = np.arange(n + 100)
+    contexts = left << 40 | right << 16 | 60 << 8 | 60
     cut = lambda df, step: (df.iloc[k : k + step] for k in range(0, len(df), step))
-    sides = pd.concat(compact_windows._sides(cut(windows, 7001))).sort_values(["side_group", "doc_id", "middle_left"])
-    assert sides["side_group"].nunique() == 2 * n  # a frequent hash is dealt over tasks
-    ties = pd.concat(compact_windows._ties(cut(sides, 7001)))
-    pairs = set(zip(ties["doc_id"], ties["other"], strict=True))
-    assert {(n + k, n - 100 + k) for k in range(100)} <= pairs and {(k, 0) for k in range(1, n + 100)} <= pairs
-    assert len(ties) == n + 99 + 200
+    for dealt in (False, True):
+        key = np.where(dealt, (1 << 16) + 1 + doc % compact_windows.SHARES, 1 << 16)
+        windows = pd.DataFrame({"key": key, "contexts": contexts, "doc_id": doc, "middle": np.full(len(doc), 70, np.int32)}).sort_values(["key", "doc_id"])
+        own = pd.concat(compact_windows._key_ties(cut(windows, 7001)))
+        sides = pd.concat(compact_windows._sides(cut(windows, 7001))).sort_values(["side_group", "doc_id", "middle"])
+        assert sides["side_group"].nunique() > 1.99 * n and len(sides) <= 2 * len(doc)
+        ties = pd.concat([own, *compact_windows._side_ties(cut(sides, 7001))])
+        pairs = set(zip(ties["doc_id"], ties["other"], strict=True))
+        assert {(n + k, n - 100 + k) for k in range(100)} <= pairs and len({x for x, _ in pairs}) >= n + 99 - (compact_windows.SHARES if dealt else 0)
+        assert len(ties) <= 3 * len(doc)
+
+
+def test_op3_rows_that_share_an_id(spark):
+    """Each text is cut by its own passages, though the ids are equal and one text is short."""
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"v{k}" for k in rng.integers(0, 3000, n)]
+    passage, long, short = words(60), words(200), words(20)
+    rows = [(1, words(30) + passage), (2, long[:150] + passage + long[150:]), (2, short), (2, passage + short), (2, long[:150] + passage + long[150:])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    cut = sorted((r.doc_id, r.text) for r in compact_windows.cut_passages(df).collect())
+    assert cut == sorted((i, " ".join(w)) for i, w in [rows[0], (2, long), (2, short), (2, short), (2, long)])
+
+
+def test_op3_clean_and_covered(spark):
+    """Every word of a result lies in a passage that brute force confirms, and no row is needed only twice."""
+    rng = np.random.default_rng(21)
+    words = lambda n: [f"v{k}" for k in rng.integers(0, 500, n)]
+    parts = [words(70) for _ in range(6)]
+    docs = {i: words(40) + parts[i % 6] + words(15) + parts[i * 5 % 6] + words(30) for i in range(60)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    found: dict[int, list] = {}
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for r in compact_windows.repeated_passages(df).collect():
+        x, y = grams(docs[r.doc_id][r.first_word : r.last_word + 1]), grams(docs[r.other_id][r.other_first_word : r.other_last_word + 1])
+        assert r.other_id < r.doc_id and len(x & y) / len(x | y) == pytest.approx(r.similarity) and r.similarity >= 0.75 and r.last_word - r.first_word >= 49
+        found.setdefault(r.doc_id, []).append((r.first_word, r.last_word))
+    for i, w in docs.items():
+        spans = sorted(found.get(i, []))
+        assert all(b[1] > a[1] for a, b in zip(spans, spans[1:])) and all(c[0] > a[1] + 1 for a, _, c in zip(spans, spans[1:], spans[2:]))
+        first = {k: min(j for j in docs if k in (j % 6, j * 5 % 6)) for k in (i % 6, i * 5 % 6)}
+        for k, at in ((i % 6, 40), (i * 5 % 6, 125)):
+            if first[k] < i:
+                assert any(a <= at and at + 69 <= b for a, b in spans)
 
 
 def test_op3_drifting_copy(spark):

@@ -1,32 +1,40 @@
 """N-gram Jaccard join with signature trees.
 
-1. Each text becomes its set of word shingles, a digest of the set, min-hashes and a bitmap (one bit a shingle, of a width
-   that follows the set's size). Texts of one set are one class; the join is between classes.
-2. Classes that share the min-hashes of a band meet in a bucket. With BANDS bands of ROWS hashes, two sets of similarity s
-   miss each other with probability (1 - s^ROWS)^BANDS: 1e-12 at 0.75. Where a bucket is small, its pairs are pruned by
-   sizes and bitmaps; where it is large, its members are only tied to one of them. What is tied makes a group.
-3. The sets of a group are cut into blocks, and every pair of blocks of a group is one unit of work: signature trees over
-   the blocks (nodes hold OR-combined bitmaps and size ranges) are traversed together, node pairs are pruned by their
-   largest possible overlap, and sets of what is left are compared exactly. A unit returns a spanning forest of its links.
-4. Components of the links, over all units.
+1. Each text becomes its set of word shingles, a digest of the set and min-hashes. Texts of one set are one class; the join is
+   between classes.
+2. Min-hash bands say where trees are built: classes that share a band are tied to one of them of like size, the leader, so a
+   bucket of m classes makes m - 1 ties. Two sets of similarity s share no band with probability (1 - s^ROWS)^BANDS: 5e-9 at
+   0.75. Linked sets are therefore connected by ties, though most of the tied ones are not linked.
+3. Blocks of a leader and classes that are tied to it most often are joined with themselves: a signature tree over the block
+   (nodes hold OR-combined bitmaps and size ranges) is traversed against itself, node pairs are pruned by their largest
+   possible overlap, and sets of what is left are compared exactly. Links make components.
+4. Where ties still connect different components, their classes are cut into blocks by size range, and the trees of blocks of
+   equal and neighbouring ranges are traversed against each other, but for blocks of the largest component among themselves.
+   So all that ties connect is either in one component or was compared.
+5. Components of the links of both.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cachesight.llm.common import WordHashes, chunks, connected_components, materialize, mix, partitions, runs, table, without
+from cachesight.llm.common import WordHashes, chunks, connected_components, materialize, mix, partitions, runs, table
 
-BANDS, ROWS = 50, 3
+BANDS, ROWS = 50, 4
 #: Similarity as a fraction, so that limits are exact.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Members of a bucket up to which its pairs are compared; sets of a block, of a leaf, children of a node.
-SMALL, BLOCK, LEAF, FAN = 64, 256, 16, 4
+#: Sets and shingles of a block, about (a larger set is a block's alone); sets of a leaf, children of a node.
+BLOCK, SHINGLES, LEAF, FAN = 512, 1 << 21, 16, 4
+#: Leaders in whose blocks a class is compared first.
+LEADERS = 2
+#: Pairs whose sets are compared at once.
+PAIRS = 8192
 _MULTIPLIERS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SALTS = mix(np.arange(1000, 1000 + BANDS * ROWS, dtype=np.uint64)).astype(np.uint32)
 
@@ -59,19 +67,6 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return key
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """A bit a shingle; the width is a power of two of at least twice the set's size, 64 bits at least."""
-    width = max(64, 1 << (2 * len(s) - 1).bit_length())
-    bits = np.zeros(width, bool)
-    bits[(s & np.uint64(width - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def fold(bits: np.ndarray, size: int) -> np.ndarray:
-    """A bitmap at a smaller width: its parts OR-ed."""
-    return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0) if len(bits) > size else bits
-
-
 def required(a, b):
     """The least overlap of linked sets of sizes a and b: |A and B| >= s / (1 + s) * (a + b)."""
     return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
@@ -79,14 +74,13 @@ def required(a, b):
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        ids = b["doc_id"]
+        ids, contents = b["doc_id"].astype("Int64"), b["content"]
         for at, part in chunks(b["text"]):
             sets = shingle_sets(part)
             yield pd.DataFrame({
-                "doc_id": ids.iloc[at : at + len(part)].to_numpy(), "n_shingles": [len(s) for s in sets],
+                "doc_id": ids.iloc[at : at + len(part)].array, "content": contents.iloc[at : at + len(part)].to_numpy(), "n_shingles": [len(s) for s in sets],
                 "digest": [_digest(s) for s in sets],
                 "bands": [band_keys(s).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets],
-                "bits": [bitmap(s) if len(s) else b"" for s in sets],
             })
 
 
@@ -97,68 +91,43 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys and bitmap of each row; null texts are empty."""
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInPandas(_describe, "doc_id long, n_shingles long, digest binary, bands array<long>, bits binary")
+    """doc_id, hash of the text, n_shingles, digest of the set and band keys of each row; null texts are empty."""
+    own = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("content"))
+    return own.mapInPandas(_describe, "doc_id long, content long, n_shingles long, digest binary, bands array<long>")
 
 
 def _bucket_ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From (key, n, id) sorted by them: ties (u, v, sure) of each bucket. At most SMALL members are held.
+    """From (key, n, id) sorted by them: a tie of each member of a bucket but the first. One member and a leader are held.
 
-    The first SMALL members of a bucket are kept back until it is known whether there are more.
+    A member is tied to the leader, the smallest set before it that is large enough to be linked with it. Where the leader is
+    too small, the member is the next leader and is tied to the member before it, if that one is large enough. If it is not, no
+    set before it can be linked with one behind it.
     """
-    key, held, many = None, [], False
-    ids: list[int] = []
-    out: list[tuple[int, int, bool]] = []
-
-    def close() -> None:
-        if key is not None and len(ids) > 1 and not many:
-            for x in range(len(ids)):
-                for y in range(x):
-                    if NUMERATOR * held[x] <= DENOMINATOR * held[y]:
-                        out.append((ids[x], ids[y], False))
-
+    key, leader, led, last, held = None, 0, 0, 0, 0
     for b in batches:
-        k = b["key"].to_numpy()
+        k, n, ids = b["key"].to_numpy(), b["n"].to_numpy(), b["id"].to_numpy()
+        if not len(k):
+            continue
         same = np.zeros(len(k), bool)
         same[1:] = k[1:] == k[:-1]
         part = same.copy()
         part[:-1] |= same[1:]
-        part[0] |= key is not None and k[0] == key
+        part[0] |= k[0] == key
         part[-1] = True  # it may go on in the next batch
         rows = np.flatnonzero(part)
-        for kk, n, i in zip(k[rows].tolist(), b["n"].to_numpy()[rows].tolist(), b["id"].to_numpy()[rows].tolist(), strict=True):
+        out = []
+        for kk, m, i in zip(k[rows].tolist(), n[rows].tolist(), ids[rows].tolist(), strict=True):
             if kk != key:
-                close()
-                key, held, ids, many = kk, [], [], False
-            if many:
-                out.append((i, ids[0], True))
-            elif len(ids) == SMALL:
-                many = True
-                out.extend((x, ids[0], True) for x in [*ids[1:], i])
+                key, leader, led = kk, i, m
+            elif DENOMINATOR * led >= NUMERATOR * m:
+                out.append((i, leader, m))
             else:
-                held.append(n)
-                ids.append(i)
-        if len(out) > 20_000:
-            yield pd.DataFrame(out, columns=["u", "v", "sure"])
-            out = []
-    close()
-    if out:
-        yield pd.DataFrame(out, columns=["u", "v", "sure"])
-
-
-def _may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ties whose bitmaps allow the overlap that a link needs, and those of large buckets."""
-    for b in batches:
-        keep = []
-        for sure, n, m, x, y in zip(b["sure"], b["n_u"], b["n_v"], b["bits_u"], b["bits_v"], strict=True):
-            if not sure:
-                p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                size = min(len(p), len(q))
-                p, q = fold(p, size), fold(q, size)
-                most = min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
-                sure = most >= required(n, m)
-            keep.append(sure)
-        yield b.loc[keep, ["u", "v"]]
+                if DENOMINATOR * held >= NUMERATOR * m:
+                    out.append((i, last, m))
+                leader, led = i, m
+            last, held = i, m
+        if out:
+            yield pd.DataFrame(out, columns=["u", "v", "n"])
 
 
 class Node:
@@ -257,14 +226,21 @@ def links(a: Block, b: Block | None) -> list[tuple[int, int]]:
     pairs = np.concatenate(left) if left else np.empty((0, 2), np.int64)
     if same:
         pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-    shared = overlaps(a.sets, b.sets, pairs)
-    pairs = pairs[shared >= required(a.sizes[pairs[:, 0]], b.sizes[pairs[:, 1]])]
-    forest, shift, out = Forest(len(a.ids) + (0 if same else len(b.ids))), 0 if same else len(a.ids), []
-    for p, q in pairs.tolist():
-        x, y = forest.root(p), forest.root(q + shift)
-        if x != y:
-            forest.up[x] = y
-            out.append((a.ids[p], b.ids[q]))
+    shift, out = 0 if same else len(a.ids), []
+    forest = Forest(len(a.ids) + (0 if same else len(b.ids)))
+    if same and len(pairs):  # the set that may have most links first: what it is linked with needs no comparison any more
+        centre = np.bincount(pairs.ravel()).argmax()
+        pairs = np.concatenate([pairs[mine := (pairs == centre).any(axis=1)], pairs[~mine]])
+    while len(pairs):
+        part, pairs = pairs[:PAIRS], pairs[PAIRS:]
+        roots = np.array([forest.root(x) for x in range(len(forest.up))])
+        part = part[roots[part[:, 0]] != roots[part[:, 1] + shift]]
+        shared = overlaps(a.sets, b.sets, part)
+        for p, q in part[shared >= required(a.sizes[part[:, 0]], b.sizes[part[:, 1]])].tolist():
+            x, y = forest.root(p), forest.root(q + shift)
+            if x != y:
+                forest.up[x] = y
+                out.append((a.ids[p], b.ids[q]))
     return out
 
 
@@ -314,41 +290,102 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["u", "v"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id, the smallest doc_id that links reach.
+def _roots(df: DataFrame, column: str, roots: DataFrame, name: str) -> DataFrame:
+    """``df`` with the root of the node in ``column``, which is the node itself if ``roots`` does not have it."""
+    own = roots.select(F.col("node").alias("cachesight_node"), F.col("root").alias(name))
+    return df.hint("merge").join(own, df[column] == own["cachesight_node"], "left").drop("cachesight_node").withColumn(name, F.coalesce(name, column))
 
-    A text with fewer than five words is one shingle; a text without words, or null, has none and links with nothing. Rows
-    with a null id take no part; rows that repeat an id are one node. Groups of equal sets are one class from the start,
-    however large. Groups of near copies are worked through in pairs of blocks, which are separate tasks.
-    """
+
+def _blocks(n: str | int, shingles: str | int):
+    return F.ceil(F.greatest(n / F.lit(BLOCK), shingles / F.lit(SHINGLES))).cast("int")
+
+
+def _joined(units: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) in units (unit, side, node): trees over sides 0 and 1, or over side 0 alone, are traversed together."""
+    dealt = units.hint("merge").join(texts, "node").select("unit", "side", F.col("node").alias("id"), "text")
+    dealt = dealt.repartition(partitions(texts.sparkSession), "unit").sortWithinPartitions("unit", "side", "id")
+    return dealt.mapInPandas(_verify, "u long, v long")
+
+
+def _leader_units(ties: DataFrame) -> DataFrame:
+    """(unit, side, node): each leader with the classes that are tied to it more often than to others."""
+    often = Window.partitionBy("u").orderBy(F.desc("ties"), "v")
+    chosen = ties.withColumn("k", F.row_number().over(often)).where(F.col("k") <= LEADERS)
+    parts = chosen.groupBy("v").agg(_blocks(F.count("*"), F.sum("n")).alias("parts"))
+    led = chosen.hint("merge").join(parts, "v").select(F.col("u").alias("node"), "v", F.pmod(F.xxhash64("u"), "parts").alias("part"))
+    leaders = parts.select(F.col("v").alias("node"), "v", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))).alias("part"))
+    return led.unionByName(leaders).select("node", F.xxhash64("v", "part").alias("unit"), F.lit(0).alias("side"))
+
+
+def _region_units(members: DataFrame) -> DataFrame:
+    """(unit, side, node) from (node, n, component, region): pairs of blocks of a region but those of its largest component."""
+    sizes = members.groupBy("region", "component").agg(F.count("*").alias("count"))
+    main = sizes.groupBy("region").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("main"))
+    # sets of one range differ by less than sets that can be linked, so those are in the same range or neighbouring ones
+    ranged = members.hint("merge").join(main, "region").select("node", "n", "region", (F.col("component") == F.col("main")).cast("int").alias("kind"), F.floor(F.log(F.col("n")) / F.lit(math.log(1.34))).cast("int").alias("range"))
+    counts = lambda k: F.coalesce(_blocks(F.count_if(F.col("kind") == k), F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))), F.lit(0))
+    layout = ranged.groupBy("region", "range").agg(counts(0).alias("apart"), counts(1).alias("main"))
+    layout = layout.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("range", F.struct("apart", "main")))).alias("layout"))  # as many as ranges
+    placed = ranged.hint("merge").join(layout, "region")
+    here = F.col("layout")[F.col("range")]
+    own = F.struct("range", "kind", F.pmod(F.xxhash64("node"), F.when(F.col("kind") == 0, here["apart"]).otherwise(here["main"])).cast("int").alias("block"))
+
+    def blocks(d, kind: int):
+        n = F.coalesce(F.col("layout")[F.col("range") + d]["apart" if kind == 0 else "main"], F.lit(0))
+        made = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct((F.col("range") + d).alias("range"), F.lit(kind).alias("kind"), x.alias("block")))
+        return F.when(n > 0, made).otherwise(F.array().cast("array<struct<range:int,kind:int,block:int>>"))
+
+    near = (-1, 0, 1)
+    partners = F.concat(*[blocks(d, 0) for d in near], *[F.when(F.col("kind") == 0, blocks(d, 1)).otherwise(F.array()) for d in near])
+    exploded = placed.select("node", "region", own.alias("own"), F.explode(partners).alias("partner"))
+    unit = F.xxhash64("region", F.least("own", "partner"), F.greatest("own", "partner"))
+    return exploded.select("node", unit.alias("unit"), (F.col("own") > F.col("partner")).cast("int").alias("side"))
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """doc_id, content (a hash of the text), n_shingles and component_id of each row."""
     spark = docs.sparkSession
     described = materialize(describe(docs), "described")
-    members = described.select("doc_id", "n_shingles", "digest")
-    classes = described.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    members = described.select("doc_id", "content", "n_shingles", "digest")
+    sets = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    classes = described.where(sets).groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
-    banded = classes.select(F.explode("bands").alias("key"), "n", "id")
-    ties = banded.repartition(partitions(spark), "key").sortWithinPartitions("key", "n", "id").mapInPandas(_bucket_ties, "u long, v long, sure boolean")
-    ties = ties.where("u <> v").groupBy("u", "v").agg(F.max("sure").alias("sure"))
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    allowed = ties.join(side("u"), "u").join(side("v"), "v").mapInPandas(_may_link, "u long, v long")
-    roots = connected_components(allowed, "groups")
-    grouped = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    sizes = grouped.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = grouped.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("a"), F.greatest("block", x).alias("b")))
-    units = placed.select("node", "block", "root", F.explode(pairs).alias("p")).select("node", F.xxhash64("root", "p.a", "p.b").alias("unit"), (F.col("block") != F.col("p.a")).cast("int").alias("side"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("doc_id IS NOT NULL")
-    dealt = units.hint("merge").join(texts, "node").select("unit", "side", F.col("node").alias("id"), "text").repartition(partitions(spark), "unit").sortWithinPartitions("unit", "side", "id")
-    found = connected_components(dealt.mapInPandas(_verify, "u long, v long"), "links")
-    named = classes.select("digest", "id").join(found, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("component_id"))
-    joined = members.where("n_shingles > 0").join(named, "digest").select("doc_id", "n_shingles", "component_id")
-    alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    banded = classes.select(F.explode("bands").alias("key"), "n", "id")
+    ties = banded.repartition(partitions(spark), "key").sortWithinPartitions("key", "n", "id").mapInPandas(_bucket_ties, "u long, v long, n long")
+    ties = materialize(ties.where("u <> v").groupBy("u", "v").agg(F.count("*").alias("ties"), F.max("n").alias("n")), "ties")
+    first = connected_components(_joined(_leader_units(ties), texts), "first")
+    apart = _roots(_roots(ties.select("u", "v"), "u", first, "a"), "v", first, "b").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    regions = connected_components(apart, "regions")
+    regions = regions.unionByName(regions.select(F.col("root").alias("node"), "root").distinct())
+    of_class = _roots(classes.select(F.col("id").alias("node"), "n"), "node", first, "component")
+    inside = materialize(of_class.hint("merge").join(regions.select(F.col("node").alias("component"), F.col("root").alias("region")), "component"), "regions")
+    more = _joined(_region_units(inside), texts)
+    more = _roots(_roots(more, "u", first, "a"), "v", first, "b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    last = connected_components(more, "last")
+    named = _roots(_roots(classes.select("digest", "id"), "id", first, "component"), "component", last, "component_id")
+    joined = members.where(sets).join(named.select("digest", "component_id"), "digest").select("doc_id", "content", "n_shingles", "component_id")
+    alone = members.where(~sets).select("doc_id", "content", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.unionByName(alone)
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id, the smallest doc_id that links reach.
+
+    A text with fewer than five words is one shingle; a text without words, or null, has none and links with nothing. A row with
+    a null id links with nothing either, and its component_id is null. Texts that share an id are one node, which has
+    the links of each. Groups of equal sets are one class from the start, however large. A block's texts are held in one task, with about
+    100 bytes for each byte of the longest.
+    """
+    return _components(docs).drop("content")
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id. Rows with a null id stay."""
-    return without(docs, near_duplicates(docs).where("doc_id <> component_id").select("doc_id"))
+    """``docs`` with one document of each component: that of the smallest id. Rows with a null id stay, and of rows that share an
+    id those whose text is not of an other document's component."""
+    gone = _components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("cachesight_id"), F.col("content").alias("cachesight_content")).distinct()
+    same = (docs["doc_id"] == gone["cachesight_id"]) & (F.xxhash64(docs["text"]) == gone["cachesight_content"])
+    return docs.hint("merge").join(gone, same, "left_anti")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

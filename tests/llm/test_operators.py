@@ -245,21 +245,32 @@ def test_op9_brute_force(spark, sf):
     assert got == brute_components(texts(spark, sf))
 
 
-def test_op9_large_groups(spark):
-    """More near copies than a bucket's pairs and a block hold."""
+@pytest.mark.parametrize("block", [40, 512])
+def test_op9_large_groups(spark, monkeypatch, block):
+    """More near copies than a block holds, of sizes in several ranges."""
+    monkeypatch.setattr(signature_trees, "BLOCK", block)
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in range(90)]
     own = {}
     for i in range(400):
         w = list(base)
-        for k in rng.choice(90, int(rng.integers(0, 5)), replace=False):
+        for k in rng.choice(90, int(rng.integers(0, 8)), replace=False):
             w[k] = f"x{i}-{k}"
-        own[i] = " ".join(w)
+        own[i] = " ".join(w + [f"y{k}" for k in range(i % 5 * 12)])
     df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in signature_trees.near_duplicates(df).collect()}
     assert got == brute_components(own)
 
 
+def test_op9_rows_that_share_an_id(spark):
+    """An id with two texts is one node; a text that a smaller id has, too, goes alone. Rows with a null id have no component."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, c), (4, c + " end"), (4, b + " end"), (None, a), (5, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in signature_trees.near_duplicates(df).collect())
+    assert got == [(-1, 26, None), (1, 26, 1), (2, 26, 1), (2, 26, 2), (3, 26, 2), (4, 27, 2), (4, 27, 2), (5, 0, 5)]
+    assert sorted((r.doc_id or -1, r.text or "") for r in signature_trees.keep_first(df).collect()) == [(-1, a), (1, a), (2, b), (5, "")]
+
+
 def test_op9_node_bound():
     """No linked pair is pruned by the nodes above it."""
     rng = np.random.default_rng(4)

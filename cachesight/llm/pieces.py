@@ -19,9 +19,13 @@ BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 WIDE_SPACE = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
 #: Fixed value: the splitting pattern inside word_bpe_49k.json.
 WORD_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Fixed value: how an id's text says there that it is a word's last.
+SUFFIX = "</w>"
 #: A word of letters that are alike in all Unicode versions, and one mark behind it: two pieces in either vocabulary.
 WORD_AND_MARK = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 LIMIT = 600_000
+#: Texts that go to the library as one.
+JOINED = 2000
 
 
 class Pieces:
@@ -46,17 +50,22 @@ class Pieces:
         self.separable = bool((spaced or self.folds) and plain)
         self.lead = "" if self.folds else " "  # of each chunk but a text's first
         self.words = Store(limit)  # chunks behind a space, as they stand there
-        self.others = Store(limit)  # the same without marks, in one case where case is folded
-        self.begins = Store(limit // 4, self._library)  # chunks at the begin of a line
+        self.plain = Store(limit)  # words of letters without marks, in one case where case is folded
+        self.others = Store(limit // 4)  # all else
+        self.begins = Store(limit // 4)  # chunks at the begin of a line
+        if self.folds:
+            self.last = np.zeros(self.library.get_vocab_size(), bool)
+            self.last[[i for t, i in self.library.get_vocab().items() if t.endswith(SUFFIX)]] = True
         if self.separable:
-            self.newline = self._library(["\n"])[0]
+            self.newline, *marks = self._library(["\n", ".", ","])
+            self.ends = dict(zip(".,", marks, strict=True)) | {"": 0 if self.counts else b""}
 
     def _library(self, texts: list[str]) -> list:
         """Each text by itself. They go to the library as one text, between added tokens, which part texts exactly."""
         out: list = [None] * len(texts)
         joined = [k for k, t in enumerate(texts) if self.mark not in t]
-        for at in range(0, len(joined), 200):
-            part = joined[at : at + 200]
+        for at in range(0, len(joined), JOINED):
+            part = joined[at : at + JOINED]
             ids = np.array(self.library.encode_batch_fast([self.mark.join(texts[k] for k in part)], add_special_tokens=False)[0].ids, np.int64)
             cuts = np.flatnonzero(ids == self.mark_id)
             begin, end = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
@@ -72,65 +81,75 @@ class Pieces:
     def _one(self, e):
         return len(e.ids) if self.counts else np.array(e.ids, self.dtype).tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Put chunks that stand behind a space into ``words``; a mark behind a word is a piece of its own."""
-        split = {c: (m[1].lower() if self.folds else m[1], m[2]) if (m := WORD_AND_MARK.fullmatch(c)) else (c, "") for c in chunks}
-        self.others.need({x for x, _ in split.values()}, lambda new: self._library([self.lead + c for c in new]))
-        others = self.others.now
-        ends = {m: others_of for m, others_of in zip(".,", self._library([".", ","]), strict=True)} | {"": 0 if self.counts else b""}
-        self.words.now.update((c, others[x] + ends[m]) for c, (x, m) in split.items())
-
-    def _get(self, store: "Store", chunks: list[str], learn) -> list:
-        try:
-            now = store.now
-            return [now[c] for c in chunks]
-        except KeyError:
-            store.need(set(chunks), learn)
-            now = store.now
-            return [now[c] for c in chunks]
+    def _plain(self, words: list[str]) -> list:
+        """Words of letters alone. Where a word's last id says that it is the last, they go to the library as one text of words."""
+        if not self.folds:
+            return self._library([self.lead + w for w in words])
+        out: list = []
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            cuts = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
+            if len(cuts) != len(part) + 1 or cuts[-1] != len(ids):
+                out += self._library(part)
+            elif self.counts:
+                out += np.diff(cuts).tolist()
+            else:
+                data, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+                out += [data[b * size : e * size] for b, e in zip(cuts, cuts[1:])]
+        return out
+
+    def _learn(self, chunks: list[str]) -> list:
+        """Values of chunks that stand behind a space; a mark behind a word is a piece of its own."""
+        matches = [WORD_AND_MARK.fullmatch(c) for c in chunks]
+        split = [(m[1].lower() if self.folds else m[1], m[2]) if m else (c, "") for c, m in zip(chunks, matches, strict=True)]
+        self.plain.need([[x for (x, _), m in zip(split, matches, strict=True) if m]], self._plain)
+        self.others.need([[x for (x, _), m in zip(split, matches, strict=True) if not m]], lambda new: self._library([self.lead + c for c in new]))
+        plain, others = self.plain.now, self.others.now
+        return [plain[x] + self.ends[mark] if m else others[x] for (x, mark), m in zip(split, matches, strict=True)]
 
     def many(self, texts: list[str]) -> list:
         if not self.separable:
             return [self._one(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         join = sum if self.counts else b"".join
+        if self.folds:
+            chunks = [t.replace("\n", " ").split(" ") for t in texts]
+            self.words.need(chunks, self._learn)
+            get = self.words.now.__getitem__
+            return [join(map(get, c)) for c in chunks]
+        wide = [WIDE_SPACE.search(t) is not None for t in texts]
+        lines = [[] if w else [line.split(" ") for line in t.split("\n")] for t, w in zip(texts, wide, strict=True)]
+        self.begins.need([[line[0] for line in own] for own in lines], self._library)
+        self.words.need([line[1:] for own in lines for line in own], self._learn)
+        begin, get = self.begins.now, self.words.now.__getitem__
         out = []
-        for t in texts:
-            if self.folds:
-                out.append(join(self._get(self.words, t.replace("\n", " ").split(" "), self._learn)))
-            elif WIDE_SPACE.search(t):
+        for t, w, own in zip(texts, wide, lines, strict=True):
+            if w:
                 out.append(join(self._library(BEFORE_SPACE.split(t))))
+            elif self.counts:
+                out.append(sum(begin[line[0]] + sum(map(get, line[1:])) for line in own) + (len(own) - 1) * self.newline)
             else:
-                lines = [line.split(" ") for line in t.split("\n")]
-                begin = self._get(self.begins, [line[0] for line in lines], None)
-                if self.counts:
-                    rest = self._get(self.words, [w for line in lines for w in line[1:]], self._learn)
-                    out.append(sum(begin) + sum(rest) + (len(lines) - 1) * self.newline)
-                else:
-                    out.append(self.newline.join(b + b"".join(self._get(self.words, line[1:], self._learn)) for b, line in zip(begin, lines, strict=True)))
+                out.append(self.newline.join(begin[line[0]] + b"".join(map(get, line[1:])) for line in own))
         return out
 
 
 class Store:
     """What is known of chunks, in two generations: when the younger is full, it takes the place of the older."""
 
-    def __init__(self, limit: int, encode=None):
+    def __init__(self, limit: int):
         self.now: dict = {}
         self.old: dict = {}
-        self.limit, self.encode = limit, encode
-
-    def need(self, chunks: set[str], encode=None) -> None:
-        """Afterwards ``now`` has all ``chunks``. ``encode`` gives values, or puts them into ``now`` and returns None."""
-        if len(self.now) + len(chunks) > self.limit:
-            self.now, self.old = {}, self.now
-        missing = []
-        for c in chunks:
-            if c not in self.now:
-                v = self.old.get(c)
-                if v is None:
-                    missing.append(c)
-                else:
-                    self.now[c] = v
-        if missing:
-            values = (encode or self.encode)(missing)
-            if values is not None:
-                self.now.update(zip(missing, values, strict=True))
+        self.limit = limit
+
+    def need(self, lists: list[list[str]], encode) -> None:
+        """Afterwards ``now`` has the chunks of all lists. ``encode`` gives the values of those that are in neither generation."""
+        wanted = set().union(*lists)
+        missing = wanted.difference(self.now)
+        if not missing:
+            return
+        if len(self.now) + len(missing) > self.limit:
+            self.now, self.old, missing = {}, self.now, wanted
+        known = missing.intersection(self.old)
+        self.now.update((c, self.old[c]) for c in known)
+        if new := list(missing.difference(known)):
+            self.now.update(zip(new, encode(new), strict=True))

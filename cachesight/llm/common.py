@@ -116,11 +116,15 @@ class WordHashes:
         total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(_VALUE[buf] * p[: len(buf)], out=total[1:])
         self._total, self._inv = total, inv
-        self.words = mix((total[self.end] - total[self.start]) * inv[self.start])
+        self.words = self.hashes(self.start, self.end)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.offset = np.concatenate([[0], np.cumsum(sizes)])  # bytes before each text
         self.first = np.searchsorted(self.start, self.offset)
 
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the bytes from ``start`` to ``end``."""
+        return mix((self._total[end] - self._total[start]) * self._inv[start])
+
     def prefixes(self, size: int) -> np.ndarray:
         """Hashes of the words' first ``size`` bytes; apart from those of words and of other sizes."""
         end = np.minimum(self.start + size, self.end)

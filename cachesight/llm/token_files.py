@@ -58,8 +58,8 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                     end = np.array([end_id], dtype).tobytes()
                 ids.append(b["doc_id"].fillna(NULL_ID).to_numpy(np.int64))
                 texts = b["content"].tolist()
-                for at in range(0, len(texts), 256):
-                    for data in encoder.many(texts[at : at + 256]):
+                for at in range(0, len(texts), 1024):
+                    for data in encoder.many(texts[at : at + 1024]):
                         out.write(data)
                         out.write(end)
                         lengths.append(len(data) // dtype.itemsize + 1)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from cachesight.llm.common import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
 HINT = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
@@ -31,30 +33,38 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Containers that are no article by their element, role or a word of their class or id.
+#: Containers that are no article by their element, role or a word of their class or id, and words that are as
+#: often in the names of layouts that hold the article.
 BOILER_TAGS = frozenset("nav footer aside form button dialog menu fieldset label head".split())
 BOILER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
-    "alert popup modal newsletter subscribe subscription signup login sidebar aside side menu nav navigation navbar breadcrumb breadcrumbs "
-    "pagination pager footer header masthead topbar toolbar share sharing social related recommended recommendations widget widgets "
-    "comment comments reply replies respond disqus discussion contentinfo complementary search dialog copyright legal disclaimer tags".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
+    "alert popup modal newsletter subscribe subscription signup login aside nav navigation navbar breadcrumb breadcrumbs "
+    "pagination pager footer share sharing social related recommended recommendations "
+    "comment comments reply replies respond disqus discussion contentinfo complementary dialog copyright disclaimer".split()
 )
+LAYOUT_WORDS = frozenset("banner header legal masthead menu search side sidebar tags toolbar topbar widget widgets".split())
 ARTICLE_WORDS = frozenset("article main content post story entry body text".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 FEATURES = ("container", "words", "links", "words_before", "links_before", "words_after", "links_after", "heading")
-OUTSIDE, NEUTRAL, INSIDE = -1, 0, 1
+OUTSIDE, LAYOUT, NEUTRAL, INSIDE = -2, -1, 0, 1
 
-#: The labelled table: rows of FEATURES and whether the block is article. Containers: -1 boilerplate, 0 none that says
-#: anything, 1 article or main. Links: share of words that stand in links.
+#: The labelled table: rows of FEATURES and whether the block is article. Containers: -2 boilerplate, -1 a layout that may be
+#: either, 0 none that says anything, 1 article or main. Links: share of words that stand in links.
 LABELLED = [
     # menus, headers, footers, adverts, notices, comments in containers that say so
-    (-1, 1, 1.0, 0, 0.0, 1, 1.0, 0, 0), (-1, 1, 1.0, 1, 1.0, 1, 1.0, 0, 0), (-1, 2, 1.0, 1, 1.0, 9, 0.0, 0, 0), (-1, 8, 0.0, 1, 1.0, 12, 0.0, 0, 0),
-    (-1, 14, 0.0, 1, 1.0, 10, 0.0, 0, 0), (-1, 10, 0.0, 60, 0.0, 0, 0.0, 0, 0), (-1, 40, 0.0, 90, 0.0, 30, 0.0, 0, 0), (-1, 120, 0.0, 60, 0.0, 80, 0.0, 0, 0),
-    (-1, 75, 0.1, 12, 0.0, 3, 0.0, 0, 0), (-1, 3, 0.0, 70, 0.0, 35, 0.0, 1, 0), (-1, 25, 0.4, 4, 0.0, 6, 1.0, 0, 0), (-1, 260, 0.0, 3, 0.0, 40, 0.0, 0, 0),
-    (-1, 300, 0.0, 20, 0.0, 10, 0.0, 0, 0), (-1, 150, 0.0, 40, 0.0, 2, 1.0, 0, 0), (-1, 22, 0.0, 8, 0.0, 5, 0.0, 0, 0), (-1, 28, 0.0, 45, 0.0, 90, 0.0, 0, 0),
-    (-1, 35, 0.0, 80, 0.0, 60, 0.0, 0, 0), (-1, 6, 0.0, 70, 0.0, 66, 0.0, 0, 0), (-1, 18, 0.0, 30, 0.0, 25, 0.0, 0, 0), (-1, 5, 0.0, 60, 0.0, 80, 0.0, 1, 0),
-    (-1, 200, 0.3, 5, 0.0, 6, 0.0, 0, 0), (-1, 90, 0.1, 60, 0.0, 45, 0.0, 0, 0),
+    (-2, 1, 1.0, 0, 0.0, 1, 1.0, 0, 0), (-2, 1, 1.0, 1, 1.0, 1, 1.0, 0, 0), (-2, 2, 1.0, 1, 1.0, 9, 0.0, 0, 0), (-2, 8, 0.0, 1, 1.0, 12, 0.0, 0, 0),
+    (-2, 14, 0.0, 1, 1.0, 10, 0.0, 0, 0), (-2, 10, 0.0, 60, 0.0, 0, 0.0, 0, 0), (-2, 40, 0.0, 90, 0.0, 30, 0.0, 0, 0), (-2, 120, 0.0, 60, 0.0, 80, 0.0, 0, 0),
+    (-2, 75, 0.1, 12, 0.0, 3, 0.0, 0, 0), (-2, 3, 0.0, 70, 0.0, 35, 0.0, 1, 0), (-2, 25, 0.4, 4, 0.0, 6, 1.0, 0, 0), (-2, 260, 0.0, 3, 0.0, 40, 0.0, 0, 0),
+    (-2, 300, 0.0, 20, 0.0, 10, 0.0, 0, 0), (-2, 150, 0.0, 40, 0.0, 2, 1.0, 0, 0), (-2, 22, 0.0, 8, 0.0, 5, 0.0, 0, 0), (-2, 28, 0.0, 45, 0.0, 90, 0.0, 0, 0),
+    (-2, 35, 0.0, 80, 0.0, 60, 0.0, 0, 0), (-2, 6, 0.0, 70, 0.0, 66, 0.0, 0, 0), (-2, 18, 0.0, 30, 0.0, 25, 0.0, 0, 0), (-2, 5, 0.0, 60, 0.0, 80, 0.0, 1, 0),
+    (-2, 200, 0.3, 5, 0.0, 6, 0.0, 0, 0), (-2, 90, 0.1, 60, 0.0, 45, 0.0, 0, 0),
+    # layouts: bars, boxes and teasers; and articles that stand in the wrapper of such a layout
+    (-1, 1, 1.0, 1, 1.0, 1, 1.0, 0, 0), (-1, 3, 0.0, 2, 1.0, 4, 1.0, 1, 0), (-1, 14, 0.0, 3, 0.0, 2, 1.0, 0, 0), (-1, 25, 0.4, 4, 0.0, 6, 1.0, 0, 0),
+    (-1, 22, 0.0, 3, 0.0, 20, 0.0, 0, 0), (-1, 30, 0.0, 60, 0.0, 3, 0.0, 0, 0), (-1, 45, 0.7, 50, 0.6, 40, 0.7, 0, 0), (-1, 35, 0.0, 4, 0.0, 30, 0.1, 0, 0),
+    (-1, 55, 0.0, 3, 0.0, 2, 1.0, 0, 0), (-1, 60, 0.9, 70, 0.0, 65, 0.0, 0, 0), (-1, 28, 0.0, 30, 0.0, 26, 0.0, 0, 0), (-1, 12, 0.0, 40, 0.0, 35, 0.0, 0, 0),
+    (-1, 6, 0.0, 90, 0.0, 5, 1.0, 1, 0), (-1, 70, 0.1, 60, 0.0, 80, 0.0, 0, 1), (-1, 95, 0.0, 75, 0.1, 64, 0.0, 0, 1), (-1, 130, 0.2, 58, 0.0, 110, 0.1, 0, 1),
+    (-1, 66, 0.0, 140, 0.0, 72, 0.2, 0, 1), (-1, 82, 0.0, 61, 0.0, 59, 0.0, 0, 1),
     # article containers: paragraphs of any length, headings, lists, quotes, cells
     (1, 11, 0.0, 14, 0.0, 60, 0.0, 1, 1), (1, 1, 0.0, 80, 0.0, 75, 0.0, 0, 1), (1, 1, 0.0, 1, 0.0, 1, 0.0, 0, 1), (1, 64, 0.0, 11, 0.0, 1, 0.0, 0, 1),
     (1, 180, 0.05, 20, 0.0, 90, 0.0, 0, 1), (1, 2, 0.0, 30, 0.0, 10, 0.0, 0, 1), (1, 5, 1.0, 60, 0.0, 50, 0.0, 0, 1), (1, 40, 0.6, 30, 0.1, 55, 0.0, 0, 1),
@@ -121,17 +131,48 @@ def _container(tag: str, attributes: str, outer: int) -> int:
         if _hidden(attributes):
             return OUTSIDE
         words = {w for m in HINT.findall(attributes) for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m).lower())}
-        if words & BOILER_WORDS and tag not in ("html", "body") and not (words & ARTICLE_WORDS and tag in ("article", "main")):
-            return OUTSIDE
-        if words & ARTICLE_WORDS and outer != OUTSIDE and tag not in ("html", "body"):
-            return INSIDE
+        if tag not in ("html", "body"):
+            own = words & ARTICLE_WORDS
+            if words & BOILER_WORDS and not (own and tag in ("article", "main")):
+                return OUTSIDE
+            if words & LAYOUT_WORDS and not (own and tag in ("article", "main")):
+                return min(outer, LAYOUT)
+            if own and outer >= NEUTRAL:
+                return INSIDE
     if tag in BOILER_TAGS or tag == "header" and outer != INSIDE:
         return OUTSIDE
-    if tag in ("article", "main") and outer != OUTSIDE:
+    if tag in ("article", "main") and outer >= NEUTRAL:
         return INSIDE
     return outer
 
 
+def next_tag(page: str, at: int, quoted: bool) -> tuple[int, int, str, bool, str, bool] | None:
+    """(begin, end, name, closing, attributes, quoted) of the first tag from ``at`` on; comments and declarations have no name.
+
+    A tag ends at the first ``>`` outside quotes. Where there is none (a quote that is never closed), it and all later ones end
+    at the first ``>``: ``quoted`` is False from then on, so a page is looked through in linear time. A tag without an end takes
+    the rest of the page.
+    """
+    while 0 <= (begin := page.find("<", at)):
+        closing = page.startswith("/", begin + 1)
+        if name := NAME.match(page, begin + 1 + closing):
+            end = name.end()
+            if quoted:
+                while (stop := STOP.search(page, end)) and stop[0] != ">" and 0 <= (shut := page.find(stop[0], stop.end())):
+                    end = shut + 1
+                if quoted := bool(stop and stop[0] == ">"):
+                    end = stop.start()
+            if not quoted and (end := page.find(">", name.end())) < 0:
+                end = len(page)
+            return begin, min(end + 1, len(page)), name[0].lower(), closing, page[name.end() : end], quoted
+        if page.startswith(("<!", "<?"), begin):
+            mark, skip = ("-->", 4) if page.startswith("<!--", begin) else (">", 2)
+            end = page.find(mark, begin + skip)
+            return begin, len(page) if end < 0 else end + len(mark), "", False, "", quoted
+        at = begin + 1
+    return None
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """(text, words, words in links, container, heading) of each text block, in page order."""
     out: list = []
@@ -156,15 +197,15 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             parts.clear()
         linked = 0
 
-    at = 0
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    at, quoted = 0, True
+    opened: Counter[str] = Counter()  # elements of the stack by name
+    while m := next_tag(page, at, quoted):
+        begin, end_at, tag, closing, attributes, quoted = m
+        if begin > at:
+            text(page[at:begin])
+        at = end_at
         if not tag:
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if tag in RAW:
             if not closing and not attributes.rstrip().endswith("/"):
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -187,18 +228,22 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if tag in VOID or tag == "p":
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in BLOCK and stack[k][1] != state:
-                        end()
-                    state = stack[k][1]
-                    del stack[k:]
+            if not opened[tag]:
+                continue
+            while True:
+                name, outer = stack.pop()
+                opened[name] -= 1
+                if name == tag:
                     break
+            if tag not in BLOCK and outer != state:
+                end()
+            state = outer
         elif tag in BLOCK or attributes or tag in BOILER_TAGS:
             new = _container(tag, attributes, state)
             if new != state:
                 end()
             stack.append((tag, state))
+            opened[tag] += 1
             state = new
     if at < len(page):
         text(page[at:])

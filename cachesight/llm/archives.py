@@ -36,6 +36,11 @@ IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space
 SEGMENT = 4 << 20
 LEVEL = 3
 READ = 1 << 20
+GZIP = b"\x1f\x8b"
+#: The end of an HTTP head; older captures have bare newlines.
+HEAD_END = re.compile(rb"\r?\n\r?\n")
+#: By the number of hexadecimal digits.
+CHECKSUMS = {32: "md5", 40: "sha1"}
 
 
 def sha1_base32(data: bytes) -> str:
@@ -47,15 +52,19 @@ def _member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def members(path: str, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of the gzip members of a file that begin in [start, stop)."""
+def members(path: str, start: int = 0, read: int = READ) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of the gzip members of a file from the one at ``start`` on; a file that is not compressed is one."""
     with open(path, "rb") as f:
+        if f.read(2) != GZIP:
+            f.seek(0)
+            yield 0, f.read()
+            return
         f.seek(start)
         at, rest = start, b""
-        while stop is None or at < stop:
+        while True:
             z, out, used = zlib.decompressobj(31), [], 0
             while not z.eof:
-                rest = rest or f.read(READ)
+                rest = rest or f.read(read)
                 if not rest:
                     if used:
                         raise ValueError(f"{path}: the member at {at} is cut off")
@@ -78,30 +87,53 @@ def arc_record(version: int, url: str, ip: str, date: str, kind: str, body: byte
     return f"{url} {ip} {date} {kind}{more} {len(body)}\n".encode() + body + b"\n"
 
 
-def parse_arc(content: bytes, version: int) -> tuple[dict[str, str], bytes]:
-    """Fields by name and the block of the declared length. An address may hold spaces, so fields count from the right."""
-    line, _, rest = content.partition(b"\n")
+def parse_arc(content: bytes, version: int, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Fields by name, the block of the declared length and where it ends. An address may hold spaces, so fields count from the
+    right. A block that differs from its declared checksum is an error."""
+    begin = content.find(b"\n", at) + 1 or len(content)
+    line = content[at:begin].rstrip(b"\r\n")
     names = ARC_FIELDS[version].split()
     parts = line.decode("utf-8", "replace").rsplit(" ", len(names) - 1)
     if len(parts) != len(names) or not parts[-1].isdigit():
         raise ValueError(f"no ARC {version} header line: {line[:80]!r}")
-    if (length := int(parts[-1])) > len(rest):
-        raise ValueError(f"declared length {length} exceeds the {len(rest)} bytes there")
-    return dict(zip(names, parts, strict=True)), rest[:length]
+    if (length := int(parts[-1])) > len(content) - begin:
+        raise ValueError(f"declared length {length} exceeds the {len(content) - begin} bytes there")
+    fields, block = dict(zip(names, parts, strict=True)), content[begin : begin + length]
+    if (kind := CHECKSUMS.get(len(sum_ := fields.get("Checksum", "").lower()))) and re.fullmatch("[0-9a-f]+", sum_) and hashlib.new(kind, block).hexdigest() != sum_:
+        raise ValueError(f"the block of {fields['URL']} has another checksum than declared")
+    return fields, block, begin + length
 
 
-def arc_version(path: str) -> int:
-    _, content = next(members(path))
+def arc_version(content: bytes) -> int:
+    """Of a file that begins so: the second line's first number."""
     return int(content.partition(b"\n")[2].split(b" ", 1)[0])
 
 
+def arc_records(path: str) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset of the member, offset in it, fields, block) of each record but the file's own. A member holds one record or more:
+    files are compressed by record, as a whole, or not at all."""
+    version = 0
+    for at, content in members(path):
+        inner = 0
+        while inner < len(content):
+            if content[inner] in b"\r\n":
+                inner += 1
+                continue
+            first, version = not version, version or arc_version(content[inner : inner + READ])
+            fields, block, end = parse_arc(content, version, inner)
+            if not first:
+                yield at, inner, fields, block
+            inner = end
+
+
 def split_http(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
     """Head, its fields and the payload; a block that is no HTTP message is all payload."""
     if not block.startswith(b"HTTP/"):
         return b"", {}, block
-    head, sep, payload = block.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-    return head + sep, fields, payload
+    end = m.end() if (m := HEAD_END.search(block)) else len(block)
+    lines = block[:end].decode("utf-8", "replace").splitlines()
+    fields = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
+    return block[:end], fields, block[end:]
 
 
 def _address(url, row) -> str:
@@ -148,15 +180,11 @@ def _index(folder: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name in b["name"]:
-                path, rows, version = f"{local_path(folder)}/{name}", [], 0
-                for at, content in members(path):
-                    if not version:
-                        version = int(content.partition(b"\n")[2].split(b" ", 1)[0])
-                        continue
-                    _, block = parse_arc(content, version)
+                rows = []
+                for at, inner, _, block in arc_records(f"{local_path(folder)}/{name}"):
                     _, fields, payload = split_http(block)
                     row = fields.get("X-Row", "")
-                    rows.append((name, at, int(row) if row else None, sha1_base32(payload), len(payload)))
+                    rows.append((name, at, inner, int(row) if re.fullmatch(r"-?\d+", row) else None, sha1_base32(payload), len(payload)))
                     if len(rows) == 10_000:
                         yield rows_frame(rows, INDEX_COLUMNS, ["row"])
                         rows = []
@@ -165,12 +193,12 @@ def _index(folder: str):
     return run
 
 
-INDEX_COLUMNS = ["name", "at", "row", "digest", "bytes"]
+INDEX_COLUMNS = ["name", "at", "inner", "row", "digest", "bytes"]
 
 
 def index_arcs(names: DataFrame, folder: str) -> DataFrame:
     """Place, row, payload digest and length of each record."""
-    return names.repartition(partitions(names.sparkSession), "name").mapInPandas(_index(folder), "name string, at long, row long, digest string, bytes long")
+    return names.repartition(partitions(names.sparkSession), "name").mapInPandas(_index(folder), "name string, at long, inner long, row long, digest string, bytes long")
 
 
 def plan_revisits(index: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -207,24 +235,31 @@ def to_warc(arc: dict[str, str], block: bytes, row, digest: str, first) -> bytes
     return warc_record(fields, block)
 
 
+CONVERTED = ["name", "segment", "at", "inner", "row", "digest", "first"]
+
+
 def _convert(arcs: str, folder: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path, own, out, last, version = local_path(folder), "", None, None, 0
+        source, here, content = None, -1, b""
         os.makedirs(path, exist_ok=True)
         names = []
         for b in batches:
-            for name, segment, at, row, digest, first in zip(b["name"], b["segment"], b["at"], b["row"], b["digest"], b["first"], strict=True):
+            for name, segment, at, inner, row, digest, first in zip(*(b[c] for c in CONVERTED), strict=True):
                 if (name, segment) != last:
                     if out:
                         out.close()
                         os.replace(own, f"{path}/{names[-1]}")
-                    version = arc_version(f"{local_path(arcs)}/{name}")
+                    arc_path = f"{local_path(arcs)}/{name}"
+                    version = arc_version(next(members(arc_path, read=4096))[1])
+                    source, here = members(arc_path, int(at)), -1  # the segment is read once, in order
                     last, own = (name, segment), f"{path}/.{uuid.uuid4().hex}"
                     names.append(f"{name.removesuffix('.arc.gz')}-{segment:06d}.warc.gz")
                     out = open(own, "wb", buffering=1 << 20)  # noqa: SIM115
                     out.write(_member(warc_record({"WARC-Type": "warcinfo", "WARC-Record-ID": _record_id(names[-1], ""), "WARC-Filename": names[-1], "Content-Type": "application/warc-fields"}, b"software: cachesight\r\nformat: WARC File Format 1.1\r\n")))
-                _, content = next(members(f"{local_path(arcs)}/{name}", int(at)))
-                arc, block = parse_arc(content, version)
+                while here != at:
+                    here, content = next(source)
+                arc, block, _ = parse_arc(content, version, inner)
                 out.write(_member(to_warc(arc, block, None if pd.isna(row) else int(row), digest, None if pd.isna(first) else int(first))))
         if out:
             out.close()
@@ -237,8 +272,8 @@ def _convert(arcs: str, folder: str):
 def write_warcs(plan: DataFrame, arcs: str, folder: str) -> DataFrame:
     """Write the planned records, a WARC file for each segment of an ARC file; returns the files' names."""
     rows = plan.withColumn("segment", F.floor(F.col("at") / SEGMENT).cast("int"))
-    dealt = rows.repartition(partitions(plan.sparkSession), "name", "segment").sortWithinPartitions("name", "segment", "at")
-    return materialize(dealt.select("name", "segment", "at", "row", "digest", "first").mapInPandas(_convert(arcs, folder), "name string"), "warc-names")
+    dealt = rows.repartition(partitions(plan.sparkSession), "name", "segment").sortWithinPartitions("name", "segment", "at", "inner")
+    return materialize(dealt.select(*CONVERTED).mapInPandas(_convert(arcs, folder), "name string"), "warc-names")
 
 
 def parse_warc(content: bytes) -> tuple[dict[str, str], bytes]:

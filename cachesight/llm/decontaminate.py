@@ -1,7 +1,8 @@
 """Benchmark decontamination, in DataFrame functions only.
 
-The benchmark's word windows are hashed into a bit set that becomes a literal of the scan over the training texts; windows
-whose bit is set are joined to the benchmark by their words, which verifies them.
+The benchmark's word windows, and their first words, are hashed into two bit sets that become literals of the scan over the
+training texts. A window is hashed as a whole only where the bit of its first words is set; windows whose own bit is set are
+joined to the benchmark by their words, which verifies them.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what parts words, after A-Z became a-z.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WINDOW = 10
-#: Bits of the literal; it has this size whatever the benchmark holds.
-BITS = 1 << 18
+#: Words of a window that are looked up first.
+HEAD = 3
+#: Bits of a literal for each counted window, and bounds of its size. Beyond the larger one more windows of the texts are joined.
+BITS_A_WINDOW, LEAST_BITS, MOST_BITS = 16, 1 << 12, 1 << 22
 #: Up to so many benchmark windows are broadcast for the join. Beyond, the join shuffles.
 BROADCAST_WINDOWS = 500_000
 
@@ -34,45 +37,54 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return w.select("item_id", "length", F.explode(keys).alias("key")).distinct()
 
 
-def _bit(key_words: Column) -> Column:
-    return F.pmod(F.xxhash64(key_words), F.lit(BITS))
+def _bit(hashed: Column, bits: int) -> Column:
+    return F.pmod(hashed, F.lit(bits))
 
 
-def bit_set(windows: DataFrame) -> dict[int, Column]:
-    """By window length, a literal of BITS bits. The driver gets at most BITS / 64 integers for each length."""
-    bit = windows.select("length", _bit(F.split("key", " ")).alias("bit"))
+def bit_set(lengths: Column, hashed: Column, windows: DataFrame, bits: int) -> dict[int, Column]:
+    """By window length, a literal of ``bits`` bits. The driver gets at most bits / 64 integers for each length."""
+    bit = windows.select(lengths.alias("length"), _bit(hashed, bits).alias("bit"))
     longs = bit.groupBy("length", F.floor(F.col("bit") / 64).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("bits"))
     held: dict[int, list[int]] = {}
     for r in longs.collect():
-        held.setdefault(r.length, [0] * (BITS // 64))[r.at] = r.bits
-    return {n: F.split(F.lit(",".join(map(str, bits))), ",").cast("array<long>") for n, bits in sorted(held.items())}
+        held.setdefault(r.length, [0] * (bits // 64))[r.at] = r.bits
+    return {n: F.split(F.lit(",".join(map(str, own))), ",").cast("array<long>") for n, own in sorted(held.items())}
 
 
-def _places(w: Column, length: int, bits: Column) -> Column:
-    """Places of the windows of a text whose bit is set, with their words."""
+def _places(w: Column, length: int, heads: Column, whole: Column, bits: int) -> Column:
+    """Places of the windows of a text whose bits are set, with their words."""
     own = lambda i: F.slice(w, i, length)
-    is_set = lambda h: F.getbit(F.element_at(bits, (F.floor(h / 64) + 1).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
-    at = F.filter(F.sequence(F.lit(1), F.size(w) - length + 1), lambda i: is_set(_bit(own(i))))
+    head = lambda i: F.xxhash64(*[F.element_at(w, (i + k).cast("int")) for k in range(min(length, HEAD))])
+    is_set = lambda of, h: F.getbit(F.element_at(of, (F.floor(h / 64) + 1).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
+    at = F.filter(F.sequence(F.lit(1), F.size(w) - length + 1), lambda i: is_set(heads, _bit(head(i), bits)) & is_set(whole, _bit(F.xxhash64(own(i)), bits)))
     found = F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(length).alias("length"), F.array_join(own(i), " ").alias("key")))
     return F.when(F.size(w) >= length, found).otherwise(F.array().cast("array<struct<at:int,length:int,key:string>>"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, digest: Column | None = None) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_words, hit (its hit words' numbers from 1, sorted), items and
-    digest, which stands for a null id.
+    ``digest``, by default what stands for a null id.
 
     Null texts have no words; null ids and repeated rows are kept, each row by itself; repeated item rows count once. An
     empty benchmark hits nothing. A row's number among the scanned rows carries it through, so it is the same when a lost
     task runs again.
     """
     windows = benchmark_windows(benchmark, size)
-    bits = bit_set(windows)
-    base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", stand_in("text").alias("digest"), words(F.col("text")).alias("w"))
+    n_windows = windows.count()
+    bits = min(max(1 << (BITS_A_WINDOW * n_windows - 1).bit_length(), LEAST_BITS), MOST_BITS) if n_windows else LEAST_BITS
+    w = F.split("key", " ")
+    whole = bit_set(F.col("length"), F.xxhash64(w), windows, bits)
+    # windows of fewer words than HEAD have heads of their own length
+    heads = {}
+    for n in whole:
+        of = F.xxhash64(*[F.element_at(w, k + 1) for k in range(min(n, HEAD))])
+        heads |= bit_set(F.col("length"), of, windows.where(F.col("length") == n), bits)
+    base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", (stand_in("text") if digest is None else digest).alias("digest"), words(F.col("text")).alias("w"))
     none = F.array().cast("array<struct<at:int,length:int,key:string>>")
-    places = F.concat(*[_places(F.col("w"), n, b) for n, b in bits.items()]) if bits else none
+    places = F.concat(*[_places(F.col("w"), n, heads[n], b, bits) for n, b in whole.items()]) if whole else none
     scanned = base.select("row", "doc_id", "digest", F.size("w").cast("long").alias("n_words"), F.explode_outer(places).alias("p"))
     keyed = scanned.select("row", "doc_id", "digest", "n_words", F.col("p.at").alias("at"), F.col("p.length").alias("length"), F.col("p.key").alias("key"))
-    small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    small = n_windows <= BROADCAST_WINDOWS
     known = windows.withColumn("known", F.lit(True))  # also where the item's id is null
     joined = keyed.join(F.broadcast(known) if small else known, ["length", "key"], "left")
     hit = F.when(F.col("known"), F.sequence(F.col("at"), F.col("at") + F.col("length") - 1))
@@ -95,8 +107,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW)
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """``docs`` with the hit words cut out of their texts, each with what parts it from the next; other texts are as they were."""
-    hits = contamination(docs, benchmark, size).where(F.size("hit") > 0).groupBy(F.col("doc_id").alias("cachesight_hit_id"), F.col("digest").alias("cachesight_hit_digest")).agg(F.first("hit").alias("cachesight_hit"))
-    marked = docs.withColumn("cachesight_digest", stand_in("text"))
+    own = F.sha2(F.coalesce("text", F.lit("")), 256)  # rows of one id and text have the same hits
+    hits = contamination(docs, benchmark, size, own).where(F.size("hit") > 0).groupBy(F.col("doc_id").alias("cachesight_hit_id"), F.col("digest").alias("cachesight_hit_digest")).agg(F.first("hit").alias("cachesight_hit"))
+    marked = docs.withColumn("cachesight_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     same = marked["doc_id"].eqNullSafe(hits["cachesight_hit_id"]) & marked["cachesight_digest"].eqNullSafe(hits["cachesight_hit_digest"])
     joined = marked.join(hits, same, "left")
     any_word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

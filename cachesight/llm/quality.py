@@ -3,7 +3,8 @@
 A document's own evidence is the log-odds of two logistic models, of junk and of toxic text, over measures of its form
 and over a lexicon of words and word beginnings that tell labelled documents apart. Hosts (``source``) and paths
 (``source`` and ``lang``) get posteriors from sums over their documents: a path shrinks toward its host and a host toward
-the whole, the more the fewer documents it has. A document's log-odds move by its path's posterior against the whole.
+the whole, the more the fewer documents it has. A document's log-odds move by its path's posterior against the whole, from
+the sums without the document itself.
 
 The models are fitted on at most ``sample`` labelled documents, those of the smallest hashes of their ids. Lexicon and
 coefficients have a fixed size; everything else covers all documents.
@@ -146,11 +147,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on labelled documents. Labels that repeat an id count as bad if one of them is; null labels count as good."""
     bad = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(1 - F.coalesce("quality", F.lit(1))).cast("int").alias("junk"), F.max(F.coalesce("toxic", F.lit(0))).cast("int").alias("toxic"))
     chosen = bad.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # this bounds what is broadcast
-    known = materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id"), "labelled")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    own = own.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(x).alias(x) for x in HEADS])  # a row for each id
+    known = materialize(own, "labelled")
     totals = known.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in HEADS]).first()
     if not totals["n"]:
         return Model(np.empty(0, np.uint64), np.zeros(len(FORM)), np.ones(len(FORM)), np.zeros((2, len(FORM) + 1)))
     counts = known.mapInPandas(_token_counts, "token long, n long, n_junk long, n_toxic long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "n_junk", "n_toxic")]).where(F.col("n") >= LEAST_DOCS)
+    counts = materialize(counts, "token-counts")
     n = totals["n"]
     chosen_tokens = []
     for x in HEADS:
@@ -175,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 entries = np.split(e[order], np.searchsorted(d[order], np.arange(1, len(part))))
                 yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "x": list(x), "entries": entries} | {x: own[x].to_numpy() for x in HEADS})
 
-    rows = known.mapInPandas(measure, "doc_id long, x array<double>, entries array<long>, junk int, toxic int").toPandas()  # at most ``sample`` labels
+    rows = known.mapInPandas(measure, "doc_id long, x array<double>, entries array<long>, junk int, toxic int").toPandas()  # at most ``sample``
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.zeros((len(rows), len(FORM) + len(keys)))
     x[:, : len(FORM)] = np.stack(rows["x"].to_numpy())
@@ -211,7 +215,7 @@ def score(docs: DataFrame, model: Model, digest: bool = False) -> DataFrame:
 
 
 def posteriors(scored: DataFrame) -> DataFrame:
-    """source, lang, host and path posteriors of bad documents, and the whole's.
+    """source, lang, host and path posteriors of bad documents, and the whole's, with the sums behind them and the prior's weight.
 
     The prior's weight comes from how far hosts differ beyond chance: with mean m and variance v of their shares, it is
     m (1 - m) / v - 1 documents, at least one. Sums by path are made before the shuffle, so a large host is no large task.
@@ -226,7 +230,8 @@ def posteriors(scored: DataFrame) -> DataFrame:
     weight = min(max(m * (1 - m) / between - 1, 1.0), 1e6)
     host = (F.col("host_s") + weight * m) / (F.col("host_n") + weight)
     both = paths.join(hosts.withColumn("host", host), "source")
-    return both.select("source", "lang", "host", ((F.col("s") + weight * F.col("host")) / (F.col("n") + weight)).alias("path"), F.lit(m).alias("whole"))
+    path = (F.col("s") + weight * F.col("host")) / (F.col("n") + weight)
+    return both.select("source", "lang", "host", path.alias("path"), F.lit(m).alias("whole"), "n", "s", "host_n", "host_s", F.lit(weight).alias("weight"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5, digest: bool = False) -> DataFrame:
@@ -238,7 +243,11 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     """
     scored = materialize(score(docs, train(docs, labels, sample), digest), "scored")
     joined = scored.join(posteriors(scored), ["source", "lang"])
-    odds = _logit(F.col("bad")) + _logit(F.col("path")) - _logit(F.col("whole"))
+    # a document's own evidence counts once: the prior of its path comes from the others
+    weight = F.col("weight")
+    host = (F.col("host_s") - F.col("bad") + weight * F.col("whole")) / (F.col("host_n") - 1 + weight)
+    path = (F.col("s") - F.col("bad") + weight * host) / (F.col("n") - 1 + weight)
+    odds = _logit(F.col("bad")) + _logit(path) - _logit(F.col("whole"))
     bad = 1 / (1 + F.exp(-odds))
     return joined.select("doc_id", "junk", "toxic", "host", "path", bad.alias("bad"), (bad < threshold).alias("keep"), *(["digest"] if digest else []))
 

@@ -20,7 +20,7 @@ from cachesight.llm.common import partitions, table
 TILE = 2048
 #: Candidates of one task, and queries of one block.
 STRIPE, QUERIES = 2 * TILE, 1024
-PACKED = "stripe int, kind int, block int, ids binary, vectors binary"
+PACKED = "stripe int, kind int, block int, size int, ids binary, vectors binary"
 
 
 def usable(vector: Column) -> Column:
@@ -32,13 +32,16 @@ def usable(vector: Column) -> Column:
 def _pack(key, b: pd.DataFrame) -> pd.DataFrame:
     ids = b["vec_id"].to_numpy("<i8")
     order = np.argsort(ids, kind="stable")
-    vectors = np.stack(b["embedding"].to_numpy())[order].astype("<f8")
-    return pd.DataFrame({"stripe": [0], "kind": [int(key[0])], "block": [int(key[1])], "ids": [ids[order].tobytes()], "vectors": [vectors.tobytes()]})
+    own = [b["embedding"].iloc[k] for k in order]
+    vectors = np.zeros((len(own), max(map(len, own))), "<f8")
+    for row, v in zip(vectors, own, strict=True):
+        row[: len(v)] = v
+    return pd.DataFrame({"stripe": [0], "kind": [int(key[0])], "block": [int(key[1])], "size": [vectors.shape[1]], "ids": [ids[order].tobytes()], "vectors": [vectors.tobytes()]})
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """8-bit integers and a scale for each row."""
-    s = np.abs(x).max(axis=1) / 127
+    s = np.maximum(np.abs(x).max(axis=1), np.finfo(float).tiny) / 127
     return np.rint(x / s[:, None]).astype(np.int8), s
 
 
@@ -54,13 +57,17 @@ class Tile:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
         q, self.scale = quantise(vectors)
-        self.q = q.astype(np.float32)  # products of 8-bit integers are exact in single precision up to 1,000 components
+        # products of 8-bit integers are exact in single precision up to 1,040 components, in double precision always
+        self.kind = np.float32 if vectors.shape[1] <= 1000 else np.float64
+        self.q = q.astype(self.kind)
         self.norm = np.abs(vectors).sum(axis=1)
 
     def nearest(self, ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query number, id, score) of what can be among the ``k`` nearest; ``floor`` is each query's k-th score so far."""
+        both = min(x.shape[1], self.vectors.shape[1])  # components beyond either count as zero
+        x = x[:, :both]
         q, s = quantise(x)
-        about = (q.astype(np.float32) @ self.q.T) * s[:, None] * self.scale
+        about = (q.astype(self.kind) @ self.q[:, :both].T) * s[:, None] * self.scale
         bound = np.outer(s / 2, self.norm) + np.outer(s * np.abs(q.astype(np.int32)).sum(axis=1) / 2, self.scale)
         bound = bound * (1 + 1e-9) + 1e-12 * np.abs(about)
         own = ids[:, None] == self.ids
@@ -71,15 +78,15 @@ class Tile:
         score = np.empty(len(a))
         for at in range(0, len(a), 1 << 17):
             part = slice(at, at + (1 << 17))
-            score[part] = exact(x[a[part]], self.vectors[b[part]])
+            score[part] = exact(x[a[part]], self.vectors[b[part], :both])
         return a, self.ids[b], score
 
 
-def _search(k: int, size: int):
+def _search(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stripe, tiles = None, []
         for b in batches:
-            for s, kind, ids, vectors in zip(b["stripe"], b["kind"], b["ids"], b["vectors"], strict=True):
+            for s, kind, size, ids, vectors in zip(b["stripe"], b["kind"], b["size"], b["ids"], b["vectors"], strict=True):
                 if s != stripe:
                     stripe, tiles = s, []
                 ids, x = np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<f8").reshape(-1, size)
@@ -107,27 +114,25 @@ def _search(k: int, size: int):
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): of each query the ``k`` candidates of the largest inner product, ties by vec_id.
 
-    ``vectors`` has vec_id and embedding; further columns are ignored. Rows with a null id, an unusable vector or another
-    length than most take no part. A candidate is each row whose id is not the query's; rows that repeat an id are each a
-    candidate, and as queries count once. Candidates cross the network once, query blocks once for each stripe of
+    ``vectors`` has vec_id and embedding; further columns are ignored. Rows with a null id or an unusable vector take no part; of
+    vectors of different lengths the shorter counts as if zeros followed. A candidate is each row whose id is not the query's;
+    rows that repeat an id are each a candidate, and the least of their vectors is the query. Candidates cross the network once, query blocks once for each stripe of
     candidates. Each stripe gives ``k`` rows for a query.
     """
     spark = vectors.sparkSession
     good = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    sizes = good.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    if not sizes:
+    rows = good.count()
+    if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size, rows = sizes[0]["size"], sizes[0]["count"]
-    good = good.where(F.size("embedding") == size)
     stripes = -(-rows // STRIPE)
-    queries = good.where(is_query).dropDuplicates(["vec_id"])
+    queries = good.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = -(-queries.count() // QUERIES)
     place = lambda df, kind, n: df.select(F.lit(kind).alias("kind"), F.pmod(F.xxhash64("vec_id"), F.lit(max(n, 1))).cast("int").alias("block"), "vec_id", "embedding")
     packed = place(good, 0, stripes).unionByName(place(queries, 1, blocks)).groupBy("kind", "block").applyInPandas(_pack, PACKED)
     candidates = packed.where("kind = 0").withColumn("stripe", F.col("block"))
     spread = packed.where("kind = 1").withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
     dealt = candidates.unionByName(spread).repartition(max(partitions(spark), stripes), "stripe").sortWithinPartitions("stripe", "kind", "block")
-    found = dealt.mapInPandas(_search(k, size), "query_id long, vec_id long, score double")
+    found = dealt.mapInPandas(_search(k), "query_id long, vec_id long, score double")
     from pyspark.sql import Window
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

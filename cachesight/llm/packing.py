@@ -6,11 +6,15 @@ Inside each bucket, batches take as many documents as the token budget allows wh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cachesight.llm.common import materialize, table
+from cachesight.llm.token_counts import worker_pieces
 
 BUCKETS, BUDGET = 16, 16_384
 #: Parts of each bucket that are numbered apart.
@@ -18,10 +22,22 @@ SLOTS = 1024
 
 
 def word_count(text: Column) -> Column:
-    """Words that ASCII white space parts: the length used where no token counts are given."""
+    """Words that ASCII white space parts: a length for those who have no tokenizer."""
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), "")).cast("long")
 
 
+def token_count(text: Column, tokenizer: str) -> Column:
+    """Tokens of the whole text, without any that mark its begin or end; null counts as empty. All executors have the file."""
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pieces = worker_pieces(tokenizer)
+        for b in batches:
+            yield pd.Series(pieces.many(b.tolist()), dtype="int64")
+
+    return count(F.coalesce(text, F.lit("")))
+
+
 def bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     """Upper bounds of at most ``buckets`` ranges of the sorted ``lengths`` with the least sum of padding.
 
@@ -91,5 +107,12 @@ def pack(docs: DataFrame, length: Column, buckets: int = BUCKETS, budget: int =
     return numbered.select("doc_id", "length", "bucket", "bucket_length", F.expr("number div room").alias("batch"), F.expr("cast(number % room as int)").alias("place"), (F.col("bucket_length") - F.col("length")).alias("padding"))
 
 
+def pack_tokens(docs: DataFrame) -> DataFrame:
+    """``pack`` by the tokens of the public tokenizer that the token files use."""
+    import public_tokenizers
+
+    return pack(docs, token_count(F.col("text"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), word_count(F.col("text")))
+    return pack_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))

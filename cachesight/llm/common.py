@@ -29,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared folder of the cluster. It is set here only where it is unset, as in tests."""
+    """A new folder below the shared folder of the cluster. Only in local mode, as in tests, it may be unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = getattr(spark.sparkContext, "_cachesight_shared", None)
         if root is None:
             root = spark.sparkContext._cachesight_shared = tempfile.mkdtemp(prefix="cachesight-")

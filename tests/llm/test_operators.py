@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -74,7 +76,7 @@ def test_op2_round_trip(spark, sf):
 def test_arc_records(version):
     body = b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\na\nb"
     record = archives.arc_record(version, "http://a/b c", "1.2.3.4", "19990102030405", "text/html", body, "f", 7)
-    fields, got = archives.parse_arc(record, version)
+    fields, got, _ = archives.parse_arc(record, version)
     assert got == body and fields["URL"] == "http://a/b c" and len(fields) == len(archives.ARC_FIELDS[version].split())
     warc, block = archives.parse_warc(archives.to_warc(fields, got, 5, "D", None))
     assert block == body and warc["WARC-Date"] == "1999-01-02T03:04:05Z" and warc["WARC-Type"] == "response"
@@ -82,6 +84,28 @@ def test_arc_records(version):
     assert block.endswith(b"\r\n\r\n") and warc["WARC-Type"] == "revisit" and warc["X-Refers-To-Row"] == "2"
     with pytest.raises(ValueError):
         archives.parse_arc(record[:-8], version)
+    if version == 2:
+        with pytest.raises(ValueError, match="checksum"):
+            archives.parse_arc(record.replace(b"a\nb", b"a\nc"), version)
+
+
+@pytest.mark.parametrize("form", ["plain", "whole", "records"])
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_forms(spark, version, form):
+    """Archives that are compressed by record, as a whole or not at all, with heads of bare newlines, become WARC records."""
+    import gzip
+
+    folder, warcs = shared_dir(spark, "arc"), shared_dir(spark, "warc")
+    os.makedirs(folder)
+    bodies = [b"HTTP/1.0 200 OK\nContent-Length: 5\nX-Row: 1\n\nfirst", b"HTTP/1.0 200 OK\r\nContent-Length: 5\r\nX-Row: 2\r\n\r\nfirst", b"no message at all"]
+    records = [archives.arc_header(version, "f", "19990102030405"), *(archives.arc_record(version, f"http://a/{k}", "1.2.3.4", "19990102030405", "text/html", b, "f", 0) for k, b in enumerate(bodies))]
+    data = {"plain": b"".join(records), "whole": gzip.compress(b"".join(records)), "records": b"".join(map(gzip.compress, records))}[form]
+    with open(f"{folder}/f.arc.gz", "wb") as f:
+        f.write(data)
+    names = spark.createDataFrame([("f.arc.gz",)], "name string")
+    plan = archives.plan_revisits(archives.index_arcs(names, folder))
+    got = sorted((r.url, r.record_type, r.payload_bytes, r.refers_to) for r in archives.read_warcs(archives.write_warcs(plan, folder, warcs), warcs).collect())
+    assert got == [("http://a/0", "response", 5, None), ("http://a/1", "revisit", 5, 1), ("http://a/2", "resource", 17, None)]
 
 
 def test_op4_articles(spark, sf):
@@ -108,6 +132,28 @@ def test_op4_containers():
     assert len(main_text.main_text(plain, tree).split("\n")) == 2
 
 
+WORDS = "a sentence of some length that says what has happened here and why it did "
+
+
+@pytest.mark.parametrize("wrapper", ['class="has-sidebar header-top"', 'id="toolbar-page"', 'class="main-with-sidebar"', ""])
+def test_op4_layouts(wrapper):
+    """In the wrapper of a layout, or without any container, words and links of a block and its neighbours decide."""
+    tree = main_text.train(main_text.LABELLED)
+    bar = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>Sport and more</a></li></ul><p>Try our service</p><p><a href=d>Join now</a></p>"
+    text = [(WORDS * n).strip() for n in (5, 6, 7, 5)]
+    page = f"<body><div {wrapper}>{bar}" + "".join(f"<p>{t}</p>" for t in [WORDS * 5, *text, WORDS * 6]) + f"{bar}</div></body>"
+    got = main_text.main_text(page, tree)
+    assert "\n".join(text) in got and "Join now" not in got and "Sport" not in got
+
+
+@pytest.mark.parametrize("part", ["<b ", '<a "', "<a '", "<!-- ", "<script", "<script>", "<span class=x></b>", "<div></p></i>", '<a ">x', "<a \"'>", "<![", "&", "<p class=aB "])
+def test_op4_malformed_pages(part):
+    """A megabyte of what never ends takes seconds, not minutes."""
+    tree, begin = main_text.train(main_text.LABELLED), time.monotonic()
+    page = "<article><p>" + WORDS + "</p>" + part * ((1 << 20) // len(part))
+    assert main_text.main_text(page, tree).startswith(WORDS.strip()) and time.monotonic() - begin < 20
+
+
 @pytest.mark.parametrize("attributes", ['class="overflow-hidden p-4"', 'class="x overflow-x-hidden post"', 'aria-label="a hidden valley"', "data-x='display:none'", 'title="visibility: hidden" lang=en', 'data-hidden="false"', 'style="overflow: hidden"'])
 def test_op4_hidden_is_no_word_of_a_value(attributes):
     tree = main_text.train(main_text.LABELLED)
@@ -148,6 +194,22 @@ def test_op5_brute_force(spark, sf):
     assert hits
 
 
+def test_op5_many_windows(spark, monkeypatch):
+    """A benchmark that fills its bit sets gives the same result, and rows of one id are cut each by its own hits."""
+    rng = np.random.default_rng(2)
+    line = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 50, n))
+    items = [(k, line(int(rng.integers(1, 30)))) for k in range(200)]
+    docs = [(k % 40, line(60)) for k in range(60)] + [(k, items[k][1]) for k in range(20)]
+    df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    order = lambda rows: sorted(map(tuple, rows))
+    want, cut = order(decontaminate.contamination_report(df, b).collect()), order(decontaminate.remove_hits(df, b).collect())
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 1 << 6)
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 1 << 6)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    assert order(decontaminate.contamination_report(df, b).collect()) == want and any(r[5] for r in want)
+    assert order(decontaminate.remove_hits(df, b).collect()) == cut and len(cut) == len(docs)
+
+
 def test_op5_remove_spans(spark):
     docs = spark.createDataFrame([(1, "Keep this. A b, c d e f g h i j! And this."), (2, "untouched  Text")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
@@ -187,6 +249,20 @@ def test_op7_brute_force(spark):
         assert sorted(got[q]) == [(k + 1, i, s[i]) for k, i in enumerate(order)]
 
 
+def test_op7_lengths_and_repeated_ids(spark):
+    """Of vectors of different lengths the shorter counts as if zeros followed; a repeated query id is searched once."""
+    rng = np.random.default_rng(3)
+    own = [(k, rng.normal(size=int(rng.choice([5, 9, 1100]))).tolist()) for k in range(60)] + [(20, [9.0] * 5), (20, [-9.0] * 9)]
+    df = spark.createDataFrame(own, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, 5).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, pytest.approx(r.score)))
+    for q in (0, 20, 40):
+        x = min(v for i, v in own if i == q)
+        s = sorted(((sum(a * b for a, b in zip(x, v)), -i) for i, v in own if i != q), reverse=True)[:5]
+        assert [(-i, v) for v, i in s] == got[q]
+
+
 def test_op7_bounds():
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(50, 64)), rng.normal(size=(70, 64)) * rng.uniform(0.01, 100, (70, 1))
@@ -217,6 +293,9 @@ def test_op8_batches(spark, sf):
         room = max(1, packing.BUDGET // max(ends[bucket], 1))
         last = max(b for k, b in batches if k == bucket)
         assert n == room or batch == last and n <= room
+    library = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    own = texts(spark, sf)
+    assert {r.doc_id: r.length for r in rows} == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in own.items()}
     assert len({(r.bucket, r.batch, r.place) for r in rows}) == 200 and all(r.length + r.padding == r.bucket_length for r in rows)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cachesight.llm import compact_windows, decontaminate, packing, quality, signature_trees
 from cachesight.llm.common import shared_dir, table
@@ -31,7 +30,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: the rest in length buckets and token-budget batches."""
-    return packing.pack(docs, packing.word_count(F.col("text")))
+    return packing.pack_tokens(docs)
 
 
 STAGES = [

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cachesight.llm.common import SHINGLE, WordHashes, chunks, materialize, mix, partitions, runs, table
+from cachesight.llm.common import SHINGLE, WordHashes, chunks, materialize, mix, partitions, runs, table, tidy
 
 #: Equal hashes that make a candidate: minima of two functions, or one and a context beside it. A passage of one run with one
 #: word changed (similarity 0.8) has fewer with a probability of 1e-3.
@@ -133,7 +133,7 @@ def _windows(hot: np.ndarray):
 
 def hot_keys(long: DataFrame) -> np.ndarray:
     """Keys with one of HOT windows or more in a sample of the documents; sorted. They are HOT at most."""
-    sample = long.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInPandas(_windows(np.empty(0, np.int64)), WINDOWS)
+    sample = long.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInPandas(tidy(_windows(np.empty(0, np.int64))), WINDOWS)
     counted = sample.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     counted = materialize(counted, "hot")
     enough = (counted.agg(F.sum("n")).first()[0] or 0) / HOT
@@ -455,10 +455,10 @@ def _passages(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
     long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    windows = long.mapInPandas(_windows(hot_keys(long)), WINDOWS).repartition(n, "key").sortWithinPartitions("key", "doc_id", "middle")
-    sides = windows.mapInPandas(_sides, SIDES).repartition(n, "side_group").sortWithinPartitions("side_group", "doc_id", "middle")
-    ties = windows.mapInPandas(_key_ties, TIES).unionByName(sides.mapInPandas(_side_ties, TIES))
-    found = ties.repartition(n, "doc_id").sortWithinPartitions("doc_id").mapInPandas(_candidates, CANDIDATES)
+    windows = long.mapInPandas(tidy(_windows(hot_keys(long))), WINDOWS).repartition(n, "key").sortWithinPartitions("key", "doc_id", "middle")
+    sides = windows.mapInPandas(tidy(_sides), SIDES).repartition(n, "side_group").sortWithinPartitions("side_group", "doc_id", "middle")
+    ties = windows.mapInPandas(tidy(_key_ties), TIES).unionByName(sides.mapInPandas(tidy(_side_ties), TIES))
+    found = ties.repartition(n, "doc_id").sortWithinPartitions("doc_id").mapInPandas(tidy(_candidates), CANDIDATES)
     found = materialize(found, "candidates")
     pad = 4 * DRIFT
     first = found.groupBy("other").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("parts"), (F.min(F.col("low") + F.array_min("shifts")) - pad).alias("from_shingle"), (F.max(F.col("high") + F.array_max("shifts")) + pad).alias("to_shingle"))
@@ -469,10 +469,10 @@ def _passages(docs: DataFrame) -> DataFrame:
     asked = own.hint("merge").join(served, "doc_id", "full_outer")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     asked = asked.select("doc_id", zero("own_parts"), zero("from_shingle"), zero("to_shingle"), *[F.col(f"c.{x}").alias(y) for x, y in (("other", "others"), ("low", "from_low"), ("high", "to_high"), ("shifts", "shifts"), ("lows", "lows"), ("highs", "highs"), ("parts", "shares"))])
-    messages = asked.hint("merge").join(long.withColumn("content", F.xxhash64("text")), "doc_id").mapInPandas(_messages, MESSAGES)
+    messages = asked.hint("merge").join(long.withColumn("content", F.xxhash64("text")), "doc_id").mapInPandas(tidy(_messages), MESSAGES)
     dealt = messages.repartition(n, "other", "part").sortWithinPartitions("other", "part", "kind", "doc_id")
-    verified = dealt.mapInPandas(_verified, f"content long, {PASSAGES}").repartition(n, "doc_id")
-    return verified.sortWithinPartitions("doc_id").mapInPandas(_cover, f"content long, {PASSAGES}")
+    verified = dealt.mapInPandas(tidy(_verified), f"content long, {PASSAGES}").repartition(n, "doc_id")
+    return verified.sortWithinPartitions("doc_id").mapInPandas(tidy(_cover), f"content long, {PASSAGES}")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cachesight.llm.common import materialize, table
+from cachesight.llm.common import materialize, table, tidy
 from cachesight.llm.token_counts import worker_pieces
 
 BUCKETS, BUDGET = 16, 16_384
@@ -29,12 +29,16 @@ def word_count(text: Column) -> Column:
 def token_count(text: Column, tokenizer: str) -> Column:
     """Tokens of the whole text, without any that mark its begin or end; null counts as empty. All executors have the file."""
 
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @tidy
+    def run(batches):
         pieces = worker_pieces(tokenizer)
         for b in batches:
             yield pd.Series(pieces.many(b.tolist()), dtype="int64")
 
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from run(batches)
+
     return count(F.coalesce(text, F.lit("")))
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cachesight.llm.common import WordHashes, chunks, materialize, stand_in, table, without
+from cachesight.llm.common import WordHashes, chunks, materialize, stand_in, table, tidy, without
 
 SAMPLE = 20_000
 #: Entries of the lexicon for each model; least z-score, log-odds, documents and share of the bad documents of an entry.
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     totals = known.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in HEADS]).first()
     if not totals["n"]:
         return Model(np.empty(0, np.uint64), np.zeros(len(FORM)), np.ones(len(FORM)), np.zeros((2, len(FORM) + 1)))
-    counts = known.mapInPandas(_token_counts, "token long, n long, n_junk long, n_toxic long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "n_junk", "n_toxic")]).where(F.col("n") >= LEAST_DOCS)
+    counts = known.mapInPandas(tidy(_token_counts), "token long, n long, n_junk long, n_toxic long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "n_junk", "n_toxic")]).where(F.col("n") >= LEAST_DOCS)
     counts = materialize(counts, "token-counts")
     n = totals["n"]
     chosen_tokens = []
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 entries = np.split(e[order], np.searchsorted(d[order], np.arange(1, len(part))))
                 yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "x": list(x), "entries": entries} | {x: own[x].to_numpy() for x in HEADS})
 
-    rows = known.mapInPandas(measure, "doc_id long, x array<double>, entries array<long>, junk int, toxic int").toPandas()  # at most ``sample``
+    rows = known.mapInPandas(tidy(measure), "doc_id long, x array<double>, entries array<long>, junk int, toxic int").toPandas()  # at most ``sample``
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.zeros((len(rows), len(FORM) + len(keys)))
     x[:, : len(FORM)] = np.stack(rows["x"].to_numpy())
@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: Model, digest: bool = False) -> DataFrame:
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     wide = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text", *([stand_in(*DECIDING).alias("digest")] if digest else []))
-    return wide.mapInPandas(run, f"doc_id {id_type}, source string, lang string, {'digest string, ' if digest else ''}junk double, toxic double, bad double")
+    return wide.mapInPandas(tidy(run), f"doc_id {id_type}, source string, lang string, {'digest string, ' if digest else ''}junk double, toxic double, bad double")
 
 
 def posteriors(scored: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cachesight.llm.common import WordHashes, chunks, connected_components, materialize, mix, partitions, runs, table
+from cachesight.llm.common import WordHashes, chunks, connected_components, materialize, mix, partitions, runs, table, tidy
 
 BANDS, ROWS = 50, 4
 #: Similarity as a fraction, so that limits are exact.
@@ -93,7 +93,7 @@ def _digest(s: np.ndarray) -> bytes:
 def describe(docs: DataFrame) -> DataFrame:
     """doc_id, hash of the text, n_shingles, digest of the set and band keys of each row; null texts are empty."""
     own = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("content"))
-    return own.mapInPandas(_describe, "doc_id long, content long, n_shingles long, digest binary, bands array<long>")
+    return own.mapInPandas(tidy(_describe), "doc_id long, content long, n_shingles long, digest binary, bands array<long>")
 
 
 def _bucket_ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -304,7 +304,7 @@ def _joined(units: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (u, v) in units (unit, side, node): trees over sides 0 and 1, or over side 0 alone, are traversed together."""
     dealt = units.hint("merge").join(texts, "node").select("unit", "side", F.col("node").alias("id"), "text")
     dealt = dealt.repartition(partitions(texts.sparkSession), "unit").sortWithinPartitions("unit", "side", "id")
-    return dealt.mapInPandas(_verify, "u long, v long")
+    return dealt.mapInPandas(tidy(_verify), "u long, v long")
 
 
 def _leader_units(ties: DataFrame) -> DataFrame:
@@ -352,7 +352,7 @@ def _components(docs: DataFrame) -> DataFrame:
     classes = materialize(classes, "classes")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("doc_id IS NOT NULL")
     banded = classes.select(F.explode("bands").alias("key"), "n", "id")
-    ties = banded.repartition(partitions(spark), "key").sortWithinPartitions("key", "n", "id").mapInPandas(_bucket_ties, "u long, v long, n long")
+    ties = banded.repartition(partitions(spark), "key").sortWithinPartitions("key", "n", "id").mapInPandas(tidy(_bucket_ties), "u long, v long, n long")
     ties = materialize(ties.where("u <> v").groupBy("u", "v").agg(F.count("*").alias("ties"), F.max("n").alias("n")), "ties")
     first = connected_components(_joined(_leader_units(ties), texts), "first")
     apart = _roots(_roots(ties.select("u", "v"), "u", first, "a"), "v", first, "b").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))

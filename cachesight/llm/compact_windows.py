@@ -40,13 +40,13 @@ DRIFT, GAP, ASUNDER = 16, 12, 2 * SPAN
 #: How far alignments within one candidate may differ (a match may lie 4 DRIFT off). Longer chains are cut into stretches of
 #: this width that overlap by DRIFT, so ties that may join always share one.
 STRETCH = 3 * DRIFT
-#: Ties of a document with many followers that one task verifies.
-FOLLOWERS = 4096
-#: A hash is dealt over SHARES tasks if it has one of HOT windows or more, by one of SAMPLE documents. There are HOT such
-#: hashes at most. This changes which earlier document a window is tied to, not whether it is tied.
-SAMPLE, HOT, SHARES = 64, 1000, 255
+#: Stretches of followers of one document that a task verifies.
+FOLLOWERS = 512
+#: A hash that has one of HOT windows or more, by one of SAMPLE documents, is dealt out in shares, PARTS to that many windows and
+#: SHARES at most. There are HOT such hashes at most. This changes which earlier document a window is tied to, not whether it is tied.
+SAMPLE, HOT, PARTS, SHARES = 64, 4096, 8, 4095
 _SALTS = mix(np.arange(77, 77 + HASHES, dtype=np.uint64))
-#: key: 48 bits of the smallest hash, the function's number in a byte, and a share in a byte (0 unless the hash is dealt out).
+#: key: 48 bits of the smallest hash, 4 of the function's number, and 12 of a share (0 unless the hash is dealt out).
 #: contexts: 24 bits of the shingle on either side (0 without one), then the window's reach to the left and to the right.
 WINDOWS = "key long, contexts long, doc_id long, middle int"
 
@@ -102,8 +102,8 @@ def compact_windows(h: np.ndarray, begin: np.ndarray, span: int = SPAN) -> tuple
     return left[wide], middle[wide], right[wide]
 
 
-def _windows(hot: np.ndarray):
-    """Of documents their windows; ``hot`` are the sorted keys that are dealt out."""
+def _windows(hot: np.ndarray, shares: np.ndarray):
+    """Of documents their windows; ``hot`` are the sorted keys that are dealt out in ``shares``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -122,22 +122,24 @@ def _windows(hot: np.ndarray):
                         inside = (there >= first) & (there < end)
                         context = np.maximum(s[np.where(inside, there, 0)] >> np.uint64(40), np.uint64(1))
                         packed |= np.where(inside, context, np.uint64(0)) << np.uint64(shift)
-                    key = (h[middle] & np.uint64(0xFFFFFFFFFFFF0000) | np.uint64(number << 8)).view(np.int64)
+                    key = (h[middle] & np.uint64(0xFFFFFFFFFFFF0000) | np.uint64(number << 12)).view(np.int64)
                     if len(hot):
-                        share = mix(doc.view(np.uint64)) % np.uint64(SHARES) + np.uint64(1)
-                        key = np.where(np.isin(key, hot), key | share.view(np.int64), key)
+                        where = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                        share = mix(doc.view(np.uint64)) % shares[where] + np.uint64(1)
+                        key = np.where(hot[where] == key, key | share.view(np.int64), key)
                     yield pd.DataFrame({"key": key, "contexts": packed.view(np.int64), "doc_id": doc, "middle": (middle - first).astype(np.int32)})
 
     return run
 
 
-def hot_keys(long: DataFrame) -> np.ndarray:
-    """Keys with one of HOT windows or more in a sample of the documents; sorted. They are HOT at most."""
-    sample = long.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInPandas(tidy(_windows(np.empty(0, np.int64))), WINDOWS)
-    counted = sample.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    counted = materialize(counted, "hot")
-    enough = (counted.agg(F.sum("n")).first()[0] or 0) / HOT
-    return np.array(sorted(r.key for r in counted.where((F.col("n") >= enough) & (F.col("n") >= 16)).collect()), np.int64)
+def hot_keys(long: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys with one of HOT windows or more in a sample of the documents, sorted, and their shares. They are HOT at most."""
+    none = np.empty(0, np.int64), np.empty(0, np.uint64)
+    sample = long.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInPandas(tidy(_windows(*none)), WINDOWS)
+    counted = materialize(sample.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "hot")
+    enough = max((counted.agg(F.sum("n")).first()[0] or 0) / HOT, 16)
+    rows = sorted((r.key, min(-(-PARTS * r.n // int(enough)), SHARES)) for r in counted.where(F.col("n") >= enough).collect())
+    return (np.array([k for k, _ in rows], np.int64), np.array([x for _, x in rows], np.uint64)) if rows else none
 
 
 class Firsts:
@@ -179,28 +181,31 @@ def _tie(doc, middle, contexts, other, other_middle, other_contexts, function) -
 
 def _key_ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """From windows sorted by (key, doc_id, middle): ties to the first of the key, and of keys that are dealt out also those to
-    the first of equal context in the batch."""
+    the first of equal context in the batch, where that is not the context of the first of the key."""
     firsts = Firsts()
     for b in batches:
         if not len(b):
             continue
         key, doc, middle, contexts = (b[c].to_numpy() for c in ("key", "doc_id", "middle", "contexts"))
         goes_on, (other, other_middle, other_contexts) = firsts(key, doc, middle, contexts)
-        function = key >> 8 & 255
+        function = key >> 12 & 15
         rows = np.flatnonzero(goes_on)
         yield _tie(doc[rows], middle[rows], contexts[rows], other[rows], other_middle[rows], other_contexts[rows], function[rows])
         for side in (0, 1):
-            rows, _, first = _side_rows(side, key, contexts, key & 255 != 0)
+            rows, _, first = _side_rows(side, key, contexts, goes_on, other_contexts)
+            rows, first = (x[key[rows] & SHARES != 0] for x in (rows, first))
             rows, first = rows[rows != first], first[rows != first]
             if len(rows):
                 yield _tie(doc[rows], middle[rows], contexts[rows], doc[first], middle[first], contexts[first], function[rows])
 
 
-def _side_rows(side: int, key, contexts, wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The wanted rows of a batch with a context on this side, the hash of their key, side and context, and the first row of it."""
-    own = contexts >> (40, 16)[side] & 0xFFFFFF
-    rows = np.flatnonzero(wanted & (own != 0))
-    group = mix((key[rows] & -256 | side).view(np.uint64) ^ mix(own[rows].view(np.uint64))).view(np.int64)
+def _side_rows(side: int, key, contexts, goes_on, first_contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a batch with a context on this side that the first of their key does not have, and the firsts of keys that are
+    dealt out themselves; the hash of their key, side and context; and the first row of it in the batch."""
+    shift = (40, 16)[side]
+    own = contexts >> shift & 0xFFFFFF
+    rows = np.flatnonzero((own != 0) & np.where(goes_on, own != (first_contexts >> shift & 0xFFFFFF), key & SHARES != 0))
+    group = mix((key[rows] & ~SHARES | side).view(np.uint64) ^ mix(own[rows].view(np.uint64))).view(np.int64)
     _, at, number = np.unique(group, return_index=True, return_inverse=True)
     return rows, group, rows[at[number]]
 
@@ -210,20 +215,23 @@ SIDES = "side_group long, function int, doc_id long, middle int, contexts long"
 
 def _sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """From the same windows in the same batches: those with a context that the first of their key does not have, under the
-    hash of key, side and context. Of a key that is dealt out, whose first differs from task to task, one window of each context
-    leaves a batch; the others are tied to it by ``_key_ties``."""
+    hash of key, side and context. Of a key that is dealt out, whose first differs from share to share, one window of each context
+    leaves a batch, to which the others are tied by ``_key_ties``, and the firsts of its shares meet, too."""
     firsts = Firsts()
     for b in batches:
         if not len(b):
             continue
         key, doc, middle, contexts = (b[c].to_numpy() for c in ("key", "doc_id", "middle", "contexts"))
         goes_on, (first_contexts,) = firsts(key, contexts)
-        dealt = key & 255 != 0
-        for side, shift in enumerate((40, 16)):
-            rows, group, first = _side_rows(side, key, contexts, dealt | goes_on & ((contexts ^ first_contexts) >> shift & 0xFFFFFF != 0))
-            keep = ~dealt[rows] | (rows == first)
-            rows = rows[keep]
-            yield pd.DataFrame({"side_group": group[keep], "function": (key[rows] >> 8 & 255).astype(np.int32), "doc_id": doc[rows], "middle": middle[rows], "contexts": contexts[rows]})
+        for side in (0, 1, 2):
+            if side < 2:
+                rows, group, first = _side_rows(side, key, contexts, goes_on, first_contexts)
+                keep = (key[rows] & SHARES == 0) | (rows == first)
+                rows, group = rows[keep], group[keep]
+            else:  # the firsts of the shares of a key
+                rows = np.flatnonzero(~goes_on & (key & SHARES != 0))
+                group = mix((key[rows] & ~SHARES | side).view(np.uint64)).view(np.int64)
+            yield pd.DataFrame({"side_group": group, "function": (key[rows] >> 12 & 15).astype(np.int32), "doc_id": doc[rows], "middle": middle[rows], "contexts": contexts[rows]})
 
 
 def _side_ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -455,7 +463,7 @@ def _passages(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
     long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    windows = long.mapInPandas(tidy(_windows(hot_keys(long))), WINDOWS).repartition(n, "key").sortWithinPartitions("key", "doc_id", "middle")
+    windows = long.mapInPandas(tidy(_windows(*hot_keys(long))), WINDOWS).repartition(n, "key").sortWithinPartitions("key", "doc_id", "middle")
     sides = windows.mapInPandas(tidy(_sides), SIDES).repartition(n, "side_group").sortWithinPartitions("side_group", "doc_id", "middle")
     ties = windows.mapInPandas(tidy(_key_ties), TIES).unionByName(sides.mapInPandas(tidy(_side_ties), TIES))
     found = ties.repartition(n, "doc_id").sortWithinPartitions("doc_id").mapInPandas(tidy(_candidates), CANDIDATES)

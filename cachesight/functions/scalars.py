@@ -40,12 +40,12 @@ def pseudonym_list(c: Column, salt: str) -> Column:
 
 def stable_score(*parts: Column) -> Column:
     """16 hex digits that order like a hash of the parts; text of a fixed width sorts like the number."""
-    return F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, 16)
+    return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 16)
 
 
 def odd_hash(*parts: Column) -> Column:
     """Parity of the last byte of a SHA-256: a coin that every engine tosses alike."""
-    return F.conv(F.right(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), F.lit(1)), 16, 10).cast("int") % 2 == 1
+    return F.conv(F.right(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), F.lit(1)), 16, 10).cast("int") % 2 == 1
 
 
 def sign(c: Column, tolerance: float = 1e-12) -> Column:

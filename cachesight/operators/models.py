@@ -8,10 +8,11 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cachesight.functions.scalars import finite, linear_score, safe_ratio, sign
+from cachesight.functions.scalars import finite, linear_score, odd_hash, safe_ratio, sign
 from cachesight.schema import DECISION_KEY
 
 
@@ -71,6 +72,15 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, ridge: float =
     p = len(features) + 1
     x = [F.lit(1.0), *[F.col(c) for c in features]]
     w = np.zeros(p)
+    df = df.select(*features, label).persist()  # each step reads it
+    try:
+        return _newton(df, x, w, label, ridge, steps, tolerance)
+    finally:
+        df.unpersist()
+
+
+def _newton(df: DataFrame, x: list[Column], w: np.ndarray, label: str, ridge: float, steps: int, tolerance: float) -> np.ndarray:
+    p = len(x)
     for _ in range(steps):
         z = sum((x[i] * float(w[i]) for i in range(1, p)), F.lit(float(w[0])))
         q = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
@@ -115,6 +125,42 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     return F.round((centre - half) / (1 + z * z / n), 9), F.round((centre + half) / (1 + z * z / n), 9)
 
 
+def majority_baseline(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Every pair gets the training pairs' commonest label, and their share as its probability; ties are left out."""
+    rows = pairs.where("is_tie = 0")
+    share = rows.where("split = 'train'").agg(F.avg("label_a_better").alias("share"))
+    joined = rows.crossJoin(F.broadcast(share))  # one row
+    p = F.greatest(F.least("share", F.lit(1 - 1e-12)), F.lit(1e-12))
+    hit = (F.col("share") >= 0.5).cast("int") == F.col("label_a_better")
+    return joined.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("label_a_better"), 9).alias("positive_rate"), F.round(F.avg(hit.cast("double")), 9).alias("accuracy"), F.round(F.avg(F.when(F.col("label_a_better") == 1, -F.log(p)).otherwise(-F.log(1 - p))), 9).alias("log_loss"))
+
+
+def random_baseline(pairs: DataFrame, key: list[str], by: list[str], seed: int = 7) -> DataFrame:
+    """Every pair gets a label by the parity of a seeded hash, at a probability of one half; ties are left out."""
+    rows = pairs.where("is_tie = 0")
+    guess = odd_hash(F.lit(str(seed)), *[F.col(c) for c in key]).cast("int")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("label_a_better"), 9).alias("positive_rate"), F.round(F.avg((guess == F.col("label_a_better")).cast("double")), 9).alias("accuracy"), F.round(F.lit(1.0) * -F.log(F.lit(0.5)), 9).alias("log_loss"))
+
+
+def raw_score_accuracy(pairs: DataFrame, feature: str, by: list[str]) -> DataFrame:
+    """Side a is said to be better where its score is larger, b where it is smaller or equal; with the share's 95 % interval."""
+    rows = pairs.where("is_tie = 0").withColumn("hit", ((F.col(f"{feature}_a") > F.col(f"{feature}_b")).cast("int") == F.col("label_a_better")).cast("int"))
+    counted = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    low, high = wilson(F.col("hits"), F.col("n"))
+    return counted.select(*by, "n", F.round(safe_ratio(F.col("hits"), F.col("n")), 9).alias("accuracy"), low.alias("low"), high.alias("high"))
+
+
+def calibrated_score(pairs: DataFrame, difference: Column, by: list[str], ridge: float = 1.0) -> DataFrame:
+    """A logistic model of one standardised difference, fitted on training pairs; ``pair_metrics`` of all by ``by``."""
+    rows = pairs.where("is_tie = 0").withColumn("difference", F.coalesce(difference, F.lit(0.0)))
+    train = rows.where("split = 'train'")
+    _, scale = standardise(train, ["difference"])
+    mean, deviation = scale["difference"]
+    scaled = lambda df: df.withColumn("difference", (F.col("difference") - mean) / deviation)
+    w = fit_logistic(scaled(train), ["difference"], "label_a_better", ridge)
+    return pair_metrics(scaled(rows), logistic_probability(w, ["difference"]), by)
+
+
 def optimal_set_agreement(losses: DataFrame, key: list[str]) -> DataFrame:
     """For each decision two losses (x, y) of each candidate: Jaccard of the optimal sets, and the regret under y of what is
     optimal under x: mean, least, largest, and how likely it stays optimal."""
@@ -201,16 +247,39 @@ def permutation_p(cells: DataFrame, block: str, unit: str, x: str, y: str) -> Da
     return r.crossJoin(F.broadcast(observed)).agg(F.count("*").alias("ways"), F.round(F.first("observed"), 9).alias("observed"), F.round(F.avg((F.col("r") >= F.col("observed") - 1e-9).cast("double")), 9).alias("p_value"))  # one row
 
 
+#: The distribution of a Poisson variable of mean 1, up to 5, and the multipliers of a public 64-bit mixer.
+POISSON = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317]
+MIXER = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def _resampled(replicates: int, seed: int):
+    """Weighted sums and sums of weights of each replicate, over the rows of a task."""
+
+    def run(batches):
+        sums, weights = np.zeros(replicates), np.zeros(replicates)
+        one, two = (np.uint64(m) for m in MIXER)
+        replicate = (np.arange(1, replicates + 1, dtype=np.uint64) + np.uint64(seed << 32)) * one
+        for b in batches:
+            h, v = b["h"].to_numpy().view(np.uint64), b["v"].to_numpy(float)
+            for at in range(0, len(h), 512):
+                x = h[at : at + 512, None] ^ replicate
+                x = (x ^ (x >> np.uint64(30))) * one
+                x = (x ^ (x >> np.uint64(27))) * two
+                w = np.searchsorted(POISSON, (x >> np.uint64(34)).astype(float) / (1 << 30), "right").astype(float)
+                sums += v[at : at + 512] @ w
+                weights += w.sum(axis=0)
+        yield pd.DataFrame({"k": np.arange(replicates), "s": sums, "w": weights})
+
+    return run
+
+
 def bootstrap(decisions: DataFrame, value: str, replicates: int = 2000, seed: int = 7) -> DataFrame:
     """Mean of ``value`` over decisions with Poisson weights for each replicate, and their percentile interval.
 
     Each row's weight in a replicate is drawn from a hash of the row and the replicate, so every part of the table can be
-    resampled where it is, and repeated runs give the same result.
+    resampled where it is, and repeated runs give the same result. A task sums up before anything is shuffled. Nulls are left out.
     """
-    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), k, *[F.col(c) for c in DECISION_KEY if c in decisions.columns]), F.lit(1 << 30)) / float(1 << 30)
-    #: Distribution of a Poisson variable of mean 1, up to 5.
-    steps = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317]
-    weight = lambda v: sum(((v >= s).cast("int") for s in steps), F.lit(0))
-    drawn = decisions.select(F.col(value).alias("v"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda k: F.struct(k.alias("k"), weight(u(k)).alias("w")))).alias("d"))
-    means = drawn.groupBy("d.k").agg((F.sum(F.col("v") * F.col("d.w")) / F.sum("d.w")).alias("m"))
+    rows = decisions.where(F.col(value).isNotNull()).select(F.xxhash64(*[c for c in DECISION_KEY if c in decisions.columns]).alias("h"), F.col(value).cast("double").alias("v"))
+    sums = rows.mapInPandas(_resampled(replicates, seed), "k long, s double, w double").groupBy("k").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+    means = sums.where("w > 0").select((F.col("s") / F.col("w")).alias("m"))
     return means.agg(F.count("*").alias("replicates"), F.round(F.percentile("m", 0.5), 9).alias("median"), F.round(F.percentile("m", 0.025), 9).alias("low"), F.round(F.percentile("m", 0.975), 9).alias("high"))

@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cachesight.functions.scalars import finite, safe_ratio
+from cachesight.functions.scalars import finite, safe_ratio, text_key
 from cachesight.operators.views import attach_regret
 from cachesight.schema import DECISION_KEY
 
+
 def nontrivial() -> dict[str, Column]:
-    """Named subsets of decisions that are not trivial."""
+    """Named subsets of decisions that are not trivial. Their names and thresholds."""
+    best, n = F.col("optimal_candidate_count"), F.col("candidate_count")
     return {
-        "not_all_tied": F.col("regret_max") > 0,
-        "single_optimum": F.col("optimal_candidate_count") == 1,
-        "half_or_fewer_optimal": F.col("optimal_candidate_count") * 2 <= F.col("candidate_count"),
-        "mean_regret_over_tenth": F.col("regret_mean") > 0.1,
-        "mean_regret_over_half": F.col("regret_mean") > 0.5,
-        "max_regret_2": F.col("regret_max") >= 2,
-        "max_regret_3": F.col("regret_max") >= 3,
-        "some_loss_certain": F.col("min_y_loss") >= 1,
+        "not_all_tied": best < n,
+        "unique_optimal_victim": best == 1,
+        "optimal_set_fraction_le_0.5": best / n <= 0.5,
+        "loss_range_ge_1": F.col("regret_max") >= 1,
+        "loss_range_ge_2": F.col("regret_max") >= 2,
+        "random_expected_regret_ge_0.1": F.col("regret_mean") >= 0.1,
+        "random_expected_regret_ge_0.5": F.col("regret_mean") >= 0.5,
+        "random_expected_regret_ge_1": F.col("regret_mean") >= 1.0,
     }
 
 
@@ -32,6 +34,10 @@ def _panel() -> list[Column]:
         F.round(F.sum("regret_sum") / F.sum("candidate_count"), 9).alias("regret_by_candidate"), F.max("regret_max").alias("regret_max"),
         F.round(F.avg("regret_max"), 9).alias("mean_regret_max"), F.round(F.percentile("regret_mean", 0.5), 9).alias("median_regret_mean"),
         F.round(F.percentile("regret_mean", 0.9), 9).alias("p90_regret_mean"), F.count_if(best == 1).alias("single_optimum"), F.round(F.avg("optimal_candidate_count"), 9).alias("mean_optimal_count"),
+        F.round(F.avg((best == 1).cast("double")), 9).alias("single_optimum_fraction"), F.round(F.percentile(best / n, 0.5), 9).alias("median_optimal_fraction"),
+        F.round(F.percentile("regret_mean", 0.95), 9).alias("p95_regret_mean"), F.round(F.percentile("regret_mean", 0.99), 9).alias("p99_regret_mean"),
+        F.round(F.avg((F.col("regret_max") >= 1).cast("double")), 9).alias("loss_range_ge_1"), F.round(F.avg((F.col("regret_max") >= 2).cast("double")), 9).alias("loss_range_ge_2"),
+        F.round(F.avg((n - best) / n), 9).alias("random_regret_probability"),
     ]
 
 
@@ -46,14 +52,15 @@ def discriminativeness_sets(decisions: DataFrame, by: list[str]) -> DataFrame:
 
 
 def nontrivial_subsets(decisions: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Each named subset's size, share, and mean and median regret; a decision is expanded into the subsets that hold it."""
+    """Each named subset's size, share of decisions and of candidates, and mean and median regret; a decision is expanded into the
+    subsets that hold it."""
     names = F.array_compact(F.array(*[F.when(p, F.lit(k)) for k, p in nontrivial().items()]))
     by = by or []
-    held = decisions.select(*by, "regret_mean", F.explode(names).alias("subset"))
-    out = held.groupBy(*by, "subset").agg(F.count("*").alias("decisions"), F.round(F.avg("regret_mean"), 9).alias("mean_regret"), F.round(F.percentile("regret_mean", 0.5), 9).alias("median_regret"))
-    whole = decisions.groupBy(*by).agg(F.count("*").alias("n"))
+    held = decisions.select(*by, "regret_mean", "candidate_count", F.explode(names).alias("subset"))
+    out = held.groupBy(*by, "subset").agg(F.count("*").alias("decisions"), F.sum("candidate_count").alias("candidates"), F.round(F.avg("regret_mean"), 9).alias("mean_regret"), F.round(F.percentile("regret_mean", 0.5), 9).alias("median_regret"))
+    whole = decisions.groupBy(*by).agg(F.count("*").alias("n"), F.sum("candidate_count").alias("n_candidates"))
     joined = out.join(whole, by) if by else out.crossJoin(whole)  # the whole is one row
-    return joined.select(*by, "subset", "decisions", F.round(F.col("decisions") / F.col("n"), 9).alias("coverage"), "mean_regret", "median_regret")
+    return joined.select(*by, "subset", "decisions", F.round(F.col("decisions") / F.col("n"), 9).alias("coverage"), "candidates", F.round(F.col("candidates") / F.col("n_candidates"), 9).alias("candidate_coverage"), "mean_regret", "median_regret")
 
 
 def candidate_regret(candidates: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -70,7 +77,7 @@ def candidate_regret(candidates: DataFrame, by: list[str] | None = None) -> Data
 
 def pair_panel(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Ties, sides and decisions of a table of pairs."""
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in DECISION_KEY])
+    key = text_key(*DECISION_KEY)
     return pairs.groupBy(*(by or [])).agg(
         F.count("*").alias("pairs"), F.sum("is_tie").alias("ties"), F.sum("label_a_better").alias("a_better"), F.sum("label_b_better").alias("b_better"),
         F.count_distinct(key).alias("decisions"), F.round(F.avg("is_tie"), 9).alias("tie_fraction"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,8 +159,3 @@ def unit_completeness(plan: DataFrame, files: DataFrame) -> DataFrame:
     seen = unit.groupBy("family", "capacity").agg(F.max("marker").alias("marker"), F.count_if(~F.col("marker")).alias("shards"))
     state = F.when(F.col("marker"), "complete").when(F.col("shards") > 0, "partial").otherwise("missing")
     return plan.join(seen, ["family", "capacity"], "left").select("family", "capacity", state.alias("state"), F.coalesce("shards", F.lit(0)).alias("shards"))
-
-
-def as_json(df: DataFrame) -> str:
-    """A small result as JSON text."""
-    return json.dumps([json.loads(r) for r in df.toJSON().take(10_000)], sort_keys=True)

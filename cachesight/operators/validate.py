@@ -17,8 +17,9 @@ def label_faults(candidates: DataFrame) -> DataFrame:
     y, v = F.col("y_loss"), F.col("y_value")
     bad = lambda c: F.count_if(F.coalesce(c, F.lit(True)))
     return candidates.agg(
-        F.count("*").alias("row_count"), bad(~finite(y)).alias("loss_not_finite"), bad(~finite(v)).alias("value_not_finite"), bad(y < 0).alias("loss_negative"), bad(y != F.floor(y)).alias("loss_fractional"),
+        F.count("*").alias("row_count"), bad(~finite(y)).alias("loss_not_finite"), bad(~finite(v)).alias("value_not_finite"), bad(y < 0).alias("loss_negative"), F.count_if(finite(y) & (y != F.floor(y))).alias("loss_fractional"),
         bad(F.abs(v + y) > 1e-8).alias("sign_mismatch"), bad(~F.col("split").isin(*SPLITS)).alias("split_unknown"),
+        F.when(F.count_if(F.col("split") == "val") > 0, F.count_if(F.col("split") == "validation")).otherwise(0).alias("split_named_twice"),
     )
 
 
@@ -95,7 +96,7 @@ def leaked_values(public: DataFrame, raw: DataFrame, raw_column: str) -> DataFra
 
 
 #: Patterns of what published tables must not hold.
-SECRETS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "token": r"\b(?:hf|ghp|gho|sk)_[A-Za-z0-9]{20,}\b", "absolute_path": r"(?:^|[\s\"'=])(?:/home/|/Users/|/mnt/|[A-Z]:\\)"}
+SECRETS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "token": r"\b(?:(?:hf|ghp|gho|sk)_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b", "absolute_path": r"(?:^|[\s\"'=])(?:/home/|/Users/|/mnt/|[A-Z]:\\)"}
 
 
 def secret_scan(df: DataFrame) -> DataFrame:

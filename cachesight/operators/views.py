@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cachesight.functions.scalars import odd_hash
+from cachesight.functions.scalars import odd_hash, text_key
 from cachesight.schema import CANONICAL, DECISION_KEY, FEATURES, LABELS
 
 METHOD = "sha256-parity-v1"
@@ -60,7 +60,7 @@ def pairwise_sample(candidates: DataFrame, rows: int, per_decision: int, seed: i
     Only the ``per_decision`` + 1 smallest pages of a decision can appear in its first pairs, so the self-join sees no more.
     """
     decisions = candidates.select(*DECISION_KEY).distinct()
-    draw = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in DECISION_KEY]), 256)
+    draw = F.sha2(F.concat_ws("|", F.lit(str(seed)), text_key(*DECISION_KEY)), 256)
     wanted = -(-rows // per_decision)
     drawn = decisions.orderBy(draw, *DECISION_KEY).limit(wanted)
     rows_drawn = attach_regret(candidates.select(*DECISION_KEY, "candidate_page_id", "y_loss").join(drawn, DECISION_KEY, "left_semi"))
@@ -73,10 +73,14 @@ def pairwise_sample(candidates: DataFrame, rows: int, per_decision: int, seed: i
 
 
 def augment_pairs(pairs: DataFrame, candidates: DataFrame, features: list[str]) -> DataFrame:
-    """``pairs`` with the features of both sides. A page that a decision lists twice, or not at all, raises."""
+    """``pairs`` with the features of both sides. A page that a decision lists twice, or not at all, raises.
+
+    Only candidates of the pairs' decisions are grouped, and once for both sides; Spark broadcasts the decisions if they are few.
+    """
     out = pairs
+    needed = candidates.select(*DECISION_KEY, "candidate_page_id", *features).join(pairs.select(*DECISION_KEY).distinct(), DECISION_KEY, "left_semi")
     for s in "ab":
-        one = candidates.groupBy(*DECISION_KEY, F.col("candidate_page_id").alias(f"candidate_{s}_page_id")).agg(F.count("*").alias("copies"), *[F.first(c).alias(f"{c}_{s}") for c in features])
+        one = needed.groupBy(*DECISION_KEY, F.col("candidate_page_id").alias(f"candidate_{s}_page_id")).agg(F.count("*").alias("copies"), *[F.first(c).alias(f"{c}_{s}") for c in features])
         fault = F.when(F.col("copies") == 1, F.lit(None)).otherwise(F.raise_error(F.concat(F.lit("pages matched: "), F.coalesce(F.col("copies"), F.lit(0)).cast("string"))))
         joined = out.join(one, [*DECISION_KEY, f"candidate_{s}_page_id"], "left")
         out = joined.where(fault.cast("string").isNull()).drop("copies")
@@ -92,7 +96,7 @@ def matched_population(candidates: DataFrame, horizon: int) -> DataFrame:
 
 def population_digests(candidates: DataFrame) -> DataFrame:
     """Of each (family, capacity): decisions and a digest that does not depend on their order."""
-    keys = candidates.select("trace_family", "capacity", F.concat_ws("|", *[F.col(c).cast("string") for c in DECISION_KEY]).alias("k")).distinct()
+    keys = candidates.select("trace_family", "capacity", text_key(*DECISION_KEY).alias("k")).distinct()
     digest = F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.substring(F.sha2("k", 256), 1, 16)))), 256)
     return keys.groupBy("trace_family", "capacity").agg(F.count("*").alias("decisions"), digest.alias("digest"))
 

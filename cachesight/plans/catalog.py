@@ -86,6 +86,34 @@ def _replay(s: SparkSession, d: str) -> DataFrame:
     return T.lru_replay(traces(s, d), CAPACITIES)
 
 
+def _faulty(s: SparkSession, d: str) -> DataFrame:
+    """The relation with a fault of each kind planted in it."""
+    c, t = candidates(s, d), F.col("decision_t")
+    loss = F.when(t % 53 == 0, F.lit(None)).when(t % 59 == 0, F.lit(float("inf"))).when(t % 61 == 0, -1.0).when(t % 67 == 0, F.col("y_loss") + 0.5).otherwise(F.col("y_loss"))
+    split = F.when(t % 73 == 0, "dev").when(t % 79 == 0, "validation").otherwise(F.col("split"))
+    bad = c.withColumns({"y_loss": loss, "y_value": F.when(t % 71 == 0, F.col("y_value") + 1).otherwise(-loss), "split": split})
+    again = bad.where(t % 83 == 0)
+    other = bad.where(t % 89 == 0).withColumns({"split": F.lit("train"), "decision_chunk_id": F.lit(-1).cast("long")})
+    return bad.unionByName(again).unionByName(other)
+
+
+_LOSS = "CASE WHEN decision_t % 53 = 0 THEN NULL WHEN decision_t % 59 = 0 THEN 'inf'::DOUBLE WHEN decision_t % 61 = 0 THEN -1 WHEN decision_t % 67 = 0 THEN y_loss + 0.5 ELSE y_loss END"
+_F = f"""f0 AS (SELECT * REPLACE ({_LOSS} AS y_loss, CASE WHEN decision_t % 71 = 0 THEN y_value + 1 ELSE -({_LOSS}) END AS y_value,
+  CASE WHEN decision_t % 73 = 0 THEN 'dev' WHEN decision_t % 79 = 0 THEN 'validation' ELSE split END AS split) FROM c),
+f AS (SELECT * FROM f0 UNION ALL SELECT * FROM f0 WHERE decision_t % 83 = 0 UNION ALL SELECT * REPLACE ('train' AS split, -1 AS decision_chunk_id) FROM f0 WHERE decision_t % 89 = 0)"""
+_VALIDATE = f"""SELECT 'loss_not_finite' AS "check", count(*) FILTER (y_loss IS NULL OR NOT isfinite(y_loss)) AS faults FROM f
+UNION ALL SELECT 'value_not_finite', count(*) FILTER (y_value IS NULL OR NOT isfinite(y_value)) FROM f
+UNION ALL SELECT 'loss_negative', count(*) FILTER (y_loss IS NULL OR y_loss < 0) FROM f
+UNION ALL SELECT 'loss_fractional', count(*) FILTER (isfinite(y_loss) AND y_loss <> floor(y_loss)) FROM f
+UNION ALL SELECT 'sign_mismatch', count(*) FILTER (y_loss IS NULL OR y_value IS NULL OR isnan(y_loss + y_value) OR abs(y_loss + y_value) > 1e-8) FROM f
+UNION ALL SELECT 'split_unknown', count(*) FILTER (split NOT IN ('train', 'val', 'validation', 'test')) FROM f
+UNION ALL SELECT 'split_named_twice', CASE WHEN count(*) FILTER (split = 'val') > 0 THEN count(*) FILTER (split = 'validation') ELSE 0 END FROM f
+UNION ALL SELECT 'duplicate_candidates', count(*) FROM (SELECT {K}, candidate_page_id FROM f GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'decision_in_several_splits', count(*) FROM (SELECT decision_id FROM f GROUP BY ALL HAVING count(DISTINCT split) > 1)
+UNION ALL SELECT 'inconsistent_metadata', count(*) FROM (SELECT trace_name, capacity, horizon, decision_id FROM f GROUP BY ALL
+  HAVING greatest(count(DISTINCT trace_family), count(DISTINCT dataset_source), count(DISTINCT decision_t), count(DISTINCT decision_chunk_id), count(DISTINCT split)) > 1)"""
+
+
 def _labels(s: SparkSession, d: str) -> DataFrame:
     return T.rollout_labels(traces(s, d), _distances(s, d), T.lru_candidates(_replay(s, d)), HORIZONS)
 
@@ -141,7 +169,10 @@ def _panel_sql(by: str, source: str = "d") -> str:
     return f"""SELECT {by + ', ' if by else ''}count(*) AS decisions, sum(candidate_count)::BIGINT AS candidates, count(*) FILTER (regret_max = 0) AS all_tied, round(avg((regret_max = 0)::INT), 9) AS all_tied_fraction,
       round(avg(optimal_candidate_count / candidate_count), 9) AS random_optimal_probability, round(sum(optimal_candidate_count) / sum(candidate_count), 9) AS optimal_share_by_candidate, round(avg(regret_mean), 9) AS random_regret,
       round(sum(regret_sum) / sum(candidate_count), 9) AS regret_by_candidate, max(regret_max) AS regret_max, round(avg(regret_max), 9) AS mean_regret_max, round(quantile_cont(regret_mean, 0.5), 9) AS median_regret_mean,
-      round(quantile_cont(regret_mean, 0.9), 9) AS p90_regret_mean, count(*) FILTER (optimal_candidate_count = 1) AS single_optimum, round(avg(optimal_candidate_count), 9) AS mean_optimal_count FROM {source}"""
+      round(quantile_cont(regret_mean, 0.9), 9) AS p90_regret_mean, count(*) FILTER (optimal_candidate_count = 1) AS single_optimum, round(avg(optimal_candidate_count), 9) AS mean_optimal_count,
+      round(count(*) FILTER (optimal_candidate_count = 1) / count(*), 9) AS single_optimum_fraction, round(quantile_cont(optimal_candidate_count / candidate_count, 0.5), 9) AS median_optimal_fraction,
+      round(quantile_cont(regret_mean, 0.95), 9) AS p95_regret_mean, round(quantile_cont(regret_mean, 0.99), 9) AS p99_regret_mean, round(count(*) FILTER (regret_max >= 1) / count(*), 9) AS loss_range_ge_1,
+      round(count(*) FILTER (regret_max >= 2) / count(*), 9) AS loss_range_ge_2, round(1 - avg(optimal_candidate_count / candidate_count), 9) AS random_regret_probability FROM {source}"""
 
 
 _METRICS = "count(*) AS decisions, round(avg((regret <= 1e-12)::INT), 9) AS optimal_rate, round(avg(regret), 9) AS mean_regret, round(quantile_cont(regret, 0.5), 9) AS median_regret, max(regret) AS max_regret"
@@ -149,7 +180,11 @@ _VICTIMS = ", ".join(
     f"count(*) FILTER ({v}) AS {k}_victims, count(*) FILTER ({v} AND regret = 0) AS {k}_optimal, sum(CASE WHEN {v} THEN regret ELSE 0 END) AS {k}_regret_sum, round(quantile_cont(CASE WHEN {v} THEN regret END, 0.9), 9) AS {k}_regret_p90"
     for k, v in (("lru", "candidate_is_lru_victim = 1"), ("mru", "candidate_recency_rank = n_own - 1"), ("predictor", "candidate_is_lru_victim = 1"))
 )
-_NONTRIVIAL = [("not_all_tied", "regret_max > 0"), ("single_optimum", "optimal_candidate_count = 1"), ("half_or_fewer_optimal", "optimal_candidate_count * 2 <= candidate_count"), ("mean_regret_over_tenth", "regret_mean > 0.1"), ("mean_regret_over_half", "regret_mean > 0.5"), ("max_regret_2", "regret_max >= 2"), ("max_regret_3", "regret_max >= 3"), ("some_loss_certain", "min_y_loss >= 1")]
+_NONTRIVIAL = [
+    ("not_all_tied", "min_y_loss < (SELECT max(y_loss) FROM c WHERE c.decision_id = d.decision_id)"), ("unique_optimal_victim", "tie_count = 1"), ("optimal_set_fraction_le_0.5", "2 * tie_count <= candidate_count"),
+    ("loss_range_ge_1", "regret_max > 0.999999"), ("loss_range_ge_2", "regret_max > 1.999999"),
+    *((f"random_expected_regret_ge_{x}", f"regret_mean >= {x}") for x in ("0.1", "0.5", "1")),
+]
 _Q5 = ", ".join(f"round(quantile_cont(x, {q}), 9) AS p{round(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95))
 _SUMS = ["count(*) AS n", "sum(y_loss) AS sy", "sum(y_loss * y_loss) AS syy", *[f"round(sum({c}), 6) AS s_{i}" for i, c in enumerate(ACTIVE_FEATURES)], *[f"round(sum({c} * y_loss), 6) AS sy_{i}" for i, c in enumerate(ACTIVE_FEATURES)], *[f"round(sum({ACTIVE_FEATURES[i]} * {ACTIVE_FEATURES[j]}), 6) AS s_{i}_{j}" for i in range(7) for j in range(i, 7)]]
 _DIGEST = f"SELECT trace_family, capacity, count(*) AS decisions, sha256(string_agg(k16, chr(10) ORDER BY k16)) AS digest FROM (SELECT DISTINCT trace_family, capacity, sha256({_KEY_TEXT}))[1:16] AS k16 FROM c) GROUP BY ALL"
@@ -177,7 +212,7 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     sub = " UNION ALL ".join(f"SELECT '{k}' AS subset, * FROM d WHERE {p}" for k, p in _NONTRIVIAL)
     for name, by in (("nontrivial_subsets", []), ("nontrivial_subsets_by_family", ["trace_family"])):
         c = "".join(f"{b}, " for b in by)
-        q[name] = (lambda s, d, by=by: A.nontrivial_subsets(_view(s, d), by)), f"WITH {_D}, u AS ({sub}), w AS (SELECT {c}count(*) AS n FROM d {'GROUP BY ALL' if by else ''}) SELECT {c}subset, count(*) AS decisions, round(count(*) / max(n), 9) AS coverage, round(avg(regret_mean), 9) AS mean_regret, round(quantile_cont(regret_mean, 0.5), 9) AS median_regret FROM u {'JOIN w USING (trace_family)' if by else 'CROSS JOIN w'} GROUP BY {c}subset"
+        q[name] = (lambda s, d, by=by: A.nontrivial_subsets(_view(s, d), by)), f"WITH {_D}, u AS ({sub}), w AS (SELECT {c}count(*) AS n, sum(candidate_count) AS nc FROM d {'GROUP BY ALL' if by else ''}) SELECT {c}subset, count(*) AS decisions, round(count(*) / max(n), 9) AS coverage, sum(candidate_count)::BIGINT AS candidates, round(sum(candidate_count) / max(nc), 9) AS candidate_coverage, round(avg(regret_mean), 9) AS mean_regret, round(quantile_cont(regret_mean, 0.5), 9) AS median_regret FROM u {'JOIN w USING (trace_family)' if by else 'CROSS JOIN w'} GROUP BY {c}subset"
     hist = f"count(*) AS candidates, count(*) FILTER (regret >= 1) AS regret_ge_1, count(*) FILTER (regret >= 2) AS regret_ge_2, count(*) FILTER (regret >= 3) AS regret_ge_3, count(*) FILTER (regret = 0) AS regret_0, {_VICTIMS}"
     q["candidate_regret"] = lambda s, d: A.candidate_regret(candidates(s, d)), f"WITH {_C} SELECT {hist} FROM c"
     q["candidate_regret_by_family"] = lambda s, d: A.candidate_regret(candidates(s, d), ["trace_family"]), f"WITH {_C} SELECT trace_family, {hist} FROM c GROUP BY trace_family"
@@ -214,6 +249,15 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
       k AS (SELECT split, count(*) FILTER (pr >= 0.5 AND y = 1) AS tp, count(*) FILTER (pr >= 0.5 AND y = 0) AS fp, count(*) FILTER (pr < 0.5 AND y = 1) AS fn, count(*) FILTER (pr < 0.5 AND y = 0) AS tn, avg(CASE WHEN y = 1 THEN -ln(pr) ELSE -ln(1 - pr) END) AS loss FROM m GROUP BY split)
       SELECT split, tp + fp + fn + tn AS n, round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9) AS balanced_accuracy, round(loss, 9) AS log_loss, round(tp / (tp + fn), 9) AS recall_a, round(tn / (tn + fp), 9) AS recall_b, round((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2, 9) AS macro_f1 FROM k"""
     q["pairwise_logistic"] = _logistic, None
+    own = [*DECISION_KEY, "candidate_a_page_id", "candidate_b_page_id"]
+    y = f"{_P}, y AS (SELECT *, (regret_a < regret_b)::INT AS y FROM p WHERE regret_a <> regret_b)"
+    q["majority_baseline"] = lambda s, d: M.majority_baseline(_pairs(s, d), ["split"]), f"WITH {y}, m AS (SELECT avg(y) AS share FROM y WHERE split = 'train') SELECT split, count(*) AS n, round(avg(y), 9) AS positive_rate, round(avg(((share >= 0.5)::INT = y)::INT), 9) AS accuracy, round(avg(CASE WHEN y = 1 THEN -ln(share) ELSE -ln(1 - share) END), 9) AS log_loss FROM y, m GROUP BY split"
+    q["random_baseline"] = lambda s, d: M.random_baseline(_pairs(s, d), own, ["split"]), f"WITH {y}, g AS (SELECT *, ('0x' || right(sha256(concat_ws('|', '7', {', '.join(f'{c}::VARCHAR' for c in own)})), 1))::INT % 2 AS guess FROM y) SELECT split, count(*) AS n, round(avg(y), 9) AS positive_rate, round(avg((guess = y)::INT), 9) AS accuracy, round(ln(2), 9) AS log_loss FROM g GROUP BY split"
+    z = 1.959963984540054
+    q["raw_score_accuracy"] = lambda s, d: M.raw_score_accuracy(_pairs(s, d), "candidate_lru_score", ["split"]), f"""WITH {y}, h AS (SELECT split, count(*) AS n, avg(((score_a > score_b)::INT = y)::INT) AS a FROM y GROUP BY split)
+      SELECT split, n, round(a, 9) AS accuracy, round((a + {z}^2 / (2 * n) - {z} * sqrt(a * (1 - a) / n + {z}^2 / (4 * n * n))) / (1 + {z}^2 / n), 9) AS low, round((a + {z}^2 / (2 * n) + {z} * sqrt(a * (1 - a) / n + {z}^2 / (4 * n * n))) / (1 + {z}^2 / n), 9) AS high FROM h"""
+    q["calibrated_lru_score"] = lambda s, d: M.calibrated_score(_pairs(s, d), F.col("candidate_lru_score_a") - F.col("candidate_lru_score_b"), ["split"]), None
+    q["calibrated_rate"] = lambda s, d: M.calibrated_score(_pairs(s, d), F.col("recent_candidate_request_rate_b") - F.col("recent_candidate_request_rate_a"), ["split"]), None
     q["optimal_set_agreement"] = lambda s, d: M.optimal_set_agreement(_two_losses(s, d), DECISION_KEY), f"WITH {_X}, y AS (SELECT *, x - min(x) OVER (PARTITION BY {K}) AS rx, y - min(y) OVER (PARTITION BY {K}) AS ry FROM x) SELECT {K}, round(count(*) FILTER (rx = 0 AND ry = 0) / count(*) FILTER (rx = 0 OR ry = 0), 9) AS jaccard, round(avg(ry) FILTER (rx = 0), 9) AS mean_cross_regret, min(ry) FILTER (rx = 0) AS best_cross_regret, max(ry) FILTER (rx = 0) AS worst_cross_regret, round(avg((ry = 0)::INT) FILTER (rx = 0), 9) AS still_optimal FROM y GROUP BY {K}"
     cast = "concordant::BIGINT AS concordant, discordant::BIGINT AS discordant, x_tied::BIGINT AS x_tied, y_tied::BIGINT AS y_tied, both_tied::BIGINT AS both_tied"
     q["pair_taxonomy"] = lambda s, d: M.pair_taxonomy(_two_losses(s, d), DECISION_KEY).where("concordant + discordant + x_tied + y_tied + both_tied > 0"), f"WITH {_X}, {_TAX} SELECT {K}, {cast} FROM tx"
@@ -226,8 +270,9 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     q["dup_candidates"] = lambda s, d: V.duplicate_candidates(candidates(s, d).withColumn("candidate_page_id", F.substring_index("candidate_page_id", "-", 1))), f"WITH {_C} SELECT {K}, split_part(candidate_page_id, '-', 1) AS candidate_page_id, count(*) AS copies FROM c GROUP BY ALL HAVING count(*) > 1"
     q["inconsistent_metadata"] = lambda s, d: V.inconsistent_metadata(candidates(s, d), ["trace_family", "capacity"], ["split", "horizon"]), f"WITH {_C} SELECT trace_family, capacity, count(DISTINCT split) AS split, count(DISTINCT horizon) AS horizon FROM c GROUP BY ALL HAVING count(DISTINCT split) > 1 OR count(DISTINCT horizon) > 1"
     q["cross_split_ids"] = lambda s, d: V.cross_split_ids(candidates(s, d).withColumn("decision_id", F.expr("cast(decision_t div 8 as string)"))), f"WITH {_C} SELECT (decision_t // 8)::VARCHAR AS decision_id, string_agg(DISTINCT split, '|' ORDER BY split) AS splits FROM c GROUP BY ALL HAVING count(DISTINCT split) > 1"
-    q["label_validity"] = lambda s, d: V.label_faults(candidates(s, d)), f"WITH {_C} SELECT count(*) AS row_count, 0::BIGINT AS loss_not_finite, 0::BIGINT AS value_not_finite, count(*) FILTER (y_loss < 0) AS loss_negative, count(*) FILTER (y_loss <> floor(y_loss)) AS loss_fractional, count(*) FILTER (abs(y_value + y_loss) > 1e-8) AS sign_mismatch, count(*) FILTER (split NOT IN ('train', 'val', 'validation', 'test')) AS split_unknown FROM c"
-    q["validate_candidates"] = lambda s, d: V.validate_candidates(candidates(s, d)), "SELECT unnest(['loss_not_finite', 'value_not_finite', 'loss_negative', 'loss_fractional', 'sign_mismatch', 'split_unknown', 'duplicate_candidates', 'decision_in_several_splits', 'inconsistent_metadata']) AS \"check\", 0::BIGINT AS faults"
+    q["label_validity"] = lambda s, d: V.label_faults(candidates(s, d)), f"WITH {_C} SELECT count(*) AS row_count, 0::BIGINT AS loss_not_finite, 0::BIGINT AS value_not_finite, count(*) FILTER (y_loss < 0) AS loss_negative, count(*) FILTER (y_loss <> floor(y_loss)) AS loss_fractional, count(*) FILTER (abs(y_value + y_loss) > 1e-8) AS sign_mismatch, count(*) FILTER (split NOT IN ('train', 'val', 'validation', 'test')) AS split_unknown, CASE WHEN bool_or(split = 'val') THEN count(*) FILTER (split = 'validation') ELSE 0 END AS split_named_twice FROM c"
+    for name, relation, sql in (("validate_candidates", candidates, f"{_C}, f AS (SELECT * FROM c)"), ("validate_faulty_candidates", _faulty, f"{_C}, {_F}")):
+        q[name] = (lambda s, d, relation=relation: V.validate_candidates(relation(s, d))), f"WITH {sql} {_VALIDATE}"
     q["feature_alias_checks"] = lambda s, d: V.alias_faults(candidates(s, d)), f"WITH {_C} SELECT count(*) AS row_count, count(*) FILTER (abs(score_gap_to_lru_victim - (candidate_lru_score - m)) > 1e-9) AS gap_is_no_alias, count(*) FILTER (abs(candidate_lru_score + candidate_age_norm - 1) > 1e-9) AS age_is_no_complement, count(*) FILTER ((candidate_is_lru_victim = 1) <> (candidate_recency_rank = 0)) AS victim_is_no_rank_0, count(*) FILTER (candidate_lru_score = y_loss) AS score_equals_loss FROM (SELECT *, max(candidate_lru_score) OVER (PARTITION BY {K}) AS m FROM c)"
     q["feature_schema_faults"] = lambda s, d: V.feature_schema_faults(candidates(s, d), ["candidate_lru_score", "request_bucket", "y_loss", "candidate_is_lru_victim", "candidate_is_predictor_victim"], ACTIVE_FEATURES, DEPRECATED_FEATURES, ["y_loss", "y_value"]), "SELECT unnest(['request_bucket', 'y_loss', 'y_loss', 'candidate_is_predictor_victim', 'request_bucket', 'candidate_is_predictor_victim']) AS feature, unnest(['deprecated', 'unknown', 'leaks', 'deprecated', 'constant', 'equals candidate_is_lru_victim']) AS fault"
     q["pseudonymise"] = lambda s, d: candidates(s, d).select("decision_id", S.pseudonym(F.col("candidate_page_id"), "salt").alias("pseudonym")), f"WITH {_C} SELECT decision_id, 'obj_' || sha256('salt|' || candidate_page_id)[1:24] AS pseudonym FROM c"

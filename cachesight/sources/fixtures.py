@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cachesight.schema import CANONICAL, DECISION_KEY, DEPRECATED_FEATURES
+from cachesight.schema import CANONICAL, DECISION_KEY, DEPRECATED_FEATURES, SCHEMA
+
+
+_written: dict[tuple[str, str], str] = {}
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate relation of the driver's tables, written once in a session to the cluster's shared folder."""
+    context = spark.sparkContext
+    if (key := (context.applicationId, sf_dir)) not in _written:
+        root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not root and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        path = f"{(root or tempfile.mkdtemp(prefix='cachesight-')).rstrip('/')}/candidates-{uuid.uuid4().hex}"
+        made_candidates(spark, sf_dir).sortWithinPartitions("decision_t").write.parquet(path)
+        _written[key] = path
+    return spark.read.schema(SCHEMA).parquet(_written[key])
+
+
+def made_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as decisions, their line items as candidates."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     i = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")

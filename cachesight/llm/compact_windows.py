@@ -44,7 +44,7 @@ STRETCH = 3 * DRIFT
 FOLLOWERS = 512
 #: A hash that has one of HOT windows or more, by one of SAMPLE documents, is dealt out in shares, PARTS to that many windows and
 #: SHARES at most. There are HOT such hashes at most. This changes which earlier document a window is tied to, not whether it is tied.
-SAMPLE, HOT, PARTS, SHARES = 64, 4096, 8, 4095
+SAMPLE, HOT, PARTS, SHARES = 16, 16384, 4, 4095
 _SALTS = mix(np.arange(77, 77 + HASHES, dtype=np.uint64))
 #: key: 48 bits of the smallest hash, 4 of the function's number, and 12 of a share (0 unless the hash is dealt out).
 #: contexts: 24 bits of the shingle on either side (0 without one), then the window's reach to the left and to the right.
@@ -137,7 +137,7 @@ def hot_keys(long: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     none = np.empty(0, np.int64), np.empty(0, np.uint64)
     sample = long.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInPandas(tidy(_windows(*none)), WINDOWS)
     counted = materialize(sample.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "hot")
-    enough = max((counted.agg(F.sum("n")).first()[0] or 0) / HOT, 16)
+    enough = max((counted.agg(F.sum("n")).first()[0] or 0) / HOT, 8)
     rows = sorted((r.key, min(-(-PARTS * r.n // int(enough)), SHARES)) for r in counted.where(F.col("n") >= enough).collect())
     return (np.array([k for k, _ in rows], np.int64), np.array([x for _, x in rows], np.uint64)) if rows else none
 
@@ -176,7 +176,26 @@ def _tie(doc, middle, contexts, other, other_middle, other_contexts, function) -
     keep = (doc != other) & (left + right + 1 >= SPAN - DRIFT)
     middle = middle.astype(np.int64)
     made = {"doc_id": doc, "other": other, "shift": (other_middle - middle).astype(np.int32), "low": (middle - left).astype(np.int32), "high": (middle + right).astype(np.int32), "hashes": (1 << function | np.where(same, CONTEXT, 0)).astype(np.int32)}
-    return pd.DataFrame({k: v[keep] for k, v in made.items()})
+    made = {k: v[keep] for k, v in made.items()}
+    needed = _needed(made, middle[keep], other_middle[keep])
+    return pd.DataFrame({k: v[needed] for k, v in made.items()})
+
+
+def _needed(made: dict[str, np.ndarray], middle: np.ndarray, other_middle: np.ndarray) -> np.ndarray:
+    """Of ties of one document to one window that follow each other, as a repeated line gives them, those that the kept one before
+    does not stand for: a window's runs of SPAN begin behind the middle before it and end SPAN behind its own."""
+    same = np.zeros(len(middle), bool)
+    same[1:] = other_middle[1:] == other_middle[:-1]
+    for c in ("doc_id", "other", "hashes"):
+        same[1:] &= made[c][1:] == made[c][:-1]
+    out, reach = np.ones(len(middle), bool), 0
+    if same.any():
+        for k, (goes_on, m, high) in enumerate(zip(same.tolist(), middle.tolist(), made["high"].tolist(), strict=True)):
+            if goes_on and m + SPAN <= reach:
+                out[k] = False
+            else:
+                reach = high
+    return out
 
 
 def _key_ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -480,6 +480,19 @@ def test_op3_clean_and_covered(spark):
                 assert any(a <= at and at + 69 <= b for a, b in spans)
 
 
+def test_op3_repeated_lines(spark):
+    """Texts of one line again and again, long and short: whatever an earlier one has, too, is found to the last words."""
+    rng = np.random.default_rng(31)
+    line = [f"v{k}" for k in rng.integers(0, 1000, 11)]
+    other = [f"w{k}" for k in rng.integers(0, 1000, 300)]
+    texts = [line * 7, line * 300, other + line * 90, line * 6 + other[:40]]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    found = {k: set() for k in range(4)}
+    for r in compact_windows.repeated_passages(df).collect():
+        found[r.doc_id] |= set(range(r.first_word, r.last_word + 1))
+    assert not found[0] and len(found[1]) >= 0.98 * 3300 and len(found[2] & set(range(300, 1290))) >= 0.98 * 990 and len(found[3] & set(range(66))) >= 60
+
+
 def test_op3_drifting_copy(spark):
     """A text of 10,000 words with a word inserted after every 40, and one with every 40th left out: all of it is found."""
     rng = np.random.default_rng(6)

@@ -185,6 +185,38 @@ def pair_taxonomy(losses: DataFrame, key: list[str]) -> DataFrame:
     return joined.where(first).select(*key, n.alias("n"), kind.alias("kind")).groupBy(*key).agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in kinds])
 
 
+def continuation_summary(losses: DataFrame, key: list[str], by: list[str] | None = None) -> DataFrame:
+    """How two continuations (losses x and y) agree over sets of decisions: all, not tied under both, telling under the
+    first, telling under either. A decision of one candidate counts as tied."""
+    tax = pair_taxonomy(losses, key)
+    kinds = ["concordant", "discordant", "x_tied", "y_tied", "both_tied"]
+    rows = optimal_set_agreement(losses, key).join(tax, key)
+    c, d, only_x, only_y = (F.col(k) for k in kinds[:4])
+    tied, other = (c + d + only_y) == 0, (c + d + only_x) == 0
+    # the second and the fourth set are equal by definition; both are listed, as in the survey
+    sets = F.array(F.lit("A_all"), F.when(~(tied & other), "B_not_both_tied"), F.when(~tied, "C_telling_first"), F.when(~tied | ~other, "D_telling_either"))
+    long = rows.withColumn("subset", F.explode(F.filter(sets, lambda v: v.isNotNull())))
+    j, m = F.col("jaccard"), F.col("mean_cross_regret")
+    pairs = sum((F.sum(k) for k in kinds[1:]), F.sum(kinds[0]))
+    return long.groupBy(*(by or []), "subset").agg(
+        F.count("*").alias("decisions"), F.round(F.avg(j), 9).alias("mean_jaccard"), F.round(F.percentile(j, 0.5), 9).alias("median_jaccard"), F.min(j).alias("least_jaccard"),
+        *[F.sum(k).alias(k) for k in kinds], F.round(safe_ratio(F.sum("discordant"), pairs), 9).alias("reversals"), F.round(F.avg(m), 9).alias("mean_ccr"), F.max(m).alias("largest_ccr"),
+        F.round(F.avg((m == 0).cast("double")), 9).alias("ccr_zero"), F.round(F.avg((m <= 1).cast("double")), 9).alias("ccr_at_most_1"), F.round(F.avg("still_optimal"), 9).alias("still_optimal"),
+    )
+
+
+def continuation_class(losses: DataFrame, key: list[str], by: list[str] | None = None) -> DataFrame:
+    """Whether labels hold under another continuation, from the decisions that tell under the first; strata without such
+    decisions stay as inconclusive."""
+    by = by or []
+    whole = continuation_summary(losses, key, by)
+    told = lambda c: F.max(F.when(F.col("subset") == "C_telling_first", F.col(c)))
+    j, c = F.col("median_jaccard"), F.col("ccr_at_most_1")
+    kind = F.when(j.isNull() | c.isNull(), "INCONCLUSIVE").when((j >= 0.8) & (c >= 0.8), "ROBUST").when((j < 0.5) | (c < 0.2), "SENSITIVE").otherwise("CONDITIONALLY_ROBUST")
+    out = whole.groupBy(*by).agg(told("median_jaccard").alias("median_jaccard"), told("ccr_at_most_1").alias("ccr_at_most_1"))
+    return out.withColumn("class", kind)
+
+
 def kendall_tau_b(taxonomy: DataFrame, key: list[str]) -> DataFrame:
     """Null where either side is constant."""
     c, d, x, y = (F.col(k) for k in ("concordant", "discordant", "x_tied", "y_tied"))

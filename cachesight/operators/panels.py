@@ -143,3 +143,35 @@ def horizon_transitions(losses: DataFrame, physical: list[str], steps: list[tupl
         F.count("*").alias("decisions"), F.count_if(tied(x) & ~tied(y)).alias("tied_to_telling"), F.count_if(~tied(x) & tied(y)).alias("telling_to_tied"), F.count_if(tied(x) & tied(y)).alias("both_tied"),
         F.count_if(y - x > 1e-12).alias("up"), F.count_if(x - y > 1e-12).alias("down"), F.count_if(F.abs(y - x) <= 1e-12).alias("equal"), F.round(F.avg(y - x), 9).alias("mean_change"),
     )
+
+
+def horizon_monotonicity(losses: DataFrame, physical: list[str], horizons: list[int]) -> DataFrame:
+    """Over decisions seen at every horizon: does random regret rise or fall from the least to the largest, and does it do so
+    at each step (beyond 1e-12)? Regret that is equal at all steps counts as nondecreasing."""
+    hs = sorted(horizons)
+    wide = losses.groupBy(*physical).pivot("horizon", hs).agg(F.first("random_regret")).dropna(subset=[str(h) for h in hs])
+    steps = [(F.col(str(a)), F.col(str(b))) for a, b in zip(hs, hs[1:])]
+    up, down = F.lit(True), F.lit(True)
+    for x, y in steps:
+        up, down = up & ~(y + 1e-12 < x), down & ~(y > x + 1e-12)
+    change = F.col(str(hs[-1])) - F.col(str(hs[0]))
+    return wide.agg(
+        F.count("*").alias("decisions"), F.count_if(change > 1e-12).alias("rise"), F.count_if(change < -1e-12).alias("fall"), F.count_if(F.abs(change) <= 1e-12).alias("unchanged"),
+        F.count_if(up).alias("nondecreasing"), F.count_if(~up & down).alias("nonincreasing"), F.count_if(~up & ~down).alias("mixed"),
+    )
+
+
+def horizon_decomposition(losses: DataFrame, physical: list[str], start: int, to: int) -> DataFrame:
+    """What of a change between two horizons is due to other decisions and what to the horizon: each horizon's own decisions
+    against those seen at all horizons. ``losses`` has the summary of each decision and horizon."""
+    n = losses.agg(F.countDistinct("horizon").alias("n"))
+    seen = losses.groupBy(*physical).agg(F.countDistinct("horizon").alias("seen"))
+    matched = seen.join(F.broadcast(n), F.col("seen") == F.col("n")).select(*physical, F.lit(True).alias("matched"))  # n is one row
+    rows = losses.join(matched, physical, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    values = {"all_tied": F.col("all_tied").cast("double"), "random_optimal": F.col("optimal_fraction"), "random_regret": F.col("random_regret")}
+    long = rows.select("horizon", "matched", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in values.items()])).alias("p")).select("horizon", "matched", "p.*")
+    cell = lambda h, own: F.avg(F.when((F.col("horizon") == h) & (F.lit(not own) | F.col("matched")), F.col("v")))
+    return long.groupBy("metric").agg(
+        F.round(cell(start, False), 9).alias("own_start"), F.round(cell(start, True), 9).alias("matched_start"), F.round(cell(to, True), 9).alias("matched_end"),
+        F.round(cell(start, True) - cell(start, False), 9).alias("population_effect"), F.round(cell(to, True) - cell(start, True), 9).alias("horizon_effect"),
+    )

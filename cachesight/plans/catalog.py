@@ -118,6 +118,12 @@ def _labels(s: SparkSession, d: str) -> DataFrame:
     return T.rollout_labels(traces(s, d), _distances(s, d), T.lru_candidates(_replay(s, d)), HORIZONS)
 
 
+def _whole_windows(s: SparkSession, d: str) -> DataFrame:
+    """Decisions of each horizon whose window ends within the trace, so that longer horizons have fewer."""
+    ends = traces(s, d).groupBy("trace").agg(F.max("t").alias("end"))
+    return T.decision_summary(_labels(s, d)).join(ends, "trace").where("t + horizon <= end").drop("end")
+
+
 def _pairs(s: SparkSession, d: str) -> DataFrame:
     return views.pairwise_view(candidates(s, d), include_ties=True)
 
@@ -262,6 +268,16 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     cast = "concordant::BIGINT AS concordant, discordant::BIGINT AS discordant, x_tied::BIGINT AS x_tied, y_tied::BIGINT AS y_tied, both_tied::BIGINT AS both_tied"
     q["pair_taxonomy"] = lambda s, d: M.pair_taxonomy(_two_losses(s, d), DECISION_KEY).where("concordant + discordant + x_tied + y_tied + both_tied > 0"), f"WITH {_X}, {_TAX} SELECT {K}, {cast} FROM tx"
     q["kendall_tau_b"] = lambda s, d: M.kendall_tau_b(M.pair_taxonomy(_two_losses(s, d), DECISION_KEY), DECISION_KEY).where("tau_b IS NOT NULL"), f"WITH {_X}, {_TAX} SELECT {K}, round((concordant - discordant) / sqrt((concordant + discordant + x_tied) * (concordant + discordant + y_tied)::DOUBLE), 9) AS tau_b FROM tx WHERE (concordant + discordant + x_tied) * (concordant + discordant + y_tied) > 0"
+    both = f"""ag AS (SELECT {K}, count(*) FILTER (rx = 0 AND ry = 0) / count(*) FILTER (rx = 0 OR ry = 0) AS j, avg(ry) FILTER (rx = 0) AS m, avg((ry = 0)::INT) FILTER (rx = 0) AS o, max(rx) > 0 AS tx, max(ry) > 0 AS ty
+      FROM (SELECT *, x - min(x) OVER (PARTITION BY {K}) AS rx, y - min(y) OVER (PARTITION BY {K}) AS ry FROM x) GROUP BY {K}),
+      sets AS (SELECT 'A_all' AS subset, * FROM ag UNION ALL SELECT 'B_not_both_tied', * FROM ag WHERE tx OR ty UNION ALL SELECT 'C_telling_first', * FROM ag WHERE tx UNION ALL SELECT 'D_telling_either', * FROM ag WHERE tx OR ty),
+      su AS (SELECT capacity, subset, count(*) AS decisions, round(avg(round(j, 9)), 9) AS mean_jaccard, round(median(round(j, 9)), 9) AS median_jaccard, round(min(j), 9) AS least_jaccard,
+      {', '.join(f'coalesce(sum({k}), 0)::BIGINT AS {k}' for k in ('concordant', 'discordant', 'x_tied', 'y_tied', 'both_tied'))},
+      round(sum(discordant) / nullif(sum(concordant + discordant + x_tied + y_tied + both_tied), 0), 9) AS reversals, round(avg(round(m, 9)), 9) AS mean_ccr, round(max(m), 9) AS largest_ccr,
+      round(avg((m = 0)::INT), 9) AS ccr_zero, round(avg((m <= 1)::INT), 9) AS ccr_at_most_1, round(avg(round(o, 9)), 9) AS still_optimal FROM sets LEFT JOIN tx USING ({K}) GROUP BY capacity, subset)"""
+    q["continuation_summary"] = lambda s, d: M.continuation_summary(_two_losses(s, d), DECISION_KEY, ["capacity"]), f"WITH {_X}, {_TAX}, {both} SELECT * FROM su"
+    q["continuation_class"] = lambda s, d: M.continuation_class(_two_losses(s, d), DECISION_KEY, ["capacity"]), f"""WITH {_X}, {_TAX}, {both}, o AS (SELECT capacity, max(median_jaccard) FILTER (subset = 'C_telling_first') AS median_jaccard, max(ccr_at_most_1) FILTER (subset = 'C_telling_first') AS ccr_at_most_1 FROM su GROUP BY capacity)
+      SELECT *, CASE WHEN median_jaccard IS NULL OR ccr_at_most_1 IS NULL THEN 'INCONCLUSIVE' WHEN median_jaccard >= 0.8 AND ccr_at_most_1 >= 0.8 THEN 'ROBUST' WHEN median_jaccard < 0.5 OR ccr_at_most_1 < 0.2 THEN 'SENSITIVE' ELSE 'CONDITIONALLY_ROBUST' END AS class FROM o"""
     q["gap_correlations"] = lambda s, d: M.correlations(_two_losses(s, d), "x", "y", ["capacity"]), f"WITH {_X}, r AS (SELECT *, rank() OVER (PARTITION BY capacity ORDER BY x) + (count(*) OVER (PARTITION BY capacity, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY capacity ORDER BY y) + (count(*) OVER (PARTITION BY capacity, y) - 1) / 2 AS ry FROM x) SELECT capacity, count(*) AS n, round(corr(x, y), 9) AS pearson, round(corr(rx, ry), 9) AS spearman FROM r GROUP BY capacity"
     q["concordance"] = lambda s, d: M.concordance(_two_losses(s, d).withColumns({"x": F.col("x") - 2, "y": F.col("y") - 2}), "x", "y", ["capacity"]), f"WITH {_X} SELECT capacity, CASE WHEN x = 2 AND y = 2 THEN 'both_tied' WHEN x = 2 THEN 'offline_tie_only' WHEN y = 2 THEN 'closed_loop_tie_only' WHEN sign(x - 2) = sign(y - 2) THEN 'concordant' ELSE 'discordant' END AS kind, count(*) AS n FROM x GROUP BY ALL"
     q["leave_one_out"] = lambda s, d: M.leave_one_out(_two_losses(s, d), "trace_family", "x", "y"), f"WITH {_X} SELECT f.trace_family AS left_out, count(*) AS n, round(corr(x, y), 9) AS pearson FROM x JOIN (SELECT DISTINCT trace_family FROM x) f ON f.trace_family <> x.trace_family GROUP BY f.trace_family"
@@ -291,6 +307,13 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     q["rollout_decisions"] = lambda s, d: T.decision_summary(_labels(s, d)), f"WITH {_R} SELECT trace, capacity, t, horizon, count(*) AS candidate_count, max(regret) = 0 AS all_tied, max(regret) AS regret_max, round(avg(regret), 9) AS random_regret, round(count(*) FILTER (regret = 0) / count(*), 9) AS optimal_fraction FROM lr GROUP BY ALL"
     q["horizon_transitions"] = lambda s, d: A.horizon_transitions(T.decision_summary(_labels(s, d)), ["trace", "capacity", "t"], [(4, 8), (8, 16), (4, 16)]), f"""WITH {_R}, ds AS (SELECT trace, capacity, t, horizon, round(avg(regret), 9) AS v FROM lr GROUP BY ALL), j AS (SELECT a.horizon AS from_horizon, b.horizon AS to_horizon, a.v AS x, b.v AS y FROM ds a JOIN ds b USING (trace, capacity, t) WHERE a.horizon < b.horizon)
       SELECT from_horizon::INT AS from_horizon, to_horizon::INT AS to_horizon, count(*) AS decisions, count(*) FILTER (abs(x) <= 1e-12 AND abs(y) > 1e-12) AS tied_to_telling, count(*) FILTER (abs(x) > 1e-12 AND abs(y) <= 1e-12) AS telling_to_tied, count(*) FILTER (abs(x) <= 1e-12 AND abs(y) <= 1e-12) AS both_tied, count(*) FILTER (y - x > 1e-12) AS up, count(*) FILTER (x - y > 1e-12) AS down, count(*) FILTER (abs(y - x) <= 1e-12) AS equal, round(avg(y - x), 9) AS mean_change FROM j GROUP BY ALL"""
+    q["horizon_monotonicity"] = lambda s, d: A.horizon_monotonicity(T.decision_summary(_labels(s, d)), ["trace", "capacity", "t"], HORIZONS), f"""WITH {_R}, ds AS (SELECT trace, capacity, t, avg(regret) FILTER (horizon = 4) AS a, avg(regret) FILTER (horizon = 8) AS b, avg(regret) FILTER (horizon = 16) AS c FROM lr GROUP BY ALL),
+      m AS (SELECT *, b >= a - 1e-12 AND c >= b - 1e-12 AS up, b <= a + 1e-12 AND c <= b + 1e-12 AS down FROM ds)
+      SELECT count(*) AS decisions, count(*) FILTER (c - a > 1e-12) AS rise, count(*) FILTER (a - c > 1e-12) AS fall, count(*) FILTER (abs(c - a) <= 1e-12) AS unchanged, count(*) FILTER (up) AS nondecreasing, count(*) FILTER (down AND NOT up) AS nonincreasing, count(*) FILTER (NOT up AND NOT down) AS mixed FROM m"""
+    q["horizon_decomposition"] = lambda s, d: A.horizon_decomposition(_whole_windows(s, d), ["trace", "capacity", "t"], 4, 16), f"""WITH {_R}, ds AS (SELECT trace, capacity, t, horizon, (max(regret) = 0)::INT::DOUBLE AS all_tied, round(count(*) FILTER (regret = 0) / count(*), 9) AS random_optimal, round(avg(regret), 9) AS random_regret FROM lr JOIN (SELECT trace, max(t) AS e FROM t GROUP BY trace) USING (trace) WHERE t + horizon <= e GROUP BY ALL),
+      l AS (UNPIVOT (SELECT *, count(*) OVER (PARTITION BY trace, capacity, t) = 3 AS matched FROM ds) ON all_tied, random_optimal, random_regret INTO NAME metric VALUE v),
+      e AS (SELECT metric, avg(v) FILTER (horizon = 4) AS o, avg(v) FILTER (horizon = 4 AND matched) AS a, avg(v) FILTER (horizon = 16 AND matched) AS b FROM l GROUP BY metric)
+      SELECT metric, round(o, 9) AS own_start, round(a, 9) AS matched_start, round(b, 9) AS matched_end, round(a - o, 9) AS population_effect, round(b - a, 9) AS horizon_effect FROM e"""
     top = ", ".join(f"round(sum(n) FILTER (place <= greatest(1, round_even(items * {p}, 0))) / max(whole), 9) AS top_{int(p * 100)}_share" for p in (0.01, 0.05, 0.1))
     q["locality_panel"] = lambda s, d: T.locality(_distances(s, d)), f"""WITH {_T}, i AS (SELECT trace, item, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY n DESC, item) AS place, count(*) OVER (PARTITION BY trace) AS items, sum(n) OVER (PARTITION BY trace) AS whole FROM i),
       a AS (SELECT trace, max(items) AS items, {top}, round(-sum(n / whole * log2(n / whole)), 9) AS entropy FROM r GROUP BY trace), b AS (SELECT trace, count(*) AS requests, round(count(*) FILTER (distance IS NULL) / count(*), 9) AS first_fraction, round(quantile_cont(distance, 0.5), 9) AS reuse_p50, round(quantile_cont(distance, 0.9), 9) AS reuse_p90, count(*) FILTER (distance <= 32) AS within_32, count(*) FILTER (distance <= 128) AS within_128, count(*) FILTER (distance > 128) AS beyond_128 FROM t GROUP BY trace) SELECT * FROM b JOIN a USING (trace)"""

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cachesight.functions import scalars
-from cachesight.operators import models, policies, release, selection, trace, validate, views
+from cachesight.operators import models, panels, policies, release, selection, trace, validate, views
 from cachesight.plans import catalog
 from cachesight.schema import CANONICAL, DECISION_KEY
 from cachesight.sources import tables
@@ -276,3 +276,22 @@ def test_decision_view_golden(spark):
     df = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c in ('capacity', 'horizon', 'decision_t', 'decision_chunk_id') else 'string'}" for c in DECISION_KEY) + ", candidate_page_id string, y_loss double, y_value double")
     (r,) = views.decision_view(df).collect()
     assert (r.optimal_candidate_page_ids, r.min_y_loss, r.regret_sum, r.tie_count, r.candidate_count) == ("A|C", 1.0, 2.0, 2, 3)
+
+
+def test_continuation_classes(spark):
+    rows = [(c, d, float(x), float(y)) for c, d, xs, ys in [(1, 1, (0, 1, 2), (0, 1, 2)), (2, 1, (0, 1, 2), (5, 5, 0)), (3, 1, (1, 1), (0, 4)), (4, 1, (7,), (3,))] for x, y in zip(xs, ys)]
+    df = spark.createDataFrame(rows, "capacity int, d int, x double, y double")
+    got = {r.capacity: r["class"] for r in models.continuation_class(df, ["capacity", "d"], ["capacity"]).collect()}
+    assert got == {1: "ROBUST", 2: "SENSITIVE", 3: "INCONCLUSIVE", 4: "INCONCLUSIVE"}
+    sets = models.continuation_summary(df, ["capacity", "d"]).collect()
+    assert {r.subset: r.decisions for r in sets} == {"A_all": 4, "B_not_both_tied": 3, "C_telling_first": 2, "D_telling_either": 3}
+    assert models.continuation_class(df.limit(0), ["capacity", "d"], ["capacity"]).count() == 0
+
+
+def test_horizon_monotonicity_and_decomposition(spark):
+    regret = {1: (0.0, 1.0, 2.0), 2: (2.0, 1.0, 1.0), 3: (0.0, 1.0, 0.0), 4: (1.0, 1.0, 1.0), 5: (9.0,)}
+    rows = [(t, h, v == 0, v, 0.5) for t, vs in regret.items() for h, v in zip((4, 8, 16), vs)]
+    df = spark.createDataFrame(rows, "t int, horizon int, all_tied boolean, random_regret double, optimal_fraction double")
+    assert tuple(panels.horizon_monotonicity(df, ["t"], [4, 8, 16]).first()) == (4, 1, 1, 2, 2, 1, 1)
+    got = {r.metric: (r.population_effect, r.horizon_effect) for r in panels.horizon_decomposition(df, ["t"], 4, 16).collect()}
+    assert got == {"random_regret": (pytest.approx(-1.65), 0.25), "all_tied": (pytest.approx(0.1), -0.25), "random_optimal": (0.0, 0.0)}

@@ -61,6 +61,12 @@ def test_query(spark, folder, name):
     if name.startswith("op9_"):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
         assert got[1] == got[2] == (8, 1) and got[3] == (9, 1) and got[4] == (0, 4) and got[6] == (0, 6) and got[8][1] == 7 and got[9] == (1, 9)
+    if name.startswith("op11_"):
+        assert [(r.item_id, r["rank"], r.doc_id) for r in sorted(rows, key=lambda r: (r.item_id or 9, r["rank"]))][:6] == [(1, 1, None), (1, 2, 1), (1, 3, 2), (1, 4, 3), (1, 5, 3), (1, 1, None)] or len(rows) > 5
+    if name.startswith("op12_"):
+        assert len(rows) == 13 and all((r.n_assign, r.n_access, r.n_hex, r.spans) == (0, 0, 0, "") for r in rows)
+    if name.startswith("op13_"):
+        assert len(rows) == 13 and len({r.root for r in rows}) == 1 and len({r.subroot for r in rows}) == 4 and by[4][0].verified
     if name.startswith("op10_"):
         assert len(rows) == 13 and sorted(r.start for r in rows)[0] == 0 and by[4][0].n_tokens == 1
 

@@ -1,61 +1,116 @@
 """Traces: reuse, replay of the least-recently-used policy, labels by rollout, and locality.
 
-A trace is (trace, t, item) with t from 0 and no gaps. Replay and reuse distance are sequential within a trace and run as
-one grouped task for each trace (and capacity); all else is relational.
+A trace is (trace, t, item) with t from 0 and no gaps. Nothing here gathers a trace in one task: traces are cut into blocks of
+time, work inside a block is local, and what lies before it comes from sums over blocks. So a trace may hold nearly all rows.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import math
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cachesight.sources.shared import materialize
 
+#: Requests of a block at least; longer traces have blocks of the square root of their length, and as many of them.
+BLOCK = 4096
+#: Requests of a block whose followers are gathered in one row, at least.
+FOLLOWED = 256
 
-def positions(traces: DataFrame) -> DataFrame:
-    """Adds prev and next, the neighbouring requests for the same item."""
-    item = Window.partitionBy("trace", "item").orderBy("t")
-    return traces.withColumn("prev", F.lag("t").over(item)).withColumn("next", F.lead("t").over(item))
 
+def numbered(rows: DataFrame, by: list[str], bucket: Column, order: list, name: str = "t") -> DataFrame:
+    """Adds ``name``, from 0: the place of each row among those of ``by``, in order of ``bucket`` and then of ``order``.
 
-def _distances(key, b: pd.DataFrame) -> pd.DataFrame:
-    """A binary indexed tree holds a one at the last request of each item."""
-    b = b.sort_values("t")
-    n = len(b)
-    tree = [0] * (n + 1)
+    Rows are sorted in their bucket only; buckets start behind the rows of the ones before. ``bucket`` must not sort against
+    ``order``.
+    """
+    own = rows.withColumn("bucket", bucket)
+    starts = own.groupBy(*by, "bucket").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows")
+    place = F.row_number().over(Window.partitionBy(*by, "bucket").orderBy(*order)) - 1
+    return own.withColumn("place", place).join(starts, [*by, "bucket"]).withColumn(name, F.col("start") + F.col("place")).drop("bucket", "start", "place")
 
-    def add(i: int, v: int) -> None:
-        i += 1
-        while i <= n:
-            tree[i] += v
-            i += i & -i
 
-    def upto(i: int) -> int:
-        s = 0
-        while i > 0:
-            s += tree[i]
-            i -= i & -i
-        return s
+def block_size(traces: DataFrame) -> int:
+    longest = traces.agg(F.max("t")).first()[0] or 0
+    return max(BLOCK, math.isqrt(longest) + 1)
 
-    last: dict[str, int] = {}
-    out: list[int | None] = []
-    for k, item in enumerate(b["item"]):
-        p = last.get(item)
-        if p is None:
-            out.append(None)
-        else:
-            out.append(upto(k) - upto(p + 1))
-            add(p, -1)
-        add(k, 1)
-        last[item] = k
-    return pd.DataFrame({"trace": b["trace"].to_numpy(dtype=object), "t": b["t"].to_numpy(), "item": b["item"].to_numpy(dtype=object), "distance": pd.array(out, "Int64")})
 
+def positions(traces: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Adds prev and next, the neighbouring requests for the same item.
 
-def reuse_distance(traces: DataFrame) -> DataFrame:
-    """Adds distance: different items between a request and the one before it for the same item; null for a first one."""
-    return traces.select("trace", "t", "item").groupBy("trace").applyInPandas(_distances, "trace string, t long, item string, distance long")
+    Neighbours are looked for in a block of time first; a block's first and last request for an item meet those of other blocks
+    as one row for each block, so an item that has most requests makes no long window.
+    """
+    own = ["trace", "block", "item"]
+    inside = Window.partitionBy(*own).orderBy("t")
+    rows = traces.withColumn("block", F.floor(F.col("t") / size))
+    ends = rows.groupBy(*own).agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    blocks = Window.partitionBy("trace", "item").orderBy("block")
+    ends = ends.withColumn("before", F.lag("last").over(blocks)).withColumn("behind", F.lead("first").over(blocks)).drop("first", "last")
+    found = rows.withColumn("prev", F.lag("t").over(inside)).withColumn("next", F.lead("t").over(inside)).join(ends, own)
+    return found.withColumn("prev", F.coalesce("prev", "before")).withColumn("next", F.coalesce("next", "behind")).drop("block", "before", "behind")
+
+
+def count_dominated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each point the number of points of a smaller x and of a y that is no larger. Merge counting: in each round the halves of
+    twice as long runs meet."""
+    order = np.lexsort((-y, x))  # points of equal x in falling order of y, so that none counts for another
+    y = y[order]
+    n = len(y)
+    counts, rank = np.zeros(n, np.int64), np.argsort(np.argsort(y, kind="stable"), kind="stable")
+    at, width = np.arange(n), 1
+    by_rank = np.argsort(rank, kind="stable")
+    while width < n:
+        run = at // (2 * width)
+        # places in order of their run and then of y: earlier ones of the left half count for those of the right half
+        merged = by_rank[np.argsort(run[by_rank], kind="stable")]
+        left = (merged // width) % 2 == 0
+        seen = np.cumsum(left)
+        begin = np.searchsorted(run[merged], run[merged], "left")
+        before = seen - left - np.where(begin > 0, seen[begin - 1], 0)
+        counts[merged[~left]] += before[~left]
+        width *= 2
+    out = np.empty(n, np.int64)
+    out[order] = counts
+    return out
+
+
+def _inside(b: pd.DataFrame) -> pd.DataFrame:
+    return b.assign(inside=count_dominated(b["t"].to_numpy(), b["prev"].fillna(-1).to_numpy(np.int64)))
+
+
+def _beside(b: pd.DataFrame) -> pd.DataFrame:
+    return b[["trace", "block", "t"]].assign(beside=count_dominated(b["block"].to_numpy(), b["prev"].to_numpy(np.int64)))
+
+
+def reuse_distance(traces: DataFrame, size: int | None = None) -> DataFrame:
+    """Adds distance: different items between a request and the one before it for the same item; null for a first one.
+
+    Between prev and t lie as many items as requests whose own previous one is not behind prev. Every request up to prev is such
+    a one, so it is the number of all earlier requests with no later previous one, less prev + 1. Those are counted by blocks:
+    in the block of t; in earlier blocks, with the previous one in an earlier block than prev, from the blocks' histograms of
+    previous requests and their sums; and with both in the same block. A block has ``size`` requests, and previous ones too.
+    """
+    size = size or block_size(traces)
+    rows = positions(traces.select("trace", "t", "item"), size).withColumn("block", F.floor(F.col("t") / size)).withColumn("prev_block", F.coalesce(F.floor(F.col("prev") / size), F.lit(-1)))
+    rows = materialize(rows.drop("next"), "positions")
+    schema = "trace string, t long, item string, prev long, block long, prev_block long"
+    inside = rows.groupBy("trace", "block").applyInPandas(_inside, f"{schema}, inside long")
+    beside = rows.where("prev_block >= 0").groupBy("trace", "prev_block").applyInPandas(_beside, "trace string, block long, t long, beside long")
+    counts = rows.groupBy("trace", "block", "prev_block").agg(F.count("*").alias("n"))
+    cells = rows.groupBy("trace").agg(F.max("block").alias("last")).select("trace", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block"))
+    cells = cells.select("trace", "block", F.explode(F.sequence(F.lit(-1).cast("long"), "block")).alias("prev_block"))
+    earlier = lambda by, order: Window.partitionBy("trace", by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = cells.join(counts, ["trace", "block", "prev_block"], "left").withColumn("before", F.coalesce(F.sum("n").over(earlier("prev_block", "block")), F.lit(0)))
+    sums = sums.withColumn("below", F.coalesce(F.sum("before").over(earlier("block", "prev_block")), F.lit(0))).select("trace", "block", "prev_block", "below")
+    out = inside.join(sums, ["trace", "block", "prev_block"]).join(beside, ["trace", "block", "t"], "left")
+    distance = F.when(F.col("prev").isNotNull(), F.col("inside") + F.col("beside") + F.col("below") - F.col("prev") - 1)
+    return out.select("trace", "t", "item", distance.alias("distance"))
 
 
 def lru_hits(distances: DataFrame, capacities: list[int]) -> DataFrame:
@@ -65,64 +120,88 @@ def lru_hits(distances: DataFrame, capacities: list[int]) -> DataFrame:
     return wide.select("trace", "requests", F.explode(F.array(*[F.struct(F.lit(c).cast("long").alias("capacity"), F.col(str(c)).alias("hits")) for c in capacities])).alias("p")).select("trace", "p.capacity", "requests", "p.hits")
 
 
-def _replay(key, b: pd.DataFrame) -> pd.DataFrame:
-    b = b.sort_values("t")
-    capacity = int(b["capacity"].iloc[0])
-    cache: OrderedDict[str, int] = OrderedDict()  # item to its row, least recent first
-    n = len(b)
-    hit, decision, gone = [False] * n, [False] * n, [None] * n
-    ts = b["t"].tolist()
-    for k, item in enumerate(b["item"]):
-        if item in cache:
-            hit[k] = True
-            gone[cache.pop(item)] = ts[k]
-        elif len(cache) >= capacity:
-            decision[k] = True
-            _, row = cache.popitem(last=False)
-            gone[row] = ts[k]
-        cache[item] = k
-    return pd.DataFrame({"trace": b["trace"].to_numpy(dtype=object), "capacity": b["capacity"].to_numpy(), "t": ts, "item": b["item"].to_numpy(dtype=object), "hit": hit, "decision": decision, "gone": pd.array(gone, "Int64")})
-
-
-def lru_replay(traces: DataFrame, capacities: list[int]) -> DataFrame:
-    """For each capacity: hit, decision (a miss of a full cache) and gone, the request at which this request's stay in the
-    cache ends (by the item's next hit or by eviction); null if it stays to the end."""
-    each = traces.select("trace", "t", "item", F.explode(F.array(*[F.lit(c).cast("long") for c in capacities])).alias("capacity"))
-    return each.groupBy("trace", "capacity").applyInPandas(_replay, "trace string, capacity long, t long, item string, hit boolean, decision boolean, gone long")
+def _running(rows: DataFrame, by: list[str], flags: list[str]) -> DataFrame:
+    """``rows`` (``by``, t, block) with each flag's count among the earlier requests in place of the flag ``x``: ``x_before``."""
+    own = rows.groupBy(*by, "block").agg(*[F.count_if(F.col(x)).alias(f"{x}_n") for x in flags])
+    blocks = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.select(*by, "block", *[F.coalesce(F.sum(f"{x}_n").over(blocks), F.lit(0)).alias(f"{x}_start") for x in flags])
+    inside = Window.partitionBy(*by, "block").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.select("*", *[F.coalesce(F.sum(F.col(x).cast("long")).over(inside), F.lit(0)).alias(f"{x}_own") for x in flags])
+    return counted.join(own, [*by, "block"]).select(*rows.columns, *[(F.col(f"{x}_start") + F.col(f"{x}_own")).alias(f"{x}_before") for x in flags])
 
 
-def lru_candidates(replay: DataFrame) -> DataFrame:
-    """(trace, capacity, t, page, last): for each decision the pages in the cache with their last requests."""
+def lru_replay(traces: DataFrame, capacities: list[int], size: int | None = None) -> DataFrame:
+    """For each capacity: hit, decision (a miss of a full cache), gone, the request at which this request's stay in the cache
+    ends (by the item's next hit or by eviction), null if it stays to the end, and next.
+
+    A request hits if fewer items than the capacity lie between it and the one before; a miss decides if as many items as the
+    capacity came before. Stays that no hit ends are evicted in their order, so the k-th of them ends at the k-th decision.
+    """
+    size = size or block_size(traces)
+    found = reuse_distance(traces, size).join(positions(traces.select("trace", "t", "item"), size).select("trace", "t", "next"), ["trace", "t"])
+    found = _running(found.withColumn("block", F.floor(F.col("t") / size)).withColumn("new", F.col("distance").isNull()), ["trace"], ["new"])
+    found = materialize(found.drop("new"), "replay")
+    later = found.select("trace", F.col("t").alias("next"), F.col("distance").alias("next_distance"))
+    each = found.join(later, ["trace", "next"], "left").withColumn("capacity", F.explode(F.array(*[F.lit(c).cast("long") for c in capacities])))
+    hit = F.coalesce(F.col("distance") < F.col("capacity"), F.lit(False))
+    each = each.withColumn("hit", hit).withColumn("decision", ~F.col("hit") & (F.col("new_before") >= F.col("capacity"))).withColumn("evicted", ~F.coalesce(F.col("next_distance") < F.col("capacity"), F.lit(False)))
+    each = _running(each, ["trace", "capacity"], ["decision", "evicted"])
+    decisions = each.where("decision").select("trace", "capacity", F.col("decision_before").alias("evicted_before"), F.col("t").alias("at"), F.lit(True).alias("evicted"))
+    out = each.join(decisions, ["trace", "capacity", "evicted_before", "evicted"], "left")
+    gone = F.when(F.col("evicted"), F.col("at")).otherwise(F.col("next"))
+    return out.select("trace", "capacity", "t", "item", "hit", "decision", gone.alias("gone"), "next")
+
+
+def _residents(replay: DataFrame) -> DataFrame:
+    """(trace, capacity, part, t, page, last, again) for each page in the cache at each decision. Stays meet decisions in parts of
+    time of about a capacity, so a stay is repeated for the few parts that it reaches, not for each request."""
     end = replay.groupBy("trace", "capacity").agg(F.max("t").alias("end"))
     stays = replay.join(end, ["trace", "capacity"]).withColumn("until", F.coalesce("gone", "end")).where(F.col("until") > F.col("t"))
-    at = stays.select("trace", "capacity", F.col("item").alias("page"), F.col("t").alias("last"), F.explode(F.sequence(F.col("t") + 1, F.col("until"))).alias("t"))
-    return at.join(replay.where("decision").select("trace", "capacity", "t"), ["trace", "capacity", "t"], "left_semi")
+    part = lambda t: F.floor(t / F.greatest(F.col("capacity"), F.lit(16)))
+    stays = stays.select("trace", "capacity", F.col("item").alias("page"), F.col("t").alias("last"), F.col("next").alias("again"), "until", F.explode(F.sequence(part(F.col("t") + 1), part(F.col("until")))).alias("part"))
+    at = replay.where("decision").select("trace", "capacity", "t", part(F.col("t")).alias("part"))
+    return stays.join(at, ["trace", "capacity", "part"]).where((F.col("last") < F.col("t")) & (F.col("t") <= F.col("until"))).drop("until")
+
+
+def lru_candidates(replay: DataFrame) -> DataFrame:
+    """(trace, capacity, t, page, last): for each decision the pages in the cache with their last requests."""
+    return _residents(replay).select("trace", "capacity", "t", "page", "last")
 
 
-def rollout_labels(traces: DataFrame, distances: DataFrame, candidates: DataFrame, horizons: list[int]) -> DataFrame:
+def rollout_labels(traces: DataFrame, distances: DataFrame, replay: DataFrame, horizons: list[int]) -> DataFrame:
     """Misses in the next requests after each page was replaced at its decision, under least-recently-used continuation.
 
     The policy keeps a stack, so no simulation is needed. Of a later request at i for q, with p its previous request:
     p at or after the decision: a hit iff fewer items than the capacity lie between, whatever was replaced; else q must
     still have been in the cache and not be the page e itself, and one item fewer counts if e was more recent than q and
     was not asked for again before i.
+
+    A decision is one row that holds its pages; it meets the requests behind it once, as a slice of its block's. What does not
+    depend on the replaced page is counted for the decision, and each page is folded over the few requests that do.
     """
     longest = max(horizons)
-    p = positions(traces).join(distances.select("trace", "t", "distance"), ["trace", "t"])
-    pages = candidates.join(p.select("trace", F.col("t").alias("last"), F.col("next").alias("again")), ["trace", "last"])
-    own = Window.partitionBy("trace", "capacity", "t")
-    pages = pages.withColumn("oldest", F.min("last").over(own))
-    steps = pages.select("*", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("step")).withColumn("i", F.col("t") + F.col("step"))
-    later = p.select("trace", F.col("t").alias("i"), F.col("item").alias("q"), "prev", "distance")
-    seen = steps.join(later, ["trace", "i"])
-    closer = ((F.col("last") > F.col("prev")) & (F.col("again").isNull() | (F.col("again") >= F.col("i")))).cast("int")
-    hit = F.when(F.col("prev") >= F.col("t"), F.col("distance") < F.col("capacity")).when((F.col("prev") >= F.col("oldest")) & (F.col("q") != F.col("page")), F.col("distance") - closer < F.col("capacity")).otherwise(False)
-    miss = (~F.coalesce(hit, F.lit(False))).cast("int")
-    cells = [F.sum(F.when(F.col("step") <= h, miss).otherwise(0)).alias(str(h)) for h in horizons]
-    known = seen.groupBy("trace", "capacity", "t", "page", "last").agg(*cells)
-    out = pages.select("trace", "capacity", "t", "page", "last").join(known, ["trace", "capacity", "t", "page", "last"], "left")  # no later request
-    each = F.explode(F.array(*[F.struct(F.lit(h).cast("long").alias("horizon"), F.coalesce(F.col(str(h)), F.lit(0)).cast("long").alias("y_loss")) for h in horizons]))
-    return out.select("trace", "capacity", "t", "page", "last", each.alias("p")).select("trace", "capacity", "t", "page", "last", "p.horizon", "p.y_loss")
+    size = max(FOLLOWED, longest)
+    p = positions(traces.select("trace", "t", "item")).join(distances.select("trace", "t", "distance"), ["trace", "t"])
+    block = F.floor(F.col("t") / size)
+    near = F.when((F.col("t") % size < longest) & (F.col("t") >= size), F.array(block, block - 1)).otherwise(F.array(block))
+    blocks = p.withColumn("block", F.explode(near)).groupBy("trace", "block").agg(F.sort_array(F.collect_list(F.struct("t", F.col("item").alias("q"), "prev", "distance"))).alias("requests"))
+    pages = _residents(replay).groupBy("trace", "capacity", "part", "t").agg(F.min("last").alias("oldest"), F.collect_list(F.struct("page", "last", "again")).alias("pages"))  # at most the capacity
+    at = pages.withColumn("block", block).join(blocks, ["trace", "block"])
+    own = F.slice("requests", (F.col("t") % size + 2).cast("int"), F.least(F.lit(longest), F.size("requests") - (F.col("t") % size + 1).cast("int")))
+    t, oldest, capacity = F.col("t"), F.col("oldest"), F.col("capacity")
+    at = at.select("trace", "capacity", "t", "oldest", "pages", own.alias("next"))
+    missed = lambda x: F.when(x["prev"] >= t, x["distance"] >= capacity).otherwise(F.coalesce(x["prev"] < oldest, F.lit(True)))
+    count = lambda h: F.size(F.filter("next", lambda x: (x["t"] <= t + h) & missed(x)))
+    is_open = lambda x: (x["prev"] < t) & (x["prev"] >= oldest)
+    at = at.select("trace", "capacity", "t", "pages", F.filter("next", is_open).alias("open"), *[count(h).alias(f"sure_{h}") for h in horizons])
+
+    def loses(x: Column, e: Column) -> Column:
+        closer = ((e["last"] > x["prev"]) & (e["again"].isNull() | (e["again"] >= x["t"]))).cast("int")
+        return (x["q"] == e["page"]) | (x["distance"] - closer >= capacity)
+
+    losses = lambda e, h: (F.col(f"sure_{h}") + F.size(F.filter("open", lambda x: (x["t"] <= t + h) & loses(x, e)))).cast("long")
+    each = lambda e: F.array(*[F.struct(e["page"].alias("page"), e["last"].alias("last"), F.lit(h).cast("long").alias("horizon"), losses(e, h).alias("y_loss")) for h in horizons])
+    return at.select("trace", "capacity", "t", F.explode(F.flatten(F.transform("pages", each))).alias("p")).select("trace", "capacity", "t", "p.page", "p.last", "p.horizon", "p.y_loss")
 
 
 def decision_summary(labels: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from cachesight.operators import validate as V
 from cachesight.operators import views
 from cachesight.schema import ACTIVE_FEATURES, DECISION_KEY, DEPRECATED_FEATURES
 from cachesight.sources.fixtures import candidates, traces
+from cachesight.sources.shared import written_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = ", ".join(DECISION_KEY)
@@ -79,11 +80,11 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _distances(s: SparkSession, d: str) -> DataFrame:
-    return T.reuse_distance(traces(s, d))
+    return written_once(s, d, "distances", lambda: T.reuse_distance(traces(s, d)))
 
 
 def _replay(s: SparkSession, d: str) -> DataFrame:
-    return T.lru_replay(traces(s, d), CAPACITIES)
+    return written_once(s, d, "lru_replay", lambda: T.lru_replay(traces(s, d), CAPACITIES))
 
 
 def _faulty(s: SparkSession, d: str) -> DataFrame:
@@ -115,7 +116,7 @@ UNION ALL SELECT 'inconsistent_metadata', count(*) FROM (SELECT trace_name, capa
 
 
 def _labels(s: SparkSession, d: str) -> DataFrame:
-    return T.rollout_labels(traces(s, d), _distances(s, d), T.lru_candidates(_replay(s, d)), HORIZONS)
+    return written_once(s, d, "labels", lambda: T.rollout_labels(traces(s, d), _distances(s, d), _replay(s, d), HORIZONS))
 
 
 def _whole_windows(s: SparkSession, d: str) -> DataFrame:

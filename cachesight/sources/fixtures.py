@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cachesight.schema import CANONICAL, DECISION_KEY, DEPRECATED_FEATURES, SCHEMA
-
-
-_written: dict[tuple[str, str], str] = {}
+from cachesight.operators.trace import numbered
+from cachesight.schema import CANONICAL, DECISION_KEY, DEPRECATED_FEATURES
+from cachesight.sources.shared import written_once
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidate relation of the driver's tables, written once in a session to the cluster's shared folder."""
-    context = spark.sparkContext
-    if (key := (context.applicationId, sf_dir)) not in _written:
-        root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not root and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        path = f"{(root or tempfile.mkdtemp(prefix='cachesight-')).rstrip('/')}/candidates-{uuid.uuid4().hex}"
-        made_candidates(spark, sf_dir).sortWithinPartitions("decision_t").write.parquet(path)
-        _written[key] = path
-    return spark.read.schema(SCHEMA).parquet(_written[key])
+    return written_once(spark, sf_dir, "candidates", lambda: made_candidates(spark, sf_dir).sortWithinPartitions("decision_t"))
 
 
 def made_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,5 +50,5 @@ def made_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(trace, t, item): events of a type as requests of their users, in order of time."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
-    t = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
-    return e.select(F.col("event_type").alias("trace"), t.cast("long").alias("t"), F.col("user_id").cast("string").alias("item"))
+    e = numbered(e, ["event_type"], F.date_trunc("hour", "ts"), ["ts", "event_id"])
+    return e.select(F.col("event_type").alias("trace"), F.col("t").cast("long").alias("t"), F.col("user_id").cast("string").alias("item"))

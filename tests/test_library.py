@@ -6,6 +6,7 @@ import random
 import sys
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -61,8 +62,7 @@ def test_replay_and_labels_equal_simulation(spark):
     df = spark.createDataFrame([("a", t, x) for t, x in enumerate(items)], "trace string, t long, item string")
     for c in (2, 3, 5):
         replay = trace.lru_replay(df, [c])
-        found = trace.lru_candidates(replay)
-        got = {(r.t, r.page, r.horizon): r.y_loss for r in trace.rollout_labels(df, trace.reuse_distance(df), found, [4, 8]).collect()}
+        got = {(r.t, r.page, r.horizon): r.y_loss for r in trace.rollout_labels(df, trace.reuse_distance(df), replay, [4, 8]).collect()}
         want, cache = {}, []
         for t, x in enumerate(items):
             if x in cache:
@@ -295,3 +295,48 @@ def test_horizon_monotonicity_and_decomposition(spark):
     assert tuple(panels.horizon_monotonicity(df, ["t"], [4, 8, 16]).first()) == (4, 1, 1, 2, 2, 1, 1)
     got = {r.metric: (r.population_effect, r.horizon_effect) for r in panels.horizon_decomposition(df, ["t"], 4, 16).collect()}
     assert got == {"random_regret": (pytest.approx(-1.65), 0.25), "all_tied": (pytest.approx(0.1), -0.25), "random_optimal": (0.0, 0.0)}
+
+
+@pytest.mark.parametrize("size", [5, 64])
+def test_replay_by_blocks(spark, size):
+    """Traces of many blocks, one of them with nine tenths of all requests; a hot item; blocks without a repeat."""
+    rng = random.Random(size)
+    own = {"a": [str(min(rng.randrange(40), rng.randrange(40), 9 + rng.randrange(40))) for _ in range(700)], "b": ["x"] * 20, "c": [str(k) for k in range(30)], "d": ["q"]}
+    df = spark.createDataFrame([(n, t, x) for n, items in own.items() for t, x in enumerate(items)], "trace string, t long, item string").repartition(5)
+    want, after = {}, {}
+    for n, items in own.items():
+        for t, x in enumerate(items):
+            prev = max((k for k in range(t) if items[k] == x), default=None)
+            want[n, t] = (prev, None if prev is None else len(set(items[prev + 1 : t])))
+            if prev is not None:
+                after[n, prev] = t
+    got = {(r.trace, r.t): (r.prev, r.next) for r in trace.positions(df, size).collect()}
+    assert got == {k: (p, after.get(k)) for k, (p, _) in want.items()}
+    got = {(r.trace, r.t): r.distance for r in trace.reuse_distance(df, size).collect()}
+    assert got == {k: d for k, (_, d) in want.items()}
+    gone = {}
+    for n, items in own.items():
+        cache: dict[str, int] = {}
+        for t, x in enumerate(items):
+            if x in cache:
+                gone[n, cache.pop(x)] = t
+            elif len(cache) == 6:
+                gone[n, cache.pop(next(iter(cache)))] = t
+            cache[x] = t
+    replay = trace.lru_replay(df, [6], size)
+    assert {(r.trace, r.t): r.gone for r in replay.collect()} == {k: gone.get(k) for k in want}
+    assert {(r.trace, r.t) for r in replay.where("hit").collect()} == {k for k, (_, d) in want.items() if d is not None and d < 6}
+
+
+def test_dominance_counts():
+    rng = random.Random(1)
+    for n in (1, 2, 3, 50, 257):
+        x, y = [rng.randrange(20) for _ in range(n)], rng.sample(range(n), n)
+        assert trace.count_dominated(np.array(x), np.array(y)).tolist() == [sum(a < x[i] and b <= y[i] for a, b in zip(x, y)) for i in range(n)]
+
+
+def test_numbers_follow_the_order(spark):
+    rows = [(k % 3, (k * 37) % 101, k) for k in range(101)]
+    got = trace.numbered(spark.createDataFrame(rows, "g int, x int, k int"), ["g"], F.floor(F.col("x") / 10), ["x"]).collect()
+    for g in range(3):
+        assert [r.t for r in sorted((r for r in got if r.g == g), key=lambda r: r.x)] == list(range(sum(r[0] == g for r in rows)))

@@ -90,9 +90,9 @@ def tidy(run):
 
 # --- words and shingles -----------------------------------------------------------------------------------------------
 
+#: Public constants of 64-bit mixers.
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _Q = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -105,26 +105,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _P)[_LOWER]  # of a byte, upper-case ASCII as lower-case
 _IS_SPACE = np.isin(np.arange(256, dtype=np.uint8), np.frombuffer(SPACE, np.uint8))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
-        for k, base in enumerate((_P, _P_INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers
+_EIGHT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first bytes of eight
 
 
 class WordHashes:
     """64-bit hashes of the words of some texts, in order; ``first[d]:first[d+1]`` are those of text d.
 
-    Words are what ASCII white space separates, with A-Z as a-z. A word's hash is a polynomial of its bytes, so all
-    words come from one cumulative sum without a Python step per word.
+    Words are what ASCII white space separates, with A-Z as a-z. A word is hashed in pieces of eight bytes, each mixed with what
+    came before it, for all words at once: words of one length up to eight have different hashes.
     """
 
     def __init__(self, texts: list[bytes], separators: np.ndarray = _IS_SPACE):
@@ -133,10 +122,7 @@ class WordHashes:
         space = separators[buf]
         edge = np.flatnonzero(np.diff(space, prepend=True))
         self.start, self.end = edge[0::2], edge[1::2]
-        p, inv = _power_tables(len(buf) + 1)
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_VALUE[buf] * p[: len(buf)], out=total[1:])
-        self._total, self._inv = total, inv
+        self._eight = np.lib.stride_tricks.sliding_window_view(_LOWER[np.append(buf, np.zeros(8, np.uint8))], 8)
         self.words = self.hashes(self.start, self.end)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.offset = np.concatenate([[0], np.cumsum(sizes)])  # bytes before each text
@@ -144,12 +130,18 @@ class WordHashes:
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Of the bytes from ``start`` to ``end``."""
-        return mix((self._total[end] - self._total[start]) * self._inv[start])
+        size = end - start
+        h = mix(size.astype(np.uint64) * _P + _Q)
+        live, at = np.arange(len(size)), 0
+        while len(live := live[size[live] > at] if at else live):
+            piece = np.ascontiguousarray(self._eight[start[live] + at]).view("<u8").ravel() & _EIGHT[np.minimum(size[live] - at, 8)]
+            h[live] = mix((h[live] ^ piece) * _P)
+            at += 8
+        return h
 
     def prefixes(self, size: int) -> np.ndarray:
         """Hashes of the words' first ``size`` bytes; apart from those of words and of other sizes."""
-        end = np.minimum(self.start + size, self.end)
-        return mix((self._total[end] - self._total[self.start]) * self._inv[self.start] + np.uint64(size * int(_Q) % (1 << 64)))
+        return mix(self.hashes(self.start, np.minimum(self.start + size, self.end)) + np.uint64(size * int(_Q) % (1 << 64)))
 
     def shingles(self, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of ``size`` words and where each text's begin; a shorter text is one run, if it has words."""

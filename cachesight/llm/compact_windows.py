@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from cachesight.llm.common import SHINGLE, WordHashes, chunks, materialize, mix, partitions, runs, table, tidy
 
-#: Equal hashes that make a candidate: minima of two functions, or one and a context beside it. A passage of one run with one
-#: word changed (similarity 0.8) has fewer with a probability of 1e-3.
-HASHES, ENOUGH = 5, 2
+#: Equal hashes that make a candidate: minima of two functions, or one and a context beside it. A passage of one run has fewer
+#: with a probability of about (1 - s)^6 + 6 s (1 - s)^5 / 10 at similarity s (a context differs in one of ten cases): 7e-4 at
+#: 0.75, 2e-4 at 0.8. Longer passages have several runs.
+HASHES, ENOUGH = 6, 2
 #: Shingles of the shortest passage: 50 words.
 SPAN = 46
 SIMILARITY = 0.75
@@ -42,13 +43,14 @@ DRIFT, GAP, ASUNDER = 16, 12, 2 * SPAN
 STRETCH = 3 * DRIFT
 #: Stretches of followers of one document that a task verifies.
 FOLLOWERS = 512
-#: A hash that has one of HOT windows or more, by one of SAMPLE documents, is dealt out in shares, PARTS to that many windows and
-#: SHARES at most. There are HOT such hashes at most. This changes which earlier document a window is tied to, not whether it is tied.
+#: A hash that has one of HOT windows or more, by one of SAMPLE documents, is dealt out in shares of its documents, PARTS to that
+#: many windows and SHARES at most. There are HOT such hashes at most. In a share windows are tied to the share's first ones, and
+#: those to the first of all: a window may be tied to another earlier document than without shares, never to a later one.
 SAMPLE, HOT, PARTS, SHARES = 16, 16384, 4, 4095
 _SALTS = mix(np.arange(77, 77 + HASHES, dtype=np.uint64))
 #: key: 48 bits of the smallest hash, 4 of the function's number, and 12 of a share (0 unless the hash is dealt out).
-#: contexts: 24 bits of the shingle on either side (0 without one), then the window's reach to the left and to the right.
-WINDOWS = "key long, contexts long, doc_id long, middle int"
+#: before, behind: the shingle on either side (0 without one). reach: that of the window to the left, times 256, and to the right.
+WINDOWS = "key long, before long, behind long, reach int, doc_id long, middle int"
 
 
 def _sliding(x: np.ndarray, width: int, step) -> np.ndarray:
@@ -116,18 +118,17 @@ def _windows(hot: np.ndarray, shares: np.ndarray):
                     text = np.searchsorted(begin, middle, "right") - 1
                     first, end = begin[text], begin[text + 1]
                     doc = ids[at + text]
-                    packed = np.minimum(middle - left, REACH).astype(np.uint64) << np.uint64(8) | np.minimum(right - middle, REACH).astype(np.uint64)
-                    for aside, shift in ((-ASIDE, 40), (ASIDE, 16)):
-                        there = middle + aside
+                    reach = np.minimum(middle - left, REACH) << 8 | np.minimum(right - middle, REACH)
+                    contexts = []
+                    for there in (middle - ASIDE, middle + ASIDE):
                         inside = (there >= first) & (there < end)
-                        context = np.maximum(s[np.where(inside, there, 0)] >> np.uint64(40), np.uint64(1))
-                        packed |= np.where(inside, context, np.uint64(0)) << np.uint64(shift)
+                        contexts.append(np.where(inside, np.maximum(s[np.where(inside, there, 0)], np.uint64(1)), np.uint64(0)).view(np.int64))
                     key = (h[middle] & np.uint64(0xFFFFFFFFFFFF0000) | np.uint64(number << 12)).view(np.int64)
                     if len(hot):
                         where = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
                         share = mix(doc.view(np.uint64)) % shares[where] + np.uint64(1)
                         key = np.where(hot[where] == key, key | share.view(np.int64), key)
-                    yield pd.DataFrame({"key": key, "contexts": packed.view(np.int64), "doc_id": doc, "middle": (middle - first).astype(np.int32)})
+                    yield pd.DataFrame({"key": key, "before": contexts[0], "behind": contexts[1], "reach": reach.astype(np.int32), "doc_id": doc, "middle": (middle - first).astype(np.int32)})
 
     return run
 
@@ -165,104 +166,144 @@ TIES = "doc_id long, other long, shift int, low int, high int, hashes int"
 CONTEXT = 1 << 15
 
 
-def _tie(doc, middle, contexts, other, other_middle, other_contexts, function) -> pd.DataFrame:
-    """Ties of windows to windows of other documents, where enough of the two windows is in common."""
-    left = np.minimum(contexts >> 8 & 255, other_contexts >> 8 & 255)
-    right = np.minimum(contexts & 255, other_contexts & 255)
+def _tie(own: list[np.ndarray], first: list[np.ndarray], function: np.ndarray, group: np.ndarray, needed: "Needed") -> pd.DataFrame:
+    """Ties of windows (doc_id, middle, before, behind, reach) to windows of earlier documents, where enough of the two is in common."""
+    doc, middle, *contexts, reach = own
+    other, other_middle, *other_contexts, other_reach = first
+    left = np.minimum(reach >> 8, other_reach >> 8)
+    right = np.minimum(reach & 255, other_reach & 255)
     same = np.zeros(len(doc), bool)
-    for shift in (40, 16):
-        own = contexts >> shift & 0xFFFFFF
-        same |= (own != 0) & (own == (other_contexts >> shift & 0xFFFFFF))
-    keep = (doc != other) & (left + right + 1 >= SPAN - DRIFT)
+    for x, y in zip(contexts, other_contexts):
+        same |= (x != 0) & (x == y)
+    keep = (other < doc) & (left + right + 1 >= SPAN - DRIFT)
     middle = middle.astype(np.int64)
     made = {"doc_id": doc, "other": other, "shift": (other_middle - middle).astype(np.int32), "low": (middle - left).astype(np.int32), "high": (middle + right).astype(np.int32), "hashes": (1 << function | np.where(same, CONTEXT, 0)).astype(np.int32)}
     made = {k: v[keep] for k, v in made.items()}
-    needed = _needed(made, middle[keep], other_middle[keep])
-    return pd.DataFrame({k: v[needed] for k, v in made.items()})
+    keep = needed(group[keep], made["doc_id"], made["other"], other_middle[keep], made["hashes"], middle=middle[keep], high=made["high"])
+    return pd.DataFrame({k: v[keep] for k, v in made.items()})
 
 
-def _needed(made: dict[str, np.ndarray], middle: np.ndarray, other_middle: np.ndarray) -> np.ndarray:
+class Needed:
     """Of ties of one document to one window that follow each other, as a repeated line gives them, those that the kept one before
-    does not stand for: a window's runs of SPAN begin behind the middle before it and end SPAN behind its own."""
-    same = np.zeros(len(middle), bool)
-    same[1:] = other_middle[1:] == other_middle[:-1]
-    for c in ("doc_id", "other", "hashes"):
-        same[1:] &= made[c][1:] == made[c][:-1]
-    out, reach = np.ones(len(middle), bool), 0
-    if same.any():
-        for k, (goes_on, m, high) in enumerate(zip(same.tolist(), middle.tolist(), made["high"].tolist(), strict=True)):
-            if goes_on and m + SPAN <= reach:
-                out[k] = False
-            else:
-                reach = high
-    return out
-
+    does not stand for: a window's runs of SPAN begin behind the middle before it and end SPAN behind its own. Batches follow each
+    other as if they were one."""
 
-def _key_ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From windows sorted by (key, doc_id, middle): ties to the first of the key, and of keys that are dealt out also those to
-    the first of equal context in the batch, where that is not the context of the first of the key."""
-    firsts = Firsts()
+    def __init__(self):
+        self.last, self.reach = None, 0
+
+    def __call__(self, *columns: np.ndarray, middle: np.ndarray, high: np.ndarray) -> np.ndarray:
+        out = np.ones(len(middle), bool)
+        if not len(middle):
+            return out
+        same = np.ones(len(middle), bool)
+        for k, c in enumerate(columns):
+            same[1:] &= c[1:] == c[:-1]
+            same[0] &= self.last is not None and self.last[k] == c[0]
+        self.last = [c[-1] for c in columns]
+        if same.any():
+            for k, (goes_on, m, h) in enumerate(zip(same.tolist(), middle.tolist(), high.tolist(), strict=True)):
+                if goes_on and m + SPAN <= self.reach:
+                    out[k] = False
+                else:
+                    self.reach = h
+        else:
+            self.reach = int(high[-1])
+        return out
+
+
+COLUMNS = ("doc_id", "middle", "before", "behind", "reach")
+
+
+class Contexts:
+    """On one side, of the windows of a share of a key that is dealt out, sorted by doc_id: the first window of each context. Held
+    are the first ones of one share, which has about one of HOT * PARTS windows of all documents at most."""
+
+    def __init__(self, side: int):
+        self.side, self.key, self.held = side, None, {}
+
+    def __call__(self, key: np.ndarray, columns: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Whether each of ``rows``, all of keys that are dealt out, is the first of its context, and the columns of the first ones."""
+        own, is_first, firsts = columns[2 + self.side][rows], np.zeros(len(rows), bool), [np.empty(len(rows), c.dtype) for c in columns]
+        cuts = np.flatnonzero(np.diff(key[rows], prepend=key[rows[0]] - 1)) if len(rows) else rows
+        for a, b in zip(cuts.tolist(), [*cuts.tolist()[1:], len(rows)]):
+            if key[rows[a]] != self.key:
+                self.key, self.held = key[rows[a]], {}
+            some, at, number = np.unique(own[a:b], return_index=True, return_inverse=True)
+            found = []
+            for context, k in zip(some.tolist(), (a + at).tolist()):
+                if context not in self.held:
+                    self.held[context] = tuple(c[rows[k]] for c in columns)
+                    is_first[k] = True
+                found.append(self.held[context])
+            for f, values in zip(firsts, zip(*found)):
+                f[a:b] = np.array(values)[number]
+        return is_first, firsts
+
+
+def _asides(batches: Iterator[pd.DataFrame]):
+    """From windows sorted by (key, doc_id, middle), of each batch: keys, COLUMNS, whether rows go on with the key of the row
+    before, the first rows of the keys, and for each side the rows with a context that the first of their key does not have, or
+    that are the first of a share themselves, with which of them are the first of their context in their share (all, for keys
+    that are not dealt out) and the first ones."""
+    firsts, contexts = Firsts(), (Contexts(0), Contexts(1))
     for b in batches:
         if not len(b):
             continue
-        key, doc, middle, contexts = (b[c].to_numpy() for c in ("key", "doc_id", "middle", "contexts"))
-        goes_on, (other, other_middle, other_contexts) = firsts(key, doc, middle, contexts)
-        function = key >> 12 & 15
-        rows = np.flatnonzero(goes_on)
-        yield _tie(doc[rows], middle[rows], contexts[rows], other[rows], other_middle[rows], other_contexts[rows], function[rows])
+        key, columns = b["key"].to_numpy(), [b[c].to_numpy() for c in COLUMNS]
+        goes_on, first = firsts(key, *columns)
+        dealt, sides = key & SHARES != 0, []
         for side in (0, 1):
-            rows, _, first = _side_rows(side, key, contexts, goes_on, other_contexts)
-            rows, first = (x[key[rows] & SHARES != 0] for x in (rows, first))
-            rows, first = rows[rows != first], first[rows != first]
-            if len(rows):
-                yield _tie(doc[rows], middle[rows], contexts[rows], doc[first], middle[first], contexts[first], function[rows])
+            own = columns[2 + side]
+            rows = np.flatnonzero((own != 0) & np.where(goes_on, own != first[2 + side], dealt))
+            shared = dealt[rows]
+            is_first, held = np.ones(len(rows), bool), [c[rows] for c in columns]
+            is_first[shared], of_share = contexts[side](key, columns, rows[shared])
+            for c, x in zip(held, of_share):
+                c[shared] = x
+            sides.append((rows, is_first, held))
+        yield key, columns, goes_on, first, sides
 
 
-def _side_rows(side: int, key, contexts, goes_on, first_contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rows of a batch with a context on this side that the first of their key does not have, and the firsts of keys that are
-    dealt out themselves; the hash of their key, side and context; and the first row of it in the batch."""
-    shift = (40, 16)[side]
-    own = contexts >> shift & 0xFFFFFF
-    rows = np.flatnonzero((own != 0) & np.where(goes_on, own != (first_contexts >> shift & 0xFFFFFF), key & SHARES != 0))
-    group = mix((key[rows] & ~SHARES | side).view(np.uint64) ^ mix(own[rows].view(np.uint64))).view(np.int64)
-    _, at, number = np.unique(group, return_index=True, return_inverse=True)
-    return rows, group, rows[at[number]]
+def _key_ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ties to the first of the key, and of keys that are dealt out also those to the first of equal context in the share, where
+    that is not the context of the first of the key."""
+    needed = [Needed() for _ in range(3)]
+    for key, columns, goes_on, first, sides in _asides(batches):
+        function = key >> 12 & 15
+        rows = np.flatnonzero(goes_on)
+        yield _tie([c[rows] for c in columns], [c[rows] for c in first], function[rows], key[rows], needed[2])
+        for own, (rows, is_first, held) in zip(needed, sides):
+            later = rows[~is_first]
+            if len(later):
+                yield _tie([c[later] for c in columns], [c[~is_first] for c in held], function[later], key[later], own)
 
 
-SIDES = "side_group long, function int, doc_id long, middle int, contexts long"
+SIDES = "side_group long, function int, doc_id long, middle int, before long, behind long, reach int"
 
 
 def _sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From the same windows in the same batches: those with a context that the first of their key does not have, under the
-    hash of key, side and context. Of a key that is dealt out, whose first differs from share to share, one window of each context
-    leaves a batch, to which the others are tied by ``_key_ties``, and the firsts of its shares meet, too."""
-    firsts = Firsts()
-    for b in batches:
-        if not len(b):
-            continue
-        key, doc, middle, contexts = (b[c].to_numpy() for c in ("key", "doc_id", "middle", "contexts"))
-        goes_on, (first_contexts,) = firsts(key, contexts)
-        for side in (0, 1, 2):
+    """Windows with a context that the first of their key does not have, under the hash of key, side and context. Of a key that is
+    dealt out, whose first differs from share to share, the first of each context leaves a share, to which the others are tied by
+    ``_key_ties``, and the firsts of its shares meet, too."""
+    for key, columns, goes_on, _, sides in _asides(batches):
+        firsts = np.flatnonzero(~goes_on & (key & SHARES != 0))
+        for side, rows in ((0, sides[0][0][sides[0][1]]), (1, sides[1][0][sides[1][1]]), (2, firsts)):
+            group = (key[rows] & ~SHARES | side).view(np.uint64)
             if side < 2:
-                rows, group, first = _side_rows(side, key, contexts, goes_on, first_contexts)
-                keep = (key[rows] & SHARES == 0) | (rows == first)
-                rows, group = rows[keep], group[keep]
-            else:  # the firsts of the shares of a key
-                rows = np.flatnonzero(~goes_on & (key & SHARES != 0))
-                group = mix((key[rows] & ~SHARES | side).view(np.uint64)).view(np.int64)
-            yield pd.DataFrame({"side_group": group, "function": (key[rows] >> 12 & 15).astype(np.int32), "doc_id": doc[rows], "middle": middle[rows], "contexts": contexts[rows]})
+                group = group ^ mix(columns[2 + side][rows].view(np.uint64))
+            yield pd.DataFrame({"side_group": mix(group).view(np.int64), "function": (key[rows] >> 12 & 15).astype(np.int32)} | {n: c[rows] for n, c in zip(COLUMNS, columns)})
 
 
 def _side_ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """From rows of sides sorted by (side_group, doc_id, middle): ties to the first of the group."""
-    firsts = Firsts()
+    firsts, needed = Firsts(), Needed()
     for b in batches:
         if not len(b):
             continue
-        group, doc, middle, contexts, function = (b[c].to_numpy() for c in ("side_group", "doc_id", "middle", "contexts", "function"))
-        goes_on, (other, other_middle, other_contexts) = firsts(group, doc, middle, contexts)
+        group, columns = b["side_group"].to_numpy(), [b[c].to_numpy() for c in COLUMNS]
+        goes_on, first = firsts(group, *columns)
         rows = np.flatnonzero(goes_on)
-        yield _tie(doc[rows], middle[rows], contexts[rows], other[rows], other_middle[rows], other_contexts[rows], function[rows].astype(np.int64))
+        yield _tie([c[rows] for c in columns], [c[rows] for c in first], b["function"].to_numpy()[rows].astype(np.int64), group[rows], needed)
 
 
 #: A stretch of a document, and within it the alignments of parts of it with the other document.

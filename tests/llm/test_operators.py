@@ -427,24 +427,77 @@ def test_op3_near_copies_of_one_run(spark):
 
 
 def test_op3_hot_key_keeps_first_holders():
-    """Windows of one frequent hash in 60,000 surroundings: a later one is tied to the first holder of its own surroundings,
-    whether the hash is dealt over tasks or not."""
+    """Windows of one frequent hash in 60,000 surroundings: a later one is tied to an earlier holder of its own surroundings,
+    whether the hash is dealt over tasks or not, in batches of any size, and never to a later one."""
     rng = np.random.default_rng(4)
     n = 60_000
-    left, right = (np.append(x, x[-100:]) for x in (rng.permutation(1 << 24)[:n], rng.permutation(1 << 24)[:n]))
+    left, right = (np.append(x, x[-100:]) for x in (rng.permutation(1 << 24)[:n] + 1, rng.permutation(1 << 24)[:n] + 1))
     doc = np.arange(n + 100)
-    contexts = left << 40 | right << 16 | 60 << 8 | 60
     cut = lambda df, step: (df.iloc[k : k + step] for k in range(0, len(df), step))
     for dealt in (False, True):
         key = np.where(dealt, (1 << 16) + 1 + doc % 200, 1 << 16)
-        windows = pd.DataFrame({"key": key, "contexts": contexts, "doc_id": doc, "middle": np.full(len(doc), 70, np.int32)}).sort_values(["key", "doc_id"])
-        own = pd.concat(compact_windows._key_ties(cut(windows, 7001)))
-        sides = pd.concat(compact_windows._sides(cut(windows, 7001))).sort_values(["side_group", "doc_id", "middle"])
-        assert sides["side_group"].nunique() > 1.99 * n and len(sides) <= 2 * len(doc) + 200
-        ties = pd.concat([own, *compact_windows._side_ties(cut(sides, 7001))])
-        pairs = set(zip(ties["doc_id"], ties["other"], strict=True))
-        assert {(n + k, n - 100 + k) for k in range(100)} <= pairs and len({x for x, _ in pairs}) == n + 99
-        assert len(ties) <= 3 * len(doc)
+        windows = pd.DataFrame({"key": key, "before": left, "behind": right, "reach": np.full(len(doc), 60 << 8 | 60), "doc_id": doc, "middle": np.full(len(doc), 70, np.int32)}).sort_values(["key", "doc_id"])
+        seen = []
+        for step in (7001, 500):
+            own = pd.concat(compact_windows._key_ties(cut(windows, step)))
+            sides = pd.concat(compact_windows._sides(cut(windows, step))).sort_values(["side_group", "doc_id", "middle"])
+            assert sides["side_group"].nunique() > 1.99 * n and len(sides) <= 2 * len(doc) + 200
+            ties = pd.concat([own, *compact_windows._side_ties(cut(sides, step))])
+            pairs = set(zip(ties["doc_id"], ties["other"], strict=True))
+            assert {(n + k, n - 100 + k) for k in range(100)} <= pairs and len({x for x, _ in pairs}) == n + 99
+            assert len(ties) <= 3 * len(doc) and all(x > y for x, y in pairs)
+            seen.append(sorted(ties.itertuples(index=False, name=None)))
+        assert seen[0] == seen[1]
+
+
+def test_op3_hot_line_between_passages(spark):
+    """A block that thousands of documents have, and pairs that share a passage around a frequent line: of each passage one whole
+    copy stays, and batches and partitions change nothing."""
+    rng = np.random.default_rng(8)
+    some = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 1 << 30, k))
+    block, line = some(60), some(30)
+    texts = [f"{some(20)} {block} {some(20)}" for _ in range(4000)]
+    passages = [f"{some(15)} {line} {some(15)}" for _ in range(1000)]
+    texts += [f"{some(25)} {p} {some(25)}" for p in passages for _ in range(2)]
+    order = rng.permutation(len(texts))
+    docs = spark.createDataFrame([(int(order[k]), t) for k, t in enumerate(texts)], "doc_id long, text string")
+    hot, _ = compact_windows.hot_keys(docs)
+    assert len(hot)  # else this test shows nothing
+    seen = []
+    for size, n in ((10_000, 4), (500, 7)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            rows = compact_windows.repeated_passages(docs.repartition(n)).collect()
+            seen.append(sorted(rows))
+            assert all(r.other_id < r.doc_id for r in rows)
+            if size == 500:
+                left = "\n".join(r.text for r in compact_windows.cut_passages(docs).collect())
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert seen[0] == seen[1]
+    assert left.count(block) == 1 and sum(p in left for p in passages) >= 999 and all(left.count(p) <= 1 for p in passages)
+
+
+def thue_morse(first: str, second: str, n: int) -> str:
+    return "".join(second if k.bit_count() % 2 else first for k in range(n))
+
+
+def test_words_of_like_letters_are_told_apart(spark, tmp_path):
+    """Two words that polynomial hashes modulo 2^64 mix up, whatever their base."""
+    x, y = thue_morse("a", "b", 1024), thue_morse("b", "a", 1024)
+    assert len(set(WordHashes([f"{x} {y}".encode()]).words.tolist())) == 2
+    path = public.path("word_bpe_49k.json")
+    t = tokenizers.Tokenizer.from_file(path)
+    want = [np.array(t.encode(w, add_special_tokens=False).ids, "<u2").tobytes() for w in (x, y, f"{y} {x}")]
+    assert Pieces(path).many([x, y, f"{y} {x}"]) == want
+    docs = spark.createDataFrame([(1, f"one two {x} four five six"), (2, f"one two {y} four five six")], "doc_id long, text string")
+    assert {r.component_id for r in signature_trees.near_duplicates(docs).collect()} == {1, 2}
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abé"), k)) for k in range(1, 40) for _ in range(30)]
+    h = WordHashes([" ".join(words).encode()])
+    assert len(set(h.words.tolist())) == len(set(words)) and len(set(h.prefixes(3).tolist())) == len({w.encode()[:3] for w in words})
 
 
 def test_op3_rows_that_share_an_id(spark):

@@ -6,6 +6,7 @@ Only sums of a size that the number of features sets come to the driver.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cachesight.functions.scalars import finite, linear_score, odd_hash, safe_ratio, sign
+from cachesight.operators.dominance import block_size, dominated, in_order
 from cachesight.schema import DECISION_KEY
+from cachesight.sources.shared import materialize
 
 
 def feature_means(df: DataFrame, features: list[str]) -> dict[str, float]:
@@ -279,25 +282,60 @@ def permutation_p(cells: DataFrame, block: str, unit: str, x: str, y: str) -> Da
     return r.crossJoin(F.broadcast(observed)).agg(F.count("*").alias("ways"), F.round(F.first("observed"), 9).alias("observed"), F.round(F.avg((F.col("r") >= F.col("observed") - 1e-9).cast("double")), 9).alias("p_value"))  # one row
 
 
-#: The distribution of a Poisson variable of mean 1, up to 5, and the multipliers of a public 64-bit mixer.
-POISSON = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317]
+def kendall(df: DataFrame, x: str, y: str, by: list[str] | None = None, size: int | None = None) -> DataFrame:
+    """Kendall's tau-b of two columns over any number of rows, with the counts of its pairs; null where a side is constant.
+
+    Rows are placed in order of (x, y), then in order of (y, that place). A pair is discordant where the two orders differ, so
+    all pairs come from the numbers of earlier rows with a smaller second place, and pairs that tie from counts of values. No
+    pair is ever a row. Rows with a null in either column are left out.
+    """
+    by = by or []
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
+    rows = in_order(rows, [*by, "x", "y"], "first")
+    rows = in_order(rows, [*by, "y", "first"], "second")
+    totals = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("first").alias("start_first"), F.min("second").alias("start_second"))
+    size = size or block_size(totals.agg(F.max("n")).first()[0] or 0)
+    if by:
+        rows = rows.join(totals, by)
+    else:
+        rows = rows.crossJoin(F.broadcast(totals))  # one row
+    placed = rows.select(*by, (F.col("first") - F.col("start_first")).alias("first"), (F.col("second") - F.col("start_second")).alias("second"))
+    agreeing = dominated(placed, by, "first", "second", size, "agreeing").groupBy(*by).agg(F.sum("agreeing").alias("agreeing"))
+    out = totals.select(*by, "n").join(agreeing, by) if by else totals.select("n").crossJoin(F.broadcast(agreeing))
+    pairs = lambda m: F.expr(f"{m} * ({m} - 1) div 2")
+    for name, values in (("x_tied", ["x"]), ("y_tied", ["y"]), ("both_tied", ["x", "y"])):
+        own = rows.groupBy(*by, *values).agg(F.count("*").alias("m")).groupBy(*by).agg(F.sum(pairs("m")).alias(name))
+        out = out.join(own, by) if by else out.crossJoin(F.broadcast(own))
+    out = out.withColumn("pairs", pairs("n")).withColumn("discordant", F.col("pairs") - F.col("agreeing"))
+    out = out.withColumn("concordant", F.col("pairs") - F.col("x_tied") - F.col("y_tied") + F.col("both_tied") - F.col("discordant"))
+    below = F.sqrt(((F.col("pairs") - F.col("x_tied")).cast("double")) * (F.col("pairs") - F.col("y_tied")))
+    return out.select(*by, "n", "concordant", "discordant", "x_tied", "y_tied", "both_tied", F.round(safe_ratio(F.col("concordant") - F.col("discordant"), below), 9).alias("tau_b"))
+
+
+#: The distribution of a Poisson variable of mean 1, up to where 30 bits see no difference.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(13)])
+#: The multipliers of a public 64-bit mixer.
 MIXER = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
+def poisson_weights(h: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Weights (row, replicate) that depend on a row's hash, the replicate and the seed alone. Rows of one hash move together."""
+    one, two = (np.uint64(m) for m in MIXER)
+    x = h.view(np.uint64)[:, None] ^ ((np.arange(1, replicates + 1, dtype=np.uint64) + np.uint64(seed << 32)) * one)
+    x = (x ^ (x >> np.uint64(30))) * one
+    x = (x ^ (x >> np.uint64(27))) * two
+    return np.searchsorted(POISSON, (x >> np.uint64(34)).astype(float) / (1 << 30), "right")
+
+
 def _resampled(replicates: int, seed: int):
     """Weighted sums and sums of weights of each replicate, over the rows of a task."""
 
     def run(batches):
         sums, weights = np.zeros(replicates), np.zeros(replicates)
-        one, two = (np.uint64(m) for m in MIXER)
-        replicate = (np.arange(1, replicates + 1, dtype=np.uint64) + np.uint64(seed << 32)) * one
         for b in batches:
-            h, v = b["h"].to_numpy().view(np.uint64), b["v"].to_numpy(float)
+            h, v = b["h"].to_numpy(), b["v"].to_numpy(float)
             for at in range(0, len(h), 512):
-                x = h[at : at + 512, None] ^ replicate
-                x = (x ^ (x >> np.uint64(30))) * one
-                x = (x ^ (x >> np.uint64(27))) * two
-                w = np.searchsorted(POISSON, (x >> np.uint64(34)).astype(float) / (1 << 30), "right").astype(float)
+                w = poisson_weights(h[at : at + 512], replicates, seed).astype(float)
                 sums += v[at : at + 512] @ w
                 weights += w.sum(axis=0)
         yield pd.DataFrame({"k": np.arange(replicates), "s": sums, "w": weights})
@@ -308,10 +346,86 @@ def _resampled(replicates: int, seed: int):
 def bootstrap(decisions: DataFrame, value: str, replicates: int = 2000, seed: int = 7) -> DataFrame:
     """Mean of ``value`` over decisions with Poisson weights for each replicate, and their percentile interval.
 
-    Each row's weight in a replicate is drawn from a hash of the row and the replicate, so every part of the table can be
-    resampled where it is, and repeated runs give the same result. A task sums up before anything is shuffled. Nulls are left out.
+    Each row's weight in a replicate is drawn from a hash of its decision and the replicate, so every part of the table can be
+    resampled where it is, rows of one decision are drawn together, and repeated runs give the same result. A task sums up before
+    anything is shuffled. Nulls are left out.
     """
-    rows = decisions.where(F.col(value).isNotNull()).select(F.xxhash64(*[c for c in DECISION_KEY if c in decisions.columns]).alias("h"), F.col(value).cast("double").alias("v"))
-    sums = rows.mapInPandas(_resampled(replicates, seed), "k long, s double, w double").groupBy("k").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
-    means = sums.where("w > 0").select((F.col("s") / F.col("w")).alias("m"))
+    means = _bootstrap_means(decisions, value, [c for c in DECISION_KEY if c in decisions.columns], replicates, seed)
     return means.agg(F.count("*").alias("replicates"), F.round(F.percentile("m", 0.5), 9).alias("median"), F.round(F.percentile("m", 0.025), 9).alias("low"), F.round(F.percentile("m", 0.975), 9).alias("high"))
+
+
+def _bootstrap_means(decisions: DataFrame, value: str, key: list[str], replicates: int, seed: int) -> DataFrame:
+    rows = decisions.where(F.col(value).isNotNull()).select(F.xxhash64(*key).alias("h"), F.col(value).cast("double").alias("v"))
+    sums = rows.mapInPandas(_resampled(replicates, seed), "k long, s double, w double").groupBy("k").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+    return sums.where("w > 0").select("k", (F.col("s") / F.col("w")).alias("m"))
+
+
+def _weighed(edges: np.ndarray, low: float, high: float, replicates: int, seed: int):
+    """Of each replicate the weights of the values below ``low``, in the bins from ``low`` to ``high`` (bin j begins at edges[j]),
+    and in all."""
+
+    def run(batches):
+        bins = np.zeros((len(edges) + 2, replicates), np.int64)
+        for b in batches:
+            h, v = b["h"].to_numpy(), b["v"].to_numpy(float)
+            bin_of = np.where(v < low, 0, np.where(v > high, len(edges) + 1, np.searchsorted(edges, v, "right")))
+            for at in range(0, len(h), 512):
+                own, w = bin_of[at : at + 512], poisson_weights(h[at : at + 512], replicates, seed)
+                order = np.argsort(own, kind="stable")
+                first = np.flatnonzero(np.diff(own[order], prepend=-1))
+                bins[own[order][first]] += np.add.reduceat(w[order], first, axis=0)
+        at, k = np.nonzero(bins)
+        yield pd.DataFrame({"bin": at, "k": k, "w": bins[at, k]})
+
+    return run
+
+
+def bootstrap_medians(decisions: DataFrame, value: str, key: list[str], replicates: int = 2000, seed: int = 7, bins: int = 512) -> DataFrame:
+    """(k, m): the median of ``value`` over decisions with Poisson weights, exactly, for each replicate with any weight.
+
+    A task adds up a histogram of weights over ``bins`` bins for each replicate, and histograms are added up. With as many
+    different values the bins are the values, and one pass is all; else the bins that hold the medians of all replicates, which are
+    next to each other, are the range of the next pass. The driver holds bins and replicates, no rows.
+    """
+    spark = decisions.sparkSession
+    rows = materialize(decisions.where(F.col(value).isNotNull()).select(F.xxhash64(*key).alias("h"), F.col(value).cast("double").alias("v")), "resampled")
+    low, high = rows.agg(F.min("v"), F.max("v")).first()
+    if low is None:
+        return spark.createDataFrame([], "k long, m double")
+    while True:
+        inside = rows.where(F.col("v").between(low, high))
+        some = sorted(r.v for r in inside.select("v").distinct().limit(bins + 1).collect())
+        exact = len(some) <= bins
+        edges = some if exact else sorted({low, *inside.agg(F.percentile_approx("v", [k / bins for k in range(1, bins)], 10 * bins)).first()[0]})
+        summed = rows.mapInPandas(_weighed(np.array(edges), low, high, replicates, seed), "bin long, k long, w long").groupBy("k", "bin").agg(F.sum("w").alias("w"))
+        along = Window.partitionBy("k").orderBy("bin")
+        ends = summed.withColumn("before", F.coalesce(F.sum("w").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("w").over(Window.partitionBy("k")))
+        # the middle weights, counted from 0: one, or two of which the mean counts
+        holds = lambda place: (F.col("before") <= place) & (place < F.col("before") + F.col("w"))
+        middles = [F.max(F.when(holds(F.expr(e)), F.col("bin"))).alias(n) for n, e in (("a", "(`all` - 1) div 2"), ("b", "`all` div 2"))]
+        found = ends.groupBy("k").agg(*middles)
+        if exact:
+            values = F.broadcast(spark.createDataFrame(list(enumerate(edges, 1)), "bin long, v double"))  # at most ``bins`` rows
+            return found.join(values.withColumnsRenamed({"bin": "a", "v": "va"}), "a").join(values.withColumnsRenamed({"bin": "b", "v": "vb"}), "b").select("k", ((F.col("va") + F.col("vb")) / 2).alias("m"))
+        first, last = found.agg(F.min("a"), F.max("b")).first()
+        upper = edges[last] if last < len(edges) else high
+        if (edges[first - 1], upper) == (low, high):  # no narrower: bins of equal widths part what these could not
+            bins *= 2
+        low, high = edges[first - 1], upper
+
+
+def nearest_rank(values: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """One row: of the sorted values those whose place is the rounded share of the last place (halves to even). ``values`` are few,
+    as replicates are."""
+    ranked = values.select(column, (F.row_number().over(Window.orderBy(column)) - 1).alias("place"), F.count("*").over(Window.partitionBy()).alias("n"))
+    return ranked.agg(*[F.round(F.max(F.when(F.col("place") == F.bround(F.lit(p) * (F.col("n") - 1)), F.col(column))), 9).alias(name) for name, p in shares.items()])
+
+
+def cluster_bootstrap(decisions: DataFrame, key: list[str], jaccard: str = "jaccard", regret: str = "mean_cross_regret", replicates: int = 2000, seed: int = 7) -> DataFrame:
+    """95 % intervals of the median Jaccard and the mean cross regret when whole decisions, each one row of ``decisions``, are drawn
+    again. Weights are Poisson draws from a hash of ``key``, one for each decision and replicate."""
+    ends = lambda name: {f"{name}_low": 0.025, f"{name}_high": 0.975}
+    medians = nearest_rank(bootstrap_medians(decisions, jaccard, key, replicates, seed), "m", ends("median_jaccard"))
+    means = nearest_rank(_bootstrap_means(decisions, regret, key, replicates, seed), "m", ends("mean_ccr"))
+    counted = decisions.agg(F.count("*").alias("decisions"), F.lit(replicates).alias("replicates"))
+    return counted.crossJoin(F.broadcast(medians)).crossJoin(F.broadcast(means))  # one row each

@@ -6,17 +6,12 @@ time, work inside a block is local, and what lies before it comes from sums over
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cachesight.operators.dominance import BLOCK, block_size, dominated
 from cachesight.sources.shared import materialize
 
-#: Requests of a block at least; longer traces have blocks of the square root of their length, and as many of them.
-BLOCK = 4096
 #: Requests of a block whose followers are gathered in one row, at least.
 FOLLOWED = 256
 
@@ -35,9 +30,8 @@ def numbered(rows: DataFrame, by: list[str], bucket: Column, order: list, name:
     return own.withColumn("place", place).join(starts, [*by, "bucket"]).withColumn(name, F.col("start") + F.col("place")).drop("bucket", "start", "place")
 
 
-def block_size(traces: DataFrame) -> int:
-    longest = traces.agg(F.max("t")).first()[0] or 0
-    return max(BLOCK, math.isqrt(longest) + 1)
+def _longest(traces: DataFrame) -> int:
+    return traces.agg(F.max("t")).first()[0] or 0
 
 
 def positions(traces: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -56,61 +50,16 @@ def positions(traces: DataFrame, size: int = BLOCK) -> DataFrame:
     return found.withColumn("prev", F.coalesce("prev", "before")).withColumn("next", F.coalesce("next", "behind")).drop("block", "before", "behind")
 
 
-def count_dominated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of each point the number of points of a smaller x and of a y that is no larger. Merge counting: in each round the halves of
-    twice as long runs meet."""
-    order = np.lexsort((-y, x))  # points of equal x in falling order of y, so that none counts for another
-    y = y[order]
-    n = len(y)
-    counts, rank = np.zeros(n, np.int64), np.argsort(np.argsort(y, kind="stable"), kind="stable")
-    at, width = np.arange(n), 1
-    by_rank = np.argsort(rank, kind="stable")
-    while width < n:
-        run = at // (2 * width)
-        # places in order of their run and then of y: earlier ones of the left half count for those of the right half
-        merged = by_rank[np.argsort(run[by_rank], kind="stable")]
-        left = (merged // width) % 2 == 0
-        seen = np.cumsum(left)
-        begin = np.searchsorted(run[merged], run[merged], "left")
-        before = seen - left - np.where(begin > 0, seen[begin - 1], 0)
-        counts[merged[~left]] += before[~left]
-        width *= 2
-    out = np.empty(n, np.int64)
-    out[order] = counts
-    return out
-
-
-def _inside(b: pd.DataFrame) -> pd.DataFrame:
-    return b.assign(inside=count_dominated(b["t"].to_numpy(), b["prev"].fillna(-1).to_numpy(np.int64)))
-
-
-def _beside(b: pd.DataFrame) -> pd.DataFrame:
-    return b[["trace", "block", "t"]].assign(beside=count_dominated(b["block"].to_numpy(), b["prev"].to_numpy(np.int64)))
-
-
 def reuse_distance(traces: DataFrame, size: int | None = None) -> DataFrame:
     """Adds distance: different items between a request and the one before it for the same item; null for a first one.
 
     Between prev and t lie as many items as requests whose own previous one is not behind prev. Every request up to prev is such
-    a one, so it is the number of all earlier requests with no later previous one, less prev + 1. Those are counted by blocks:
-    in the block of t; in earlier blocks, with the previous one in an earlier block than prev, from the blocks' histograms of
-    previous requests and their sums; and with both in the same block. A block has ``size`` requests, and previous ones too.
+    a one, so it is the number of all earlier requests with no later previous one, less prev + 1.
     """
-    size = size or block_size(traces)
-    rows = positions(traces.select("trace", "t", "item"), size).withColumn("block", F.floor(F.col("t") / size)).withColumn("prev_block", F.coalesce(F.floor(F.col("prev") / size), F.lit(-1)))
-    rows = materialize(rows.drop("next"), "positions")
-    schema = "trace string, t long, item string, prev long, block long, prev_block long"
-    inside = rows.groupBy("trace", "block").applyInPandas(_inside, f"{schema}, inside long")
-    beside = rows.where("prev_block >= 0").groupBy("trace", "prev_block").applyInPandas(_beside, "trace string, block long, t long, beside long")
-    counts = rows.groupBy("trace", "block", "prev_block").agg(F.count("*").alias("n"))
-    cells = rows.groupBy("trace").agg(F.max("block").alias("last")).select("trace", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block"))
-    cells = cells.select("trace", "block", F.explode(F.sequence(F.lit(-1).cast("long"), "block")).alias("prev_block"))
-    earlier = lambda by, order: Window.partitionBy("trace", by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = cells.join(counts, ["trace", "block", "prev_block"], "left").withColumn("before", F.coalesce(F.sum("n").over(earlier("prev_block", "block")), F.lit(0)))
-    sums = sums.withColumn("below", F.coalesce(F.sum("before").over(earlier("block", "prev_block")), F.lit(0))).select("trace", "block", "prev_block", "below")
-    out = inside.join(sums, ["trace", "block", "prev_block"]).join(beside, ["trace", "block", "t"], "left")
-    distance = F.when(F.col("prev").isNotNull(), F.col("inside") + F.col("beside") + F.col("below") - F.col("prev") - 1)
-    return out.select("trace", "t", "item", distance.alias("distance"))
+    size = size or block_size(_longest(traces))
+    rows = positions(traces.select("trace", "t", "item"), size).withColumn("prev", F.coalesce("prev", F.lit(-1).cast("long"))).drop("next")
+    counted = dominated(rows, ["trace"], "t", "prev", size, "earlier")
+    return counted.select("trace", "t", "item", (F.col("earlier") - F.col("prev") - 1).alias("distance"))
 
 
 def lru_hits(distances: DataFrame, capacities: list[int]) -> DataFrame:
@@ -137,7 +86,7 @@ def lru_replay(traces: DataFrame, capacities: list[int], size: int | None = None
     A request hits if fewer items than the capacity lie between it and the one before; a miss decides if as many items as the
     capacity came before. Stays that no hit ends are evicted in their order, so the k-th of them ends at the k-th decision.
     """
-    size = size or block_size(traces)
+    size = size or block_size(_longest(traces))
     found = reuse_distance(traces, size).join(positions(traces.select("trace", "t", "item"), size).select("trace", "t", "next"), ["trace", "t"])
     found = _running(found.withColumn("block", F.floor(F.col("t") / size)).withColumn("new", F.col("distance").isNull()), ["trace"], ["new"])
     found = materialize(found.drop("new"), "replay")
@@ -263,3 +212,73 @@ def scored_events(replay: DataFrame, windows: DataFrame) -> DataFrame:
     ranges = F.broadcast(windows)
     inside = replay.join(ranges, (replay["trace"] == ranges["trace"]) & replay["t"].between(ranges["lo"], ranges["hi"]), "left_semi")
     return inside.groupBy("trace", "capacity").agg(F.count("*").alias("requests"), F.count_if(F.col("hit")).alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.round(F.count_if(~F.col("hit")) / F.count("*"), 9).alias("miss_ratio"), F.count_if(F.col("decision")).alias("evictions"))
+
+
+def windowed_locality(traces: DataFrame, distances: DataFrame, width: int, stride: int) -> DataFrame:
+    """The locality panel of each window of ``width`` requests that begins at a multiple of ``stride``; a shorter trace is one window.
+
+    Windows may overlap in any number: what is counted comes from changes, not from the windows' rows. An item's number of requests
+    in a window changes only where a request enters or leaves, so items become runs of windows of equal counts, and those become,
+    for each count, the changes of the number of items that have it. A window has no more different counts than about
+    sqrt(2 width). All else is summed by strides, or by runs of new items, which meet the windows that they reach.
+    """
+    if width % stride:
+        raise ValueError("the width has to be a multiple of the stride")
+    parts, end = width // stride, traces.groupBy("trace").agg(F.max("t").alias("end"))
+    last = F.greatest(F.lit(0), F.floor((F.col("end") + 1 - width) / stride)).cast("long")
+    ends = end.select("trace", last.alias("last"))
+    few = F.broadcast(ends) if ends.count() <= 10_000 else ends
+    rows = traces.select("trace", "t", "item").join(distances.select("trace", "t", "distance"), ["trace", "t"])
+    stride_of = lambda t: F.floor(t / stride)
+
+    def in_windows(df: DataFrame, first: Column, final: Column) -> DataFrame:
+        """Each row in the windows that hold any of the strides ``first`` to ``final``."""
+        low, high = F.greatest(first - parts + 1, F.lit(0)).cast("long"), F.least(final, F.col("last")).cast("long")
+        return df.join(few, "trace").where(low <= high).withColumn("window", F.explode(F.sequence(low, high)))
+
+    # how many requests an item has: a run of windows for each change
+    own = F.col("stride")
+    by_stride = rows.groupBy("trace", "item", stride_of(F.col("t")).alias("stride")).agg(F.count("*").alias("n")).join(few, "trace")
+    enters = by_stride.select("trace", "item", "last", F.greatest(own - parts + 1, F.lit(0)).alias("window"), F.col("n").alias("change"))
+    leaves = by_stride.select("trace", "item", "last", (own + 1).alias("window"), (-F.col("n")).alias("change"))
+    changes = enters.unionByName(leaves).groupBy("trace", "item", "last", "window").agg(F.sum("change").alias("change")).where(F.col("window") <= F.col("last"))
+    along = Window.partitionBy("trace", "item").orderBy("window")
+    spans = changes.withColumn("count", F.sum("change").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("until", F.coalesce(F.lead("window").over(along), F.col("last") + 1)).where("count > 0")
+    # how many items have a count
+    flips = spans.select("trace", "count", F.explode(F.array(F.struct("window", F.lit(1).alias("d")), F.struct(F.col("until").alias("window"), F.lit(-1).alias("d")))).alias("f"), "last")
+    flips = flips.groupBy("trace", "count", "last", F.col("f.window").alias("from")).agg(F.sum("f.d").alias("d"))
+    along = Window.partitionBy("trace", "count").orderBy("from")
+    held = flips.withColumn("items", F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to", F.coalesce(F.lead("from").over(along), F.col("last") + 1) - 1).where("items > 0")
+    histogram = held.select("trace", "count", "items", F.explode(F.sequence(F.col("from").cast("long"), F.col("to").cast("long"))).alias("window"))
+    window = Window.partitionBy("trace", "window")
+    ranked = histogram.withColumn("more", F.coalesce(F.sum("items").over(window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("items").over(window)).withColumn("whole", F.sum(F.col("items") * F.col("count")).over(window))
+    n, share = F.col("items"), F.col("count") / F.col("whole")
+    taken = lambda p: F.greatest(F.lit(0), F.least(n, F.greatest(F.lit(1), F.bround(F.col("all") * p)) - F.col("more")))
+    entropy = -F.sum(n * share * F.log2(share))
+    shares = ranked.groupBy("trace", "window").agg(F.first("all").alias("objects"), *[F.round(F.sum(taken(p) * F.col("count")) / F.first("whole"), 9).alias(f"top_{int(p * 100)}_share") for p in (0.01, 0.05, 0.1)], F.round(F.abs(entropy), 9).alias("entropy"), F.round(F.when(F.first("all") > 1, F.abs(entropy) / F.log2(F.first("all"))).otherwise(0.0), 9).alias("normalised_entropy"))
+    # requests, new items, distances
+    d = F.col("distance")
+    counted = in_windows(rows.groupBy("trace", stride_of(F.col("t")).alias("stride"), "distance").agg(F.count("*").alias("n")), own, own)
+    total = lambda where: F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0))
+    reuse = total(d.isNotNull())
+    panel = counted.groupBy("trace", "window").agg(F.sum("n").alias("requests"), F.round(total(d.isNull()) / F.sum("n"), 9).alias("compulsory_fraction"), F.round(reuse / F.sum("n"), 9).alias("repeated_fraction"), reuse.alias("reuse_events"), F.round(F.sum(d * F.col("n")) / F.when(reuse > 0, reuse), 9).alias("reuse_mean"),
+        *[F.round(F.percentile(d, q, F.col("n")), 9).alias(f"reuse_p{int(q * 100)}") for q in (0.1, 0.25, 0.5, 0.75, 0.9)], *[F.round(total(where) / F.when(reuse > 0, reuse), 9).alias(k) for k, where in (("within_32", d <= 32), ("within_128", d <= 128), ("beyond_128", d > 128))])
+    # a request is its item's latest among the last w for so long; what of that lies in a stride
+    whole = positions(rows.select("trace", "t", "item")).join(F.broadcast(end) if few is not ends else end, "trace")
+    sizes = []
+    for w in (32, 128):
+        lives = whole.withColumn("to", F.least(F.col("t") + w, F.coalesce("next", F.col("end") + 1), F.col("end") + 1)).withColumn("stride", F.explode(F.sequence(stride_of(F.col("t")), stride_of(F.col("to") - 1))))
+        inside = F.least(F.col("to"), (own + 1) * stride) - F.greatest(F.col("t"), own * stride)
+        of_window = in_windows(lives.groupBy("trace", "stride").agg(F.sum(inside).alias("sum")), own, own).groupBy("trace", "window").agg(F.sum("sum").alias(f"set_{w}"))
+        sizes.append(of_window)
+    # runs of new items, as far as they lie in a window
+    marked = _running(rows.select("trace", "t", F.floor(F.col("t") / BLOCK).alias("block"), F.col("distance").isNull().alias("new")), ["trace"], ["new"])
+    islands = marked.where("new").groupBy("trace", (F.col("t") - F.col("new_before")).alias("island")).agg(F.min("t").alias("from"), F.max("t").alias("to"))
+    islands = in_windows(islands, stride_of(F.col("from")), stride_of(F.col("to")))
+    streak = F.least(F.col("to"), F.col("window") * stride + width - 1) - F.greatest(F.col("from"), F.col("window") * stride) + 1
+    streaks = islands.groupBy("trace", "window").agg(F.max(streak).alias("longest_novel_streak"))
+    key = ["trace", "window"]
+    out = panel.join(shares, key).join(sizes[0], key).join(sizes[1], key).join(streaks, key, "left")
+    lo = F.col("window") * stride
+    extra = [F.round(F.col(f"set_{w}") / F.col("requests"), 9).alias(f"working_set_{w}") for w in (32, 128)] + [F.coalesce("longest_novel_streak", F.lit(0)).alias("longest_novel_streak"), lo.alias("history"), (lo >= 128).alias("warm"), F.round(F.col("objects") / F.col("requests"), 9).alias("object_ratio")]
+    return out.select(*[c for c in (*panel.columns, *shares.columns[2:])], *extra)

@@ -283,6 +283,12 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     q["concordance"] = lambda s, d: M.concordance(_two_losses(s, d).withColumns({"x": F.col("x") - 2, "y": F.col("y") - 2}), "x", "y", ["capacity"]), f"WITH {_X} SELECT capacity, CASE WHEN x = 2 AND y = 2 THEN 'both_tied' WHEN x = 2 THEN 'offline_tie_only' WHEN y = 2 THEN 'closed_loop_tie_only' WHEN sign(x - 2) = sign(y - 2) THEN 'concordant' ELSE 'discordant' END AS kind, count(*) AS n FROM x GROUP BY ALL"
     q["leave_one_out"] = lambda s, d: M.leave_one_out(_two_losses(s, d), "trace_family", "x", "y"), f"WITH {_X} SELECT f.trace_family AS left_out, count(*) AS n, round(corr(x, y), 9) AS pearson FROM x JOIN (SELECT DISTINCT trace_family FROM x) f ON f.trace_family <> x.trace_family GROUP BY f.trace_family"
     q["permutation_p"] = lambda s, d: M.permutation_p(_cells(s, d), "trace_family", "capacity", "x", "y"), None
+    pair = lambda c: f"coalesce(sum(CASE WHEN a.x = b.x AND a.y = b.y THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END) FILTER ({c}), 0)::BIGINT"
+    q["kendall_whole"] = lambda s, d: M.kendall(candidates(s, d).withColumn("y", F.col("y_loss") * 100 + F.col("recent_candidate_hit_rate")), "recent_candidate_request_rate", "y", ["trace_family"]), f"""WITH {_C}, h AS (SELECT trace_family, recent_candidate_request_rate AS x, y_loss * 100 + recent_candidate_hit_rate AS y, count(*) AS n FROM c GROUP BY ALL),
+      p AS (SELECT trace_family, {pair('(b.x - a.x) * (b.y - a.y) > 0')} AS concordant, {pair('(b.x - a.x) * (b.y - a.y) < 0')} AS discordant, {pair('a.x = b.x')} AS x_tied, {pair('a.y = b.y')} AS y_tied, {pair('a.x = b.x AND a.y = b.y')} AS both_tied
+        FROM h a JOIN h b USING (trace_family) WHERE a.x < b.x OR (a.x = b.x AND a.y <= b.y) GROUP BY trace_family), t AS (SELECT trace_family, count(*) AS n FROM c GROUP BY ALL)
+      SELECT trace_family, n, concordant, discordant, x_tied, y_tied, both_tied, round((concordant - discordant) / sqrt((n * (n - 1) // 2 - x_tied)::DOUBLE * (n * (n - 1) // 2 - y_tied)), 9) AS tau_b FROM p JOIN t USING (trace_family)"""
+    q["cluster_bootstrap"] = lambda s, d: M.cluster_bootstrap(M.optimal_set_agreement(_two_losses(s, d), DECISION_KEY), DECISION_KEY), None
     q["bootstrap"] = lambda s, d: M.bootstrap(_view(s, d).select(*DECISION_KEY, "regret_mean"), "regret_mean"), None
     q["dup_candidates"] = lambda s, d: V.duplicate_candidates(candidates(s, d).withColumn("candidate_page_id", F.substring_index("candidate_page_id", "-", 1))), f"WITH {_C} SELECT {K}, split_part(candidate_page_id, '-', 1) AS candidate_page_id, count(*) AS copies FROM c GROUP BY ALL HAVING count(*) > 1"
     q["inconsistent_metadata"] = lambda s, d: V.inconsistent_metadata(candidates(s, d), ["trace_family", "capacity"], ["split", "horizon"]), f"WITH {_C} SELECT trace_family, capacity, count(DISTINCT split) AS split, count(DISTINCT horizon) AS horizon FROM c GROUP BY ALL HAVING count(DISTINCT split) > 1 OR count(DISTINCT horizon) > 1"
@@ -318,6 +324,16 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     top = ", ".join(f"round(sum(n) FILTER (place <= greatest(1, round_even(items * {p}, 0))) / max(whole), 9) AS top_{int(p * 100)}_share" for p in (0.01, 0.05, 0.1))
     q["locality_panel"] = lambda s, d: T.locality(_distances(s, d)), f"""WITH {_T}, i AS (SELECT trace, item, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY n DESC, item) AS place, count(*) OVER (PARTITION BY trace) AS items, sum(n) OVER (PARTITION BY trace) AS whole FROM i),
       a AS (SELECT trace, max(items) AS items, {top}, round(-sum(n / whole * log2(n / whole)), 9) AS entropy FROM r GROUP BY trace), b AS (SELECT trace, count(*) AS requests, round(count(*) FILTER (distance IS NULL) / count(*), 9) AS first_fraction, round(quantile_cont(distance, 0.5), 9) AS reuse_p50, round(quantile_cont(distance, 0.9), 9) AS reuse_p90, count(*) FILTER (distance <= 32) AS within_32, count(*) FILTER (distance <= 128) AS within_128, count(*) FILTER (distance > 128) AS beyond_128 FROM t GROUP BY trace) SELECT * FROM b JOIN a USING (trace)"""
+    q["windowed_locality"] = lambda s, d: T.windowed_locality(traces(s, d), _distances(s, d), 512, 128), f"""WITH {_T}, win AS (SELECT trace, unnest(range(0, greatest(0, (max(t) + 1 - 512) // 128) + 1))::BIGINT AS w FROM t GROUP BY trace),
+      m AS (SELECT w.w, t.* FROM win w JOIN t ON t.trace = w.trace AND t.t BETWEEN w.w * 128 AND w.w * 128 + 511), i AS (SELECT trace, w, item, count(*) AS n FROM m GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY trace, w ORDER BY n DESC, item) AS place, count(*) OVER (PARTITION BY trace, w) AS items, sum(n) OVER (PARTITION BY trace, w) AS whole FROM i),
+      a AS (SELECT trace, w, max(items) AS objects, {top}, round(abs(-sum(n / whole * log2(n / whole))), 9) AS entropy, CASE WHEN max(items) > 1 THEN round(abs(-sum(n / whole * log2(n / whole))) / log2(max(items)), 9) ELSE 0 END AS normalised_entropy FROM r GROUP BY ALL),
+      b AS (SELECT trace, w, count(*) AS requests, round(count(*) FILTER (distance IS NULL) / count(*), 9) AS compulsory_fraction, round(count(distance) / count(*), 9) AS repeated_fraction, count(distance) AS reuse_events, round(avg(distance), 9) AS reuse_mean,
+        {", ".join(f"round(quantile_cont(distance, {p}), 9) AS reuse_p{int(p * 100)}" for p in (0.1, 0.25, 0.5, 0.75, 0.9))}, {", ".join(f"round(count(*) FILTER (distance {c}) / nullif(count(distance), 0), 9) AS {k}" for k, c in (("within_32", "<= 32"), ("within_128", "<= 128"), ("beyond_128", "> 128")))} FROM m GROUP BY ALL),
+      ws AS (SELECT x.trace, x.t, count(*) FILTER (y.t > x.t - 32) AS s32, count(*) AS s128 FROM t x JOIN t y ON y.trace = x.trace AND y.t <= x.t AND y.t > x.t - 128 AND (y.next IS NULL OR y.next > x.t) GROUP BY ALL),
+      s AS (SELECT trace, w, round(avg(s32), 9) AS working_set_32, round(avg(s128), 9) AS working_set_128 FROM m JOIN ws USING (trace, t) GROUP BY ALL),
+      l AS (SELECT trace, w, max(n) AS streak FROM (SELECT trace, w, count(*) AS n FROM (SELECT trace, w, t - row_number() OVER (PARTITION BY trace, w ORDER BY t) AS island FROM m WHERE distance IS NULL) GROUP BY trace, w, island) GROUP BY ALL)
+      SELECT b.* EXCLUDE (w), w AS "window", a.* EXCLUDE (trace, w), working_set_32, working_set_128, coalesce(streak, 0) AS longest_novel_streak, w * 128 AS history, w >= 1 AS warm, round(objects / requests, 9) AS object_ratio FROM b JOIN a USING (trace, w) JOIN s USING (trace, w) LEFT JOIN l USING (trace, w)"""
     q["working_set"] = lambda s, d: T.working_set(traces(s, d), [32, 128]), f"WITH {_T}, l AS (SELECT trace, t, next, max(t) OVER (PARTITION BY trace) + 1 AS e FROM t) SELECT trace, " + ", ".join(f"round(sum(least({w}, coalesce(next, e) - t, e - t)) / count(*), 9) AS working_set_{w}" for w in (32, 128)) + " FROM l GROUP BY trace"
     q["novel_streak"] = lambda s, d: T.novel_streak(_distances(s, d)), f"WITH {_T}, i AS (SELECT trace, t - row_number() OVER (PARTITION BY trace ORDER BY t) AS island FROM t WHERE prev IS NULL) SELECT trace, max(n) AS longest_novel_streak FROM (SELECT trace, island, count(*) AS n FROM i GROUP BY ALL) GROUP BY trace"
     q["cold_start"] = lambda s, d: T.cold_start(_distances(s, d), [32, 128, 1024]), f"WITH {_T} SELECT trace, min(t) FILTER (prev IS NOT NULL) AS first_repeat, " + ", ".join([f"count(*) FILTER (prev IS NULL AND t < {n}) AS distinct_{n}" for n in (32, 128, 1024)] + [f"count(*) FILTER (prev IS NOT NULL AND t < {n}) AS most_hits_{n}" for n in (32, 128, 1024)]) + " FROM t GROUP BY trace"

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cachesight.functions import scalars
-from cachesight.operators import models, panels, policies, release, selection, trace, validate, views
+from cachesight.operators import dominance, models, panels, policies, release, selection, trace, validate, views
 from cachesight.plans import catalog
 from cachesight.schema import CANONICAL, DECISION_KEY
 from cachesight.sources import tables
@@ -332,7 +332,7 @@ def test_dominance_counts():
     rng = random.Random(1)
     for n in (1, 2, 3, 50, 257):
         x, y = [rng.randrange(20) for _ in range(n)], rng.sample(range(n), n)
-        assert trace.count_dominated(np.array(x), np.array(y)).tolist() == [sum(a < x[i] and b <= y[i] for a, b in zip(x, y)) for i in range(n)]
+        assert dominance.count_dominated(np.array(x), np.array(y)).tolist() == [sum(a < x[i] and b <= y[i] for a, b in zip(x, y)) for i in range(n)]
 
 
 def test_numbers_follow_the_order(spark):
@@ -340,3 +340,52 @@ def test_numbers_follow_the_order(spark):
     got = trace.numbered(spark.createDataFrame(rows, "g int, x int, k int"), ["g"], F.floor(F.col("x") / 10), ["x"]).collect()
     for g in range(3):
         assert [r.t for r in sorted((r for r in got if r.g == g), key=lambda r: r.x)] == list(range(sum(r[0] == g for r in rows)))
+
+
+def kendall_by_hand(rows):
+    c = d = x = y = both = 0
+    for (a, b), (e, f) in itertools.combinations(rows, 2):
+        s = (e > a) - (e < a), (f > b) - (f < b)
+        c, d, x, y, both = c + (s[0] * s[1] > 0), d + (s[0] * s[1] < 0), x + (s[0] == 0), y + (s[1] == 0), both + (s == (0, 0))
+    n = len(rows) * (len(rows) - 1) // 2
+    below = (n - x) * (n - y)
+    return len(rows), c, d, x, y, both, round((c - d) / below**0.5, 9) if below else None
+
+
+@pytest.mark.parametrize("size", [7, None])
+def test_kendall_counts_pairs(spark, size):
+    rng = random.Random(4)
+    groups = {"few": [(rng.randrange(4), rng.randrange(3)) for _ in range(150)], "many": [(k := rng.random(), k + rng.random()) for _ in range(170)], "same": [(1.0, 2.0)] * 60 + [(2.0, 2.0)], "one": [(1.0, 1.0)]}
+    df = spark.createDataFrame([(g, float(a), float(b)) for g, rows in groups.items() for a, b in rows] + [("few", None, 1.0), ("none", 1.0, None)], "g string, a double, b double")
+    got = {r.g: tuple(r)[1:] for r in models.kendall(df, "a", "b", ["g"], size).collect()}
+    assert got == {g: kendall_by_hand(rows) for g, rows in groups.items()}
+    assert tuple(models.kendall(df.where("g = 'many'"), "a", "b", size=size).first()) == kendall_by_hand(groups["many"])
+
+
+@pytest.mark.parametrize("bins", [4, 512])
+def test_bootstrap_medians_are_exact(spark, bins):
+    import statistics
+
+    rng = random.Random(2)
+    rows = [(k, rng.choice([rng.random(), 0.5, 1.0])) for k in range(90)] + [(200, None), (201, 0.25), (201, 0.75)]
+    df = spark.createDataFrame(rows, "id long, v double").withColumn("w", F.col("v") * 2)
+    hashed = [(np.int64(r.h), r.v) for r in df.where("v IS NOT NULL").select(F.xxhash64("id").alias("h"), "v").collect()]
+    weights = models.poisson_weights(np.array([h for h, _ in hashed]), 40, 3)
+    want = {k: statistics.median([v for (_, v), n in zip(hashed, weights[:, k]) for _ in range(n)]) for k in range(40)}
+    assert {r.k: r.m for r in models.bootstrap_medians(df, "v", ["id"], 40, 3, bins).collect()} == want
+    means = {k: sum(v * n for (_, v), n in zip(hashed, weights[:, k])) / weights[:, k].sum() * 2 for k in range(40)}
+    row = models.cluster_bootstrap(df, ["id"], "v", "w", 40, 3).first()
+    rank = lambda own, p: round(sorted(own.values())[round(p * 39)], 9)
+    assert (row.median_jaccard_low, row.median_jaccard_high) == (rank(want, 0.025), rank(want, 0.975))
+    assert (row.mean_ccr_low, row.mean_ccr_high) == pytest.approx((rank(means, 0.025), rank(means, 0.975)), abs=2e-9) and row.decisions == 93
+    assert 0.95 < weights.mean() < 1.05 and weights.max() > 4
+
+
+def test_windowed_locality_of_short_and_overlapping_windows(spark):
+    df = spark.createDataFrame([("a", t, str(t % 7 if t < 60 else t)) for t in range(100)] + [("b", 0, "x"), ("b", 1, "x")], "trace string, t long, item string")
+    rows = {(r.trace, r.window): r for r in trace.windowed_locality(df, trace.reuse_distance(df), 40, 10).collect()}
+    assert sorted(rows) == [("a", k) for k in range(7)] + [("b", 0)]
+    first, last, short = rows["a", 0], rows["a", 6], rows["b", 0]
+    assert (first.requests, first.objects, first.longest_novel_streak, first.reuse_p50, first.compulsory_fraction) == (40, 7, 7, 6, 0.175)
+    assert (last.objects, last.longest_novel_streak, last.entropy, last.normalised_entropy, last.reuse_events, last.reuse_mean, last.within_32) == (40, 40, round(np.log2(40), 9), 1.0, 0, None, None)
+    assert (short.requests, short.objects, short.entropy, short.normalised_entropy, short.working_set_32, short.top_1_share) == (2, 1, 0.0, 0.0, 1.0, 1.0)

@@ -49,8 +49,9 @@ FOLLOWERS = 512
 SAMPLE, HOT, PARTS, SHARES = 16, 16384, 4, 4095
 _SALTS = mix(np.arange(77, 77 + HASHES, dtype=np.uint64))
 #: key: 48 bits of the smallest hash, 4 of the function's number, and 12 of a share (0 unless the hash is dealt out).
-#: before, behind: the shingle on either side (0 without one). reach: that of the window to the left, times 256, and to the right.
-WINDOWS = "key long, before long, behind long, reach int, doc_id long, middle int"
+#: before, behind: 48 bits of the shingle on either side (0 without one). Under them ``before`` has the window's reach to the left
+#: and to the right, 8 bits each.
+WINDOWS = "key long, before long, behind long, doc_id long, middle int"
 
 
 def _sliding(x: np.ndarray, width: int, step) -> np.ndarray:
@@ -122,13 +123,13 @@ def _windows(hot: np.ndarray, shares: np.ndarray):
                     contexts = []
                     for there in (middle - ASIDE, middle + ASIDE):
                         inside = (there >= first) & (there < end)
-                        contexts.append(np.where(inside, np.maximum(s[np.where(inside, there, 0)], np.uint64(1)), np.uint64(0)).view(np.int64))
+                        contexts.append(np.where(inside, np.maximum(s[np.where(inside, there, 0)] >> np.uint64(16), np.uint64(1)), np.uint64(0)).view(np.int64))
                     key = (h[middle] & np.uint64(0xFFFFFFFFFFFF0000) | np.uint64(number << 12)).view(np.int64)
                     if len(hot):
                         where = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
                         share = mix(doc.view(np.uint64)) % shares[where] + np.uint64(1)
                         key = np.where(hot[where] == key, key | share.view(np.int64), key)
-                    yield pd.DataFrame({"key": key, "before": contexts[0], "behind": contexts[1], "reach": reach.astype(np.int32), "doc_id": doc, "middle": (middle - first).astype(np.int32)})
+                    yield pd.DataFrame({"key": key, "before": contexts[0] << 16 | reach, "behind": contexts[1], "doc_id": doc, "middle": (middle - first).astype(np.int32)})
 
     return run
 
@@ -167,14 +168,12 @@ CONTEXT = 1 << 15
 
 
 def _tie(own: list[np.ndarray], first: list[np.ndarray], function: np.ndarray, group: np.ndarray, needed: "Needed") -> pd.DataFrame:
-    """Ties of windows (doc_id, middle, before, behind, reach) to windows of earlier documents, where enough of the two is in common."""
-    doc, middle, *contexts, reach = own
-    other, other_middle, *other_contexts, other_reach = first
-    left = np.minimum(reach >> 8, other_reach >> 8)
-    right = np.minimum(reach & 255, other_reach & 255)
-    same = np.zeros(len(doc), bool)
-    for x, y in zip(contexts, other_contexts):
-        same |= (x != 0) & (x == y)
+    """Ties of windows (COLUMNS) to windows of earlier documents, where enough of the two is in common."""
+    doc, middle, before, behind = own
+    other, other_middle, other_before, other_behind = first
+    left = np.minimum(before >> 8 & 255, other_before >> 8 & 255)
+    right = np.minimum(before & 255, other_before & 255)
+    same = (before >> 16 != 0) & (before >> 16 == other_before >> 16) | (behind != 0) & (behind == other_behind)
     keep = (other < doc) & (left + right + 1 >= SPAN - DRIFT)
     middle = middle.astype(np.int64)
     made = {"doc_id": doc, "other": other, "shift": (other_middle - middle).astype(np.int32), "low": (middle - left).astype(np.int32), "high": (middle + right).astype(np.int32), "hashes": (1 << function | np.where(same, CONTEXT, 0)).astype(np.int32)}
@@ -211,7 +210,11 @@ class Needed:
         return out
 
 
-COLUMNS = ("doc_id", "middle", "before", "behind", "reach")
+COLUMNS = ("doc_id", "middle", "before", "behind")
+
+
+def _context(side: int, columns: list[np.ndarray]) -> np.ndarray:
+    return columns[3] if side else columns[2] >> 16
 
 
 class Contexts:
@@ -223,7 +226,7 @@ class Contexts:
 
     def __call__(self, key: np.ndarray, columns: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Whether each of ``rows``, all of keys that are dealt out, is the first of its context, and the columns of the first ones."""
-        own, is_first, firsts = columns[2 + self.side][rows], np.zeros(len(rows), bool), [np.empty(len(rows), c.dtype) for c in columns]
+        own, is_first, firsts = _context(self.side, columns)[rows], np.zeros(len(rows), bool), [np.empty(len(rows), c.dtype) for c in columns]
         cuts = np.flatnonzero(np.diff(key[rows], prepend=key[rows[0]] - 1)) if len(rows) else rows
         for a, b in zip(cuts.tolist(), [*cuts.tolist()[1:], len(rows)]):
             if key[rows[a]] != self.key:
@@ -253,8 +256,8 @@ def _asides(batches: Iterator[pd.DataFrame]):
         goes_on, first = firsts(key, *columns)
         dealt, sides = key & SHARES != 0, []
         for side in (0, 1):
-            own = columns[2 + side]
-            rows = np.flatnonzero((own != 0) & np.where(goes_on, own != first[2 + side], dealt))
+            own = _context(side, columns)
+            rows = np.flatnonzero((own != 0) & np.where(goes_on, own != _context(side, first), dealt))
             shared = dealt[rows]
             is_first, held = np.ones(len(rows), bool), [c[rows] for c in columns]
             is_first[shared], of_share = contexts[side](key, columns, rows[shared])
@@ -264,40 +267,55 @@ def _asides(batches: Iterator[pd.DataFrame]):
         yield key, columns, goes_on, first, sides
 
 
+#: Windows that are to be tied to the first of their side_group, and ties (where ``hashes`` is not 0), which only come along.
+SIDES = "side_group long, function int, doc_id long, middle int, before long, behind long, other long, shift int, low int, high int, hashes int"
+
+
+def _side_frame(part: dict[str, np.ndarray], n: int) -> pd.DataFrame:
+    kinds = {c: np.int64 if kind == "long" else np.int32 for c, kind in (x.split() for x in SIDES.split(", "))}
+    return pd.DataFrame({c: part[c].astype(kind, copy=False) if c in part else np.zeros(n, kind) for c, kind in kinds.items()})
+
+
 def _key_ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ties to the first of the key, and of keys that are dealt out also those to the first of equal context in the share, where
-    that is not the context of the first of the key."""
+    """From windows sorted by (key, doc_id, middle), in one pass:
+
+    Ties to the first of the key, and of keys that are dealt out also those to the first of equal context in the share, where
+    that is not the context of the first of the key.
+
+    Windows with a context that the first of their key does not have, under the hash of key, side and context. Of a key that is
+    dealt out, whose first differs from share to share, the first of each context leaves a share, to which the others are tied
+    here, and the firsts of its shares meet, too.
+    """
     needed = [Needed() for _ in range(3)]
     for key, columns, goes_on, first, sides in _asides(batches):
         function = key >> 12 & 15
         rows = np.flatnonzero(goes_on)
-        yield _tie([c[rows] for c in columns], [c[rows] for c in first], function[rows], key[rows], needed[2])
+        made = [_tie([c[rows] for c in columns], [c[rows] for c in first], function[rows], key[rows], needed[2])]
         for own, (rows, is_first, held) in zip(needed, sides):
             later = rows[~is_first]
             if len(later):
-                yield _tie([c[later] for c in columns], [c[~is_first] for c in held], function[later], key[later], own)
-
-
-SIDES = "side_group long, function int, doc_id long, middle int, before long, behind long, reach int"
-
-
-def _sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Windows with a context that the first of their key does not have, under the hash of key, side and context. Of a key that is
-    dealt out, whose first differs from share to share, the first of each context leaves a share, to which the others are tied by
-    ``_key_ties``, and the firsts of its shares meet, too."""
-    for key, columns, goes_on, _, sides in _asides(batches):
+                made.append(_tie([c[later] for c in columns], [c[~is_first] for c in held], function[later], key[later], own))
+        for ties in made:
+            if len(ties):
+                part = {c: ties[c].to_numpy() for c in ties}
+                yield _side_frame(part | {"side_group": mix(part["doc_id"].view(np.uint64)).view(np.int64)}, len(ties))
         firsts = np.flatnonzero(~goes_on & (key & SHARES != 0))
         for side, rows in ((0, sides[0][0][sides[0][1]]), (1, sides[1][0][sides[1][1]]), (2, firsts)):
             group = (key[rows] & ~SHARES | side).view(np.uint64)
             if side < 2:
-                group = group ^ mix(columns[2 + side][rows].view(np.uint64))
-            yield pd.DataFrame({"side_group": mix(group).view(np.int64), "function": (key[rows] >> 12 & 15).astype(np.int32)} | {n: c[rows] for n, c in zip(COLUMNS, columns)})
+                group = group ^ mix(_context(side, columns)[rows].view(np.uint64))
+            if len(rows):
+                yield _side_frame({"side_group": mix(group).view(np.int64), "function": function[rows]} | {n: c[rows] for n, c in zip(COLUMNS, columns)}, len(rows))
 
 
 def _side_ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From rows of sides sorted by (side_group, doc_id, middle): ties to the first of the group."""
-    firsts, needed = Firsts(), Needed()
+    """From rows of sides sorted by (side_group, doc_id, middle): ties to the first of the group, and those that came along."""
+    firsts, needed, names = Firsts(), Needed(), [c.split()[0] for c in TIES.split(", ")]
     for b in batches:
+        come_along = b["hashes"].to_numpy() != 0
+        if come_along.any():
+            yield b.loc[come_along, names]
+            b = b[~come_along]
         if not len(b):
             continue
         group, columns = b["side_group"].to_numpy(), [b[c].to_numpy() for c in COLUMNS]
@@ -524,8 +542,8 @@ def _passages(docs: DataFrame) -> DataFrame:
     n = partitions(spark)
     long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     windows = long.mapInPandas(tidy(_windows(*hot_keys(long))), WINDOWS).repartition(n, "key").sortWithinPartitions("key", "doc_id", "middle")
-    sides = windows.mapInPandas(tidy(_sides), SIDES).repartition(n, "side_group").sortWithinPartitions("side_group", "doc_id", "middle")
-    ties = windows.mapInPandas(tidy(_key_ties), TIES).unionByName(sides.mapInPandas(tidy(_side_ties), TIES))
+    sides = windows.mapInPandas(tidy(_key_ties), SIDES).repartition(n, "side_group").sortWithinPartitions("side_group", "doc_id", "middle")
+    ties = sides.mapInPandas(tidy(_side_ties), TIES)
     found = ties.repartition(n, "doc_id").sortWithinPartitions("doc_id").mapInPandas(tidy(_candidates), CANDIDATES)
     found = materialize(found, "candidates")
     pad = 4 * DRIFT

@@ -436,13 +436,13 @@ def test_op3_hot_key_keeps_first_holders():
     cut = lambda df, step: (df.iloc[k : k + step] for k in range(0, len(df), step))
     for dealt in (False, True):
         key = np.where(dealt, (1 << 16) + 1 + doc % 200, 1 << 16)
-        windows = pd.DataFrame({"key": key, "before": left, "behind": right, "reach": np.full(len(doc), 60 << 8 | 60), "doc_id": doc, "middle": np.full(len(doc), 70, np.int32)}).sort_values(["key", "doc_id"])
+        windows = pd.DataFrame({"key": key, "before": left << 16 | 60 << 8 | 60, "behind": right, "doc_id": doc, "middle": np.full(len(doc), 70, np.int32)}).sort_values(["key", "doc_id"])
         seen = []
         for step in (7001, 500):
-            own = pd.concat(compact_windows._key_ties(cut(windows, step)))
-            sides = pd.concat(compact_windows._sides(cut(windows, step))).sort_values(["side_group", "doc_id", "middle"])
+            rows = pd.concat(compact_windows._key_ties(cut(windows, step))).sort_values(["side_group", "doc_id", "middle"])
+            sides = rows[rows["hashes"] == 0]
             assert sides["side_group"].nunique() > 1.99 * n and len(sides) <= 2 * len(doc) + 200
-            ties = pd.concat([own, *compact_windows._side_ties(cut(sides, step))])
+            ties = pd.concat(compact_windows._side_ties(cut(rows, step)))
             pairs = set(zip(ties["doc_id"], ties["other"], strict=True))
             assert {(n + k, n - 100 + k) for k in range(100)} <= pairs and len({x for x, _ in pairs}) == n + 99
             assert len(ties) <= 3 * len(doc) and all(x > y for x, y in pairs)

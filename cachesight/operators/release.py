@@ -10,7 +10,7 @@ from cachesight.functions.scalars import pseudonym, pseudonym_list
 from cachesight.operators import validate, views
 from cachesight.operators.selection import bottom_sample
 from cachesight.schema import CANONICAL, DECISION_KEY, PARTITIONS
-from cachesight.sources import tables
+from cachesight.sources import files, tables
 
 STAGES = ("candidate_rows", "decision_view", "pairwise_sample", "split_summary", "inventory", "manifest")
 #: Columns of the decision view before and after its contract grew.
@@ -64,19 +64,15 @@ def plan(spark: SparkSession, candidates: DataFrame, root: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, root: str, stages: tuple[str, ...]) -> DataFrame:
-    """(path, size, sha256) of each file; files are hashed where Spark reads them."""
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load([f"{base}/{s}" for s in stages])
-    relative = F.regexp_replace("path", f"^.*?{base.split('://')[-1].lstrip('/')}/", "")
-    return files.select(relative.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """(path, size, modified, digest) of each Parquet file of the stages; ranges of files are hashed in tasks."""
+    own = files.listed(spark, root, ".parquet").where(F.split("path", "/")[0].isin(*stages))
+    return files.digests(spark, root, own)
 
 
 def verify_checksums(spark: SparkSession, root: str) -> DataFrame:
     """(path, fault): files that are missing, changed or not listed."""
-    listed = spark.read.parquet(f"{root}/inventory")
-    there = inventory(spark, root, ("candidate_rows", "decision_view", "pairwise_sample", "split_summary")).select("path", F.col("sha256").alias("now"))
-    fault = F.when(F.col("now").isNull(), "missing").when(F.col("sha256").isNull(), "not listed").when(F.col("now") != F.col("sha256"), "changed")
-    return listed.select("path", "sha256").join(there, "path", "full_outer").select("path", fault.alias("fault")).where("fault IS NOT NULL")
+    there = inventory(spark, root, ("candidate_rows", "decision_view", "pairwise_sample", "split_summary"))
+    return files.inventory_diff(spark.read.parquet(f"{root}/inventory"), there).withColumnRenamed("state", "fault")
 
 
 def manifest(spark: SparkSession, root: str, blocked: tuple[str, ...]) -> DataFrame:
@@ -110,9 +106,8 @@ def validate_release(spark: SparkSession, root: str, blocked: tuple[str, ...] =
 def partition_inventory(spark: SparkSession, root: str) -> DataFrame:
     """Files, rows and bytes of each partition. A partition may have several files."""
     rows = tables.read_partitions(spark, root).groupBy(*PARTITIONS).agg(F.count("*").alias("row_count"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root).select("path", "length")
-    named = files.select(*[F.expr(f"cast(reflect('java.net.URLDecoder', 'decode', regexp_extract(path, '{c}=([^/]*)', 1), 'UTF-8') as {'bigint' if c in ('capacity', 'horizon') else 'string'})").alias(c) for c in PARTITIONS], "length")
-    sizes = named.groupBy(*PARTITIONS).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    named = files.listed(spark, root, ".parquet").select(*files.partition_values(F.col("path"), {c: "bigint" if c in ("capacity", "horizon") else "string" for c in PARTITIONS}), "size")
+    sizes = named.groupBy(*PARTITIONS).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
     return rows.join(sizes, PARTITIONS, "left")
 
 
@@ -152,10 +147,10 @@ def migrate(spark: SparkSession, old: str, new: str, blocked: tuple[str, ...] =
     return build(spark, tables.read_partitions(spark, f"{old}/candidate_rows"), new, blocked)
 
 
-def unit_completeness(plan: DataFrame, files: DataFrame) -> DataFrame:
+def unit_completeness(plan: DataFrame, names: DataFrame) -> DataFrame:
     """(family, capacity, state) from marker and shard names: complete with a marker, partial with shards only, else missing."""
     name = F.element_at(F.split("path", "/"), -1)
-    unit = files.select(F.regexp_extract(name, r"^(.+)__cap(\d+)\.", 1).alias("family"), F.regexp_extract(name, r"__cap(\d+)\.", 1).cast("long").alias("capacity"), name.endswith(".done.json").alias("marker"))
+    unit = names.select(F.regexp_extract(name, r"^(.+)__cap(\d+)\.", 1).alias("family"), F.regexp_extract(name, r"__cap(\d+)\.", 1).cast("long").alias("capacity"), name.endswith(".done.json").alias("marker"))
     seen = unit.groupBy("family", "capacity").agg(F.max("marker").alias("marker"), F.count_if(~F.col("marker")).alias("shards"))
     state = F.when(F.col("marker"), "complete").when(F.col("shards") > 0, "partial").otherwise("missing")
     return plan.join(seen, ["family", "capacity"], "left").select("family", "capacity", state.alias("state"), F.coalesce("shards", F.lit(0)).alias("shards"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cachesight.functions.scalars import odd_hash, text_key
 from cachesight.schema import CANONICAL, DECISION_KEY, FEATURES, LABELS
+from cachesight.sources.tables import strict_join
 
 METHOD = "sha256-parity-v1"
 
@@ -115,3 +116,20 @@ def split_summary_runs(ordered: DataFrame, order: list[str]) -> DataFrame:
 
 def canonical(df: DataFrame) -> DataFrame:
     return df.select(*CANONICAL)
+
+
+def linkage(victims: DataFrame, drawn: DataFrame, closed: DataFrame, cell: list[str]) -> DataFrame:
+    """Offline regrets of each ``cell`` (family, capacity, horizon) beside the closed loop's miss ratios of its family and capacity.
+
+    ``victims`` has offline_lru_regret and offline_mru_regret, ``drawn`` offline_random_regret, ``closed`` lru_, mru_ and
+    random_miss_ratio, which hold for each horizon. A cell that is not once in each source raises (``strict_join``). Gaps are
+    against the least-recently-used policy; a cell whose regrets are all 0 is degenerate.
+    """
+    horizons = victims.select(*cell[:2], *cell[2:]).unionByName(drawn.select(*cell)).select(*cell[2:]).distinct()
+    each = closed.crossJoin(F.broadcast(horizons))  # a handful of horizons
+    rows = strict_join({"victims": victims, "drawn": drawn, "closed": each}, cell)
+    gap = lambda a, b: F.round(F.col(a) - F.col(b), 9)
+    gaps = {"offline_mru_gap": gap("offline_mru_regret", "offline_lru_regret"), "offline_random_gap": gap("offline_random_regret", "offline_lru_regret"), "closed_mru_gap": gap("mru_miss_ratio", "lru_miss_ratio"), "closed_random_gap": gap("random_miss_ratio", "lru_miss_ratio")}
+    agrees = lambda k: F.signum(f"offline_{k}_gap") == F.signum(f"closed_{k}_gap")
+    zero = (F.col("offline_lru_regret") == 0) & (F.col("offline_mru_regret") == 0) & (F.col("offline_random_regret") == 0)
+    return rows.withColumns(gaps).withColumns({"mru_agrees": agrees("mru"), "random_agrees": agrees("random"), "degenerate": zero})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cachesight.functions import scalars as S
@@ -15,9 +15,10 @@ from cachesight.operators import selection as W
 from cachesight.operators import trace as T
 from cachesight.operators import validate as V
 from cachesight.operators import views
-from cachesight.schema import ACTIVE_FEATURES, DECISION_KEY, DEPRECATED_FEATURES
+from cachesight.schema import ACTIVE_FEATURES, DECISION_KEY, DEPRECATED_FEATURES, PARTITIONS
+from cachesight.sources import files, tables
 from cachesight.sources.fixtures import candidates, traces
-from cachesight.sources.shared import written_once
+from cachesight.sources.shared import written_once, written_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = ", ".join(DECISION_KEY)
@@ -199,6 +200,62 @@ _TAX = f"""tax AS (SELECT {', '.join(f'a.{c}' for c in DECISION_KEY)}, sign(b.x
 tx AS (SELECT {K}, count(*) FILTER (sx <> 0 AND sx = sy) AS concordant, count(*) FILTER (sx <> 0 AND sy <> 0 AND sx <> sy) AS discordant, count(*) FILTER (sx = 0 AND sy <> 0) AS x_tied, count(*) FILTER (sx <> 0 AND sy = 0) AS y_tied, count(*) FILTER (sx = 0 AND sy = 0) AS both_tied FROM tax GROUP BY {K})"""
 
 
+KINDS = {"split": "string", "trace_family": "string", "capacity": "bigint", "horizon": "bigint"}
+
+
+def _release(s: SparkSession, d: str) -> str:
+    """The relation as a partitioned table in the shared folder."""
+    path = written_path(s, d, "release", lambda p: tables.write_partitions(candidates(s, d), p))
+    return path
+
+
+def _shards(s: SparkSession, d: str) -> DataFrame:
+    """Names of shards as uploads have them: in folders of their family, or by a prefix, with families that begin alike."""
+    each = candidates(s, d).select("trace_family", "capacity", "split").distinct()
+    short = F.substring("trace_family", 1, 3)
+    names = F.array(F.concat(F.lit("x/trace_family="), "trace_family", F.lit("/part_"), "capacity"), F.concat(F.lit("up/"), "trace_family", F.lit("_cap"), "capacity", F.lit("_"), "split", F.lit(".csv")), F.concat(short, F.lit("_"), "capacity", F.lit("_"), "split"), F.concat(F.lit("other_"), "trace_family", F.lit("_"), "split"))
+    return each.select(F.explode(names).alias("path")).distinct()
+
+
+def _known(s: SparkSession, d: str) -> DataFrame:
+    c = candidates(s, d)
+    return c.select(F.explode(F.array("trace_family", F.substring("trace_family", 1, 3), F.concat("trace_family", F.lit("_cap"), "capacity"))).alias("name"))
+
+
+def _linked(s: SparkSession, d: str) -> DataFrame:
+    """What victims lose offline, and how often they would be asked for again, which stands for the miss ratio of a closed loop."""
+    cell = ["trace_family", "capacity", "horizon"]
+    rows = candidates(s, d)
+    last = F.count("*").over(Window.partitionBy(*DECISION_KEY)) - 1
+    regret = F.col("y_loss") - F.min("y_loss").over(Window.partitionBy(*DECISION_KEY))
+    rows = rows.withColumn("regret", regret).withColumn("is_mru", F.col("candidate_recency_rank") == last).withColumn("is_lru", F.col("candidate_is_lru_victim") == 1)
+    when = lambda c, v: F.avg(F.when(F.col(c), F.col(v)))
+    victims = rows.groupBy(*cell).agg(F.round(when("is_lru", "regret"), 9).alias("offline_lru_regret"), F.round(when("is_mru", "regret"), 9).alias("offline_mru_regret"))
+    drawn = rows.groupBy(*cell).agg(F.round(F.avg("regret"), 9).alias("offline_random_regret"))
+    rate = "recent_candidate_request_rate"
+    closed = rows.groupBy("trace_family", "capacity").agg(F.round(when("is_lru", rate), 9).alias("lru_miss_ratio"), F.round(when("is_mru", rate), 9).alias("mru_miss_ratio"), F.round(F.avg(rate), 9).alias("random_miss_ratio"))
+    return views.linkage(victims, drawn, closed, cell)
+
+
+_LINK = """l0 AS (SELECT *, y_loss - min(y_loss) OVER (PARTITION BY {K}) AS rg, candidate_recency_rank = count(*) OVER (PARTITION BY {K}) - 1 AS is_mru, candidate_is_lru_victim = 1 AS is_lru FROM c),
+off AS (SELECT trace_family, capacity, horizon, round(avg(rg) FILTER (is_lru), 9) AS a, round(avg(rg) FILTER (is_mru), 9) AS b, round(avg(rg), 9) AS r FROM l0 GROUP BY ALL),
+cl AS (SELECT trace_family, capacity, round(avg(recent_candidate_request_rate) FILTER (is_lru), 9) AS x, round(avg(recent_candidate_request_rate) FILTER (is_mru), 9) AS y, round(avg(recent_candidate_request_rate), 9) AS z FROM l0 GROUP BY ALL)"""
+
+
+def _compacted(s: SparkSession, d: str, path: str) -> None:
+    """The relation in many small files, merged."""
+    candidates(s, d).repartition(8, "candidate_page_id").write.partitionBy("trace_family", "split").parquet(path)
+    files.compact(s, path, order=("decision_t", "decision_id", "candidate_page_id"))
+
+
+def _trace_files(s: SparkSession, d: str, path: str) -> None:
+    """The trace of views as files of requests, some lines of which are blank or none."""
+    t = traces(s, d).where("trace = 'view'")
+    good = F.to_json(F.struct(F.col("item").alias("item_id")))
+    lines = F.when(F.col("t") % 50 == 7, F.concat(F.lit('{"item_id": \n\n'), good)).otherwise(good)
+    t.withColumn("value", lines).orderBy("t").select("value").write.text(path)
+
+
 def _entries() -> dict[str, tuple[Query, str | None]]:
     q: dict[str, tuple[Query, str | None]] = {}
     q["candidates"] = lambda s, d: _rounded(candidates(s, d).drop(*DEPRECATED_FEATURES), "candidate_age_norm", "candidate_lru_score", "score_gap_to_lru_victim"), f"WITH {_C} SELECT * EXCLUDE (n_own, regret) REPLACE (round(candidate_age_norm, 9) AS candidate_age_norm, round(candidate_lru_score, 9) AS candidate_lru_score, round(score_gap_to_lru_victim, 9) AS score_gap_to_lru_victim) FROM c"
@@ -348,6 +405,17 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     q["continuation_lru"] = lambda s, d: P.continuation_losses(traces(s, d), CAPACITIES, "lru", 8), None
     q["continuation_mru"] = lambda s, d: P.continuation_losses(traces(s, d), CAPACITIES, "mru", 8), None
     q["continuation_random"] = lambda s, d: P.continuation_losses(traces(s, d), CAPACITIES, "random", 8), None
+    q["release_footers"] = lambda s, d: files.file_rows(files.footers(s, _release(s, d))).select(*files.partition_values(F.col("path"), KINDS), "rows").groupBy(*PARTITIONS).agg(F.sum("rows").alias("row_count")), f"WITH {_C} SELECT split, trace_family, capacity, horizon, count(*) AS row_count FROM c GROUP BY ALL"
+    q["footer_statistics"] = lambda s, d: files.footers(s, _release(s, d)).where(F.col("column").isin("decision_t", "decision_chunk_id")).groupBy("column").agg(F.sum("rows").alias("row_count"), F.sum("nulls").alias("nulls"), F.min(F.expr("try_cast(low as bigint)")).alias("low"), F.max(F.expr("try_cast(high as bigint)")).alias("high")), f"""WITH {_C} SELECT 'decision_t' AS "column", count(*) AS row_count, count(*) - count(decision_t) AS nulls, min(decision_t) AS low, max(decision_t) AS high FROM c UNION ALL SELECT 'decision_chunk_id', count(*), count(*) - count(decision_chunk_id), min(decision_chunk_id), max(decision_chunk_id) FROM c"""
+    q["release_recount"] = lambda s, d: files.recount(files.file_rows(files.footers(s, _release(s, d))), candidates(s, d).where("split <> 'test'").groupBy(*PARTITIONS).agg((F.count("*") + (F.col("capacity") == 64).cast("int")).alias("row_count")), KINDS).groupBy("split", "state").agg(F.count("*").alias("partitions"), F.sum("found").alias("found")), f"WITH {_C}, p AS (SELECT split, capacity, trace_family, horizon, count(*) AS n FROM c GROUP BY ALL) SELECT split, CASE WHEN split = 'test' THEN 'not listed' WHEN capacity = 64 THEN 'differs' ELSE 'ok' END AS state, count(*) AS partitions, sum(n)::BIGINT AS found FROM p GROUP BY ALL"
+    q["release_rows_read_back"] = lambda s, d: tables.read_partitions(s, _release(s, d)).groupBy("split").agg(F.count("*").alias("row_count"), F.sum("y_loss").alias("losses"), F.count_distinct("decision_id").alias("decisions")), f"WITH {_C} SELECT split, count(*) AS row_count, sum(y_loss) AS losses, count(DISTINCT decision_id) AS decisions FROM c GROUP BY split"
+    q["release_compacted"] = lambda s, d: s.read.parquet(written_path(s, d, "compacted", lambda p: _compacted(s, d, p))).groupBy("trace_family", "split").agg(F.count("*").alias("row_count"), F.sum("y_loss").alias("losses"), F.count_distinct("decision_id").alias("decisions")), f"WITH {_C} SELECT trace_family, split, count(*) AS row_count, sum(y_loss) AS losses, count(DISTINCT decision_id) AS decisions FROM c GROUP BY ALL"
+    q["trace_scan"] = lambda s, d: tables.read_trace(s, written_path(s, d, "trace-files", lambda p: _trace_files(s, d, p)), "view", strict=False).withColumn("t", F.col("t").cast("long")), f"WITH {_T} SELECT trace, t, item FROM t WHERE trace = 'view'"
+    q["trace_faults"] = lambda s, d: tables.trace_faults(s, written_path(s, d, "trace-files", lambda p: _trace_files(s, d, p))).agg(F.sum("requests").alias("requests"), F.sum("bad").alias("bad")), f"WITH {_T} SELECT count(*) AS requests, count(*) FILTER (t % 50 = 7) AS bad FROM t WHERE trace = 'view'"
+    q["family_of_path"] = lambda s, d: tables.family_of_path(_shards(s, d), _known(s, d)), f"""WITH {_C}, e AS (SELECT DISTINCT trace_family, capacity, split FROM c), p AS (SELECT DISTINCT unnest(['x/trace_family=' || trace_family || '/part_' || capacity, 'up/' || trace_family || '_cap' || capacity || '_' || split || '.csv', trace_family[1:3] || '_' || capacity || '_' || split, 'other_' || trace_family || '_' || split]) AS path FROM e),
+      k AS (SELECT DISTINCT unnest([trace_family, trace_family[1:3], trace_family || '_cap' || capacity]) AS name FROM e), m AS (SELECT path, max_by(name, length(name)) AS name FROM p JOIN k ON starts_with(string_split(path, '/')[-1], name || '_') GROUP BY path)
+      SELECT path, coalesce(nullif(regexp_extract(path, '(?:^|/)trace_family=([^/]+)', 1), ''), name) AS family FROM p LEFT JOIN m USING (path)"""
+    q["linkage"] = _linked, f"WITH {_C}, {_LINK.format(K=K)} SELECT trace_family, capacity, horizon, a AS offline_lru_regret, b AS offline_mru_regret, r AS offline_random_regret, x AS lru_miss_ratio, y AS mru_miss_ratio, z AS random_miss_ratio, round(b - a, 9) AS offline_mru_gap, round(r - a, 9) AS offline_random_gap, round(y - x, 9) AS closed_mru_gap, round(z - x, 9) AS closed_random_gap, sign(round(b - a, 9))::INT = sign(round(y - x, 9))::INT AS mru_agrees, sign(round(r - a, 9))::INT = sign(round(z - x, 9))::INT AS random_agrees, a = 0 AND b = 0 AND r = 0 AS degenerate FROM off JOIN cl USING (trace_family, capacity)"
     q["top_cells"] = lambda s, d: _rounded(_cells(s, d), "x", "y").orderBy(F.desc("x"), "trace_family", "capacity").limit(5), f"WITH {_CELLS} SELECT trace_family, capacity, round(x, 9) AS x, round(y, 9) AS y FROM cells ORDER BY round(x, 9) DESC, trace_family, capacity LIMIT 5"
     q["size_categories"] = lambda s, d: candidates(s, d).groupBy("trace_family").agg(F.count("*").alias("n")).select("trace_family", S.size_category(F.col("n")).alias("category")), f"WITH {_C} SELECT trace_family, CASE WHEN count(*) < 1000 THEN 'n<1K' WHEN count(*) < 10000 THEN '1K<n<10K' WHEN count(*) < 100000 THEN '10K<n<100K' WHEN count(*) < 1000000 THEN '100K<n<1M' ELSE '1M<n<10M' END AS category FROM c GROUP BY trace_family"
     q["horizon_capacity"] = lambda s, d: _view(s, d).groupBy("capacity", "horizon").agg(F.round(F.avg(F.col("regret_mean") / F.col("horizon")), 9).alias("regret_per_request"), F.round(F.first(F.col("horizon") / F.col("capacity")), 9).alias("ratio")), f"WITH {_D} SELECT capacity, horizon, round(avg(regret_mean / horizon), 9) AS regret_per_request, round(horizon / capacity, 9) AS ratio FROM d GROUP BY ALL"

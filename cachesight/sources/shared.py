@@ -31,11 +31,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 _written: dict[tuple[str, str, str], str] = {}
 
 
-def written_once(spark: SparkSession, source: str, name: str, make) -> DataFrame:
-    """``make()``, written by the first of this application's queries that need it, for the others to read."""
+def written_path(spark: SparkSession, source: str, name: str, write) -> str:
+    """The folder that the first of this application's queries that need it has written by ``write(path)``."""
     key = (spark.sparkContext.applicationId, source, name)
     if key not in _written:
         path = shared_dir(spark, name)
-        make().write.parquet(path)
+        write(path)
         _written[key] = path
-    return spark.read.parquet(_written[key])
+    return _written[key]
+
+
+def written_once(spark: SparkSession, source: str, name: str, make) -> DataFrame:
+    """``make()``, written by the first of this application's queries that need it, for the others to read."""
+    return spark.read.parquet(written_path(spark, source, name, lambda path: make().write.parquet(path)))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from cachesight.functions.scalars import split_name
 from cachesight.schema import CANONICAL, PARTITIONS, SCHEMA
+from cachesight.sources.shared import materialize
 
 
 def _fs(spark: SparkSession, path: str):
@@ -129,23 +130,81 @@ def write_partitions(df: DataFrame, root: str, overwrite: bool = False, rows_per
     dealt.write.mode("overwrite" if overwrite else "errorifexists").option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").partitionBy(*PARTITIONS).parquet(root)
 
 
-def read_trace(spark: SparkSession, path: str, trace: str) -> DataFrame:
-    """A JSONL trace, one request a line in order, as (trace, t, item).
+def scan_trace(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, line, value, item, bad) of the lines of JSONL files that are not blank: ``at`` is the byte where the line's split
+    begins, and ``line`` grows within it. A line is bad if it is no JSON object or has no item_id."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
+    item = F.try_variant_get(F.try_parse_json("value"), "$.item_id", "string")
+    own = lines.where(F.trim(F.regexp_replace("value", r"\s+", " ")) != "").withColumn("item", item)
+    return own.withColumn("bad", F.col("item").isNull())
 
-    Lines are numbered through the byte offsets of the files' splits: Spark numbers lines within a partition, and the sums
-    of the partitions before it, which are as many as there are partitions, give the base. Blank lines do not count.
+
+def trace_faults(spark: SparkSession, path: str) -> DataFrame:
+    """(file, requests, bad, first_bad): lines that are requests, lines that are not, and one of those."""
+    return scan_trace(spark, path).groupBy("file").agg(F.count_if(~F.col("bad")).alias("requests"), F.count_if("bad").alias("bad"), F.min_by(F.when(F.col("bad"), F.col("value")), F.when(F.col("bad"), F.struct("at", "line"))).alias("first_bad"))
+
+
+def read_trace(spark: SparkSession, path: str, trace: str, strict: bool = True) -> DataFrame:
+    """JSONL files, one request a line in order of file name and line, as (trace, t, item).
+
+    A request's place is that of its file, of the split's first byte in the file and of the line in the split. Splits are counted
+    and start behind the requests of those before, so places do not depend on where Spark cuts files or which splits it packs
+    together. Blank lines do not count. Bad lines raise, or are left out and keep no place if not ``strict``; ``trace_faults``
+    counts them.
     """
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    own = lines.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("k"), F.get_json_object("value", "$.item_id").alias("item"))
-    sizes = own.groupBy("part").agg(F.count("*").alias("n"), F.min("k").alias("least"))
-    bases = sizes.select("part", "least", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return own.join(F.broadcast(bases), "part").select(F.lit(trace).alias("trace"), (F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("k")) - 1).alias("t"), "item")
+    rows = scan_trace(spark, path)
+    if strict and (worst := trace_faults(spark, path).where("bad > 0").orderBy("file").first()):
+        raise ValueError(f"{worst.file}: {worst.bad} lines are no requests, as {worst.first_bad!r}")
+    good = rows.where(~F.col("bad")).select("file", "at", "line", "item")
+    splits = good.groupBy("file", "at").agg(F.count("*").alias("n"))
+    before = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
+    starts = splits.select("file", "at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("file", "at").orderBy("line")) - 1
+    return good.withColumn("place", place).join(starts, ["file", "at"]).select(F.lit(trace).alias("trace"), (F.col("start") + F.col("place")).alias("t"), "item")
 
 
 def write_trace(df: DataFrame, path: str) -> None:
+    """Files whose names sort as their requests do."""
     df.orderBy("t").select(F.to_json(F.struct(F.col("item").alias("item_id"))).alias("value")).write.text(path)
 
 
+def family_of_path(paths: DataFrame, known: DataFrame) -> DataFrame:
+    """``paths`` (path, ...) with ``family``: that of the first ``trace_family=`` folder, else the longest of ``known`` (name) that
+    begins the file's name, followed by an underscore, else null.
+
+    A name is cut at each length that known names have, and its beginnings are looked up by equality, however many are known.
+    """
+    names = known.where("name <> ''").select("name").distinct()
+    lengths = names.agg(F.sort_array(F.collect_set(F.length("name"))).alias("lengths"))  # one row; no more than the longest name is long
+    file = F.element_at(F.split("path", "/"), -1)
+    named = F.regexp_extract("path", r"(?:^|/)trace_family=([^/]+)", 1)
+    distinct = paths.select("path").distinct().crossJoin(F.broadcast(lengths)).select("path", F.explode(F.expr("filter(lengths, n -> substring(element_at(split(path, '/'), -1), n + 1, 1) = '_')")).alias("n"))
+    found = distinct.withColumn("name", F.substring(file, 1, F.col("n"))).join(names, "name").groupBy("path").agg(F.max_by("name", "n").alias("begins"))
+    return paths.join(found, "path", "left").withColumn("family", F.when(named != "", named).otherwise(F.col("begins"))).drop("begins")
+
+
+def strict_join(sources: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """One row for each key with the other columns of all ``sources``. Each has to have each key once: else a key that is missing in
+    some source, or repeated, raises, and what is wrong is named.
+
+    All sources are grouped in one pass, so that a key lost on any side is seen, which inner joins would drop.
+    """
+    columns = {n: [c for c in df.columns if c not in key] for n, df in sources.items()}
+    if len(names := [c for own in columns.values() for c in own]) != len(set(names)):
+        raise ValueError(f"columns of several sources: {sorted(c for c in set(names) if names.count(c) > 1)}")
+    parts = []
+    for n, df in sources.items():
+        held = [F.struct(*own).alias(m) if n == m else F.lit(None).cast(T.StructType([sources[m].schema[c] for c in own])).alias(m) for m, own in columns.items()]
+        parts.append(df.select(*key, F.lit(n).alias("cachesight_source"), *held))
+    every = reduce(lambda a, b: a.unionByName(b), parts)
+    counts = {n: F.count_if(F.col("cachesight_source") == n).alias(f"cachesight_n_{n}") for n in sources}
+    both = materialize(every.groupBy(*key).agg(*counts.values(), *[F.first(n, ignorenulls=True).alias(n) for n in sources]), "joined")
+    wrong = both.where(" OR ".join(f"`cachesight_n_{n}` <> 1" for n in sources))
+    if faults := [f"{tuple(r[c] for c in key)} is {r[f'cachesight_n_{n}'] or 'no'} times in {n}" for r in wrong.orderBy(*key).limit(20).collect() for n in sources if r[f"cachesight_n_{n}"] != 1]:
+        raise ValueError(f"{wrong.count()} keys are not once in each source: " + "; ".join(faults))
+    return both.select(*key, *[F.col(n)[c].alias(c) for n, own in columns.items() for c in own])
+
+
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Result rows as JSON lines: lines that are no JSON or of an unknown status are left out, the last row of a key wins.
 

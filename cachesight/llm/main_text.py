@@ -43,6 +43,8 @@ BOILER_WORDS = frozenset(
     "comment comments reply replies respond disqus discussion contentinfo complementary dialog copyright disclaimer".split()
 )
 LAYOUT_WORDS = frozenset("banner header legal masthead menu search side sidebar tags toolbar topbar widget widgets".split())
+#: Words that say of the next one in a name that it is not what the container is: ``no-ads``, ``post-with-comments``.
+BESIDE_WORDS = frozenset("has no non with without".split())
 ARTICLE_WORDS = frozenset("article main content post story entry body text".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -125,12 +127,19 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
+def _words(value: str) -> set[str]:
+    """The words of a class, id, role or label, without those of boilerplate that another word sets beside it. Those of layouts
+    stay: who has a bar has to be looked at."""
+    own = re.findall(r"[a-z]+|\s", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
+    return {w for k, w in enumerate(own) if not (k and own[k - 1] in BESIDE_WORDS and w in BOILER_WORDS)}
+
+
 def _container(tag: str, attributes: str, outer: int) -> int:
     """What a container says about the text in it; what surrounds it holds where it says nothing."""
     if attributes:
         if _hidden(attributes):
             return OUTSIDE
-        words = {w for m in HINT.findall(attributes) for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m).lower())}
+        words = {w for m in HINT.findall(attributes) for w in _words(m)}
         if tag not in ("html", "body"):
             own = words & ARTICLE_WORDS
             if words & BOILER_WORDS and not (own and tag in ("article", "main")):
@@ -199,6 +208,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
 
     at, quoted = 0, True
     opened: Counter[str] = Counter()  # elements of the stack by name
+    paragraph: tuple[int, int] | None = None  # state around an open paragraph that has one of its own, elements open at its start
     while m := next_tag(page, at, quoted):
         begin, end_at, tag, closing, attributes, quoted = m
         if begin > at:
@@ -221,6 +231,14 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             continue
         if tag in BLOCK:
             end()
+            if paragraph:  # any block ends it
+                state = paragraph[0]
+                for name, _ in stack[paragraph[1] :]:
+                    opened[name] -= 1
+                del stack[paragraph[1] :]
+                paragraph = None
+            if tag == "p" and attributes and not closing and (new := _container(tag, attributes, state)) != state:
+                paragraph, state = (state, len(stack)), new
         if tag in HEADINGS:
             heading = int(not closing)
         elif tag in BLOCK and heading:

@@ -170,6 +170,23 @@ def test_op4_hidden_elements(attributes):
     assert main_text.main_text(page, tree) == ""
 
 
+@pytest.mark.parametrize("attributes", ["hidden", 'class="ad"', 'class="cookie-notice"', "style='display:none'", 'id="share"'])
+def test_op4_paragraphs_as_containers(attributes):
+    """A paragraph can be an advert, a notice or hidden; what follows it is what it was, whether it is closed or not."""
+    tree = main_text.train(main_text.LABELLED)
+    text = "A paragraph of the article with enough words to be one, and then some more of them."
+    for close in ("</p>", "", "<span id=s>x</p>", "<b class=y>"):
+        page = f"<body><article><h1>Head</h1><p>{text}</p><p {attributes}>Buy this now, it is cheap and good for you{close}<p>{text}</p><ul><li>last</li></ul></article></body>"
+        assert main_text.main_text(page, tree).split("\n") == ["Head", text, text, "last"]
+
+
+@pytest.mark.parametrize("attributes", ['class="post-with-comments"', 'class="content no-ads"', 'class="withoutShare article"'])
+def test_op4_names_of_what_is_beside(attributes):
+    tree = main_text.train(main_text.LABELLED)
+    page = f"<body><nav><a href=a>Home</a></nav><div {attributes}><h1>Head</h1><p>Short.</p><div class='comments'><p>Mine</p></div></div></body>"
+    assert main_text.main_text(page, tree).split("\n") == ["Head", "Short."]
+
+
 def test_op5_brute_force(spark, sf):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = str.maketrans(decontaminate.UPPER, decontaminate.LOWER)

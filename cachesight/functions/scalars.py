@@ -28,9 +28,9 @@ def text_key(*columns: str, separator: str = "|") -> Column:
     return F.concat_ws(separator, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
 
-def pseudonym(c: Column, salt: str) -> Column:
-    """``obj_`` and 24 hex digits of the SHA-256 of salt|value; null stays null."""
-    return F.concat(F.lit("obj_"), F.substring(F.sha2(F.concat(F.lit(f"{salt}|"), c.cast("string")), 256), 1, 24))
+def pseudonym(c: Column, salt: str, digits: int = 24) -> Column:
+    """``obj_`` and the first hex digits of the SHA-256 of salt|value; null stays null."""
+    return F.concat(F.lit("obj_"), F.substring(F.sha2(F.concat(F.lit(f"{salt}|"), c.cast("string")), 256), 1, digits))
 
 
 def pseudonym_list(c: Column, salt: str) -> Column:
@@ -76,3 +76,20 @@ def size_category(rows: Column) -> Column:
 
 def output_name(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), r"[^A-Za-z0-9._-]+", "_")
+
+
+def byte_size(c: Column) -> Column:
+    """A number of bytes with one decimal (halves to even) in the largest unit of 1024 that it reaches; bytes without one."""
+    steps = [(4, "TiB"), (3, "GiB"), (2, "MiB"), (1, "KiB")]
+    out = F.lit(None).cast("string")
+    for k, (power, unit) in enumerate(steps):
+        shown = F.concat(F.format_string("%.1f", F.bround(c / F.lit(1024.0**power), 1)), F.lit(f" {unit}"))
+        out = F.when(c >= 1024**power, shown) if k == 0 else out.when(c >= 1024**power, shown)
+    return out.otherwise(F.concat(c.cast("string"), F.lit(" B")))
+
+
+def reader_name(c: Column, names: dict[str, str]) -> Column:
+    """The name that readers see; a value without one stays."""
+    if not names:
+        return c
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[c], c)

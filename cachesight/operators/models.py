@@ -164,6 +164,18 @@ def calibrated_score(pairs: DataFrame, difference: Column, by: list[str], ridge:
     return pair_metrics(scaled(rows), logistic_probability(w, ["difference"]), by)
 
 
+def calibrated_linear_score(pairs: DataFrame, model: dict, by: list[str], ridge: float = 1.0) -> DataFrame:
+    """``calibrated_score`` of how much more a linear model says that side b loses than side a. ``pairs`` have its features as
+    ``_a`` and ``_b`` columns; one that is missing raises."""
+    wanted = model["coefficients"]
+    if not wanted:
+        raise ValueError("the model has no coefficients")
+    if missing := [f for f in wanted if not {f"{f}_a", f"{f}_b"} <= set(pairs.columns)]:
+        raise ValueError(f"the pairs lack features of the model: {missing}")
+    loss = lambda s: linear_score(model["intercept"], {f"{f}_{s}": w for f, w in wanted.items()}, {f"{f}_{s}": m for f, m in model["means"].items()})
+    return calibrated_score(pairs, loss("b") - loss("a"), by, ridge)
+
+
 def optimal_set_agreement(losses: DataFrame, key: list[str]) -> DataFrame:
     """For each decision two losses (x, y) of each candidate: Jaccard of the optimal sets, and the regret under y of what is
     optimal under x: mean, least, largest, and how likely it stays optimal."""
@@ -208,6 +220,37 @@ def continuation_summary(losses: DataFrame, key: list[str], by: list[str] | None
     )
 
 
+#: Dimensions of a census: all decisions, and strata of one or two columns.
+CENSUS = ([], ["trace_family"], ["capacity"], ["trace_family", "capacity"], ["horizon"])
+
+
+def continuation_census(losses: DataFrame, key: list[str]) -> DataFrame:
+    """How two continuations agree over all decisions and over those that tell under the first, for each of CENSUS, in one pass over
+    the decisions: Jaccard (mean, median, share of 1 and below 0.8), strict reversals, cross regret (mean, median, 95th
+    percentile, largest) and the share of decisions that tie under both. Columns that a stratum does not have are null."""
+    rows = optimal_set_agreement(losses, key).join(pair_taxonomy(losses, key), key)
+    c, d, only_x, only_y = (F.col(k) for k in ("concordant", "discordant", "x_tied", "y_tied"))
+    tied, other = (c + d + only_y) == 0, (c + d + only_x) == 0
+    rows = rows.withColumn("both_flat", tied & other).withColumn("subset", F.explode(F.array_compact(F.array(F.lit("all"), F.when(~tied, "telling")))))
+    j, m, one = F.col("jaccard"), F.col("mean_cross_regret"), lambda e: F.round(F.avg(e.cast("double")), 9)
+    strata = sorted({x for own in CENSUS for x in own})
+    sets = [[F.col("subset"), *map(F.col, own)] for own in CENSUS]
+    level = F.when(F.grouping("trace_family") + F.grouping("capacity") == 0, "trace_family+capacity").when(F.grouping("trace_family") == 0, "trace_family").when(F.grouping("capacity") == 0, "capacity").when(F.grouping("horizon") == 0, "horizon").otherwise("all")
+    return rows.groupingSets(sets, F.col("subset"), *map(F.col, strata)).agg(
+        level.alias("level"), F.count("*").alias("decisions"), F.round(F.avg(j), 9).alias("mean_jaccard"), F.round(F.percentile(j, 0.5), 9).alias("median_jaccard"), one(j == 1).alias("jaccard_1"), one(j < 0.8).alias("jaccard_below_0_8"),
+        F.sum("discordant").alias("reversals"), F.round(F.avg(m), 9).alias("mean_ccr"), F.round(F.percentile(m, 0.5), 9).alias("median_ccr"), F.round(F.percentile(m, 0.95), 9).alias("p95_ccr"), F.max(m).alias("largest_ccr"), one(F.col("both_flat")).alias("both_tied_fraction"),
+    )
+
+
+def census_deltas(sample: DataFrame, population: DataFrame, measures: list[str]) -> DataFrame:
+    """(level, subset, strata ..., measure, sampled, whole, delta) of two censuses, for strata that both have."""
+    key = ["level", "subset", "trace_family", "capacity", "horizon"]
+    long = lambda df, name: df.select(*key, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias(name)) for m in measures])).alias("p")).select(*key, "p.*")
+    a, b = long(sample, "sampled"), long(population, "whole")
+    same = [a[k].eqNullSafe(b[k]) for k in [*key, "measure"]]
+    return a.join(b, same).select(*[a[k] for k in [*key, "measure"]], "sampled", "whole", F.round(F.col("sampled") - F.col("whole"), 9).alias("delta"))
+
+
 def continuation_class(losses: DataFrame, key: list[str], by: list[str] | None = None) -> DataFrame:
     """Whether labels hold under another continuation, from the decisions that tell under the first; strata without such
     decisions stay as inconclusive."""

@@ -25,6 +25,57 @@ def select_families(families: DataFrame, allow_blocked: bool = False) -> DataFra
     return families.select("name", (F.col("selected") & ~blocked).alias("included"), why.alias("why"))
 
 
+def source_summary(spark: SparkSession, path: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), blocked: tuple[str, ...] = ()) -> DataFrame:
+    """What a release of the files that ``path`` stands for would have, without reading their rows.
+
+    One row for each family that is found, wanted or blocked: its shards and bytes, rows and decisions (of the split_summary.csv
+    beside a manifest, else rows of the manifest's entries, else null), whether it is selected, and what is wrong: ``missing``
+    (wanted, but nowhere) or ``blocked`` (there, blocked and not excluded). Files of no known family are the family null.
+    """
+    if both := set(include) & set(exclude):
+        raise ValueError(f"included and excluded: {sorted(both)}")
+    known = sorted({*include, *exclude, *blocked})
+    paths = tables.resolve(spark, path)
+    sizes = spark.createDataFrame([(p, tables.file_size(spark, p)) for p in paths], "path string, bytes long")
+    names = spark.createDataFrame([(n,) for n in known], "name string")
+    shards = tables.family_of_path(sizes, names).groupBy("family").agg(F.count("*").alias("shards"), F.sum("bytes").alias("bytes"))
+    summary = f"{path.rsplit('/', 1)[0]}/split_summary.csv"
+    if path.endswith(".json") and tables.exists(spark, summary):
+        rows = spark.read.option("header", True).csv(summary).groupBy(F.col("trace_family").alias("counted")).agg(F.sum(F.col("row_count").cast("long")).alias("rows"), F.sum(F.col("decision_count").cast("long")).alias("decisions"))
+    elif path.endswith(".json"):
+        entries = spark.createDataFrame(tables.manifest_rows(spark, path), "path string, rows long")
+        rows = tables.family_of_path(entries, names).groupBy(F.col("family").alias("counted")).agg(F.sum("rows").alias("rows"), F.lit(None).cast("long").alias("decisions"))
+    else:
+        rows = spark.createDataFrame([], "counted string, rows long, decisions long")
+    found = shards.join(rows, F.col("family").eqNullSafe(F.col("counted")), "full_outer").withColumn("family", F.when(F.col("shards").isNull(), F.col("counted")).otherwise(F.col("family"))).drop("counted")
+    wanted = names.select(F.col("name").alias("listed"))
+    every = found.join(wanted, found["family"] == wanted["listed"], "full_outer").withColumn("family", F.coalesce("family", "listed")).drop("listed")
+    there = F.col("shards").isNotNull() | F.col("rows").isNotNull()
+    named = lambda own: F.coalesce(F.col("family").isin(*own), F.lit(False)) if own else F.lit(False)
+    selected = (named(include) if include else there) & ~named(exclude)
+    fault = F.when(named(include) & ~there, "missing").when(named(blocked) & there & ~named(exclude), "blocked")
+    return every.select("family", F.coalesce("shards", F.lit(0)).alias("shards"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "rows", "decisions", (selected & there).alias("selected"), fault.alias("fault"))
+
+
+def export(candidates: DataFrame, root: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), overwrite: bool = False) -> None:
+    """Write the partitioned rows of the families that are included (all, if none is named) and not excluded; a family that is named
+    on both sides raises, as do rows that would be written twice."""
+    if both := set(include) & set(exclude):
+        raise ValueError(f"included and excluded: {sorted(both)}")
+    rows = candidates.where(F.col("trace_family").isin(*include)) if include else candidates
+    rows = rows.where(~F.col("trace_family").isin(*exclude)) if exclude else rows
+    if double := validate.duplicate_candidates(rows).limit(1).count():
+        raise ValueError(f"{double} or more candidates are there twice")
+    tables.write_partitions(rows, root, overwrite)
+
+
+def repeated_partitions(spark: SparkSession, root: str) -> DataFrame:
+    """Partition values that more than one folder stands for, as ``capacity=32`` and ``capacity=032`` do, with the folders."""
+    folder = F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1)
+    named = files.listed(spark, root, ".parquet").select(*files.partition_values(F.col("path"), {c: "bigint" if c in ("capacity", "horizon") else "string" for c in PARTITIONS}), folder.alias("folder")).distinct()
+    return named.groupBy(*PARTITIONS).agg(F.array_sort(F.collect_list("folder")).alias("folders")).where(F.size("folders") > 1)
+
+
 def done(spark: SparkSession, root: str, stage: str) -> bool:
     return tables.exists(spark, f"{root}/{stage}/_SUCCESS")
 

@@ -28,6 +28,17 @@ def selection_metrics(selected: DataFrame, by: list[str] | None = None) -> DataF
     return selected.groupBy(*(by or [])).agg(F.count("*").alias("decisions"), F.round(F.avg((r <= 1e-12).cast("double")), 9).alias("optimal_rate"), F.round(F.avg(r), 9).alias("mean_regret"), F.round(F.percentile(r, 0.5), 9).alias("median_regret"), F.max(r).alias("max_regret"))
 
 
+def selection_panel(selected: DataFrame, dimensions: list[str]) -> DataFrame:
+    """(dimension, value) with ``selection_metrics`` for the whole (``all``) and for each value of each dimension, in one pass."""
+    d = [F.col(c) for c in dimensions]
+    r = F.col("regret")
+    name, value = F.lit("all"), F.lit(None).cast("string")
+    for c in dimensions:
+        name, value = F.when(F.grouping(c) == 0, c).otherwise(name), F.when(F.grouping(c) == 0, F.col(c).cast("string")).otherwise(value)
+    found = selected.groupingSets([[], *[[x] for x in d]], *d).agg(name.alias("dimension"), value.alias("value"), F.count("*").alias("decisions"), F.round(F.avg((r <= 1e-12).cast("double")), 9).alias("optimal_rate"), F.round(F.avg(r), 9).alias("mean_regret"), F.round(F.percentile(r, 0.5), 9).alias("median_regret"), F.max(r).alias("max_regret"))
+    return found.drop(*dimensions)
+
+
 def bottom_sample(df: DataFrame, n: int, by: list[str], parts: list[str], seed: int) -> DataFrame:
     """The ``n`` rows of the smallest hashes of (seed, parts) in each group; the sample only depends on the rows' values."""
     score = stable_score(F.lit(seed), *[F.col(c) for c in parts])

@@ -81,8 +81,9 @@ def alias_faults(candidates: DataFrame) -> DataFrame:
     )
 
 
-def pseudonym_collisions(df: DataFrame, column: str, salt: str) -> DataFrame:
-    p = df.select(F.col(column).alias("raw"), pseudonym(F.col(column), salt).alias("pseudonym")).distinct()
+def pseudonym_collisions(df: DataFrame, column: str, salt: str, digits: int = 24) -> DataFrame:
+    """Pseudonyms that several values would share, were they of so many digits."""
+    p = df.select(F.col(column).alias("raw"), pseudonym(F.col(column), salt, digits).alias("pseudonym")).distinct()
     return p.groupBy("pseudonym").agg(F.count("raw").alias("raw_values")).where("raw_values > 1")
 
 
@@ -95,8 +96,11 @@ def leaked_values(public: DataFrame, raw: DataFrame, raw_column: str) -> DataFra
     return base.join(hit.groupBy("column").agg(F.count("*").alias("n")), "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("leaked"))
 
 
-#: Patterns of what published tables must not hold.
-SECRETS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "token": r"\b(?:(?:hf|ghp|gho|sk)_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b", "absolute_path": r"(?:^|[\s\"'=])(?:/home/|/Users/|/mnt/|[A-Z]:\\)"}
+#: Patterns of what published tables must not hold. ``long_token`` is any run of 32 letters and digits.
+SECRETS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "token": r"\b(?:(?:hf|ghp|gho|sk)_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b",
+    "long_token": r"\b[A-Za-z0-9]{32,}\b", "absolute_path": r"(?:^|[^A-Za-z0-9_])/(?:home|Users|var|tmp|mnt|srv|opt)/[^\s`\"']|[A-Za-z]:\\[^\s`\"']",
+}
 
 
 def secret_scan(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cachesight.functions.scalars import odd_hash, text_key
 from cachesight.schema import CANONICAL, DECISION_KEY, FEATURES, LABELS
+from cachesight.sources.shared import materialize
 from cachesight.sources.tables import strict_join
 
 METHOD = "sha256-parity-v1"
@@ -133,3 +134,58 @@ def linkage(victims: DataFrame, drawn: DataFrame, closed: DataFrame, cell: list[
     agrees = lambda k: F.signum(f"offline_{k}_gap") == F.signum(f"closed_{k}_gap")
     zero = (F.col("offline_lru_regret") == 0) & (F.col("offline_mru_regret") == 0) & (F.col("offline_random_regret") == 0)
     return rows.withColumns(gaps).withColumns({"mru_agrees": agrees("mru"), "random_agrees": agrees("random"), "degenerate": zero})
+
+
+def clean_pair_features(pairs: DataFrame, candidates: DataFrame, features: list[str]) -> DataFrame:
+    """``pairs`` with ``features`` of both sides as a_ and b_ columns, joined on trace, capacity, horizon, decision and page alone.
+
+    The key is narrower than that of ``augment_pairs``: a page that it matches twice gives two rows, one that it does not match
+    none. Candidates are read once: both sides of all pairs are looked up together, and what was found, which is as small as the
+    pairs are, is joined by pair.
+    """
+    key = ["trace_name", "capacity", "horizon", "decision_id"]
+    kept = ["decision_id", "capacity", "horizon", "split", "trace_family", "label_a_better", "label_b_better", "is_tie"]
+    numbered = pairs.withColumn("pair", F.sha2(text_key(*DECISION_KEY, "candidate_a_page_id", "candidate_b_page_id"), 256))
+    sides = F.array(*[F.struct(F.lit(x).alias("side"), F.col(f"candidate_{x}_page_id").alias("candidate_page_id")) for x in "ab"])
+    wanted = numbered.select(*key, "pair", F.explode(sides).alias("p")).select(*key, "pair", "p.*").distinct()
+    found = materialize(candidates.select(*key, "candidate_page_id", *features).join(wanted, [*key, "candidate_page_id"]).select("pair", "side", *features), "sides")
+    out = numbered.select("pair", *kept)
+    for x in "ab":
+        out = out.join(found.where(F.col("side") == x).select("pair", *[F.col(c).alias(f"{x}_{c}") for c in features]), "pair")
+    return out.drop("pair")
+
+
+def pair_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: pairs of ``a`` and of ``b`` whatever the order of their pages, how many rows both join to, and their share of a's.
+
+    Rows of equal pairs are counted before the join, so repeated pairs cost nothing.
+    """
+    key = F.concat_ws("|", text_key("trace_name", "capacity", "horizon", "decision_id", "split"), F.least("candidate_a_page_id", "candidate_b_page_id"), F.greatest("candidate_a_page_id", "candidate_b_page_id"))
+    x, y = (df.groupBy(key.alias("k")).agg(F.count("*").alias(n)) for df, n in ((a, "na"), (b, "nb")))
+    both = x.join(y, "k", "full_outer").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in ((F.col("na"), "a_pairs"), (F.col("nb"), "b_pairs"), (F.col("na") * F.col("nb"), "overlap"))])
+    same = (F.col("overlap") == F.col("a_pairs")) & (F.col("a_pairs") == F.col("b_pairs"))
+    return both.withColumn("overlap_fraction", F.round(F.try_divide(F.col("overlap"), F.col("a_pairs")), 9)).withColumn("same_pairs", same)
+
+
+def with_suffixes(left: DataFrame, right: DataFrame, key: list[str], suffixes: tuple[str, str] = ("", "_old")) -> DataFrame:
+    """The rows of both of equal ``key``; other columns that both have get a suffix on either side."""
+    clash = (set(left.columns) & set(right.columns)) - set(key)
+    named = [df.select(*[F.col(c).alias(f"{c}{s}") if c in clash else F.col(c) for c in df.columns]) for df, s in zip((left, right), suffixes)]
+    return named[0].join(named[1], key)
+
+
+#: Policies that are compared with the least-recently-used one, with their gaps offline and in the closed loop.
+LINKED = ("mru", "random")
+
+
+def linkage_gaps(linked: DataFrame) -> DataFrame:
+    """``linkage`` as a row for each policy: its gap offline (x) and in the closed loop (y)."""
+    each = F.array(*[F.struct(F.lit(p).alias("policy"), F.col(f"offline_{p}_gap").alias("x"), F.col(f"closed_{p}_gap").alias("y")) for p in LINKED])
+    return linked.select("trace_family", "capacity", "horizon", "degenerate", F.explode(each).alias("p")).select("trace_family", "capacity", "horizon", "degenerate", "p.*")
+
+
+def linkage_ranks(linked: DataFrame) -> DataFrame:
+    """Of each cell the policies as candidates with their gaps (x offline, y in the closed loop); the one that is compared with has 0."""
+    own = [F.struct(F.lit("lru").alias("policy"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))]
+    own += [F.struct(F.lit(p).alias("policy"), F.col(f"offline_{p}_gap").alias("x"), F.col(f"closed_{p}_gap").alias("y")) for p in LINKED]
+    return linked.select("trace_family", "capacity", "horizon", F.explode(F.array(*own)).alias("p")).select("trace_family", "capacity", "horizon", "p.*")

@@ -11,6 +11,7 @@ from cachesight.functions import scalars as S
 from cachesight.operators import models as M
 from cachesight.operators import panels as A
 from cachesight.operators import policies as P
+from cachesight.operators import release
 from cachesight.operators import selection as W
 from cachesight.operators import trace as T
 from cachesight.operators import validate as V
@@ -274,9 +275,9 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     for by in ("split", "candidate_count", "horizon"):
         q[f"discriminativeness_by_{by}"] = (lambda s, d, by=by: A.discriminativeness(_view(s, d), [by])), f"WITH {_D} {_panel_sql(by)} GROUP BY {by}"
     sub = " UNION ALL ".join(f"SELECT '{k}' AS subset, * FROM d WHERE {p}" for k, p in _NONTRIVIAL)
-    for name, by in (("nontrivial_subsets", []), ("nontrivial_subsets_by_family", ["trace_family"])):
+    for name, by in (("nontrivial_subsets", []), ("nontrivial_subsets_by_family", ["trace_family"]), ("nontrivial_subsets_by_capacity", ["capacity"]), ("nontrivial_subsets_by_horizon", ["horizon"])):
         c = "".join(f"{b}, " for b in by)
-        q[name] = (lambda s, d, by=by: A.nontrivial_subsets(_view(s, d), by)), f"WITH {_D}, u AS ({sub}), w AS (SELECT {c}count(*) AS n, sum(candidate_count) AS nc FROM d {'GROUP BY ALL' if by else ''}) SELECT {c}subset, count(*) AS decisions, round(count(*) / max(n), 9) AS coverage, sum(candidate_count)::BIGINT AS candidates, round(sum(candidate_count) / max(nc), 9) AS candidate_coverage, round(avg(regret_mean), 9) AS mean_regret, round(quantile_cont(regret_mean, 0.5), 9) AS median_regret FROM u {'JOIN w USING (trace_family)' if by else 'CROSS JOIN w'} GROUP BY {c}subset"
+        q[name] = (lambda s, d, by=by: A.nontrivial_subsets(_view(s, d), by)), f"WITH {_D}, u AS ({sub}), w AS (SELECT {c}count(*) AS n, sum(candidate_count) AS nc FROM d {'GROUP BY ALL' if by else ''}) SELECT {c}subset, count(*) AS decisions, round(count(*) / max(n), 9) AS coverage, sum(candidate_count)::BIGINT AS candidates, round(sum(candidate_count) / max(nc), 9) AS candidate_coverage, round(avg(regret_mean), 9) AS mean_regret, round(quantile_cont(regret_mean, 0.5), 9) AS median_regret FROM u {f'JOIN w USING ({by[0]})' if by else 'CROSS JOIN w'} GROUP BY {c}subset"
     hist = f"count(*) AS candidates, count(*) FILTER (regret >= 1) AS regret_ge_1, count(*) FILTER (regret >= 2) AS regret_ge_2, count(*) FILTER (regret >= 3) AS regret_ge_3, count(*) FILTER (regret = 0) AS regret_0, {_VICTIMS}"
     q["candidate_regret"] = lambda s, d: A.candidate_regret(candidates(s, d)), f"WITH {_C} SELECT {hist} FROM c"
     q["candidate_regret_by_family"] = lambda s, d: A.candidate_regret(candidates(s, d), ["trace_family"]), f"WITH {_C} SELECT trace_family, {hist} FROM c GROUP BY trace_family"
@@ -350,16 +351,17 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     q["dup_candidates"] = lambda s, d: V.duplicate_candidates(candidates(s, d).withColumn("candidate_page_id", F.substring_index("candidate_page_id", "-", 1))), f"WITH {_C} SELECT {K}, split_part(candidate_page_id, '-', 1) AS candidate_page_id, count(*) AS copies FROM c GROUP BY ALL HAVING count(*) > 1"
     q["inconsistent_metadata"] = lambda s, d: V.inconsistent_metadata(candidates(s, d), ["trace_family", "capacity"], ["split", "horizon"]), f"WITH {_C} SELECT trace_family, capacity, count(DISTINCT split) AS split, count(DISTINCT horizon) AS horizon FROM c GROUP BY ALL HAVING count(DISTINCT split) > 1 OR count(DISTINCT horizon) > 1"
     q["cross_split_ids"] = lambda s, d: V.cross_split_ids(candidates(s, d).withColumn("decision_id", F.expr("cast(decision_t div 8 as string)"))), f"WITH {_C} SELECT (decision_t // 8)::VARCHAR AS decision_id, string_agg(DISTINCT split, '|' ORDER BY split) AS splits FROM c GROUP BY ALL HAVING count(DISTINCT split) > 1"
-    q["label_validity"] = lambda s, d: V.label_faults(candidates(s, d)), f"WITH {_C} SELECT count(*) AS row_count, 0::BIGINT AS loss_not_finite, 0::BIGINT AS value_not_finite, count(*) FILTER (y_loss < 0) AS loss_negative, count(*) FILTER (y_loss <> floor(y_loss)) AS loss_fractional, count(*) FILTER (abs(y_value + y_loss) > 1e-8) AS sign_mismatch, count(*) FILTER (split NOT IN ('train', 'val', 'validation', 'test')) AS split_unknown, CASE WHEN bool_or(split = 'val') THEN count(*) FILTER (split = 'validation') ELSE 0 END AS split_named_twice FROM c"
+    q["label_validity"] = lambda s, d: V.label_faults(_faulty(s, d)), f"WITH {_C}, {_F}, v AS ({_VALIDATE}) SELECT (SELECT count(*) FROM f) AS row_count, " + ", ".join(f"max(faults) FILTER (\"check\" = '{k}') AS {k}" for k in ("loss_not_finite", "value_not_finite", "loss_negative", "loss_fractional", "sign_mismatch", "split_unknown", "split_named_twice")) + " FROM v"
     for name, relation, sql in (("validate_candidates", candidates, f"{_C}, f AS (SELECT * FROM c)"), ("validate_faulty_candidates", _faulty, f"{_C}, {_F}")):
         q[name] = (lambda s, d, relation=relation: V.validate_candidates(relation(s, d))), f"WITH {sql} {_VALIDATE}"
     q["feature_alias_checks"] = lambda s, d: V.alias_faults(candidates(s, d)), f"WITH {_C} SELECT count(*) AS row_count, count(*) FILTER (abs(score_gap_to_lru_victim - (candidate_lru_score - m)) > 1e-9) AS gap_is_no_alias, count(*) FILTER (abs(candidate_lru_score + candidate_age_norm - 1) > 1e-9) AS age_is_no_complement, count(*) FILTER ((candidate_is_lru_victim = 1) <> (candidate_recency_rank = 0)) AS victim_is_no_rank_0, count(*) FILTER (candidate_lru_score = y_loss) AS score_equals_loss FROM (SELECT *, max(candidate_lru_score) OVER (PARTITION BY {K}) AS m FROM c)"
     q["feature_schema_faults"] = lambda s, d: V.feature_schema_faults(candidates(s, d), ["candidate_lru_score", "request_bucket", "y_loss", "candidate_is_lru_victim", "candidate_is_predictor_victim"], ACTIVE_FEATURES, DEPRECATED_FEATURES, ["y_loss", "y_value"]), "SELECT unnest(['request_bucket', 'y_loss', 'y_loss', 'candidate_is_predictor_victim', 'request_bucket', 'candidate_is_predictor_victim']) AS feature, unnest(['deprecated', 'unknown', 'leaks', 'deprecated', 'constant', 'equals candidate_is_lru_victim']) AS fault"
     q["pseudonymise"] = lambda s, d: candidates(s, d).select("decision_id", S.pseudonym(F.col("candidate_page_id"), "salt").alias("pseudonym")), f"WITH {_C} SELECT decision_id, 'obj_' || sha256('salt|' || candidate_page_id)[1:24] AS pseudonym FROM c"
     q["pseudonymise_lists"] = lambda s, d: _view(s, d).select("decision_id", S.pseudonym_list(F.col("optimal_candidate_page_ids"), "salt").alias("pseudonyms")), f"WITH {_D} SELECT decision_id, array_to_string(list_transform(string_split(optimal_candidate_page_ids, '|'), lambda x: 'obj_' || sha256('salt|' || x)[1:24]), '|') AS pseudonyms FROM d"
-    q["pseudonym_collisions"] = lambda s, d: V.pseudonym_collisions(candidates(s, d), "candidate_page_id", "salt"), "SELECT NULL::VARCHAR AS pseudonym, 0::BIGINT AS raw_values WHERE false"
+    q["pseudonym_collisions"] = lambda s, d: V.pseudonym_collisions(candidates(s, d), "candidate_page_id", "salt", 3), f"WITH {_C}, p AS (SELECT DISTINCT candidate_page_id AS raw, 'obj_' || sha256('salt|' || candidate_page_id)[1:3] AS pseudonym FROM c) SELECT pseudonym, count(raw) AS raw_values FROM p GROUP BY pseudonym HAVING count(raw) > 1"
     q["raw_leak_scan"] = lambda s, d: V.leaked_values(candidates(s, d).select("candidate_page_id", F.lit("x").alias("note"), S.pseudonym(F.col("candidate_page_id"), "salt").alias("pseudonym")), candidates(s, d).where("y_loss >= 3"), "candidate_page_id"), f"WITH {_C} SELECT unnest(['candidate_page_id', 'note', 'pseudonym']) AS \"column\", unnest([(SELECT count(DISTINCT candidate_page_id) FROM c WHERE y_loss >= 3), 0, 0])::BIGINT AS leaked"
-    q["secret_scan"] = lambda s, d: V.secret_scan(s.read.parquet(f"{d}/documents.parquet").select("text")), "SELECT 'text' AS \"column\", unnest(['email', 'token', 'absolute_path']) AS kind, unnest([(SELECT count(*) FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')), (SELECT count(*) FROM documents WHERE regexp_matches(text, '\\b(?:hf|ghp|gho|sk)_[A-Za-z0-9]{20,}\\b')), (SELECT count(*) FROM documents WHERE regexp_matches(text, '(?:^|[\\s\"''=])(?:/home/|/Users/|/mnt/|[A-Z]:\\\\)'))]) AS row_count"
+    patterns = "".join(f" UNION ALL SELECT 'text' AS \"column\", '{k}' AS kind, count(*) FILTER (regexp_matches(text, '" + p.replace("'", "''") + "')) AS row_count FROM documents" for k, p in V.SECRETS.items())
+    q["secret_scan"] = lambda s, d: V.secret_scan(s.read.parquet(f"{d}/documents.parquet").select("text")), patterns.removeprefix(" UNION ALL ")
     q["equal_within"] = lambda s, d: V.equal_within(_cells(s, d), _cells(s, d).where("capacity <> 64").withColumn("y", F.col("y") + 1), ["trace_family", "capacity"], ["x", "y"]), f"WITH {_CELLS} SELECT unnest(['x', 'y']) AS \"column\", unnest([0, (SELECT count(*) FROM cells WHERE capacity <> 64)])::BIGINT AS differing, (SELECT count(*) FROM cells WHERE capacity = 64) AS only_left, 0::BIGINT AS only_right"
     q["family_filter"] = lambda s, d: candidates(s, d).where(F.col("trace_family").isin("1-URGENT", "2-HIGH") & ~F.col("trace_family").isin("5-LOW")).groupBy("trace_family").agg(F.count("*").alias("n")), f"WITH {_C} SELECT trace_family, count(*) AS n FROM c WHERE trace_family IN ('1-URGENT', '2-HIGH') GROUP BY trace_family"
     q["split_names"] = lambda s, d: candidates(s, d).select(S.split_name(F.when(F.col("split") == "val", " Validation ").otherwise(F.upper("split"))).alias("split")).groupBy("split").agg(F.count("*").alias("n")), f"WITH {_C} SELECT split, count(*) AS n FROM c GROUP BY split"
@@ -405,6 +407,35 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     q["continuation_lru"] = lambda s, d: P.continuation_losses(traces(s, d), CAPACITIES, "lru", 8), None
     q["continuation_mru"] = lambda s, d: P.continuation_losses(traces(s, d), CAPACITIES, "mru", 8), None
     q["continuation_random"] = lambda s, d: P.continuation_losses(traces(s, d), CAPACITIES, "random", 8), None
+    wanted = ["candidate_lru_score", "recent_candidate_request_rate"]
+    q["clean_pair_features"] = lambda s, d: _rounded(views.clean_pair_features(_narrow(views.pairwise_sample(candidates(s, d), 1000, 8)), candidates(s, d), wanted), "a_candidate_lru_score", "b_candidate_lru_score"), f"WITH {_S}, n AS (SELECT {_PAIR} FROM s) SELECT n.decision_id, n.capacity, n.horizon, n.split, n.trace_family, label_a_better, label_b_better, is_tie, {', '.join(f'round({x}.candidate_lru_score, 9) AS {x}_candidate_lru_score, {x}.recent_candidate_request_rate AS {x}_recent_candidate_request_rate' for x in 'ab')} FROM n JOIN c a ON a.trace_name = n.trace_name AND a.capacity = n.capacity AND a.horizon = n.horizon AND a.decision_id = n.decision_id AND a.candidate_page_id = n.candidate_a_page_id JOIN c b ON b.trace_name = n.trace_name AND b.capacity = n.capacity AND b.horizon = n.horizon AND b.decision_id = n.decision_id AND b.candidate_page_id = n.candidate_b_page_id"
+    turned = lambda df: df.withColumn("held", F.col("candidate_a_page_id")).withColumn("candidate_a_page_id", F.col("candidate_b_page_id")).withColumn("candidate_b_page_id", F.col("held"))
+    q["pair_overlap"] = lambda s, d: views.pair_overlap(views.pairwise_sample(candidates(s, d), 1000, 8), turned(_pairs(s, d).where("capacity = 64"))), f"WITH {_S}, n AS (SELECT (SELECT count(*) FROM s) AS a_pairs, (SELECT count(*) FROM p WHERE capacity = 64) AS b_pairs, (SELECT count(*) FROM s JOIN p USING ({K}, lo, hi) WHERE capacity = 64) AS overlap) SELECT *, round(overlap / nullif(a_pairs, 0), 9) AS overlap_fraction, overlap = a_pairs AND a_pairs = b_pairs AS same_pairs FROM n"
+    q["matched_and_whole"] = lambda s, d: views.with_suffixes(*[x.groupBy("trace_family", "capacity").agg(F.count("*").alias("decisions"), F.round(F.avg("regret_mean"), 9).alias("random_regret")) for x in (_view(s, d).where("horizon = 8"), _view(s, d))], ["trace_family", "capacity"], ("_matched", "_whole")), f"WITH {_D} SELECT trace_family, capacity, count(*) FILTER (horizon = 8) AS decisions_matched, round(avg(regret_mean) FILTER (horizon = 8), 9) AS random_regret_matched, count(*) AS decisions_whole, round(avg(regret_mean), 9) AS random_regret_whole FROM d GROUP BY ALL HAVING count(*) FILTER (horizon = 8) > 0"
+    panel_of = lambda c: f"SELECT '{c}' AS dimension, {c}::VARCHAR AS value, {_METRICS} FROM b WHERE place = 1 GROUP BY {c}"
+    q["best_candidate_panel"] = lambda s, d: W.selection_panel(W.best_candidate(candidates(s, d), F.col("candidate_lru_score")), ["split", "trace_family", "capacity", "horizon"]), f"{lru} SELECT 'all' AS dimension, NULL::VARCHAR AS value, {_METRICS} FROM b WHERE place = 1 " + " ".join(f"UNION ALL {panel_of(c)}" for c in ("split", "trace_family", "capacity", "horizon"))
+    census = f"""WITH {_X}, {_TAX}, {both}, cb AS (SELECT ag.*, tx.discordant FROM ag LEFT JOIN tx USING ({K})), cs AS (SELECT 'all' AS subset, *  FROM cb UNION ALL SELECT 'telling', * FROM cb WHERE tx),
+      ce AS (SELECT subset, trace_family, capacity, horizon, CASE WHEN grouping(trace_family) + grouping(capacity) = 0 THEN 'trace_family+capacity' WHEN grouping(trace_family) = 0 THEN 'trace_family' WHEN grouping(capacity) = 0 THEN 'capacity' WHEN grouping(horizon) = 0 THEN 'horizon' ELSE 'all' END AS level,
+        count(*) AS decisions, round(avg(round(j, 9)), 9) AS mean_jaccard, round(median(round(j, 9)), 9) AS median_jaccard, round(avg((j = 1)::INT), 9) AS jaccard_1, round(avg((round(j, 9) < 0.8)::INT), 9) AS jaccard_below_0_8, coalesce(sum(discordant), 0)::BIGINT AS reversals,
+        round(avg(round(m, 9)), 9) AS mean_ccr, round(median(round(m, 9)), 9) AS median_ccr, round(quantile_cont(round(m, 9), 0.95), 9) AS p95_ccr, round(max(m), 9) AS largest_ccr, round(avg((NOT tx AND NOT ty)::INT), 9) AS both_tied_fraction
+        FROM {{}} GROUP BY GROUPING SETS ((subset), (subset, trace_family), (subset, capacity), (subset, trace_family, capacity), (subset, horizon)))"""
+    q["continuation_census"] = lambda s, d: M.continuation_census(_two_losses(s, d), DECISION_KEY), census.format("cs") + " SELECT * FROM ce"
+    link = f"WITH {_C}, {_LINK.format(K=K)}, lk AS (SELECT trace_family, capacity, horizon, a = 0 AND b = 0 AND r = 0 AS degenerate, unnest(['mru', 'random']) AS policy, unnest([round(b - a, 9), round(r - a, 9)]) AS x, unnest([round(y - x, 9), round(z - x, 9)]) AS y FROM off JOIN cl USING (trace_family, capacity))"
+    gaps = lambda s, d: views.linkage_gaps(_linked(s, d))
+    kind = "CASE WHEN x = 0 AND y = 0 THEN 'both_tied' WHEN x = 0 THEN 'offline_tie_only' WHEN y = 0 THEN 'closed_loop_tie_only' WHEN sign(x) = sign(y) THEN 'concordant' ELSE 'discordant' END"
+    q["linkage_concordance"] = lambda s, d: M.concordance(gaps(s, d), "x", "y", ["horizon", "policy"]), f"{link} SELECT horizon, policy, {kind} AS kind, count(*) AS n FROM lk GROUP BY ALL"
+    ranks = "rk AS (SELECT *, rank() OVER (PARTITION BY horizon, policy ORDER BY x) + (count(*) OVER (PARTITION BY horizon, policy, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY horizon, policy ORDER BY y) + (count(*) OVER (PARTITION BY horizon, policy, y) - 1) / 2 AS ry FROM lk WHERE NOT degenerate)"
+    q["linkage_correlations"] = lambda s, d: M.correlations(gaps(s, d).where("NOT degenerate"), "x", "y", ["horizon", "policy"]), f"{link}, {ranks} SELECT horizon, policy, count(*) AS n, round(corr(x, y), 9) AS pearson, round(corr(rx, ry), 9) AS spearman FROM rk GROUP BY ALL"
+    pairs_of = "pk AS (SELECT a.horizon, a.policy, sign(a.x - b.x) * sign(a.y - b.y) AS s, a.x = b.x AS tx, a.y = b.y AS ty FROM lk a JOIN lk b ON a.horizon = b.horizon AND a.policy = b.policy AND (a.trace_family, a.capacity) < (b.trace_family, b.capacity)), nk AS (SELECT horizon, policy, count(*) AS n FROM lk GROUP BY ALL)"
+    q["linkage_kendall"] = lambda s, d: M.kendall(gaps(s, d), "x", "y", ["horizon", "policy"]), f"{link}, {pairs_of} SELECT horizon, policy, n, count(*) FILTER (s > 0) AS concordant, count(*) FILTER (s < 0) AS discordant, count(*) FILTER (tx) AS x_tied, count(*) FILTER (ty) AS y_tied, count(*) FILTER (tx AND ty) AS both_tied, round((count(*) FILTER (s > 0) - count(*) FILTER (s < 0)) / nullif(sqrt(count(*) FILTER (NOT tx)::DOUBLE * count(*) FILTER (NOT ty)), 0), 9) AS tau_b FROM pk JOIN nk USING (horizon, policy) GROUP BY ALL"
+    cell = ["trace_family", "capacity", "horizon"]
+    q["linkage_cell_taus"] = lambda s, d: M.kendall_tau_b(M.pair_taxonomy(views.linkage_ranks(_linked(s, d)), cell), cell), f"{link}, v AS (SELECT trace_family, capacity, horizon, 'lru' AS policy, 0.0 AS x, 0.0 AS y FROM lk WHERE policy = 'mru' UNION ALL SELECT trace_family, capacity, horizon, policy, x, y FROM lk), w AS (SELECT trace_family, capacity, horizon, sign(a.x - b.x) * sign(a.y - b.y) AS s, a.x <> b.x AS dx, a.y <> b.y AS dy FROM v a JOIN v b USING (trace_family, capacity, horizon) WHERE a.policy < b.policy) SELECT trace_family, capacity, horizon, round(sum(s) / nullif(sqrt(sum(dx::INT)::DOUBLE * sum(dy::INT)), 0), 9) AS tau_b FROM w GROUP BY ALL"
+    q["linkage_summary"] = lambda s, d: gaps(s, d).groupBy("horizon").agg(F.count_if(F.signum("x") * F.signum("y") > 0).alias("concordant"), F.count_if(F.signum("x") * F.signum("y") < 0).alias("discordant"), F.count_if((F.col("x") == 0) | (F.col("y") == 0)).alias("ties"), F.count_if("degenerate").alias("degenerate")), f"{link} SELECT horizon, count(*) FILTER (x * y > 0) AS concordant, count(*) FILTER (x * y < 0) AS discordant, count(*) FILTER (x = 0 OR y = 0) AS ties, count(*) FILTER (degenerate) AS degenerate FROM lk GROUP BY horizon"
+    named = {"1-URGENT": "urgent orders", "5-LOW": "low priority"}
+    q["reader_sizes"] = lambda s, d: candidates(s, d).groupBy(S.reader_name(F.col("trace_family"), named).alias("reader")).agg(F.count("*").alias("n")).select("reader", S.byte_size(F.col("n") * 304).alias("size"), S.output_name(F.col("reader")).alias("file_name")), f"WITH {_C}, r AS (SELECT CASE trace_family WHEN '1-URGENT' THEN 'urgent orders' WHEN '5-LOW' THEN 'low priority' ELSE trace_family END AS reader, count(*) * 304 AS b FROM c GROUP BY ALL) SELECT reader, CASE WHEN b >= 1024 ** 3 THEN printf('%.1f GiB', b / 1024.0 ** 3) WHEN b >= 1024 ** 2 THEN printf('%.1f MiB', b / 1024.0 ** 2) WHEN b >= 1024 THEN printf('%.1f KiB', b / 1024.0) ELSE b || ' B' END AS size, regexp_replace(trim(reader), '[^A-Za-z0-9._-]+', '_', 'g') AS file_name FROM r"
+    q["source_summary"] = lambda s, d: release.source_summary(s, _release(s, d), include=("1-URGENT", "2-HIGH", "nowhere"), exclude=("5-LOW",), blocked=("2-HIGH", "5-LOW")).select("family", (F.col("shards") > 0).alias("there"), "selected", "fault"), f"WITH {_C}, w AS (SELECT DISTINCT trace_family AS family FROM c UNION SELECT unnest(['1-URGENT', '2-HIGH', 'nowhere', '5-LOW'])) SELECT family, family IN (SELECT trace_family FROM c) AS there, family IN ('1-URGENT', '2-HIGH') AND family IN (SELECT trace_family FROM c) AS selected, CASE WHEN family = 'nowhere' THEN 'missing' WHEN family = '2-HIGH' THEN 'blocked' END AS fault FROM w"
+    q["calibrated_predictor_score"] = lambda s, d: M.calibrated_score(_pairs(s, d), F.col("recent_candidate_hit_rate_a") - F.col("recent_candidate_hit_rate_b"), ["split"]), None
+    q["calibrated_linear_score"] = lambda s, d: M.calibrated_linear_score(_pairs(s, d), M.fit_linear(candidates(s, d).where("split = 'train'"), ACTIVE_FEATURES, "y_loss"), ["split"]), None
     q["release_footers"] = lambda s, d: files.file_rows(files.footers(s, _release(s, d))).select(*files.partition_values(F.col("path"), KINDS), "rows").groupBy(*PARTITIONS).agg(F.sum("rows").alias("row_count")), f"WITH {_C} SELECT split, trace_family, capacity, horizon, count(*) AS row_count FROM c GROUP BY ALL"
     q["footer_statistics"] = lambda s, d: files.footers(s, _release(s, d)).where(F.col("column").isin("decision_t", "decision_chunk_id")).groupBy("column").agg(F.sum("rows").alias("row_count"), F.sum("nulls").alias("nulls"), F.min(F.expr("try_cast(low as bigint)")).alias("low"), F.max(F.expr("try_cast(high as bigint)")).alias("high")), f"""WITH {_C} SELECT 'decision_t' AS "column", count(*) AS row_count, count(*) - count(decision_t) AS nulls, min(decision_t) AS low, max(decision_t) AS high FROM c UNION ALL SELECT 'decision_chunk_id', count(*), count(*) - count(decision_chunk_id), min(decision_chunk_id), max(decision_chunk_id) FROM c"""
     q["release_recount"] = lambda s, d: files.recount(files.file_rows(files.footers(s, _release(s, d))), candidates(s, d).where("split <> 'test'").groupBy(*PARTITIONS).agg((F.count("*") + (F.col("capacity") == 64).cast("int")).alias("row_count")), KINDS).groupBy("split", "state").agg(F.count("*").alias("partitions"), F.sum("found").alias("found")), f"WITH {_C}, p AS (SELECT split, capacity, trace_family, horizon, count(*) AS n FROM c GROUP BY ALL) SELECT split, CASE WHEN split = 'test' THEN 'not listed' WHEN capacity = 64 THEN 'differs' ELSE 'ok' END AS state, count(*) AS partitions, sum(n)::BIGINT AS found FROM p GROUP BY ALL"

@@ -66,6 +66,17 @@ def _manifest(spark: SparkSession, path: str) -> list[str]:
     return out
 
 
+def file_size(spark: SparkSession, path: str) -> int:
+    fs, p = _fs(spark, path)
+    return fs.getFileStatus(p).getLen()
+
+
+def manifest_rows(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, row_count) of a manifest's entries; those without a count have 0."""
+    doc = json.loads(_read_text(spark, path))
+    return [(e["path"], int(e.get("row_count", 0))) for e in doc.get("files") or doc.get("shards") or [] if isinstance(e, dict)]
+
+
 def resolve(spark: SparkSession, path: str) -> list[str]:
     """The CSV and Parquet files that a file, folder or JSON manifest stands for."""
     fs, p = _fs(spark, path)
@@ -220,9 +231,24 @@ def append_runs(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def _entries(spark: SparkSession, path: str) -> list:
+    text = _read_text(spark, path)
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError:
+            raise ValueError(f"no library reads {path} here; write it as JSON") from None
+        doc = yaml.safe_load(text)
+    else:
+        doc = json.loads(text)
+    return doc.get("families", []) if isinstance(doc, dict) else doc or []
+
+
 def families(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
-    """A JSON list of family entries (name, selected, blocked, reason), checked for repeated and missing names."""
-    entries = json.loads(_read_text(spark, path))
+    """A list, in JSON or (where its library is there) YAML, of family entries (name, selected, blocked, reason), checked for repeated and missing names."""
+    entries = _entries(spark, path)
+    if incomplete := [e for e in entries if not isinstance(e, dict) or not e.get("name")]:
+        raise ValueError(f"entries without a name: {incomplete[:5]}")
     names = [e["name"] for e in entries]
     if len(names) != len(set(names)):
         raise ValueError("a family is listed twice")

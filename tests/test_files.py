@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cachesight.operators import release as staged
 from cachesight.schema import PARTITIONS
 from cachesight.sources import files, tables
 from cachesight.sources.fixtures import candidates
@@ -157,3 +158,43 @@ def test_strict_join(spark):
         tables.strict_join({"a": a, "b": b.unionByName(b.limit(1))}, key)
     with pytest.raises(ValueError, match="columns of several"):
         tables.strict_join({"a": a, "b": b.withColumnRenamed("y", "x")}, key)
+
+
+def test_source_summary_of_manifests(spark, tmp_path):
+    for n, size in (("wiki_1.csv", 10), ("wiki_2.csv", 5), ("meta_kv_1.csv", 7), ("odd.csv", 1)):
+        (tmp_path / n).write_text("x" * size)
+    entries = [{"path": n, "row_count": k} for n, k in (("wiki_1.csv", 100), ("wiki_2.csv", 50), ("meta_kv_1.csv", 7))] + ["odd.csv"]
+    manifest = tmp_path / "manifest.json"
+    manifest.write_text(json.dumps({"files": entries}))
+    summary = lambda **k: {r.family: tuple(r)[1:] for r in staged.source_summary(spark, str(manifest), **k).collect()}
+    got = summary(include=("wiki", "gone"), blocked=("meta_kv",))
+    assert got == {"wiki": (2, 15, 150, None, True, None), "gone": (0, 0, None, None, False, "missing"), "meta_kv": (1, 7, 7, None, False, "blocked"), None: (1, 1, None, None, False, None)}
+    (tmp_path / "split_summary.csv").write_text("split,trace_family,row_count,decision_count\ntrain,wiki,90,9\ntest,wiki,60,6\ntrain,only_counted,1,1\n")
+    got = summary(exclude=("meta_kv",), blocked=("meta_kv", "wiki"))
+    assert got == {"wiki": (2, 15, 150, 15, True, "blocked"), "meta_kv": (1, 7, None, None, False, None), "only_counted": (0, 0, 1, 1, True, None), None: (1, 1, None, None, True, None)}
+    with pytest.raises(ValueError, match="included and excluded"):
+        summary(include=("wiki",), exclude=("wiki",))
+
+
+def test_export_filters_and_refuses(spark, sf, tmp_path):
+    c = candidates(spark, sf).where("decision_t < 300")
+    staged.export(c, str(tmp_path / "a"), include=("1-URGENT", "2-HIGH"), exclude=("9",))
+    assert {r[0] for r in tables.read_partitions(spark, str(tmp_path / "a")).select("trace_family").distinct().collect()} == {"1-URGENT", "2-HIGH"}
+    with pytest.raises(ValueError, match="twice"):
+        staged.export(c.unionByName(c.limit(1)), str(tmp_path / "b"))
+    assert staged.repeated_partitions(spark, str(tmp_path / "a")).count() == 0
+    folder = next((tmp_path / "a").rglob("horizon=*"))
+    folder.parent.joinpath("horizon=00" + folder.name.split("=")[1]).mkdir()
+    next(folder.glob("*.parquet")).rename(folder.parent / ("horizon=00" + folder.name.split("=")[1]) / "x.parquet")
+    (folder / "y.parquet").write_bytes(b"")
+    assert [len(r.folders) for r in staged.repeated_partitions(spark, str(tmp_path / "a")).collect()] == [2]
+
+
+def test_families_in_yaml(spark, tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "families.yaml"
+    path.write_text("families:\n  - name: b\n    blocked: true\n    reason: no licence\n  - name: a\n    selected: false\n")
+    assert [tuple(r) for r in tables.families(spark, str(path)).collect()] == [("a", False, False, ""), ("b", True, True, "no licence")]
+    path.write_text("- name: b\n- selected: true\n")
+    with pytest.raises(ValueError, match="without a name"):
+        tables.families(spark, str(path))

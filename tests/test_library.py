@@ -389,3 +389,24 @@ def test_windowed_locality_of_short_and_overlapping_windows(spark):
     assert (first.requests, first.objects, first.longest_novel_streak, first.reuse_p50, first.compulsory_fraction) == (40, 7, 7, 6, 0.175)
     assert (last.objects, last.longest_novel_streak, last.entropy, last.normalised_entropy, last.reuse_events, last.reuse_mean, last.within_32) == (40, 40, round(np.log2(40), 9), 1.0, 0, None, None)
     assert (short.requests, short.objects, short.entropy, short.normalised_entropy, short.working_set_32, short.top_1_share) == (2, 1, 0.0, 0.0, 1.0, 1.0)
+
+
+def test_linear_score_needs_its_features(spark, sf):
+    pairs = views.pairwise_view(candidates(spark, sf), include_ties=True)
+    model = models.fit_linear(candidates(spark, sf).where("split = 'train'"), ["candidate_lru_score", "candidate_recency_rank"], "y_loss")
+    by_split = {r.split: r for r in models.calibrated_linear_score(pairs, model, ["split"]).collect()}
+    assert set(by_split) == {"train", "val", "test"} and all(0.4 < r.accuracy <= 1 for r in by_split.values())
+    with pytest.raises(ValueError, match="candidate_lru_score"):
+        models.calibrated_linear_score(pairs.drop("candidate_lru_score_b"), model, ["split"])
+    with pytest.raises(ValueError, match="no coefficients"):
+        models.calibrated_linear_score(pairs, model | {"coefficients": {}}, ["split"])
+
+
+def test_census_deltas(spark):
+    rows = [(f, c, 4, k, float(x), float(y)) for f, c, k, xs, ys in [("f", 1, 1, (0, 1), (0, 1)), ("f", 1, 2, (0, 1), (1, 0)), ("g", 2, 3, (0, 0), (0, 0))] for x, y in zip(xs, ys)]
+    df = spark.createDataFrame(rows, "trace_family string, capacity int, horizon int, d int, x double, y double")
+    key = ["trace_family", "capacity", "horizon", "d"]
+    whole, part = models.continuation_census(df, key), models.continuation_census(df.where("d <> 2"), key)
+    assert len(whole.collect()) == 8 + 5 and {r.decisions for r in whole.where("level = 'all'").collect()} == {3, 2}
+    got = {(r.level, r.subset, r.trace_family): (r.sampled, r.whole, r.delta) for r in models.census_deltas(part, whole, ["mean_jaccard"]).collect()}
+    assert got["all", "all", None] == (1.0, round(2 / 3, 9), round(1 - round(2 / 3, 9), 9)) and got["trace_family", "telling", "f"] == (1.0, 0.5, 0.5)

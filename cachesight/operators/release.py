@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,6 +155,66 @@ def validate_release(spark: SparkSession, root: str, blocked: tuple[str, ...] =
     return out.unionByName(count(verify_checksums(spark, root), "checksum_faults"))
 
 
+def build_sample(spark: SparkSession, source: str, root: str, include_ties: bool = False) -> DataFrame:
+    """A small release with all pairs from the shards that ``source`` stands for, and its inventory of partitions: values, rows (from
+    footers) and digests of their files. Rows that ``validate_candidates`` finds fault with raise before anything is written."""
+    rows = tables.read_candidates(spark, source)
+    faults = {r.check: r.faults for r in validate.validate_candidates(rows).where("faults > 0").collect()}
+    if faults:
+        raise ValueError(f"{source} has faults: {faults}")
+    if tables.exists(spark, root):
+        raise FileExistsError(root)
+    tables.write_partitions(rows, f"{root}/candidate_rows")
+    own = tables.read_partitions(spark, f"{root}/candidate_rows")
+    tables.write_table(views.decision_view(own), f"{root}/decision_view")
+    tables.write_table(views.pairwise_view(own, include_ties), f"{root}/pairwise_view")
+    folder = f"{root}/candidate_rows"
+    counted = files.file_rows(files.footers(spark, folder)).select("path", "rows")
+    made = files.digests(spark, folder, files.listed(spark, folder, ".parquet")).join(counted, "path")
+    values = files.partition_values(F.col("path"), {c: "bigint" if c in ("capacity", "horizon") else "string" for c in PARTITIONS})
+    tables.write_table(made.select(*values, "path", F.col("rows").alias("row_count"), "digest"), f"{root}/partitions")
+    return spark.read.parquet(f"{root}/partitions")
+
+
+def build_family(spark: SparkSession, source: str, root: str, family: str, salt: str, dataset: str, version: str) -> DataFrame:
+    """A public release of all shards of one ``family``, every row, with pages under pseudonyms; returns its statistics.
+
+    Shards that hold another family raise and are named, whatever their names say. Rows are written apart and scanned as a reader
+    would see them: raw pages in any text column, pseudonyms that two pages share, and what ``secret_scan`` finds raise, and nothing
+    is published. Beside the rows are their sources: file, bytes, rows and digest.
+    """
+    raw = tables.read_candidates(spark, source, source="source_file")
+    strange = raw.where(~F.col("trace_family").eqNullSafe(F.lit(family))).groupBy("source_file").agg(F.array_sort(F.collect_set("trace_family")).alias("families"))
+    if found := strange.orderBy("source_file").limit(20).collect():
+        raise ValueError(f"shards with rows of other families than {family}: " + "; ".join(f"{r.source_file}: {', '.join(r.families)}" for r in found))
+    if tables.exists(spark, root):
+        raise FileExistsError(root)
+    page = pseudonym(F.col("candidate_page_id"), salt)
+    public = raw.select(F.lit(dataset).alias("release_dataset"), F.lit(version).alias("release_version"), *[c for c in CANONICAL if c != "candidate_page_id"], page.alias("candidate_page_id"), F.lit(False).alias("candidate_page_id_original_present"), "source_file")
+    stage = f"{root.rstrip('/')}-{uuid.uuid4().hex}"
+    tables.write_table(public, f"{stage}/rows")
+    written = spark.read.parquet(f"{stage}/rows")
+    faults = {f"raw pages in {r.column}": r.leaked for r in validate.leaked_values(written.drop("source_file"), raw, "candidate_page_id").where("leaked > 0").collect()}
+    if n := validate.pseudonym_collisions(raw, "candidate_page_id", salt).count():
+        faults["pseudonyms of several pages"] = n
+    shown = written.select([f.name for f in written.schema if f.dataType.simpleString() == "string"])
+    faults |= {f"{r.kind} in {r.column}": r.row_count for r in validate.secret_scan(shown).where("row_count > 0").collect()}
+    if faults:
+        files.remove(spark, stage)
+        raise ValueError(f"not published: {faults}")
+    paths = tables.resolve(spark, source)
+    folder = paths[0].rsplit("/", 1)[0]
+    sources = spark.createDataFrame([(p, tables.file_size(spark, p), 0) for p in paths], "full string, size long, modified long").withColumn("path", F.element_at(F.split("full", "/"), -1))
+    rows = raw.groupBy(F.col("source_file").alias("path")).agg(F.count("*").alias("row_count"))
+    own = sources.where(F.col("full") == F.concat(F.lit(f"{folder}/"), F.col("path")))
+    hashed = files.digests(spark, folder, own.select("path", "size")).select("path", "digest")
+    tables.write_table(sources.select("path", "size").join(rows, "path", "left").join(hashed, "path", "left"), f"{stage}/sources")
+    sets = {c: F.array_sort(F.collect_set(c)).alias(c) for c in ("capacity", "split")}
+    tables.write_table(written.agg(F.count("*").alias("row_count"), F.count_distinct(*DECISION_KEY).alias("decisions"), *sets.values(), F.count_distinct("source_file").alias("shards")), f"{stage}/statistics")
+    files.move(spark, stage, root)
+    return spark.read.parquet(f"{root}/statistics")
+
+
 def partition_inventory(spark: SparkSession, root: str) -> DataFrame:
     """Files, rows and bytes of each partition. A partition may have several files."""
     rows = tables.read_partitions(spark, root).groupBy(*PARTITIONS).agg(F.count("*").alias("row_count"))

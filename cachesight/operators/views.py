@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cachesight.functions.scalars import odd_hash, text_key
-from cachesight.schema import CANONICAL, DECISION_KEY, FEATURES, LABELS
+from cachesight.schema import DECISION_KEY, FEATURES, LABELS
 from cachesight.sources.shared import materialize
 from cachesight.sources.tables import strict_join
 
@@ -115,10 +115,6 @@ def split_summary_runs(ordered: DataFrame, order: list[str]) -> DataFrame:
     return changes.groupBy(*group).agg(F.count("*").alias("row_count"), F.sum("new").alias("decision_count"))
 
 
-def canonical(df: DataFrame) -> DataFrame:
-    return df.select(*CANONICAL)
-
-
 def linkage(victims: DataFrame, drawn: DataFrame, closed: DataFrame, cell: list[str]) -> DataFrame:
     """Offline regrets of each ``cell`` (family, capacity, horizon) beside the closed loop's miss ratios of its family and capacity.
 

@@ -340,7 +340,10 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     q["gap_correlations"] = lambda s, d: M.correlations(_two_losses(s, d), "x", "y", ["capacity"]), f"WITH {_X}, r AS (SELECT *, rank() OVER (PARTITION BY capacity ORDER BY x) + (count(*) OVER (PARTITION BY capacity, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY capacity ORDER BY y) + (count(*) OVER (PARTITION BY capacity, y) - 1) / 2 AS ry FROM x) SELECT capacity, count(*) AS n, round(corr(x, y), 9) AS pearson, round(corr(rx, ry), 9) AS spearman FROM r GROUP BY capacity"
     q["concordance"] = lambda s, d: M.concordance(_two_losses(s, d).withColumns({"x": F.col("x") - 2, "y": F.col("y") - 2}), "x", "y", ["capacity"]), f"WITH {_X} SELECT capacity, CASE WHEN x = 2 AND y = 2 THEN 'both_tied' WHEN x = 2 THEN 'offline_tie_only' WHEN y = 2 THEN 'closed_loop_tie_only' WHEN sign(x - 2) = sign(y - 2) THEN 'concordant' ELSE 'discordant' END AS kind, count(*) AS n FROM x GROUP BY ALL"
     q["leave_one_out"] = lambda s, d: M.leave_one_out(_two_losses(s, d), "trace_family", "x", "y"), f"WITH {_X} SELECT f.trace_family AS left_out, count(*) AS n, round(corr(x, y), 9) AS pearson FROM x JOIN (SELECT DISTINCT trace_family FROM x) f ON f.trace_family <> x.trace_family GROUP BY f.trace_family"
-    q["permutation_p"] = lambda s, d: M.permutation_p(_cells(s, d), "trace_family", "capacity", "x", "y"), None
+    q["permutation_p"] = lambda s, d: M.permutation_p(_cells(s, d), "trace_family", "capacity", "x", "y"), f"""WITH {_CELLS}, f AS (SELECT trace_family, row_number() OVER (ORDER BY trace_family) AS k FROM (SELECT DISTINCT trace_family FROM cells)), n AS (SELECT unnest(range(1, 6)) AS k),
+      w AS (SELECT [a.k, b.k, c.k, e.k, g.k] AS p FROM n a, n b, n c, n e, n g WHERE len(list_distinct([a.k, b.k, c.k, e.k, g.k])) = 5), o AS (SELECT p, unnest(range(1, 6)) AS own, unnest(p) AS other FROM w),
+      r AS (SELECT p, corr(u.x, v.y) AS r FROM o JOIN f a ON a.k = own JOIN f b ON b.k = other JOIN cells u ON u.trace_family = a.trace_family JOIN cells v ON v.trace_family = b.trace_family AND v.capacity = u.capacity GROUP BY p), z AS (SELECT r AS observed FROM r WHERE p = [1, 2, 3, 4, 5])
+      SELECT count(*) AS ways, round(max(observed), 9) AS observed, round(avg((r >= observed - 1e-9)::INT), 9) AS p_value FROM r, z"""
     pair = lambda c: f"coalesce(sum(CASE WHEN a.x = b.x AND a.y = b.y THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END) FILTER ({c}), 0)::BIGINT"
     q["kendall_whole"] = lambda s, d: M.kendall(candidates(s, d).withColumn("y", F.col("y_loss") * 100 + F.col("recent_candidate_hit_rate")), "recent_candidate_request_rate", "y", ["trace_family"]), f"""WITH {_C}, h AS (SELECT trace_family, recent_candidate_request_rate AS x, y_loss * 100 + recent_candidate_hit_rate AS y, count(*) AS n FROM c GROUP BY ALL),
       p AS (SELECT trace_family, {pair('(b.x - a.x) * (b.y - a.y) > 0')} AS concordant, {pair('(b.x - a.x) * (b.y - a.y) < 0')} AS discordant, {pair('a.x = b.x')} AS x_tied, {pair('a.y = b.y')} AS y_tied, {pair('a.x = b.x AND a.y = b.y')} AS both_tied
@@ -393,6 +396,7 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
       s AS (SELECT trace, w, round(avg(s32), 9) AS working_set_32, round(avg(s128), 9) AS working_set_128 FROM m JOIN ws USING (trace, t) GROUP BY ALL),
       l AS (SELECT trace, w, max(n) AS streak FROM (SELECT trace, w, count(*) AS n FROM (SELECT trace, w, t - row_number() OVER (PARTITION BY trace, w ORDER BY t) AS island FROM m WHERE distance IS NULL) GROUP BY trace, w, island) GROUP BY ALL)
       SELECT b.* EXCLUDE (w), w AS "window", a.* EXCLUDE (trace, w), working_set_32, working_set_128, coalesce(streak, 0) AS longest_novel_streak, w * 128 AS history, w >= 1 AS warm, round(objects / requests, 9) AS object_ratio FROM b JOIN a USING (trace, w) JOIN s USING (trace, w) LEFT JOIN l USING (trace, w)"""
+    q["in_windows"] = lambda s, d: traces(s, d).where(S.in_windows(F.col("t"), [(100, 149), (160, 199)])).groupBy("trace").agg(F.count("*").alias("requests"), F.count_distinct("item").alias("items")), f"WITH {_T} SELECT trace, count(*) AS requests, count(DISTINCT item) AS items FROM t WHERE t BETWEEN 100 AND 149 OR t BETWEEN 160 AND 199 GROUP BY trace"
     q["working_set"] = lambda s, d: T.working_set(traces(s, d), [32, 128]), f"WITH {_T}, l AS (SELECT trace, t, next, max(t) OVER (PARTITION BY trace) + 1 AS e FROM t) SELECT trace, " + ", ".join(f"round(sum(least({w}, coalesce(next, e) - t, e - t)) / count(*), 9) AS working_set_{w}" for w in (32, 128)) + " FROM l GROUP BY trace"
     q["novel_streak"] = lambda s, d: T.novel_streak(_distances(s, d)), f"WITH {_T}, i AS (SELECT trace, t - row_number() OVER (PARTITION BY trace ORDER BY t) AS island FROM t WHERE prev IS NULL) SELECT trace, max(n) AS longest_novel_streak FROM (SELECT trace, island, count(*) AS n FROM i GROUP BY ALL) GROUP BY trace"
     q["cold_start"] = lambda s, d: T.cold_start(_distances(s, d), [32, 128, 1024]), f"WITH {_T} SELECT trace, min(t) FILTER (prev IS NOT NULL) AS first_repeat, " + ", ".join([f"count(*) FILTER (prev IS NULL AND t < {n}) AS distinct_{n}" for n in (32, 128, 1024)] + [f"count(*) FILTER (prev IS NOT NULL AND t < {n}) AS most_hits_{n}" for n in (32, 128, 1024)]) + " FROM t GROUP BY trace"
@@ -404,7 +408,7 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     q["policy_summary"] = lambda s, d: P.policy_summary(every(s, d)[1]), None
     q["policy_best"] = lambda s, d: P.best_policy(P.policy_summary(every(s, d)[1])), None
     q["run_gates"] = lambda s, d: P.run_gates(every(s, d)[1], every(s, d)[0]), "SELECT unnest(['all_runs_present', 'no_unplanned_runs', 'no_double_runs', 'all_complete', 'hits_and_misses_sum', 'evictions_within_misses']) AS gate, true AS passed, 0::BIGINT AS faults"
-    q["continuation_lru"] = lambda s, d: P.continuation_losses(traces(s, d), CAPACITIES, "lru", 8), None
+    q["continuation_lru"] = lambda s, d: P.continuation_losses(traces(s, d), CAPACITIES, "lru", 8), f"WITH {_R} SELECT trace, capacity, t, page, y_loss::DOUBLE AS y_loss FROM labels WHERE horizon = 8"
     q["continuation_mru"] = lambda s, d: P.continuation_losses(traces(s, d), CAPACITIES, "mru", 8), None
     q["continuation_random"] = lambda s, d: P.continuation_losses(traces(s, d), CAPACITIES, "random", 8), None
     wanted = ["candidate_lru_score", "recent_candidate_request_rate"]

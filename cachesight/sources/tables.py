@@ -101,8 +101,10 @@ def coerce(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
 
 
-def read_candidates(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
-    """Shards with headers that may differ: columns are united by name, all CSV cells are read as text and then cast."""
+def read_candidates(spark: SparkSession, path: str, mode: str = "strict", source: str | None = None) -> DataFrame:
+    """Shards with headers that may differ: columns are united by name, all CSV cells are read as text and then cast. ``source``
+    names a further column, for the file that a row is from."""
+    from_file = lambda df: df.withColumn(source, F.col("_metadata.file_name")) if source else df
     files = resolve(spark, path)
     csv, parquet = [f for f in files if f.endswith(".csv")], [f for f in files if f.endswith(".parquet")]
     parts = []
@@ -112,9 +114,9 @@ def read_candidates(spark: SparkSession, path: str, mode: str = "strict") -> Dat
         by_header.setdefault(header, []).append(f)
     for header, same in by_header.items():
         text = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        parts.append(spark.read.schema(text).option("header", True).option("quote", '"').option("escape", '"').csv(same))
+        parts.append(from_file(spark.read.schema(text).option("header", True).option("quote", '"').option("escape", '"').csv(same)))
     if parquet:
-        parts.append(spark.read.option("mergeSchema", True).parquet(*parquet))
+        parts.append(from_file(spark.read.option("mergeSchema", True).parquet(*parquet)))
     df = coerce(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [coerce(p) for p in parts]))
     return df.withColumn("split", split_name(F.col("split"), mode)) if "split" in df.columns else df
 
@@ -256,11 +258,3 @@ def families(spark: SparkSession, path: str, required: tuple[str, ...] = ()) ->
         raise ValueError(f"families are missing: {sorted(missing)}")
     rows = sorted((e["name"], bool(e.get("selected", True)), bool(e.get("blocked", False)), e.get("reason", "")) for e in entries)
     return spark.createDataFrame(rows, "name string, selected boolean, blocked boolean, reason string")
-
-
-def even_shards(files: list[str], k: int) -> list[str]:
-    """``k`` of the sorted files at even distances."""
-    from cachesight.operators.selection import even_positions
-
-    ordered = sorted(files)
-    return [ordered[i] for i in even_positions(len(ordered), k)] if ordered else []

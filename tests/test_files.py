@@ -198,3 +198,41 @@ def test_families_in_yaml(spark, tmp_path):
     path.write_text("- name: b\n- selected: true\n")
     with pytest.raises(ValueError, match="without a name"):
         tables.families(spark, str(path))
+
+
+def test_sample_release(spark, sf, tmp_path):
+    c = candidates(spark, sf).where("decision_t < 200")
+    c.write.parquet(str(tmp_path / "in.parquet"))
+    root = str(tmp_path / "out")
+    parts = staged.build_sample(spark, str(tmp_path / "in.parquet"), root, include_ties=True).collect()
+    assert sum(r.row_count for r in parts) == c.count() == tables.read_partitions(spark, f"{root}/candidate_rows").count()
+    assert len({r.digest for r in parts}) == len(parts) and {r.split for r in parts} == {"train", "val", "test"}
+    assert spark.read.parquet(f"{root}/pairwise_view").where("is_tie = 1").count() and spark.read.parquet(f"{root}/decision_view").count() == c.select("decision_id", "capacity", "horizon").distinct().count()
+    with pytest.raises(FileExistsError):
+        staged.build_sample(spark, str(tmp_path / "in.parquet"), root)
+    c.withColumn("y_loss", -F.col("y_loss") - 1).write.parquet(str(tmp_path / "bad.parquet"))
+    with pytest.raises(ValueError, match="loss_negative"):
+        staged.build_sample(spark, str(tmp_path / "bad.parquet"), str(tmp_path / "never"))
+    assert not (tmp_path / "never").exists()
+
+
+def test_family_release(spark, sf, tmp_path):
+    c = candidates(spark, sf).where("decision_t < 400").withColumn("candidate_page_id", F.concat(F.lit("page "), "candidate_page_id"))
+    own = c.where("trace_family = '2-HIGH'")
+    shards = tmp_path / "shards"
+    own.where("capacity = 32").coalesce(1).write.option("header", True).csv(str(shards / "a"))
+    own.where("capacity > 32").coalesce(2).write.parquet(str(shards / "b"))
+    root = str(tmp_path / "out")
+    (row,) = staged.build_family(spark, str(shards), root, "2-HIGH", "salt", "candidates", "0.3").collect()
+    assert (row.row_count, row.capacity, row.split) == (own.count(), [32, 64, 128], ["test", "train", "val"]) and row.decisions == own.select("decision_id").distinct().count()
+    rows = spark.read.parquet(f"{root}/rows")
+    assert rows.where("candidate_page_id LIKE 'obj!_%' ESCAPE '!'").count() == own.count() and rows.where("candidate_page_id LIKE '%page%'").count() == 0
+    assert spark.read.parquet(f"{root}/sources").agg(F.sum("row_count")).first()[0] == own.count()
+    c.where("trace_family = '5-LOW'").limit(3).coalesce(1).write.parquet(str(shards / "c"))
+    with pytest.raises(ValueError, match="5-LOW"):
+        staged.build_family(spark, str(shards), str(tmp_path / "no"), "2-HIGH", "salt", "candidates", "0.3")
+    leak = own.withColumn("trace_name", F.col("candidate_page_id")).withColumn("dataset_source", F.lit("me@example.com"))
+    leak.coalesce(1).write.parquet(str(tmp_path / "leak"))
+    with pytest.raises(ValueError, match="raw pages in trace_name.*email in dataset_source"):
+        staged.build_family(spark, str(tmp_path / "leak"), str(tmp_path / "no"), "2-HIGH", "salt", "candidates", "0.3")
+    assert not [x for x in tmp_path.iterdir() if x.name.startswith("no")]

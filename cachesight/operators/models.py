@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cachesight.functions.scalars import finite, linear_score, odd_hash, safe_ratio, sign
 from cachesight.operators.dominance import block_size, dominated, in_order
+from cachesight.operators.selection import midrank_auroc
 from cachesight.schema import DECISION_KEY
 from cachesight.sources.shared import materialize
 
@@ -121,6 +122,14 @@ def pair_metrics(pairs: DataFrame, probability: Column, by: list[str] | None = N
     return counts.select(*(by or []), (tp + fp + fn + tn).alias("n"), F.round(safe_ratio(tp + tn, tp + fp + fn + tn), 9).alias("accuracy"), F.round((recall_a + recall_b) / 2, 9).alias("balanced_accuracy"), F.round("loss", 9).alias("log_loss"), F.round(recall_a, 9).alias("recall_a"), F.round(recall_b, 9).alias("recall_b"), F.round(f1, 9).alias("macro_f1"))
 
 
+def pair_evaluation(pairs: DataFrame, probability: Column, by: str = "split") -> DataFrame:
+    """``pair_metrics`` and the area under the curve for each value of ``by`` and, as ``all``, for all pairs that do not tie."""
+    rows = pairs.where("is_tie = 0").withColumn("probability", probability)
+    each = rows.withColumn("part", F.explode(F.array(F.col(by), F.lit("all"))))
+    scored = each.select("part", F.col("probability").alias("score"), F.col("label_a_better").alias("label"))
+    return pair_metrics(each, F.col("probability"), ["part"]).join(midrank_auroc(scored, ["part"]).select("part", "auroc"), "part")
+
+
 def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """The 95 % interval of a share."""
     p = safe_ratio(hits, n)

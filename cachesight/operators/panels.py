@@ -98,6 +98,36 @@ def strict_density(candidates: DataFrame, by: list[str]) -> DataFrame:
     return own.groupBy(*by).agg(F.sum("pairs").alias("pairs"), F.sum("equal").alias("equal_pairs"), F.round(safe_ratio(F.sum("pairs") - F.sum("equal"), F.sum("pairs")), 9).alias("strict_density"))
 
 
+def decision_density(labels: DataFrame, key: list[str]) -> DataFrame:
+    """Of each decision: candidates, range of losses, strict pairs and their share, from the histogram of its losses."""
+    histogram = labels.groupBy(*key, "y_loss").agg(F.count("*").alias("m"))
+    own = histogram.groupBy(*key).agg(F.sum("m").alias("candidates"), (F.max("y_loss") - F.min("y_loss")).alias("loss_range"), F.sum(F.expr("m * (m - 1) div 2")).alias("equal"))
+    strict = F.expr("candidates * (candidates - 1) div 2 - equal")
+    return own.select(*key, "candidates", "loss_range", strict.alias("strict_pairs"), F.round(safe_ratio(strict, F.expr("candidates * (candidates - 1) div 2")), 9).alias("strict_density"))
+
+
+def pair_contributions(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """How decisions contribute to a table of pairs: decisions with a strict pair, with ties only, and pairs for each; and which side
+    strict pairs prefer."""
+    own = pairs.groupBy(*(by or []), *[c for c in DECISION_KEY if c not in (by or [])]).agg(F.count("*").alias("n"), F.sum(1 - F.col("is_tie")).alias("strict"), F.sum("label_a_better").alias("a"))
+    tells = F.col("strict") > 0
+    return own.groupBy(*(by or [])).agg(
+        F.count("*").alias("decisions"), F.count_if(tells).alias("with_strict_pairs"), F.count_if(~tells).alias("only_tied"), F.round(F.avg(tells.cast("double")), 9).alias("with_strict_share"),
+        F.round(F.avg("n"), 9).alias("pairs_a_decision"), F.round(F.avg(F.when(tells, F.col("strict"))), 9).alias("strict_a_telling_decision"), F.round(safe_ratio(F.sum("a"), F.sum("strict")), 9).alias("a_better_share"),
+    )
+
+
+def sample_mix(pairs: DataFrame, decisions: DataFrame, by: list[str]) -> DataFrame:
+    """Shares of each stratum in a sample of pairs, in the decisions, and in all pairs that the decisions would have, which grow with
+    the square of their candidates. A stratum that one side lacks has 0 there."""
+    sample = pairs.groupBy(*by).agg(F.count("*").alias("sampled"))
+    n = F.col("candidate_count")
+    whole = decisions.groupBy(*by).agg(F.count("*").alias("decisions"), F.sum((n * (n - 1) / 2).cast("long")).alias("universe"))
+    both = sample.join(whole, by, "full_outer").na.fill(0, ["sampled", "decisions", "universe"])
+    share = lambda c: F.round(safe_ratio(F.col(c), F.sum(c).over(Window.partitionBy())), 9)  # noqa: E731  # a row for each stratum
+    return both.select(*by, "sampled", "decisions", "universe", share("sampled").alias("sampled_share"), share("decisions").alias("decision_share"), share("universe").alias("universe_share"))
+
+
 def numeric_summary(df: DataFrame, columns: list[str], by: list[list[str]]) -> DataFrame:
     """Count, missing (null or not finite), moments and quantiles of each column, for each of the groupings in one pass."""
     keys = list(dict.fromkeys(k for g in by for k in g))

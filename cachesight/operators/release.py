@@ -251,6 +251,19 @@ def migration_plan(spark: SparkSession, root: str) -> dict:
     return {"canonical": not missing, "missing_columns": missing, "view_columns": len(columns), "regenerate_view": len(columns) != NEW_VIEW, "cheap": not missing}
 
 
+def migration_partitions(spark: SparkSession, root: str) -> DataFrame:
+    """Of each partition its files and rows, the columns that today's contract has and a file of it lacks, and whether it can be
+    migrated by rewriting (``cheap``): nothing is missing. Only footers are read."""
+    wanted = [c for c in CANONICAL if c not in PARTITIONS]
+    each = files.footers(spark, root).groupBy("path").agg(F.collect_set("column").alias("columns"), F.max(F.coalesce("row_group", F.lit(-1))).alias("last"))
+    counted = files.file_rows(files.footers(spark, root)).select("path", "rows")
+    values = files.partition_values(F.col("path"), {c: "bigint" if c in ("capacity", "horizon") else "string" for c in PARTITIONS})
+    lacks = F.when(F.col("last") >= 0, F.array_except(F.array(*map(F.lit, wanted)), "columns")).otherwise(F.array().cast("array<string>"))
+    rows = each.join(counted, "path").select(*values, lacks.alias("lacks"), "rows")
+    out = rows.groupBy(*PARTITIONS).agg(F.count("*").alias("files"), F.sum("rows").alias("row_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("lacks")))).alias("missing"))
+    return out.withColumn("cheap", F.size("missing") == 0)
+
+
 def migrate(spark: SparkSession, old: str, new: str, blocked: tuple[str, ...] = ()) -> list[str]:
     """Build today's release from an old one's rows; refuses rows that lack canonical columns."""
     found = migration_plan(spark, old)

@@ -243,6 +243,21 @@ off AS (SELECT trace_family, capacity, horizon, round(avg(rg) FILTER (is_lru), 9
 cl AS (SELECT trace_family, capacity, round(avg(recent_candidate_request_rate) FILTER (is_lru), 9) AS x, round(avg(recent_candidate_request_rate) FILTER (is_mru), 9) AS y, round(avg(recent_candidate_request_rate), 9) AS z FROM l0 GROUP BY ALL)"""
 
 
+def _written_shards(s: SparkSession, d: str, path: str) -> None:
+    """Shards of drifting headers: text with a column less and one more, whose values have to be quoted, and Parquet."""
+    c = candidates(s, d)
+    c.where("decision_t % 2 = 1").drop("request_bucket").withColumn("more", F.lit('x, "y"')).write.option("header", True).option("escape", '"').csv(f"{path}/a")
+    c.where("decision_t % 2 = 0").write.parquet(f"{path}/b")
+
+
+def _damaged(s: SparkSession, d: str, path: str) -> None:
+    """A release to which rows were added afterwards: some a second time, and some of a family that it leaves out."""
+    c = candidates(s, d)
+    release.build(s, c, path, ("5-LOW",), 1000, 8)
+    more = c.where("trace_family <> '5-LOW' AND decision_t % 83 = 0").unionByName(c.where("trace_family = '5-LOW' AND capacity = 32"))
+    more.write.mode("append").partitionBy(*PARTITIONS).parquet(f"{path}/candidate_rows")
+
+
 def _compacted(s: SparkSession, d: str, path: str) -> None:
     """The relation in many small files, merged."""
     candidates(s, d).repartition(8, "candidate_page_id").write.partitionBy("trace_family", "split").parquet(path)
@@ -440,6 +455,21 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     q["source_summary"] = lambda s, d: release.source_summary(s, _release(s, d), include=("1-URGENT", "2-HIGH", "nowhere"), exclude=("5-LOW",), blocked=("2-HIGH", "5-LOW")).select("family", (F.col("shards") > 0).alias("there"), "selected", "fault"), f"WITH {_C}, w AS (SELECT DISTINCT trace_family AS family FROM c UNION SELECT unnest(['1-URGENT', '2-HIGH', 'nowhere', '5-LOW'])) SELECT family, family IN (SELECT trace_family FROM c) AS there, family IN ('1-URGENT', '2-HIGH') AND family IN (SELECT trace_family FROM c) AS selected, CASE WHEN family = 'nowhere' THEN 'missing' WHEN family = '2-HIGH' THEN 'blocked' END AS fault FROM w"
     q["calibrated_predictor_score"] = lambda s, d: M.calibrated_score(_pairs(s, d), F.col("recent_candidate_hit_rate_a") - F.col("recent_candidate_hit_rate_b"), ["split"]), None
     q["calibrated_linear_score"] = lambda s, d: M.calibrated_linear_score(_pairs(s, d), M.fit_linear(candidates(s, d).where("split = 'train'"), ACTIVE_FEATURES, "y_loss"), ["split"]), None
+    q["decision_density"] = lambda s, d: A.decision_density(_labels(s, d), ["trace", "capacity", "t", "horizon"]), f"WITH {_R}, h AS (SELECT trace, capacity, t, horizon, y_loss, count(*) AS m FROM labels GROUP BY ALL), g AS (SELECT trace, capacity, t, horizon, sum(m)::BIGINT AS candidates, max(y_loss) - min(y_loss) AS loss_range, sum(m * (m - 1) // 2)::BIGINT AS e FROM h GROUP BY ALL) SELECT trace, capacity, t, horizon, candidates, loss_range, candidates * (candidates - 1) // 2 - e AS strict_pairs, round((candidates * (candidates - 1) // 2 - e) / nullif(candidates * (candidates - 1) // 2, 0), 9) AS strict_density FROM g"
+    q["pair_contributions"] = lambda s, d: A.pair_contributions(_narrow(_pairs(s, d)), ["trace_family"]), f"WITH {_P}, g AS (SELECT {K}, count(*) AS n, count(*) FILTER (regret_a <> regret_b) AS strict, count(*) FILTER (regret_a < regret_b) AS a FROM p GROUP BY ALL) SELECT trace_family, count(*) AS decisions, count(*) FILTER (strict > 0) AS with_strict_pairs, count(*) FILTER (strict = 0) AS only_tied, round(avg((strict > 0)::INT), 9) AS with_strict_share, round(avg(n), 9) AS pairs_a_decision, round(avg(strict) FILTER (strict > 0), 9) AS strict_a_telling_decision, round(sum(a) / nullif(sum(strict), 0), 9) AS a_better_share FROM g GROUP BY trace_family"
+    q["sample_mix"] = lambda s, d: A.sample_mix(views.pairwise_sample(candidates(s, d), 1000, 8), _view(s, d), ["capacity"]), f"WITH {_S}, a AS (SELECT capacity, count(*) AS sampled FROM s GROUP BY ALL), n AS (SELECT {K}, count(*) AS k FROM c GROUP BY ALL), b AS (SELECT capacity, count(*) AS decisions, sum(k * (k - 1) // 2)::BIGINT AS universe FROM n GROUP BY capacity), j AS (SELECT capacity, coalesce(sampled, 0) AS sampled, coalesce(decisions, 0) AS decisions, coalesce(universe, 0) AS universe FROM a FULL JOIN b USING (capacity)) SELECT *, round(sampled / sum(sampled) OVER (), 9) AS sampled_share, round(decisions / sum(decisions) OVER (), 9) AS decision_share, round(universe / sum(universe) OVER (), 9) AS universe_share FROM j"
+    q["pair_evaluation"] = lambda s, d: M.pair_evaluation(_pairs(s, d), F.round(1 / (1 + F.exp(F.col("recent_candidate_request_rate_a") * 10 - F.col("recent_candidate_request_rate_b") * 10)), 9)).select("part", "n", "accuracy", "auroc"), f"""WITH {_P}, e AS (SELECT unnest([split, 'all']) AS part, (regret_a < regret_b)::INT AS y, round(1 / (1 + exp(rate_a * 10 - rate_b * 10)), 9) AS pr FROM p WHERE regret_a <> regret_b),
+      m AS (SELECT *, rank() OVER (PARTITION BY part ORDER BY pr) + (count(*) OVER (PARTITION BY part, pr) - 1) / 2 AS mid FROM e) SELECT part, count(*) AS n, round(avg(((pr >= 0.5)::INT = y)::INT), 9) AS accuracy, round((sum(mid * y) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0), 9) AS auroc FROM m GROUP BY part"""
+    q["shard_rows"] = lambda s, d: tables.read_candidates(s, written_path(s, d, "shards", lambda p: _written_shards(s, d, p))).groupBy("split", F.coalesce("more", F.lit("none")).alias("more")).agg(F.count("*").alias("row_count"), F.sum("y_loss").alias("losses"), F.count("request_bucket").alias("buckets"), F.count_distinct("candidate_page_id").alias("pages")), f"WITH {_C} SELECT split, CASE WHEN decision_t % 2 = 0 THEN 'none' ELSE 'x, \"y\"' END AS more, count(*) AS row_count, sum(y_loss) AS losses, count(*) FILTER (decision_t % 2 = 0) AS buckets, count(DISTINCT candidate_page_id) AS pages FROM c GROUP BY ALL"
+    built = lambda s, d: written_path(s, d, "built", lambda p: release.build(s, candidates(s, d), p, ("5-LOW",), 1000, 8))
+    q["release_built_view"] = lambda s, d: s.read.parquet(f"{built(s, d)}/decision_view").select(*DECISION_KEY, "candidate_count", "min_y_loss", "optimal_candidate_page_ids", F.round("regret_mean", 9).alias("regret_mean")), f"WITH {_D} SELECT {K}, candidate_count, min_y_loss, optimal_candidate_page_ids, round(regret_mean, 9) AS regret_mean FROM d WHERE trace_family <> '5-LOW'"
+    q["release_built_summary"] = lambda s, d: s.read.parquet(f"{built(s, d)}/split_summary"), f"WITH {_C} SELECT split, trace_family, capacity, horizon, count(*) AS row_count, count(DISTINCT decision_id) AS decision_count FROM c WHERE trace_family <> '5-LOW' GROUP BY ALL"
+    q["release_manifest"] = lambda s, d: s.read.json(f"{built(s, d)}/manifest").select("candidate_rows", "decision_view", F.array_join("families", "|").alias("families"), F.array_join("blocked_families", "|").alias("blocked")), f"WITH {_D} SELECT (SELECT count(*) FROM c WHERE trace_family <> '5-LOW') AS candidate_rows, (SELECT count(*) FROM d WHERE trace_family <> '5-LOW') AS decision_view, (SELECT string_agg(DISTINCT trace_family, '|' ORDER BY trace_family) FROM c WHERE trace_family <> '5-LOW') AS families, '5-LOW' AS blocked"
+    damaged = lambda s, d: written_path(s, d, "damaged", lambda p: _damaged(s, d, p))
+    q["release_validated"] = lambda s, d: release.validate_release(s, damaged(s, d), ("5-LOW",)).where("check <> 'checksum_faults'"), f"WITH {_D}, g AS (SELECT * FROM c WHERE trace_family <> '5-LOW' UNION ALL SELECT * FROM c WHERE trace_family <> '5-LOW' AND decision_t % 83 = 0 UNION ALL SELECT * FROM c WHERE trace_family = '5-LOW' AND capacity = 32), f AS (SELECT * FROM g), v AS ({_VALIDATE}) SELECT * FROM v UNION ALL SELECT 'row_counts_differ', ((SELECT count(*) FROM g) <> (SELECT count(*) FROM c WHERE trace_family <> '5-LOW'))::BIGINT UNION ALL SELECT 'decisions_without_view', count(*) FROM d WHERE trace_family = '5-LOW' AND capacity = 32 UNION ALL SELECT 'blocked_family_rows', count(*) FROM c WHERE trace_family = '5-LOW' AND capacity = 32"
+    q["release_partitions"] = lambda s, d: release.migration_partitions(s, f"{damaged(s, d)}/candidate_rows").select(*PARTITIONS, "row_count", F.array_join("missing", "|").alias("missing"), "cheap"), f"WITH {_C}, g AS (SELECT * FROM c WHERE trace_family <> '5-LOW' UNION ALL SELECT * FROM c WHERE trace_family <> '5-LOW' AND decision_t % 83 = 0 UNION ALL SELECT * FROM c WHERE trace_family = '5-LOW' AND capacity = 32) SELECT split, trace_family, capacity, horizon, count(*) AS row_count, '' AS missing, true AS cheap FROM g GROUP BY ALL"
+    q["preview"] = lambda s, d: release.preview(candidates(s, d), 15, "salt").select("capacity", "decision_id", "candidate_page_id", "candidate_page_id_original_present"), f"WITH {_C}, h AS (SELECT capacity, decision_id, candidate_page_id, row_number() OVER (PARTITION BY capacity ORDER BY sha256(concat_ws('|', '7', decision_id, candidate_page_id))[1:16], decision_id, candidate_page_id) AS r FROM c) SELECT capacity, decision_id, 'obj_' || sha256('salt|' || candidate_page_id)[1:24] AS candidate_page_id, true AS candidate_page_id_original_present FROM h WHERE r <= 15"
+    q["hidden_pages"] = lambda s, d: release.hide_pages(_view(s, d), "salt", ["2-HIGH", "5-LOW"]).select(*DECISION_KEY, "optimal_candidate_page_ids"), f"WITH {_D} SELECT {K}, CASE WHEN trace_family IN ('2-HIGH', '5-LOW') THEN array_to_string(list_transform(string_split(optimal_candidate_page_ids, '|'), lambda x: 'obj_' || sha256('salt|' || x)[1:24]), '|') ELSE optimal_candidate_page_ids END AS optimal_candidate_page_ids FROM d"
     q["release_footers"] = lambda s, d: files.file_rows(files.footers(s, _release(s, d))).select(*files.partition_values(F.col("path"), KINDS), "rows").groupBy(*PARTITIONS).agg(F.sum("rows").alias("row_count")), f"WITH {_C} SELECT split, trace_family, capacity, horizon, count(*) AS row_count FROM c GROUP BY ALL"
     q["footer_statistics"] = lambda s, d: files.footers(s, _release(s, d)).where(F.col("column").isin("decision_t", "decision_chunk_id")).groupBy("column").agg(F.sum("rows").alias("row_count"), F.sum("nulls").alias("nulls"), F.min(F.expr("try_cast(low as bigint)")).alias("low"), F.max(F.expr("try_cast(high as bigint)")).alias("high")), f"""WITH {_C} SELECT 'decision_t' AS "column", count(*) AS row_count, count(*) - count(decision_t) AS nulls, min(decision_t) AS low, max(decision_t) AS high FROM c UNION ALL SELECT 'decision_chunk_id', count(*), count(*) - count(decision_chunk_id), min(decision_chunk_id), max(decision_chunk_id) FROM c"""
     q["release_recount"] = lambda s, d: files.recount(files.file_rows(files.footers(s, _release(s, d))), candidates(s, d).where("split <> 'test'").groupBy(*PARTITIONS).agg((F.count("*") + (F.col("capacity") == 64).cast("int")).alias("row_count")), KINDS).groupBy("split", "state").agg(F.count("*").alias("partitions"), F.sum("found").alias("found")), f"WITH {_C}, p AS (SELECT split, capacity, trace_family, horizon, count(*) AS n FROM c GROUP BY ALL) SELECT split, CASE WHEN split = 'test' THEN 'not listed' WHEN capacity = 64 THEN 'differs' ELSE 'ok' END AS state, count(*) AS partitions, sum(n)::BIGINT AS found FROM p GROUP BY ALL"

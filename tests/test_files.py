@@ -236,3 +236,13 @@ def test_family_release(spark, sf, tmp_path):
     with pytest.raises(ValueError, match="raw pages in trace_name.*email in dataset_source"):
         staged.build_family(spark, str(tmp_path / "leak"), str(tmp_path / "no"), "2-HIGH", "salt", "candidates", "0.3")
     assert not [x for x in tmp_path.iterdir() if x.name.startswith("no")]
+
+
+def test_migration_names_missing_columns(spark, sf, tmp_path):
+    c = candidates(spark, sf).where("decision_t < 100")
+    root = str(tmp_path / "old")
+    c.where("split = 'train'").drop("request_bucket", "y_value").write.partitionBy(*PARTITIONS).parquet(root)
+    c.where("split <> 'train'").write.mode("append").partitionBy(*PARTITIONS).parquet(root)
+    rows = staged.migration_partitions(spark, root).collect()
+    assert {(r.split == "train", tuple(r.missing), r.cheap) for r in rows} == {(True, ("request_bucket", "y_value"), False), (False, (), True)}
+    assert sum(r.row_count for r in rows) == c.count()

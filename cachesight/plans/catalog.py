@@ -258,6 +258,16 @@ def _damaged(s: SparkSession, d: str, path: str) -> None:
     more.write.mode("append").partitionBy(*PARTITIONS).parquet(f"{path}/candidate_rows")
 
 
+def _gates(s: SparkSession, d: str) -> DataFrame:
+    """Replays as runs, with one that is missing, some twice, failed or unplanned, and some whose counts do not agree."""
+    c = lambda cond: F.count_if(cond)
+    whole = _replay(s, d).groupBy("trace", "capacity").agg(F.count("*").alias("requests"), c(F.col("hit")).alias("hits"), c(~F.col("hit")).alias("misses"), c(F.col("decision")).alias("evictions"))
+    whole = whole.withColumns({"policy": F.lit("lru"), "seed": F.lit(0), "status": F.lit("complete")})
+    plan, at = whole.select("trace", "capacity", "policy", "seed"), F.col("trace")
+    runs = whole.where("trace <> 'view' OR capacity <> 8").withColumns({"hits": F.col("hits") + (at == "click").cast("int"), "evictions": F.when(at == "error", F.col("misses") + 1).otherwise(F.col("evictions")), "status": F.when(at == "signup", "failed").otherwise(F.col("status"))})
+    return P.run_gates(runs.unionByName(whole.where("trace = 'purchase'")).unionByName(whole.where("trace = 'view'").withColumn("trace", F.lit("other"))), plan)
+
+
 def _compacted(s: SparkSession, d: str, path: str) -> None:
     """The relation in many small files, merged."""
     candidates(s, d).repartition(8, "candidate_page_id").write.partitionBy("trace_family", "split").parquet(path)
@@ -373,7 +383,14 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     for name, relation, sql in (("validate_candidates", candidates, f"{_C}, f AS (SELECT * FROM c)"), ("validate_faulty_candidates", _faulty, f"{_C}, {_F}")):
         q[name] = (lambda s, d, relation=relation: V.validate_candidates(relation(s, d))), f"WITH {sql} {_VALIDATE}"
     q["feature_alias_checks"] = lambda s, d: V.alias_faults(candidates(s, d)), f"WITH {_C} SELECT count(*) AS row_count, count(*) FILTER (abs(score_gap_to_lru_victim - (candidate_lru_score - m)) > 1e-9) AS gap_is_no_alias, count(*) FILTER (abs(candidate_lru_score + candidate_age_norm - 1) > 1e-9) AS age_is_no_complement, count(*) FILTER ((candidate_is_lru_victim = 1) <> (candidate_recency_rank = 0)) AS victim_is_no_rank_0, count(*) FILTER (candidate_lru_score = y_loss) AS score_equals_loss FROM (SELECT *, max(candidate_lru_score) OVER (PARTITION BY {K}) AS m FROM c)"
-    q["feature_schema_faults"] = lambda s, d: V.feature_schema_faults(candidates(s, d), ["candidate_lru_score", "request_bucket", "y_loss", "candidate_is_lru_victim", "candidate_is_predictor_victim"], ACTIVE_FEATURES, DEPRECATED_FEATURES, ["y_loss", "y_value"]), "SELECT unnest(['request_bucket', 'y_loss', 'y_loss', 'candidate_is_predictor_victim', 'request_bucket', 'candidate_is_predictor_victim']) AS feature, unnest(['deprecated', 'unknown', 'leaks', 'deprecated', 'constant', 'equals candidate_is_lru_victim']) AS fault"
+    blurred = lambda s, d: candidates(s, d).withColumns({"score_gap_to_lru_victim": F.when(F.col("decision_t") % 53 == 0, F.col("score_gap_to_lru_victim") + 1).otherwise(F.col("score_gap_to_lru_victim")), "candidate_age_norm": F.when(F.col("decision_t") % 59 == 0, 0.25).otherwise(F.col("candidate_age_norm")), "candidate_is_lru_victim": F.when(F.col("decision_t") % 61 == 0, 1 - F.col("candidate_is_lru_victim")).otherwise(F.col("candidate_is_lru_victim"))})
+    q["feature_alias_faults"] = lambda s, d: V.alias_faults(blurred(s, d)), f"WITH {_C}, e AS (SELECT * REPLACE (CASE WHEN decision_t % 53 = 0 THEN score_gap_to_lru_victim + 1 ELSE score_gap_to_lru_victim END AS score_gap_to_lru_victim, CASE WHEN decision_t % 59 = 0 THEN 0.25 ELSE candidate_age_norm END AS candidate_age_norm, CASE WHEN decision_t % 61 = 0 THEN 1 - candidate_is_lru_victim ELSE candidate_is_lru_victim END AS candidate_is_lru_victim) FROM c) SELECT count(*) AS row_count, count(*) FILTER (abs(score_gap_to_lru_victim - (candidate_lru_score - m)) > 1e-9) AS gap_is_no_alias, count(*) FILTER (abs(candidate_lru_score + candidate_age_norm - 1) > 1e-9) AS age_is_no_complement, count(*) FILTER ((candidate_is_lru_victim = 1) <> (candidate_recency_rank = 0)) AS victim_is_no_rank_0, count(*) FILTER (candidate_lru_score = y_loss) AS score_equals_loss FROM (SELECT *, max(candidate_lru_score) OVER (PARTITION BY {K}) AS m FROM e)"
+    looked_at = ["candidate_lru_score", "request_bucket", "y_loss", "candidate_is_lru_victim", "recent_candidate_request_rate", "y_value"]
+    holed = lambda s, d: candidates(s, d).withColumn("recent_candidate_request_rate", F.when(F.col("decision_t") % 53 != 0, F.col("recent_candidate_request_rate"))).withColumn("y_value", F.col("y_loss"))
+    told = {f"n_{x}": f"count(*) FILTER ({x} IS NULL) > 0" for x in looked_at} | {f"c_{x}": f"min({x}) IS NOT DISTINCT FROM max({x})" for x in looked_at} | {f"e_{x}_{y}": f"count(*) FILTER ({x} IS DISTINCT FROM {y}) = 0" for k, x in enumerate(looked_at) for y in looked_at[k + 1 :]}
+    by_name = [(x, fault) for x in looked_at for fault, is_so in (("unknown", x not in ACTIVE_FEATURES + DEPRECATED_FEATURES), ("deprecated", x in DEPRECATED_FEATURES), ("leaks", x in ("y_loss", "y_value"))) if is_so]
+    parts = [f"SELECT '{x}' AS feature, '{fault}' AS fault" for x, fault in by_name] + [f"SELECT '{x}', '{word}' FROM z WHERE {c}_{x}" for x in looked_at for c, word in (("n", "nulls"), ("c", "constant"))] + [f"SELECT '{y}', 'equals {x}' FROM z WHERE e_{x}_{y}" for k, x in enumerate(looked_at) for y in looked_at[k + 1 :]]
+    q["feature_schema_faults"] = lambda s, d: V.feature_schema_faults(holed(s, d), looked_at, ACTIVE_FEATURES, DEPRECATED_FEATURES, ["y_loss", "y_value"]), f"WITH {_C}, g AS (SELECT * REPLACE (CASE WHEN decision_t % 53 <> 0 THEN recent_candidate_request_rate END AS recent_candidate_request_rate, y_loss AS y_value), 0.0 AS request_bucket FROM c), z AS (SELECT {', '.join(f'{e} AS {n}' for n, e in told.items())} FROM g) " + " UNION ALL ".join(parts)
     q["pseudonymise"] = lambda s, d: candidates(s, d).select("decision_id", S.pseudonym(F.col("candidate_page_id"), "salt").alias("pseudonym")), f"WITH {_C} SELECT decision_id, 'obj_' || sha256('salt|' || candidate_page_id)[1:24] AS pseudonym FROM c"
     q["pseudonymise_lists"] = lambda s, d: _view(s, d).select("decision_id", S.pseudonym_list(F.col("optimal_candidate_page_ids"), "salt").alias("pseudonyms")), f"WITH {_D} SELECT decision_id, array_to_string(list_transform(string_split(optimal_candidate_page_ids, '|'), lambda x: 'obj_' || sha256('salt|' || x)[1:24]), '|') AS pseudonyms FROM d"
     q["pseudonym_collisions"] = lambda s, d: V.pseudonym_collisions(candidates(s, d), "candidate_page_id", "salt", 3), f"WITH {_C}, p AS (SELECT DISTINCT candidate_page_id AS raw, 'obj_' || sha256('salt|' || candidate_page_id)[1:3] AS pseudonym FROM c) SELECT pseudonym, count(raw) AS raw_values FROM p GROUP BY pseudonym HAVING count(raw) > 1"
@@ -419,6 +436,9 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     q["scored_windows"] = lambda s, d: T.scored_events(_replay(s, d), s.createDataFrame([("click", 100, 149), ("click", 160, 199), ("view", 0, 99), ("purchase", 50, 150)], "trace string, lo long, hi long")), f"WITH {_L} SELECT trace, capacity, count(*) AS requests, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (NOT hit) / count(*), 9) AS miss_ratio, count(*) FILTER (decision) AS evictions FROM rep WHERE (trace = 'click' AND (t BETWEEN 100 AND 149 OR t BETWEEN 160 AND 199)) OR (trace = 'view' AND t BETWEEN 0 AND 99) OR (trace = 'purchase' AND t BETWEEN 50 AND 150) GROUP BY ALL"
     q["policy_lru"] = lambda s, d: _runs(s, d).drop("error"), f"WITH {_L} SELECT trace, capacity, 'lru' AS policy, 0 AS seed, 'complete' AS status, count(*) AS requests, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, count(*) FILTER (decision) AS evictions FROM rep GROUP BY ALL"
     every = lambda s, d: (t := traces(s, d), p := P.execution_plan(t, CAPACITIES, [*P.DETERMINISTIC, "random"], 20), P.simulate(t, p))[1:]
+    q["run_gates_faulty"] = _gates, f"""WITH {_L}, p AS (SELECT DISTINCT trace, capacity FROM rep), r0 AS (SELECT trace, capacity, count(*) AS requests, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, count(*) FILTER (decision) AS evictions FROM rep GROUP BY ALL),
+      r AS (SELECT trace, capacity, requests, CASE WHEN trace = 'click' THEN hits + 1 ELSE hits END AS hits, misses, CASE WHEN trace = 'error' THEN misses + 1 ELSE evictions END AS evictions, CASE WHEN trace = 'signup' THEN 'failed' ELSE 'complete' END AS status FROM r0 WHERE trace <> 'view' OR capacity <> 8 UNION ALL SELECT trace, capacity, requests, hits, misses, evictions, 'complete' FROM r0 WHERE trace = 'purchase' UNION ALL SELECT 'other', capacity, requests, hits, misses, evictions, 'complete' FROM r0 WHERE trace = 'view'),
+      n AS (SELECT unnest(['all_runs_present', 'no_unplanned_runs', 'no_double_runs', 'all_complete', 'hits_and_misses_sum', 'evictions_within_misses']) AS gate, unnest([(SELECT count(*) FROM p ANTI JOIN r USING (trace, capacity)), (SELECT count(*) FROM r ANTI JOIN p USING (trace, capacity)), (SELECT count(*) FROM (SELECT 1 FROM r GROUP BY trace, capacity HAVING count(*) > 1)), (SELECT count(*) FROM r WHERE status <> 'complete'), (SELECT count(*) FROM r WHERE hits + misses <> requests), (SELECT count(*) FROM r WHERE evictions > misses)]) AS faults) SELECT gate, faults = 0 AS passed, faults FROM n"""
     q["policy_runs"] = lambda s, d: every(s, d)[1], None
     q["policy_summary"] = lambda s, d: P.policy_summary(every(s, d)[1]), None
     q["policy_best"] = lambda s, d: P.best_policy(P.policy_summary(every(s, d)[1])), None

@@ -36,6 +36,8 @@ IN_ALL, EACH = 12.0, 0.3
 SHARE_IN_ALL, SHARE_EACH, OUTLIERS = 0.5, 0.6, 0.01
 #: Confidence of a merge; the smoothing of counts.
 ALPHA, SMOOTH = 0.01, 0.02
+#: A state that so many different symbols follow takes any other one, too, as rare as it is; elsewhere an unseen symbol is rejected.
+FANS = 8
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _ALNUM = _LOWER + _UPPER + _DIGIT
@@ -214,6 +216,11 @@ class Scorer:
         for name, state, n, ends, symbols, to, counts in states:
             a, whole = self.names.index(name), n + SMOOTH * (k + 1)
             self.log[a, state] = math.log(SMOOTH / whole)
+            if len(symbols) >= FANS and name != BACKGROUND:
+                after: dict[int, int] = {}
+                for x, count in zip(to, counts, strict=True):
+                    after[x] = after.get(x, 0) + count
+                self.to[a, state] = max(sorted(after), key=after.get)
             for c, x, count in zip(symbols, to, counts, strict=True):
                 s = ALPHABET.index(c)
                 self.to[a, state, s], self.log[a, state, s] = x, math.log((count + SMOOTH) / whole)

@@ -8,10 +8,13 @@
 3. Blocks of a leader and classes that are tied to it most often are joined with themselves: a signature tree over the block
    (nodes hold OR-combined bitmaps and size ranges) is traversed against itself, node pairs are pruned by their largest
    possible overlap, and sets of what is left are compared exactly. Links make components.
-4. Where ties still connect different components, their classes are cut into blocks by size range, and the trees of blocks of
-   equal and neighbouring ranges are traversed against each other, but for blocks of the largest component among themselves.
-   So all that ties connect is either in one component or was compared.
-5. Components of the links of both.
+4. Where ties still connect different components, only shingles are sent: of each set the rarest ones, as many as a linked set
+   cannot all miss. Sets of different components that share one of these meet in a group; texts that are only alike, as those of
+   one template, share none and go nowhere. Groups with the same members are one.
+5. A group is cut into blocks by size range, and the trees of blocks of equal and neighbouring ranges are traversed against each
+   other, but for blocks of the largest component among themselves. So all that ties connect is in one component, was compared,
+   or has too few shingles in common to be linked.
+6. Components of the links of both.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 BLOCK, SHINGLES, LEAF, FAN = 512, 1 << 21, 16, 4
 #: Leaders in whose blocks a class is compared first.
 LEADERS = 2
+#: Sets with a shingle up to which it is counted; those of more are common alike. The count only orders shingles.
+COMMON = 1024
 #: Pairs whose sets are compared at once.
 PAIRS = 8192
 _MULTIPLIERS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -317,8 +322,66 @@ def _leader_units(ties: DataFrame) -> DataFrame:
     return led.unionByName(leaders).select("node", F.xxhash64("v", "part").alias("unit"), F.lit(0).alias("side"))
 
 
+def _shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        nodes = b["node"].to_numpy()
+        for at, part in chunks(b["text"]):
+            sets = shingle_sets(part)
+            sizes = np.array([len(s) for s in sets])
+            yield pd.DataFrame({"shingle": np.concatenate(sets).view(np.int64), "node": np.repeat(nodes[at : at + len(part)], sizes), "n": np.repeat(sizes, sizes)})
+
+
+def _shared_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (shingle, node, n), sorted by shingle, whose shingle comes more than once, with its count up to COMMON.
+
+    At most COMMON rows of a shingle are held from batch to batch, whatever the batches: of one that has more, all count as COMMON.
+    """
+    held = pd.DataFrame({"shingle": [], "node": [], "n": []}, dtype=np.int64)
+    known = None  # a shingle of which COMMON rows were given out already
+
+    def given(rows: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame, int | None]:
+        key = rows["shingle"].to_numpy()
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[begin, len(key)])
+        total = np.where(key[begin] == known, COMMON, np.minimum(count, COMMON)) if known is not None else np.minimum(count, COMMON)
+        ready = total[-1] == COMMON
+        cut = len(key) if last or ready else begin[-1]
+        out = rows.assign(df=np.repeat(total, count)).iloc[:cut]
+        return out[out["df"] > 1], rows.iloc[cut:], int(key[-1]) if ready else None
+
+    for b in batches:
+        rows = pd.concat([held, b], ignore_index=True)
+        if len(rows):
+            out, held, known = given(rows, False)
+            yield out
+    if len(held):
+        yield given(held, True)[0]
+
+
+def _groups(inside: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, n, component, region) of sets that can be linked with a set of another component; ``region`` is now the group.
+
+    Linked sets share at least NUMERATOR / DENOMINATOR of each one's shingles. So the first shingle that both have, in an order
+    by count and then by value, is among the first n + 1 - ceil(n * NUMERATOR / DENOMINATOR) of either; those that no other
+    set of the regions has are passed over and not counted. Texts that share an id and a size are taken together, which only adds to these.
+    """
+    spark = inside.sparkSession
+    of = inside.select("node", "component", "region").distinct()
+    own = of.select("node").hint("merge").join(texts, "node").mapInPandas(tidy(_shingle_rows), "shingle long, node long, n long")
+    own = own.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle", "node", "n")
+    shared = own.mapInPandas(tidy(_shared_rows), "shingle long, node long, n long, df long")
+    of_set = Window.partitionBy("node", "n")
+    ranked = shared.select("shingle", "node", "n", F.row_number().over(of_set.orderBy("df", "shingle")).alias("k"), F.count("*").over(of_set).alias("m"))
+    first = ranked.where(F.col("k") <= F.col("m") + 1 - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)).select("node", "n", "shingle")
+    first = materialize(first.distinct().hint("merge").join(of, "node"), "rarest")
+    groups = first.groupBy("region", "shingle").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.bit_xor(F.xxhash64("node", "n")).alias("group")).where("a <> b")
+    met = first.hint("merge").join(groups, ["region", "shingle"])
+    return met.select("node", "n", "component", F.xxhash64("region", "group").alias("region")).distinct()
+
+
 def _region_units(members: DataFrame) -> DataFrame:
-    """(unit, side, node) from (node, n, component, region): pairs of blocks of a region but those of its largest component."""
+    """(unit, side, node) from (node, n, component, region): pairs of blocks of a region but those of its largest component.
+    Units of one node are left out."""
     sizes = members.groupBy("region", "component").agg(F.count("*").alias("count"))
     main = sizes.groupBy("region").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("main"))
     # sets of one range differ by less than sets that can be linked, so those are in the same range or neighbouring ones
@@ -339,7 +402,9 @@ def _region_units(members: DataFrame) -> DataFrame:
     partners = F.concat(*[blocks(d, 0) for d in near], *[F.when(F.col("kind") == 0, blocks(d, 1)).otherwise(F.array()) for d in near])
     exploded = placed.select("node", "region", own.alias("own"), F.explode(partners).alias("partner"))
     unit = F.xxhash64("region", F.least("own", "partner"), F.greatest("own", "partner"))
-    return exploded.select("node", unit.alias("unit"), (F.col("own") > F.col("partner")).cast("int").alias("side"))
+    units = exploded.select("node", unit.alias("unit"), (F.col("own") > F.col("partner")).cast("int").alias("side")).distinct()
+    of_unit = Window.partitionBy("unit")  # two blocks at most
+    return units.withColumn("several", F.min("node").over(of_unit) < F.max("node").over(of_unit)).where("several").drop("several")
 
 
 def _components(docs: DataFrame) -> DataFrame:
@@ -360,7 +425,8 @@ def _components(docs: DataFrame) -> DataFrame:
     regions = regions.unionByName(regions.select(F.col("root").alias("node"), "root").distinct())
     of_class = _roots(classes.select(F.col("id").alias("node"), "n"), "node", first, "component")
     inside = materialize(of_class.hint("merge").join(regions.select(F.col("node").alias("component"), F.col("root").alias("region")), "component"), "regions")
-    more = _joined(_region_units(inside), texts)
+    groups = materialize(_groups(inside, texts), "groups")
+    more = _joined(_region_units(groups), texts)
     more = _roots(_roots(more, "u", first, "a"), "v", first, "b").select(F.col("a").alias("u"), F.col("b").alias("v"))
     last = connected_components(more, "last")
     named = _roots(_roots(classes.select("digest", "id"), "id", first, "component"), "component", last, "component_id")

@@ -8,8 +8,8 @@
 3. Blocks of a leader and classes that are tied to it most often are joined with themselves: a signature tree over the block
    (nodes hold OR-combined bitmaps and size ranges) is traversed against itself, node pairs are pruned by their largest
    possible overlap, and sets of what is left are compared exactly. Links make components.
-4. Where ties still connect different components, only shingles are sent: of each set the rarest ones, as many as a linked set
-   cannot all miss. Sets of different components that share one of these meet in a group; texts that are only alike, as those of
+4. Where ties still connect different components, only shingles are sent: of those of each set that other components have, too,
+   the rarest ones, as many as a linked set cannot all miss. Sets of different components that share one of these meet in a group; texts that are only alike, as those of
    one template, share none and go nowhere. Groups with the same members are one.
 5. A group is cut into blocks by size range, and the trees of blocks of equal and neighbouring ranges are traversed against each
    other, but for blocks of the largest component among themselves. So all that ties connect is in one component, was compared,
@@ -324,30 +324,35 @@ def _leader_units(ties: DataFrame) -> DataFrame:
 
 def _shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        nodes = b["node"].to_numpy()
         for at, part in chunks(b["text"]):
+            own = b.iloc[at : at + len(part)]
             sets = shingle_sets(part)
             sizes = np.array([len(s) for s in sets])
-            yield pd.DataFrame({"shingle": np.concatenate(sets).view(np.int64), "node": np.repeat(nodes[at : at + len(part)], sizes), "n": np.repeat(sizes, sizes)})
+            key = mix(np.concatenate(sets) ^ np.repeat(mix(own["region"].to_numpy().view(np.uint64)), sizes))
+            yield pd.DataFrame({"key": key.view(np.int64), "component": np.repeat(own["component"].to_numpy(), sizes), "node": np.repeat(own["node"].to_numpy(), sizes), "n": np.repeat(sizes, sizes)})
 
 
 def _shared_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (shingle, node, n), sorted by shingle, whose shingle comes more than once, with its count up to COMMON.
+    """Rows (key, component, node, n), sorted by them, whose key comes in several components, with its count up to COMMON.
 
-    At most COMMON rows of a shingle are held from batch to batch, whatever the batches: of one that has more, all count as COMMON.
+    At most COMMON rows of a key are held from batch to batch, whatever the batches: a key that has more counts as COMMON, and as
+    one of several components.
     """
-    held = pd.DataFrame({"shingle": [], "node": [], "n": []}, dtype=np.int64)
-    known = None  # a shingle of which COMMON rows were given out already
+    held = pd.DataFrame({"key": [], "component": [], "node": [], "n": []}, dtype=np.int64)
+    known = None  # a key of which COMMON rows were given out already
 
     def given(rows: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame, int | None]:
-        key = rows["shingle"].to_numpy()
+        key, component = rows["key"].to_numpy(), rows["component"].to_numpy()
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        count = np.diff(np.r_[begin, len(key)])
-        total = np.where(key[begin] == known, COMMON, np.minimum(count, COMMON)) if known is not None else np.minimum(count, COMMON)
+        end = np.r_[begin[1:], len(key)]
+        total = np.minimum(end - begin, COMMON)
+        if key[0] == known:
+            total[0] = COMMON
+        shared = (component[begin] != component[end - 1]) | (total == COMMON)
         ready = total[-1] == COMMON
         cut = len(key) if last or ready else begin[-1]
-        out = rows.assign(df=np.repeat(total, count)).iloc[:cut]
-        return out[out["df"] > 1], rows.iloc[cut:], int(key[-1]) if ready else None
+        out = rows.assign(df=np.repeat(total, end - begin)).iloc[:cut]
+        return out[np.repeat(shared, end - begin)[:cut]], rows.iloc[cut:], int(key[-1]) if ready else None
 
     for b in batches:
         rows = pd.concat([held, b], ignore_index=True)
@@ -363,20 +368,19 @@ def _groups(inside: DataFrame, texts: DataFrame) -> DataFrame:
 
     Linked sets share at least NUMERATOR / DENOMINATOR of each one's shingles. So the first shingle that both have, in an order
     by count and then by value, is among the first n + 1 - ceil(n * NUMERATOR / DENOMINATOR) of either; those that no other
-    set of the regions has are passed over and not counted. Texts that share an id and a size are taken together, which only adds to these.
+    component of the region has are passed over and not counted. Texts that share an id and a size are taken together, which only adds to these.
     """
     spark = inside.sparkSession
-    of = inside.select("node", "component", "region").distinct()
-    own = of.select("node").hint("merge").join(texts, "node").mapInPandas(tidy(_shingle_rows), "shingle long, node long, n long")
-    own = own.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle", "node", "n")
-    shared = own.mapInPandas(tidy(_shared_rows), "shingle long, node long, n long, df long")
+    own = inside.select("node", "component", "region").distinct().hint("merge").join(texts, "node")
+    own = own.mapInPandas(tidy(_shingle_rows), "key long, component long, node long, n long")
+    own = own.repartition(partitions(spark), "key").sortWithinPartitions("key", "component", "node", "n")
+    shared = own.mapInPandas(tidy(_shared_rows), "key long, component long, node long, n long, df long")
     of_set = Window.partitionBy("node", "n")
-    ranked = shared.select("shingle", "node", "n", F.row_number().over(of_set.orderBy("df", "shingle")).alias("k"), F.count("*").over(of_set).alias("m"))
-    first = ranked.where(F.col("k") <= F.col("m") + 1 - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)).select("node", "n", "shingle")
-    first = materialize(first.distinct().hint("merge").join(of, "node"), "rarest")
-    groups = first.groupBy("region", "shingle").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.bit_xor(F.xxhash64("node", "n")).alias("group")).where("a <> b")
-    met = first.hint("merge").join(groups, ["region", "shingle"])
-    return met.select("node", "n", "component", F.xxhash64("region", "group").alias("region")).distinct()
+    ranked = shared.withColumn("k", F.row_number().over(of_set.orderBy("df", "key"))).withColumn("m", F.count("*").over(of_set))
+    first = ranked.where(F.col("k") <= F.col("m") + 1 - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR))
+    first = materialize(first.select("key", "component", "node", "n").distinct(), "rarest")
+    groups = first.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.bit_xor(F.xxhash64("node", "n")).alias("region")).where("a <> b")
+    return first.hint("merge").join(groups.select("key", "region"), "key").select("node", "n", "component", "region").distinct()
 
 
 def _region_units(members: DataFrame) -> DataFrame:

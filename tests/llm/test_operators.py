@@ -393,10 +393,12 @@ def test_op9_look_alikes_stay_where_they_are(spark, monkeypatch, count):
 
 def test_op9_shared_shingles_do_not_depend_on_batches():
     rng = np.random.default_rng(2)
-    rows = pd.DataFrame({"shingle": np.sort(rng.choice([5, 6, 7, 8, 9, 10, 11], 6000, p=[0.5, 0.2, 0.17, 0.1, 0.02, 0.009, 0.001])), "node": np.arange(6000), "n": 9})
-    rows = pd.concat([rows, pd.DataFrame({"shingle": [20, 21, 21], "node": [1, 2, 3], "n": 9})], ignore_index=True)
-    count = rows.groupby("shingle")["node"].transform("count").clip(upper=signature_trees.COMMON)
-    want = rows.assign(df=count)[count > 1].to_numpy().tolist()
+    keys = np.sort(rng.choice([5, 6, 7, 8, 9, 10, 11], 6000, p=[0.5, 0.2, 0.17, 0.1, 0.02, 0.009, 0.001]))
+    rows = pd.DataFrame({"key": keys, "component": np.where(np.isin(keys, [6, 9]), 1, np.arange(6000)), "node": np.arange(6000), "n": 9})
+    rows = pd.concat([rows, pd.DataFrame({"key": [20, 21, 21, 22, 22], "component": [1, 2, 3, 4, 4], "node": [1, 2, 3, 4, 5], "n": 9})], ignore_index=True)
+    by_key = rows.groupby("key")
+    count = by_key["node"].transform("count").clip(upper=signature_trees.COMMON)
+    want = rows.assign(df=count)[(by_key["component"].transform("nunique") > 1) | (count == signature_trees.COMMON)].to_numpy().tolist()
     for size in (1, 7, 1000, 1024, 9000):
         batches = (rows.iloc[k : k + size] for k in range(0, len(rows), size))
         got = pd.concat(list(signature_trees._shared_rows(batches)), ignore_index=True)

@@ -358,8 +358,8 @@ def test_op9_large_groups(spark, monkeypatch, block):
     assert got == brute_components(own)
 
 
-def test_op9_links_by_rarest_shingles_alone(spark, monkeypatch):
-    """Without blocks of leaders every link has to come from the groups of shingles."""
+def test_op9_links_by_regions_alone(spark, monkeypatch):
+    """Without blocks of leaders every link has to come from the blocks of regions."""
     own_units = signature_trees._leader_units
     monkeypatch.setattr(signature_trees, "_leader_units", lambda ties: own_units(ties).where("false"))
     monkeypatch.setattr(signature_trees, "BLOCK", 30)
@@ -376,35 +376,6 @@ def test_op9_links_by_rarest_shingles_alone(spark, monkeypatch):
     assert got == brute_components(own)
 
 
-@pytest.mark.parametrize("count", [300, 1200])
-def test_op9_look_alikes_stay_where_they_are(spark, monkeypatch, count):
-    """Texts of one template, alike at 0.49, are tied and never linked: none is sent to another. A linked pair among them is."""
-    sent = []
-    own_units = signature_trees._region_units
-    monkeypatch.setattr(signature_trees, "_region_units", lambda members: sent.append(own_units(members)) or sent[-1])
-    template = [f"t{k}" for k in range(104)]
-    own = {i: " ".join(template + [f"x{i}-{k}" for k in range(52)]) for i in range(count)}
-    own[count] = own[7] + " end"
-    df = spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in signature_trees.near_duplicates(df).collect()}
-    assert got == {i: i for i in range(count)} | {count: 7}
-    assert sent[0].count() <= 4
-
-
-def test_op9_shared_shingles_do_not_depend_on_batches():
-    rng = np.random.default_rng(2)
-    keys = np.sort(rng.choice([5, 6, 7, 8, 9, 10, 11], 6000, p=[0.5, 0.2, 0.17, 0.1, 0.02, 0.009, 0.001]))
-    rows = pd.DataFrame({"key": keys, "component": np.where(np.isin(keys, [6, 9]), 1, np.arange(6000)), "node": np.arange(6000), "n": 9})
-    rows = pd.concat([rows, pd.DataFrame({"key": [20, 21, 21, 22, 22], "component": [1, 2, 3, 4, 4], "node": [1, 2, 3, 4, 5], "n": 9})], ignore_index=True)
-    by_key = rows.groupby("key")
-    count = by_key["node"].transform("count").clip(upper=signature_trees.COMMON)
-    want = rows.assign(df=count)[(by_key["component"].transform("nunique") > 1) | (count == signature_trees.COMMON)].to_numpy().tolist()
-    for size in (1, 7, 1000, 1024, 9000):
-        batches = (rows.iloc[k : k + size] for k in range(0, len(rows), size))
-        got = pd.concat(list(signature_trees._shared_rows(batches)), ignore_index=True)
-        assert got.astype(int).to_numpy().tolist() == want
-
-
 def test_op9_rows_that_share_an_id(spark):
     """An id with two texts is one node; a text that a smaller id has, too, goes alone. Rows with a null id have no component."""
     a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")

@@ -10,11 +10,13 @@ import random
 from collections import OrderedDict, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cachesight.operators.trace import lru_candidates, lru_replay
+from cachesight.operators.trace import decisions, lru_replay
+from cachesight.sources.shared import materialize
 
 DETERMINISTIC = ["lru", "mru", "fifo", "lfu", "sieve", "arc", "s3fifo"]
 
@@ -279,32 +281,84 @@ def run_gates(runs: DataFrame, plan: DataFrame) -> DataFrame:
 LOSSES = "trace string, capacity long, t long, page string, y_loss double"
 
 
+def _random_losses(pages: np.ndarray, requests: np.ndarray, seeds: int, most: int = 1 << 16) -> np.ndarray:
+    """Of decisions with as many pages and requests each, as numbers: for each page the mean misses over the seeds of ``Random``.
+
+    All (decision, page, seed) go through their requests together. The n-th eviction of a seed takes the same place for all, as
+    caches of one capacity draw from the same range.
+    """
+    n, c = pages.shape
+    later = requests.shape[1] - 1
+    draws = np.array([[r.randrange(c) for _ in range(later)] for r in map(random.Random, range(seeds))], np.int64).reshape(seeds, later)
+    others = np.array([[k for k in range(c) if k != e] for e in range(c)], np.int64).reshape(c, c - 1)
+    out = np.empty((n, c))
+    step = max(1, most // (c * seeds))
+    for at in range(0, n, step):
+        own, asked = pages[at : at + step], requests[at : at + step]
+        m = len(own)
+        # the pages but one, and behind them the request that replaced it
+        start = np.concatenate([own[:, others], np.broadcast_to(asked[:, None, :1], (m, c, 1))], axis=2)
+        held = np.repeat(start[:, :, None, :], seeds, axis=2).reshape(-1, c)
+        misses = np.zeros(len(held), np.int64)
+        seed = np.tile(np.arange(seeds), m * c)
+        for k in range(1, later + 1):
+            x = np.repeat(asked[:, k], c * seeds)
+            missed = np.flatnonzero(~(held == x[:, None]).any(axis=1))
+            held[missed, draws[seed[missed], misses[missed]]] = x[missed]
+            misses[missed] += 1
+        out[at : at + step] = misses.reshape(m, c, seeds).sum(axis=2) / seeds
+    return out
+
+
 def _losses(batches: Iterator[pd.DataFrame], name: str, seeds: int) -> Iterator[pd.DataFrame]:
     """From a row for each decision with its pages, least recent first, and its requests, its own first: forced replacement of
     each page, then the policy ``name`` for the later requests."""
     for b in batches:
+        if name == "random":
+            yield from _random_batch(b, seeds)
+            continue
         rows = []
         for trace, capacity, t, pages, requests in b[["trace", "capacity", "t", "pages", "requests"]].itertuples(index=False):
             pages, (x, *later) = list(pages), list(requests)
             for e in pages:
-                losses = []
-                for s in range(seeds if name == "random" else 1):
-                    own = policy(name, int(capacity), s)
-                    for r in [*(k for k in pages if k != e), x]:
-                        own.request(r)
-                    losses.append(sum(not own.request(r)[0] for r in later))
-                rows.append((trace, capacity, t, e, sum(losses) / len(losses)))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in LOSSES.split(", ")])
-        yield out.astype({"trace": object, "page": object, "capacity": "int64", "t": "int64", "y_loss": float})
+                own = policy(name, int(capacity))
+                for r in [*(k for k in pages if k != e), x]:
+                    own.request(r)
+                rows.append((trace, capacity, t, e, float(sum(not own.request(r)[0] for r in later))))
+        yield _typed(pd.DataFrame(rows, columns=[c.split()[0] for c in LOSSES.split(", ")]))
+
+
+def _typed(out: pd.DataFrame) -> pd.DataFrame:
+    return out.astype({"trace": object, "page": object, "capacity": "int64", "t": "int64", "y_loss": float})
+
+
+def _random_batch(b: pd.DataFrame, seeds: int) -> Iterator[pd.DataFrame]:
+    lengths = pd.Series(list(zip(b["pages"].map(len), b["requests"].map(len), strict=True)), index=b.index, dtype=object)
+    for (c, k), own in b.groupby(lengths, sort=False):
+        names = np.concatenate([np.concatenate(own["pages"].to_list()), np.concatenate(own["requests"].to_list())])
+        codes = pd.factorize(names)[0]
+        n = len(own)
+        losses = _random_losses(codes[: n * c].reshape(n, c), codes[n * c :].reshape(n, k), seeds)
+        repeat = lambda column: np.repeat(own[column].to_numpy(), c)
+        yield _typed(pd.DataFrame({"trace": repeat("trace"), "capacity": repeat("capacity"), "t": repeat("t"), "page": names[: n * c], "y_loss": losses.ravel()}))
 
 
 def continuation_losses(traces: DataFrame, capacities: list[int], name: str, horizon: int, seeds: int = 10) -> DataFrame:
     """Losses as of the rollout labels, but with ``name`` (mru, random, lru ...) as the continuation; the random policy uses
-    the same seeds for each page and gives their mean. Each decision is a row with all that its rollouts need."""
-    key = ["trace", "capacity", "t"]
-    found = lru_candidates(lru_replay(traces, capacities))
-    pages = found.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("last", "page"))), lambda p: p["page"]).alias("pages"))
-    steps = pages.select(*key, F.explode(F.sequence(F.lit(0), F.lit(horizon))).alias("step")).withColumn("i", F.col("t") + F.col("step"))
-    seen = steps.join(traces.select("trace", F.col("t").alias("i"), "item"), ["trace", "i"])
-    requests = seen.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "item"))), lambda r: r["item"]).alias("requests"))
-    return pages.join(requests, key).mapInPandas(lambda batches: _losses(batches, name, seeds), LOSSES)
+    the same seeds for each page and gives their mean. Each decision is a row with all that its rollouts need.
+
+    Where no later request is for a page, the decision's own request or an earlier one of them, each is a miss whatever the policy;
+    only the other decisions are replayed.
+    """
+    replay = materialize(lru_replay(traces, capacities), "continued")
+    items = F.transform("next", lambda r: r["item"])
+    own = F.transform(F.array_sort(F.transform("pages", lambda p: F.struct(p["last"].alias("last"), p["page"].alias("page")))), lambda p: p["page"])
+    at = decisions(traces.select("trace", "t", "item"), replay, horizon).select("trace", "capacity", "t", F.col("own.item").alias("item"), own.alias("pages"), items.alias("later"))
+    return _continued(at, name, seeds)
+
+
+def _continued(at: DataFrame, name: str, seeds: int) -> DataFrame:
+    at = at.withColumn("requests", F.concat(F.array("item"), "later"))
+    again = F.arrays_overlap("pages", "later") | (F.size(F.array_distinct("requests")) < F.size("requests"))
+    sure = at.where(~again).select("trace", "capacity", "t", F.explode("pages").alias("page"), F.size("later").cast("double").alias("y_loss"))
+    return sure.unionByName(at.where(again).mapInPandas(lambda batches: _losses(batches, name, seeds), LOSSES))

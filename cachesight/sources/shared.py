@@ -28,6 +28,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a task, about, where rows are dealt out for a group-by, a window or a join that keeps them in memory.
+TASK_ROWS = 250_000
+
+
+def tasks(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """In how many parts to deal ``df`` out, so that a task has about ``rows`` rows whatever their number. Spark's own number is fixed.
+    ``df`` is counted: it should be a table, of which footers tell."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 _written: dict[tuple[str, str, str], str] = {}
 
 

@@ -4,6 +4,7 @@ import importlib
 import itertools
 import random
 import sys
+import time
 
 import duckdb
 import numpy as np
@@ -410,3 +411,28 @@ def test_census_deltas(spark):
     assert len(whole.collect()) == 8 + 5 and {r.decisions for r in whole.where("level = 'all'").collect()} == {3, 2}
     got = {(r.level, r.subset, r.trace_family): (r.sampled, r.whole, r.delta) for r in models.census_deltas(part, whole, ["mean_jaccard"]).collect()}
     assert got["all", "all", None] == (1.0, round(2 / 3, 9), round(1 - round(2 / 3, 9), 9)) and got["trace_family", "telling", "f"] == (1.0, 0.5, 0.5)
+
+
+def test_random_continuation_replays_all_seeds_together():
+    rng, seeds = random.Random(5), 6
+    for c, later in ((1, 3), (4, 8), (5, 0)):
+        pages = [rng.sample(range(12), c) for _ in range(40)]
+        requests = [[20, *(rng.randrange(12) for _ in range(later))] for _ in pages]
+        got = policies._random_losses(np.array(pages), np.array(requests), seeds, most=64)
+        for own, asked, losses in zip(pages, requests, got, strict=True):
+            for e, loss in zip(own, losses, strict=True):
+                n = 0
+                for s in range(seeds):
+                    run = policies.policy("random", c, s)
+                    for r in [*(k for k in own if k != e), asked[0]]:
+                        run.request(r)
+                    n += sum(not run.request(r)[0] for r in asked[1:])
+                assert loss == n / seeds
+
+
+def test_continuation_of_requests_that_never_return_needs_no_replay(spark):
+    df = spark.createDataFrame([("a", t, str(t)) for t in range(300)], "trace string, t long, item string")
+    began = time.monotonic()
+    got = policies.continuation_losses(df, [4], "random", 8, seeds=50_000).collect()  # 59 million replays, were each done
+    assert time.monotonic() - began < 90
+    assert len(got) == 296 * 4 and all(r.y_loss == min(8, 299 - r.t) for r in got)

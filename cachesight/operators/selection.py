@@ -81,10 +81,12 @@ def key_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def midrank_auroc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve from counts by distinct score; null where one class is missing.
 
-    A running count over distinct scores stands for the ranks of rows, so rows are never sorted.
+    A running count over distinct scores stands for the ranks of rows, so rows are never sorted. A column ``rows`` says how many rows a
+    row stands for.
     """
     by = by or []
-    counts = scored.groupBy(*by, "score").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
+    many = F.col("rows") if "rows" in scored.columns else F.lit(1).cast("long")
+    counts = scored.groupBy(*by, "score").agg(F.sum(many).alias("n"), F.sum(many * F.col("label")).alias("pos"))
     run = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("mid", F.sum("n").over(run) - (F.col("n") - 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("mid") * F.col("pos")).alias("ranks"))

@@ -436,3 +436,17 @@ def test_continuation_of_requests_that_never_return_needs_no_replay(spark):
     got = policies.continuation_losses(df, [4], "random", 8, seeds=50_000).collect()  # 59 million replays, were each done
     assert time.monotonic() - began < 90
     assert len(got) == 296 * 4 and all(r.y_loss == min(8, 299 - r.t) for r in got)
+
+
+def test_counted_rows_weigh_as_many(spark):
+    rng = random.Random(4)
+    data = [(rng.choice("ab"), rng.randrange(4) / 2, rng.random() < 0.6, rng.randrange(1, 5)) for _ in range(60)]
+    counted = spark.createDataFrame([(s, x, int(y), 0, n) for s, x, y, n in data], "split string, x double, label_a_better int, is_tie int, rows long")
+    each = spark.createDataFrame([(s, x, int(y), 0) for s, x, y, n in data for _ in range(n)], "split string, x double, label_a_better int, is_tie int")
+    (a, b), p = ((models.standardise(df, ["x"])[1]["x"], models.fit_logistic(df, ["x"], "label_a_better")) for df in (counted, each)), F.col("x") / 3 + 0.1
+    assert np.allclose(a[0], b[0], atol=1e-12) and np.allclose(a[1], b[1], atol=1e-9)
+    assert sorted(models.pair_metrics(counted, p, ["split"]).collect()) == sorted(models.pair_metrics(each, p, ["split"]).collect())
+    score = lambda df: df.withColumn("score", F.col("x")).withColumnRenamed("label_a_better", "label")
+    assert sorted(selection.midrank_auroc(score(counted), ["split"]).collect()) == sorted(selection.midrank_auroc(score(each), ["split"]).collect())
+    again = models.counted_pairs(each, ["x"], ["split"])
+    assert again.agg(F.sum("rows")).first()[0] == each.count() and again.count() < each.count()

@@ -164,7 +164,11 @@ def seed_summary(runs: DataFrame, by: list[str], value: str, wanted: int) -> Dat
 
 def horizon_transitions(losses: DataFrame, physical: list[str], steps: list[tuple[int, int]]) -> DataFrame:
     """How decisions change between horizons: tied or telling, regret up, down or equal (beyond 1e-12), mean changes."""
-    wide = losses.groupBy(*physical).pivot("horizon", sorted({h for s in steps for h in s})).agg(F.first("random_regret"))
+    return changes(losses.groupBy(*physical).pivot("horizon", sorted({h for s in steps for h in s})).agg(F.first("random_regret")), steps)
+
+
+def changes(wide: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """``horizon_transitions`` of rows that have each horizon's random regret in a column of its name."""
     rows = [F.struct(F.lit(a).cast("int").alias("from_horizon"), F.lit(b).cast("int").alias("to_horizon"), F.col(str(a)).alias("x"), F.col(str(b)).alias("y")) for a, b in steps]
     long = wide.select(F.explode(F.array(*rows)).alias("p")).select("p.*").where("x IS NOT NULL AND y IS NOT NULL")
     x, y = F.col("x"), F.col("y")
@@ -179,7 +183,13 @@ def horizon_monotonicity(losses: DataFrame, physical: list[str], horizons: list[
     """Over decisions seen at every horizon: does random regret rise or fall from the least to the largest, and does it do so
     at each step (beyond 1e-12)? Regret that is equal at all steps counts as nondecreasing."""
     hs = sorted(horizons)
-    wide = losses.groupBy(*physical).pivot("horizon", hs).agg(F.first("random_regret")).dropna(subset=[str(h) for h in hs])
+    return monotonicity(losses.groupBy(*physical).pivot("horizon", hs).agg(F.first("random_regret")), hs)
+
+
+def monotonicity(wide: DataFrame, horizons: list[int]) -> DataFrame:
+    """``horizon_monotonicity`` of rows that have each horizon's random regret in a column of its name."""
+    hs = sorted(horizons)
+    wide = wide.dropna(subset=[str(h) for h in hs])
     steps = [(F.col(str(a)), F.col(str(b))) for a, b in zip(hs, hs[1:])]
     up, down = F.lit(True), F.lit(True)
     for x, y in steps:

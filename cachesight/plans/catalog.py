@@ -117,14 +117,18 @@ UNION ALL SELECT 'inconsistent_metadata', count(*) FROM (SELECT trace_name, capa
   HAVING greatest(count(DISTINCT trace_family), count(DISTINCT dataset_source), count(DISTINCT decision_t), count(DISTINCT decision_chunk_id), count(DISTINCT split)) > 1)"""
 
 
+def _rollouts(s: SparkSession, d: str) -> DataFrame:
+    return written_once(s, d, "rollouts", lambda: T.rollouts(traces(s, d), _distances(s, d), _replay(s, d), HORIZONS))
+
+
 def _labels(s: SparkSession, d: str) -> DataFrame:
-    return written_once(s, d, "labels", lambda: T.rollout_labels(traces(s, d), _distances(s, d), _replay(s, d), HORIZONS))
+    return T.labels_of(_rollouts(s, d), HORIZONS)
 
 
 def _whole_windows(s: SparkSession, d: str) -> DataFrame:
     """Decisions of each horizon whose window ends within the trace, so that longer horizons have fewer."""
     ends = traces(s, d).groupBy("trace").agg(F.max("t").alias("end"))
-    return T.decision_summary(_labels(s, d)).join(ends, "trace").where("t + horizon <= end").drop("end")
+    return T.rollout_summary(_rollouts(s, d), HORIZONS).join(ends, "trace").where("t + horizon <= end").drop("end")
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
@@ -166,7 +170,7 @@ def _linear(s: SparkSession, d: str) -> DataFrame:
 
 
 def _logistic(s: SparkSession, d: str) -> DataFrame:
-    pairs = _pairs(s, d).where("is_tie = 0").withColumns({f: F.col(f"{f}_a") - F.col(f"{f}_b") for f in ACTIVE_FEATURES})
+    pairs = M.counted_pairs(_pairs(s, d).withColumns({f: F.col(f"{f}_a") - F.col(f"{f}_b") for f in ACTIVE_FEATURES}), ACTIVE_FEATURES, ["split"])
     train = pairs.where("split = 'train'")
     _, scale = M.standardise(train, ACTIVE_FEATURES)
     scaled = lambda df: df.withColumns({f: (F.col(f) - m) / sd for f, (m, sd) in scale.items()})
@@ -405,10 +409,10 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     q["lru_decisions"] = lambda s, d: _replay(s, d).select("trace", "capacity", "t", "item", "hit", "decision"), f"WITH {_L} SELECT trace, capacity, t, item, hit, decision FROM rep"
     q["lru_candidates"] = lambda s, d: T.lru_candidates(_replay(s, d)), f"WITH {_L} SELECT trace, capacity, t, page, last FROM cand"
     q["rollout_labels"] = _labels, f"WITH {_R} SELECT trace, capacity, t, page, last, horizon, y_loss FROM labels"
-    q["rollout_decisions"] = lambda s, d: T.decision_summary(_labels(s, d)), f"WITH {_R} SELECT trace, capacity, t, horizon, count(*) AS candidate_count, max(regret) = 0 AS all_tied, max(regret) AS regret_max, round(avg(regret), 9) AS random_regret, round(count(*) FILTER (regret = 0) / count(*), 9) AS optimal_fraction FROM lr GROUP BY ALL"
-    q["horizon_transitions"] = lambda s, d: A.horizon_transitions(T.decision_summary(_labels(s, d)), ["trace", "capacity", "t"], [(4, 8), (8, 16), (4, 16)]), f"""WITH {_R}, ds AS (SELECT trace, capacity, t, horizon, round(avg(regret), 9) AS v FROM lr GROUP BY ALL), j AS (SELECT a.horizon AS from_horizon, b.horizon AS to_horizon, a.v AS x, b.v AS y FROM ds a JOIN ds b USING (trace, capacity, t) WHERE a.horizon < b.horizon)
+    q["rollout_decisions"] = lambda s, d: T.rollout_summary(_rollouts(s, d), HORIZONS), f"WITH {_R} SELECT trace, capacity, t, horizon, count(*) AS candidate_count, max(regret) = 0 AS all_tied, max(regret) AS regret_max, round(avg(regret), 9) AS random_regret, round(count(*) FILTER (regret = 0) / count(*), 9) AS optimal_fraction FROM lr GROUP BY ALL"
+    q["horizon_transitions"] = lambda s, d: A.changes(T.rollout_regrets(_rollouts(s, d), HORIZONS), [(4, 8), (8, 16), (4, 16)]), f"""WITH {_R}, ds AS (SELECT trace, capacity, t, horizon, round(avg(regret), 9) AS v FROM lr GROUP BY ALL), j AS (SELECT a.horizon AS from_horizon, b.horizon AS to_horizon, a.v AS x, b.v AS y FROM ds a JOIN ds b USING (trace, capacity, t) WHERE a.horizon < b.horizon)
       SELECT from_horizon::INT AS from_horizon, to_horizon::INT AS to_horizon, count(*) AS decisions, count(*) FILTER (abs(x) <= 1e-12 AND abs(y) > 1e-12) AS tied_to_telling, count(*) FILTER (abs(x) > 1e-12 AND abs(y) <= 1e-12) AS telling_to_tied, count(*) FILTER (abs(x) <= 1e-12 AND abs(y) <= 1e-12) AS both_tied, count(*) FILTER (y - x > 1e-12) AS up, count(*) FILTER (x - y > 1e-12) AS down, count(*) FILTER (abs(y - x) <= 1e-12) AS equal, round(avg(y - x), 9) AS mean_change FROM j GROUP BY ALL"""
-    q["horizon_monotonicity"] = lambda s, d: A.horizon_monotonicity(T.decision_summary(_labels(s, d)), ["trace", "capacity", "t"], HORIZONS), f"""WITH {_R}, ds AS (SELECT trace, capacity, t, avg(regret) FILTER (horizon = 4) AS a, avg(regret) FILTER (horizon = 8) AS b, avg(regret) FILTER (horizon = 16) AS c FROM lr GROUP BY ALL),
+    q["horizon_monotonicity"] = lambda s, d: A.monotonicity(T.rollout_regrets(_rollouts(s, d), HORIZONS), HORIZONS), f"""WITH {_R}, ds AS (SELECT trace, capacity, t, avg(regret) FILTER (horizon = 4) AS a, avg(regret) FILTER (horizon = 8) AS b, avg(regret) FILTER (horizon = 16) AS c FROM lr GROUP BY ALL),
       m AS (SELECT *, b >= a - 1e-12 AND c >= b - 1e-12 AS up, b <= a + 1e-12 AND c <= b + 1e-12 AS down FROM ds)
       SELECT count(*) AS decisions, count(*) FILTER (c - a > 1e-12) AS rise, count(*) FILTER (a - c > 1e-12) AS fall, count(*) FILTER (abs(c - a) <= 1e-12) AS unchanged, count(*) FILTER (up) AS nondecreasing, count(*) FILTER (down AND NOT up) AS nonincreasing, count(*) FILTER (NOT up AND NOT down) AS mixed FROM m"""
     q["horizon_decomposition"] = lambda s, d: A.horizon_decomposition(_whole_windows(s, d), ["trace", "capacity", "t"], 4, 16), f"""WITH {_R}, ds AS (SELECT trace, capacity, t, horizon, (max(regret) = 0)::INT::DOUBLE AS all_tied, round(count(*) FILTER (regret = 0) / count(*), 9) AS random_optimal, round(avg(regret), 9) AS random_regret FROM lr JOIN (SELECT trace, max(t) AS e FROM t GROUP BY trace) USING (trace) WHERE t + horizon <= e GROUP BY ALL),
@@ -475,7 +479,7 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     q["source_summary"] = lambda s, d: release.source_summary(s, _release(s, d), include=("1-URGENT", "2-HIGH", "nowhere"), exclude=("5-LOW",), blocked=("2-HIGH", "5-LOW")).select("family", (F.col("shards") > 0).alias("there"), "selected", "fault"), f"WITH {_C}, w AS (SELECT DISTINCT trace_family AS family FROM c UNION SELECT unnest(['1-URGENT', '2-HIGH', 'nowhere', '5-LOW'])) SELECT family, family IN (SELECT trace_family FROM c) AS there, family IN ('1-URGENT', '2-HIGH') AND family IN (SELECT trace_family FROM c) AS selected, CASE WHEN family = 'nowhere' THEN 'missing' WHEN family = '2-HIGH' THEN 'blocked' END AS fault FROM w"
     q["calibrated_predictor_score"] = lambda s, d: M.calibrated_score(_pairs(s, d), F.col("recent_candidate_hit_rate_a") - F.col("recent_candidate_hit_rate_b"), ["split"]), None
     q["calibrated_linear_score"] = lambda s, d: M.calibrated_linear_score(_pairs(s, d), M.fit_linear(candidates(s, d).where("split = 'train'"), ACTIVE_FEATURES, "y_loss"), ["split"]), None
-    q["decision_density"] = lambda s, d: A.decision_density(_labels(s, d), ["trace", "capacity", "t", "horizon"]), f"WITH {_R}, h AS (SELECT trace, capacity, t, horizon, y_loss, count(*) AS m FROM labels GROUP BY ALL), g AS (SELECT trace, capacity, t, horizon, sum(m)::BIGINT AS candidates, max(y_loss) - min(y_loss) AS loss_range, sum(m * (m - 1) // 2)::BIGINT AS e FROM h GROUP BY ALL) SELECT trace, capacity, t, horizon, candidates, loss_range, candidates * (candidates - 1) // 2 - e AS strict_pairs, round((candidates * (candidates - 1) // 2 - e) / nullif(candidates * (candidates - 1) // 2, 0), 9) AS strict_density FROM g"
+    q["decision_density"] = lambda s, d: T.rollout_density(_rollouts(s, d), HORIZONS), f"WITH {_R}, h AS (SELECT trace, capacity, t, horizon, y_loss, count(*) AS m FROM labels GROUP BY ALL), g AS (SELECT trace, capacity, t, horizon, sum(m)::BIGINT AS candidates, max(y_loss) - min(y_loss) AS loss_range, sum(m * (m - 1) // 2)::BIGINT AS e FROM h GROUP BY ALL) SELECT trace, capacity, t, horizon, candidates, loss_range, candidates * (candidates - 1) // 2 - e AS strict_pairs, round((candidates * (candidates - 1) // 2 - e) / nullif(candidates * (candidates - 1) // 2, 0), 9) AS strict_density FROM g"
     q["pair_contributions"] = lambda s, d: A.pair_contributions(_narrow(_pairs(s, d)), ["trace_family"]), f"WITH {_P}, g AS (SELECT {K}, count(*) AS n, count(*) FILTER (regret_a <> regret_b) AS strict, count(*) FILTER (regret_a < regret_b) AS a FROM p GROUP BY ALL) SELECT trace_family, count(*) AS decisions, count(*) FILTER (strict > 0) AS with_strict_pairs, count(*) FILTER (strict = 0) AS only_tied, round(avg((strict > 0)::INT), 9) AS with_strict_share, round(avg(n), 9) AS pairs_a_decision, round(avg(strict) FILTER (strict > 0), 9) AS strict_a_telling_decision, round(sum(a) / nullif(sum(strict), 0), 9) AS a_better_share FROM g GROUP BY trace_family"
     q["sample_mix"] = lambda s, d: A.sample_mix(views.pairwise_sample(candidates(s, d), 1000, 8), _view(s, d), ["capacity"]), f"WITH {_S}, a AS (SELECT capacity, count(*) AS sampled FROM s GROUP BY ALL), n AS (SELECT {K}, count(*) AS k FROM c GROUP BY ALL), b AS (SELECT capacity, count(*) AS decisions, sum(k * (k - 1) // 2)::BIGINT AS universe FROM n GROUP BY capacity), j AS (SELECT capacity, coalesce(sampled, 0) AS sampled, coalesce(decisions, 0) AS decisions, coalesce(universe, 0) AS universe FROM a FULL JOIN b USING (capacity)) SELECT *, round(sampled / sum(sampled) OVER (), 9) AS sampled_share, round(decisions / sum(decisions) OVER (), 9) AS decision_share, round(universe / sum(universe) OVER (), 9) AS universe_share FROM j"
     q["pair_evaluation"] = lambda s, d: M.pair_evaluation(_pairs(s, d), F.round(1 / (1 + F.exp(F.col("recent_candidate_request_rate_a") * 10 - F.col("recent_candidate_request_rate_b") * 10)), 9)).select("part", "n", "accuracy", "auroc"), f"""WITH {_P}, e AS (SELECT unnest([split, 'all']) AS part, (regret_a < regret_b)::INT AS y, round(1 / (1 + exp(rate_a * 10 - rate_b * 10)), 9) AS pr FROM p WHERE regret_a <> regret_b),

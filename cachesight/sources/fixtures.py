@@ -7,16 +7,27 @@ from pyspark.sql import functions as F
 
 from cachesight.operators.trace import numbered
 from cachesight.schema import CANONICAL, DECISION_KEY, DEPRECATED_FEATURES
-from cachesight.sources.shared import written_once
+from cachesight.sources.shared import bucketed_once, deal_finely, tasks
+
+
+#: Rows that a request becomes in shuffles: capacities, neighbouring parts of time, stays.
+EVENT_ROWS = 4
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidate relation of the driver's tables, written once in a session to the cluster's shared folder."""
-    return written_once(spark, sf_dir, "candidates", lambda: made_candidates(spark, sf_dir).sortWithinPartitions("decision_t"))
+
+    def make() -> tuple[DataFrame, int]:
+        items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        deal_finely(spark, items.count())
+        n = tasks(items)
+        return made_candidates(spark, sf_dir, n), n
+
+    return bucketed_once(spark, sf_dir, "candidates", "decision_t", make)
 
 
-def made_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as decisions, their line items as candidates."""
+def made_candidates(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Orders as decisions, their line items as candidates, in ``parts`` parts by decision."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     i = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")
     power = lambda base, x: (F.lit(base) * F.pow(F.lit(2), x % 3)).cast("long")
@@ -34,7 +45,7 @@ def made_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("candidate_page_id"),
         F.floor(F.col("l_quantity") / 12).cast("double").alias("y_loss"), "l_discount", "l_tax",
     )
-    rows = rows.repartition("decision_t")  # a part of each key below, so nothing is dealt out again
+    rows = rows.repartition(parts, "decision_t") if parts else rows.repartition("decision_t")  # a part of each key below, so nothing is dealt out again
     once = rows.groupBy(*DECISION_KEY, "candidate_page_id").agg(F.min("y_loss").alias("y_loss"), F.min("l_discount").alias("recent_candidate_request_rate"), F.min("l_tax").alias("recent_candidate_hit_rate"))
     own = Window.partitionBy(*DECISION_KEY)
     rank = (F.row_number().over(own.orderBy("candidate_page_id")) - 1).cast("double")
@@ -50,5 +61,6 @@ def made_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(trace, t, item): events of a type as requests of their users, in order of time."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
+    deal_finely(spark, EVENT_ROWS * e.count())
     e = numbered(e, ["event_type"], F.date_trunc("hour", "ts"), ["ts", "event_id"])
     return e.select(F.col("event_type").alias("trace"), F.col("t").cast("long").alias("t"), F.col("user_id").cast("string").alias("item"))

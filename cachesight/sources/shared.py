@@ -38,6 +38,15 @@ def tasks(df: DataFrame, rows: int = TASK_ROWS) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
 
 
+def deal_finely(spark: SparkSession, rows: int) -> None:
+    """Lets shuffles of the session begin with a part for every ``TASK_ROWS`` of ``rows``. Spark merges small ones up to its advisory
+    size, but it never splits those of its own fixed number, whose tasks would grow with the tables."""
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    least = int(spark.conf.get(name, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    if (wanted := -(-rows // TASK_ROWS)) > least:
+        spark.conf.set(name, str(wanted))
+
+
 _written: dict[tuple[str, str, str], str] = {}
 
 
@@ -54,3 +63,15 @@ def written_path(spark: SparkSession, source: str, name: str, write) -> str:
 def written_once(spark: SparkSession, source: str, name: str, make) -> DataFrame:
     """``make()``, written by the first of this application's queries that need it, for the others to read."""
     return spark.read.parquet(written_path(spark, source, name, lambda path: make().write.parquet(path)))
+
+
+def bucketed_once(spark: SparkSession, source: str, name: str, column: str, make) -> DataFrame:
+    """As ``written_once``, but dealt out by ``column`` into buckets of about ``TASK_ROWS`` rows, which group-bys, windows and joins on
+    keys that have the column read as they are, with no shuffle. ``make()`` gives the rows and the number of buckets."""
+    table = lambda path: f"cachesight_{path.rsplit('-', 1)[1]}"
+
+    def write(path: str) -> None:
+        df, n = make()
+        df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", path).saveAsTable(table(path))
+
+    return spark.table(table(written_path(spark, source, name, write)))

@@ -16,7 +16,7 @@ from cachesight.functions import scalars
 from cachesight.operators import dominance, models, panels, policies, release, selection, trace, validate, views
 from cachesight.plans import catalog
 from cachesight.schema import CANONICAL, DECISION_KEY
-from cachesight.sources import tables
+from cachesight.sources import shared, tables
 from cachesight.sources.fixtures import candidates, traces
 from cachesight.streaming import shards
 
@@ -450,3 +450,33 @@ def test_counted_rows_weigh_as_many(spark):
     assert sorted(selection.midrank_auroc(score(counted), ["split"]).collect()) == sorted(selection.midrank_auroc(score(each), ["split"]).collect())
     again = models.counted_pairs(each, ["x"], ["split"])
     assert again.agg(F.sum("rows")).first()[0] == each.count() and again.count() < each.count()
+
+
+def test_decisions_of_the_tables_need_no_shuffle(spark, sf):
+    plan = panels.strict_density(candidates(spark, sf), DECISION_KEY).groupBy(*DECISION_KEY).count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        shared.deal_finely(spark, 30 * shared.TASK_ROWS)
+        shared.deal_finely(spark, 20 * shared.TASK_ROWS)
+        assert spark.conf.get(name) == "30" and shared.tasks(spark.range(100), 10) == 10
+    finally:
+        spark.conf.unset(name)
+
+
+def test_summaries_of_rollouts_equal_those_of_labels_without_a_shuffle(spark, tmp_path):
+    rng, hs = random.Random(6), [4, 8]
+    df = spark.createDataFrame([("a", t, str(rng.randrange(9))) for t in range(150)], "trace string, t long, item string")
+    trace.rollouts(df, trace.reuse_distance(df), trace.lru_replay(df, [3]), hs).write.parquet(f"{tmp_path}/r")
+    rollouts = spark.read.parquet(f"{tmp_path}/r")
+    labels, key = trace.labels_of(rollouts, hs), ["trace", "capacity", "t"]
+    summary = trace.rollout_summary(rollouts, hs)
+    assert sorted(summary.collect()) == sorted(trace.decision_summary(labels).select(*summary.columns).collect())
+    density = trace.rollout_density(rollouts, hs)
+    assert sorted(density.collect()) == sorted(panels.decision_density(labels, [*key, "horizon"]).select(*density.columns).collect())
+    wide = trace.rollout_regrets(rollouts, hs)
+    assert panels.monotonicity(wide, hs).collect() == panels.horizon_monotonicity(trace.decision_summary(labels), key, hs).collect()
+    assert all("Exchange" not in x._jdf.queryExecution().executedPlan().toString() for x in (summary, density, wide))

@@ -230,25 +230,76 @@ def execution_plan(traces: DataFrame, capacities: list[int], policies: list[str]
 RUN = "trace string, capacity long, policy string, seed int, status string, requests long, hits long, misses long, evictions long, error string"
 
 
-def _run(key, b: pd.DataFrame) -> pd.DataFrame:
-    trace, capacity, name, seed = key
-    row = {"trace": trace, "capacity": capacity, "policy": name, "seed": seed}
-    try:
-        own, hits, out, n = policy(name, int(capacity), int(seed)), 0, 0, 0
-        for item, scored in b.sort_values("t")[["item", "scored"]].itertuples(index=False):
-            hit, evicted = own.request(item)
-            if scored:
-                n, hits, out = n + 1, hits + hit, out + evicted
-        row |= {"status": "complete", "requests": n, "hits": hits, "misses": n - hits, "evictions": out, "error": None}
-    except Exception as e:  # a failed run is a result
-        row |= {"status": "failed", "requests": None, "hits": None, "misses": None, "evictions": None, "error": f"{type(e).__name__}: {e}"}
-    return pd.DataFrame([row]).astype({k: object for k in ("trace", "policy", "status", "error")}).astype({k: "Int64" for k in ("requests", "hits", "misses", "evictions")})
+#: Requests of a row that runs read.
+BLOCK = 256
+
+
+class _Run:
+    """A run as far as its requests have come."""
+
+    def __init__(self, trace, capacity, name, seed):
+        self.row, self.counts, self.error = (trace, capacity, name, seed), [0, 0, 0], None
+        try:
+            self.ask = policy(name, int(capacity), int(seed)).request
+        except Exception as e:  # a failed run is a result
+            self.error = f"{type(e).__name__}: {e}"
+
+    def take(self, items: list, scored) -> None:
+        if self.error:
+            return
+        n, hits, out = self.counts
+        try:
+            for item, counts in zip(items, scored):
+                hit, evicted = self.ask(item)
+                if counts:
+                    n, hits, out = n + 1, hits + hit, out + evicted
+        except Exception as e:
+            self.error = f"{type(e).__name__}: {e}"
+        self.counts = [n, hits, out]
+
+    def result(self) -> tuple:
+        n, hits, out = self.counts
+        return (*self.row, "failed", None, None, None, None, self.error) if self.error else (*self.row, "complete", n, hits, n - hits, out, None)
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Results of the runs whose blocks come in order; a task holds a batch of blocks and the state of one run."""
+    names, run = [c.split()[0] for c in RUN.split(", ")], None
+    frame = lambda rows: pd.DataFrame(rows, columns=names).astype({k: object for k in ("trace", "policy", "status", "error")}).astype({k: "Int64" for k in ("requests", "hits", "misses", "evictions")})
+    for b in batches:
+        done = []
+        for trace, capacity, name, seed, items, scored in b[["trace", "capacity", "policy", "seed", "items", "scored"]].itertuples(index=False):
+            if run is None or run.row != (trace, capacity, name, seed):
+                if run:
+                    done.append(run.result())
+                run = _Run(trace, capacity, name, seed)
+            run.take(items.tolist(), scored.tolist())
+        if done:
+            yield frame(done)
+    if run:
+        yield frame([run.result()])
 
 
 def simulate(traces: DataFrame, plan: DataFrame) -> DataFrame:
-    """A result row for each run of ``plan``. ``traces`` may have a boolean column scored; without it all requests count."""
+    """A result row for each run of ``plan``. ``traces`` may have a boolean column scored; without it all requests count.
+
+    Requests are gathered in blocks of time, which go to each run and are read in their order. Runs are dealt out; a run's requests
+    are one after the other, as its state is, but never in memory together. Results are a table, a row for each run, so what reads
+    them often does not run them again.
+    """
     t = traces if "scored" in traces.columns else traces.withColumn("scored", F.lit(True))
-    return t.select("trace", "t", "item", "scored").join(plan, "trace").groupBy("trace", "capacity", "policy", "seed").applyInPandas(_run, RUN)
+    request = F.collect_list(F.struct("t", "item", "scored"))
+    blocks = t.groupBy("trace", F.floor(F.col("t") / BLOCK).alias("block")).agg(F.sort_array(request).alias("r"))
+    blocks = blocks.select("trace", "block", F.transform("r", lambda x: x["item"]).alias("items"), F.transform("r", lambda x: x["scored"]).alias("scored"))
+    key = ["trace", "capacity", "policy", "seed"]
+    run = plan.select(*key).distinct()  # blocks of a run that is planned twice would mix
+    n = min(max(1, run.count()), MOST_TASKS)
+    rows = blocks.join(run, "trace").repartition(n, *key).sortWithinPartitions(*key, "block")
+    return materialize(rows.mapInPandas(_runs, RUN), "runs")
+
+
+#: Tasks that runs are dealt to, at most.
+MOST_TASKS = 2000
 
 
 def policy_summary(runs: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ from cachesight.schema import CANONICAL, DECISION_KEY, DEPRECATED_FEATURES
 from cachesight.sources.shared import bucketed_once, deal_finely, tasks
 
 
+#: Pairs that a candidate is in, about. As shuffles so have other numbers of parts than the buckets, Spark does not take the join's
+#: shuffle for theirs, whose parts it would merge.
+PAIR_ROWS = 2
 #: Rows that a request becomes in shuffles: capacities, neighbouring parts of time, stays.
 EVENT_ROWS = 4
 
@@ -19,7 +22,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def make() -> tuple[DataFrame, int]:
         items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        deal_finely(spark, items.count())
+        deal_finely(spark, PAIR_ROWS * items.count())
         n = tasks(items)
         return made_candidates(spark, sf_dir, n), n
 

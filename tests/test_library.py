@@ -480,3 +480,18 @@ def test_summaries_of_rollouts_equal_those_of_labels_without_a_shuffle(spark, tm
     wide = trace.rollout_regrets(rollouts, hs)
     assert panels.monotonicity(wide, hs).collect() == panels.horizon_monotonicity(trace.decision_summary(labels), key, hs).collect()
     assert all("Exchange" not in x._jdf.queryExecution().executedPlan().toString() for x in (summary, density, wide))
+
+
+def test_runs_read_blocks_in_order_and_once(spark, tmp_path):
+    rng = random.Random(8)
+    items = [str(rng.randrange(12)) for _ in range(700)]
+    df = spark.createDataFrame([("a", t, x, t >= 100) for t, x in enumerate(items)], "trace string, t long, item string, scored boolean")
+    plan = policies.execution_plan(df, [3], ["lru", "arc", "none", "random"], 2)
+    runs = policies.simulate(df, plan)
+    got = {(r.policy, r.seed): (r.status, r.requests, r.hits, r.evictions) for r in runs.collect()}
+    assert got.pop(("none", 0))[0] == "failed" and len(got) == 4
+    for (name, seed), found in got.items():
+        own = policies.policy(name, 3, seed)
+        seen = [own.request(x) for x in items][100:]
+        assert found == ("complete", 600, sum(h for h, _ in seen), sum(e for _, e in seen))
+    assert "MapInPandas" not in runs._jdf.queryExecution().executedPlan().toString()  # a table: gates do not run it again
